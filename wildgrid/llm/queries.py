@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from .bpe import op4_query
+from .fingerprint import op2_query
+from .licenses import op7_query
 from .packing import op1_query
+from .secrets import op9_query
 from .simhash import op6_query
 from .substring import op5_query
+from .toxicity import op10_query
 
 QUERIES = {
     "op1_best_fit_packing": op1_query,
+    "op2_fingerprints": op2_query,
+    "op4_bpe": op4_query,
     "op5_substring_dedup": op5_query,
     "op6_simhash": op6_query,
+    "op7_licenses": op7_query,
+    "op9_secrets": op9_query,
+    "op10_toxicity": op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
