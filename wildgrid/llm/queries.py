@@ -6,20 +6,27 @@ from .bpe import op4_query
 from .fingerprint import op2_query
 from .licenses import op7_query
 from .packing import op1_query
+from .quality import OP8_SQL, op8_query
 from .secrets import op9_query
 from .simhash import op6_query
 from .substring import op5_query
 from .toxicity import op10_query
+from .urls import OP3_SQL, op3_query
 
 QUERIES = {
     "op1_best_fit_packing": op1_query,
     "op2_fingerprints": op2_query,
+    "op3_url_filter": op3_query,
     "op4_bpe": op4_query,
     "op5_substring_dedup": op5_query,
     "op6_simhash": op6_query,
     "op7_licenses": op7_query,
+    "op8_quality": op8_query,
     "op9_secrets": op9_query,
     "op10_toxicity": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_url_filter": OP3_SQL,
+    "op8_quality": OP8_SQL,
+}
