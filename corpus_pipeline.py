@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wildgrid.llm.common import materialise, table
 from wildgrid.llm.packing import best_fit_packing
 from wildgrid.llm.secrets import redact
-from wildgrid.llm.simhash import near_duplicates
+from wildgrid.llm.simhash import similar_documents
 from wildgrid.llm.substring import without_repeats
 from wildgrid.llm.toxicity import accepted, fit
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; rows without an id stay."""
-    copies = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays; rows without an id stay."""
+    copies = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -8,6 +8,8 @@ distances to fixed reference fingerprints; a pair is discarded when any coordina
 than `radius`, which the triangle inequality allows, and the survivors are compared bit by bit.  Of the links
 of a bucket only a spanning forest leaves the task, never all pairs.
 
+For the similarity of whole texts (similar_documents) fingerprints are wider and buckets come from shingles.
+
 Pivot tables alone would have to look at all pairs of documents (a distance to a random reference
 has a spread of four bits, no more than the radius), hence the buckets in front of them.
 """
@@ -69,7 +71,8 @@ def references(n: int) -> np.ndarray:
 
 
 def distance_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+    """Hamming distances of fingerprints (a row of 64-bit words each) to the pivots (likewise)."""
+    return np.bitwise_count(fps[:, None, :] ^ pivots[None, :, :]).sum(axis=2, dtype=np.int16)
 
 
 def near(left: np.ndarray, right: np.ndarray, pivots: np.ndarray, radius: int) -> np.ndarray:
@@ -79,7 +82,7 @@ def near(left: np.ndarray, right: np.ndarray, pivots: np.ndarray, radius: int) -
     for k in range(len(pivots)):
         maybe &= np.abs(a[:, k, None] - b[None, :, k]) <= radius
     i, j = np.nonzero(maybe)
-    maybe[i, j] = np.bitwise_count(left[i] ^ right[j]) <= radius
+    maybe[i, j] = sum(np.bitwise_count(left[i, w] ^ right[j, w]).astype(np.int16) for w in range(left.shape[1])) <= radius
     return maybe
 
 
@@ -115,15 +118,29 @@ def links(distinct: DataFrame, radius: int = 4, pivots: int = 16, block: int = B
         raise ValueError("radius must be between 1 and 31")
     blocks = _blocks(distinct.count(), radius)
     chosen = list(combinations(blocks, len(blocks) - radius))
-    marks = references(pivots)
 
     def keyed(batches):
         for b in batches:
             fps = b.column(0).to_numpy().view(np.uint64)
+            raw = b.column(0).cast(pa.int64()).to_numpy().astype("<i8").tobytes()
+            packed = pa.array([raw[i : i + 8] for i in range(0, len(raw), 8)], pa.binary())
             for i, parts in enumerate(chosen):
                 bits = np.uint64(sum(((1 << n) - 1) << low for low, n in parts))
                 key = xxmix((fps & bits) + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1)], names=["key", "fp", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), packed, b.column(1)], names=["key", "fp", "rep"])
+
+    rows = distinct.mapInArrow(keyed, "key long, fp binary, rep long")
+    return bucket_links(rows, radius, references(pivots).reshape(-1, 1), block)
+
+
+def bucket_links(rows: DataFrame, radius: int, marks: np.ndarray, block: int) -> DataFrame:
+    """rows(key, fp, rep) -> edges(u, v) over rep that connect what links within radius in each bucket (key).
+
+    fp: the fingerprint's 64-bit words as bytes; marks: the pivots, as many words each.
+    """
+
+    def words(fps: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
 
     def linked(batches):
         """Rows come sorted by key: a bucket of up to `block` is solved here, a larger one is passed on."""
@@ -132,11 +149,12 @@ def links(distinct: DataFrame, radius: int = 4, pivots: int = 16, block: int = B
         def solved():
             if len(fps) < 2:
                 return [], []
-            x, r = np.array(fps, np.int64).view(np.uint64), np.array(reps, np.int64)
             if len(fps) == 2:
-                return ([r[0]], [r[1]]) if int(x[0] ^ x[1]).bit_count() <= radius else ([], [])
+                a, b = fps
+                return ([reps[0]], [reps[1]]) if (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() <= radius else ([], [])
+            x, r = words(fps), np.array(reps, np.int64)
             i, j = forest(near(x, x, marks, radius))
-            return r[i].tolist() if len(i) else [], r[j].tolist() if len(j) else []
+            return (r[i].tolist(), r[j].tolist()) if len(i) else ([], [])
 
         for b in batches:
             u, v, hot = [], [], ([], [], [])
@@ -163,7 +181,7 @@ def links(distinct: DataFrame, radius: int = 4, pivots: int = 16, block: int = B
             if u:
                 yield _edges(u, v, ([], [], []))
 
-    found = materialise(distinct.mapInArrow(keyed, "key long, fp long, rep long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "u long, v long, key long, fp long"), "links")
+    found = materialise(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "u long, v long, key long, fp binary"), "links")
     edges = found.where("key is null").select("u", "v")
     hot = found.where("key is not null").select("key", "fp", F.col("u").alias("rep"))
     if hot.limit(1).count():
@@ -183,10 +201,10 @@ def _hot_links(hot: DataFrame, radius: int, marks: np.ndarray, block: int) -> Da
     def solved(pdf):
         import pandas as pd
 
-        x, r = pdf.fp.to_numpy(np.int64).view(np.uint64), pdf.rep.to_numpy(np.int64)
+        x, r = np.frombuffer(b"".join(map(bytes, pdf.fp)), "<u8").reshape(len(pdf), -1), pdf.rep.to_numpy(np.int64)
         lab = np.arange(len(x))
-        for i in range(0, len(x), 1024):  # rows of the link matrix, a strip at a time
-            strip = near(x[i : i + 1024], x, marks, radius)
+        for i in range(0, len(x), 256):  # rows of the link matrix, a strip at a time
+            strip = near(x[i : i + 256], x, marks, radius)
             for row in range(len(strip)):
                 met = np.unique(lab[strip[row]])
                 if len(met) > 1:
@@ -205,7 +223,7 @@ def xxmix(x: np.ndarray) -> np.ndarray:
 
 def _edges(u, v, hot) -> pa.RecordBatch:
     none = [None] * len(u)
-    return pa.RecordBatch.from_arrays([pa.array([*u, *hot[2]], pa.int64()), pa.array([*v, *[None] * len(hot[0])], pa.int64()), pa.array([*none, *hot[0]], pa.int64()), pa.array([*none, *hot[1]], pa.int64())], names=["u", "v", "key", "fp"])
+    return pa.RecordBatch.from_arrays([pa.array([*u, *hot[2]], pa.int64()), pa.array([*v, *[None] * len(hot[0])], pa.int64()), pa.array([*none, *hot[0]], pa.int64()), pa.array([*none, *hot[1]], pa.binary())], names=["u", "v", "key", "fp"])
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4, pivots: int = 16, block: int = BLOCK) -> DataFrame:
@@ -222,6 +240,59 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
     return fps.join(home, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: Of a wide fingerprint (for similarity): words, smallest shingle hashes taken as keys, and members of a bucket compared at once.
+WIDE, KEYS, WIDE_BLOCK = 4, 6, 1024
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits to be expected of two texts whose shingle sets have this Jaccard similarity, and one and a half standard errors."""
+    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * part + 1.5 * np.sqrt(bits * part * (1 - part)))
+
+
+def wide_simhash(text: bytes, words_per_shingle: int) -> tuple[bytes, int, list[int]]:
+    """Fingerprint of several words, a hash of the whole word sequence, and the smallest distinct shingle hashes."""
+    words = text.lower().split()
+    line = b" ".join(words)
+    whole = xxhash.xxh64_intdigest(line, SEED) - 2**63
+    if not words:
+        return bytes(8 * WIDE), whole, []
+    k = min(words_per_shingle, len(words))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    n = len(words) - k + 1
+    hashes = np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = np.stack([xxmix(hashes[i : i + 4096] + np.uint64((w * 0x9E3779B97F4A7C15) % 2**64)) for w in range(1, WIDE + 1)], axis=1).astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), whole, hashes[:KEYS].view(np.int64).tolist()
+
+
+def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = WIDE_BLOCK) -> DataFrame:
+    """documents -> (doc_id, component_id): groups of texts whose shingle sets are alike by the given similarity or more.
+
+    At a similarity of 0.8 fingerprints differ in about a seventh of their bits, too many for buckets
+    of equal bits.  So texts meet that share one of their six smallest shingle hashes, which fails for 0.2^6 of such pairs at
+    most, and are compared by fingerprints of 256 bits, with pivots as before.  Equal word sequences are one.
+    Texts without words form one group; rows without a doc_id are left out.
+    """
+
+    def made(batches):
+        for b in chunks(batches):
+            rows = [wide_simhash(t, words_per_shingle) for t in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "fp", "whole", "keys"])
+
+    given = materialise(ids_and_texts(docs).where("doc_id is not null").mapInArrow(made, "doc_id long, fp binary, whole long, keys array<long>"), "wide")
+    distinct = materialise(given.groupBy("whole", "fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
+    edges = bucket_links(distinct.select(F.explode("keys").alias("key"), "fp", "rep"), wide_radius(similarity), references(pivots * WIDE).reshape(-1, WIDE), block)
+    parts = connected_components(edges)
+    home = distinct.join(parts, distinct.rep == parts.node, "left").select("whole", "fp", F.coalesce("component", "rep").alias("component_id"))
+    return given.join(home, ["whole", "fp"], "left").select("doc_id", "component_id")
+
+
 def op6_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
