@@ -25,7 +25,7 @@ from .common import NO_ID, chunks, ids_and_texts, text_bytes
 from .simhash import xxmix
 
 #: Words of an anchor; the window length less this is the winnowing window less one.
-ANCHOR = 6
+ANCHOR = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -92,35 +92,39 @@ class Windows:
         return least[first].view(np.int64), owner[first], first - word0[owner[first]], windows, first, last
 
 
+def _little(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of non-negative integers, a row each."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
 def _seeds(length: int):
+    """Rows (key, doc, run): run is the text's checksum (3 bytes), the first window's word (4), and a hash (5) of each window.
+
+    A run that a smaller document of the chunk also has is settled: only its number of windows (7 bytes) follows.
+    """
+
     def seeds(batches):
-        make, raw = Windows(length), np.dtype(">u8")
+        make = Windows(length)
         for b in chunks(batches):
             ids, texts = b.column(0).to_numpy(), text_bytes(b.column(1))
             check = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
             key, owner, start, windows, first, last = make.runs(texts)
             order = np.argsort(ids[owner], kind="stable")  # the smallest document of equal runs comes first
-            subs = windows.astype(raw).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+            heads = np.hstack([_little(check[owner], 3), _little(start, 4)]).tobytes()
+            subs = _little((windows >> np.uint64(24)).view(np.int64), 5).tobytes()
+            settled = _little(last - first, 7).tobytes()
             seen: dict[tuple[int, bytes], int] = {}
-            keep, cut = [], []
             ids_, owner_, key_, first_, last_ = ids.tolist(), owner.tolist(), key.tolist(), first.tolist(), last.tolist()
-            pieces = []
-            for r in order.tolist():
+            runs, done = [], np.zeros(len(order), bool)
+            for n, r in enumerate(order.tolist()):
                 piece = subs[5 * first_[r] : 5 * last_[r]]
-                least = seen.setdefault((key_[r], piece), d := ids_[owner_[r]])
-                if least < d:
-                    cut.append(r)
-                else:
-                    keep.append(r)
-                    pieces.append(piece)
-            rows = np.array(keep + cut, np.int64)
-            whole = np.zeros(len(rows), np.int32)
-            whole[len(keep) :] = (last - first)[rows[len(keep) :]]
-            spread = np.where(whole > 0, xxmix((ids[owner[rows]] * 31 + start[rows]).view(np.uint64)).view(np.int64), key[rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(ids[owner[rows]]), pa.array(check[owner[rows]]), pa.array(start[rows].astype(np.int32)), pa.array(whole), pa.array(pieces + [b""] * len(cut), pa.binary())],
-                names=["key", "doc", "crc", "start", "whole", "subs"],
-            )
+                if seen.setdefault((key_[r], piece), d := ids_[owner_[r]]) < d:
+                    done[n] = True
+                    piece = settled[7 * r : 7 * r + 7]
+                runs.append(heads[7 * r : 7 * r + 7] + piece)
+            doc = ids[owner[order]]
+            spread = np.where(done, xxmix((doc * 31 + start[order]).view(np.uint64)).view(np.int64), key[order])  # settled rows go anywhere
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc), pa.array(runs, pa.binary())], names=["key", "doc", "run"])
 
     return seeds
 
@@ -128,38 +132,48 @@ def _seeds(length: int):
 def _extend(length: int):
     """Rows sorted by key and document.  Of each window the smallest document stays; the runs of marked windows go out."""
 
+    def number(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        raw = np.zeros((len(at), 8), np.uint8)
+        raw[:, :width] = data[at[:, None] + np.arange(width)]
+        return raw.view("<i8").ravel()
+
     def extend(batches):
-        held_key, held_sub, held_doc = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held_key, held_sub, held_doc = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            key, doc, crc, start, whole = (b.column(i).to_numpy() for i in range(5))
-            size = np.array([len(x) // 5 for x in b.column(5).to_pylist()], np.int64)
-            raw = np.zeros((size.sum(), 8), np.uint8)
-            raw[:, 3:] = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, 5)
-            sub = raw.view(">u8").ravel().astype(np.uint64)
-            row = np.repeat(np.arange(len(key)), size)
-            at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            k, d = key[row], doc[row]
-            n = len(held_sub)
+            if not b.num_rows:
+                continue
+            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+            runs = b.column(2).to_pylist()
+            size = np.fromiter(map(len, runs), np.int64, len(runs))
+            data, at = np.frombuffer(b"".join(runs), np.uint8), np.cumsum(size) - size
+            crc, start = number(data, at, 3), number(data, at + 3, 4)
+            done = np.flatnonzero(size == 14)
+            count = (size - 7) // 5
+            count[done] = 0
+            row = np.repeat(np.arange(len(key)), count)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            sub, word = number(data, at[row] + 7 + 5 * nth, 5), start[row] + nth
+            k, d, n = key[row], doc[row], len(held_sub)
             if n:
                 k, d, sub = np.r_[np.full(n, held_key), k], np.r_[held_doc, d], np.r_[held_sub, sub]
             order = np.lexsort((sub, k))
             ks, ss, ds = k[order], sub[order], d[order]
-            new = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]) | (ss[1:] != ss[:-1])]) if len(ks) else np.zeros(0, np.int64)
             least = np.empty(len(k), np.int64)
-            if len(new):
+            if len(ks):
+                new = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]) | (ss[1:] != ss[:-1])])
                 lows = np.minimum.reduceat(ds, new)
                 least[order] = np.repeat(lows, np.diff(np.r_[new, len(ks)]))
                 tail = ks[new] == key[-1]
                 held_key, held_sub, held_doc = key[-1], ss[new][tail], lows[tail]
             hit = np.flatnonzero(least[n:] < d[n:])
-            r, s = row[hit], at[hit]
+            r, s = row[hit], word[hit]
             f = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]) if len(hit) else hit
             e = np.r_[f[1:], len(hit)] - 1 if len(hit) else hit
-            done = np.flatnonzero(whole)
-            at_row = np.r_[r[f], done]
-            begin, end = np.r_[s[f], start[done]], np.r_[s[e] + length if len(hit) else hit, start[done] + whole[done] - 1 + length]
-            if len(at_row):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at_row]), pa.array(crc[at_row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "crc", "begin", "end"])
+            settled = number(data, at[done] + 7, 7)
+            rows = np.r_[r[f], done]
+            begin, end = np.r_[s[f], start[done]], np.r_[s[e] + length, start[done] + settled - 1 + length]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(crc[rows]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "crc", "begin", "end"])
 
     return extend
 
@@ -168,10 +182,10 @@ def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """(doc, crc, spans): the words of each text that a window of a smaller document covers, as [begin, end) pairs.
 
     A missing doc_id counts as larger than any other; rows that share an id are told apart by a
-    checksum of the text and never cover each other.
+    24-bit checksum of the text and never cover each other.
     """
     spark = docs.sparkSession
-    seeds = ids_and_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(_seeds(length), "key long, doc long, crc long, start int, whole int, subs binary")
+    seeds = ids_and_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(_seeds(length), "key long, doc long, run binary")
     found = seeds.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_extend(length), "doc long, crc long, begin int, end int")
     return found.groupBy("doc", "crc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
@@ -184,7 +198,7 @@ def without_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_words")]
     given = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("_crc"), "doc_id", F.col("text"), *others
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).bitwiseAND(F.lit(0xFFFFFF)).alias("_crc"), "doc_id", F.col("text"), *others
     )
     found = repeats(docs, length).withColumnsRenamed({"doc": "_doc", "crc": "_crc"})
     joined = given.join(found, ["_doc", "_crc"], "left").select("doc_id", "text", *others, "spans")
