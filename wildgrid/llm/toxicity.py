@@ -8,7 +8,7 @@ and the lengths show the window's own cost.  How many windows differ by how much
 probability by a logistic fit on the labelled documents.
 
 Fitting uses a bounded sample of labelled rows (`per_class` of each label, chosen by a hash of the
-id), on the driver; scoring is one pass over all whole texts without a shuffle.
+id); scoring is one pass over all whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ids_and_texts, text_bytes
+from .common import chunks, ids_and_texts, materialise, text_bytes
 
-#: Labelled documents of each class that the fit may look at, and the most bytes of text of each class.
-PER_CLASS, CLASS_BYTES = 1500, 12_000_000
+#: Labelled documents of each class that the fit may look at.
+PER_CLASS = 1500
 #: Bytes of the toxic and the ordinary dictionary.
 TOXIC_BYTES, ORDINARY_BYTES = 1500, 3000
 #: A score from here on is a prediction of toxic.
@@ -43,25 +43,10 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + w + b" " for w in text.lower().split()]
 
 
-def _piece_counts(texts: list[bytes]) -> Counter:
-    """In how many texts each piece occurs."""
-    counts: Counter = Counter()
-    for t in texts:
-        counts.update({w[i : i + n] for w in set(windows(t)) for n in PIECES for i in range(min(len(w), WORD) - n + 1)})
-    return counts
-
-
-def train_dictionary(own: Counter, n_own: int, other: Counter, n_other: int, size: int) -> bytes:
-    """Pieces that are more frequent in own than in other texts, the most telling ones last (nearest to the window)."""
-    ranked = []
-    for piece, k in own.items():
-        if k < 3:
-            continue
-        p, q = (k + 0.5) / (n_own + 1), (other.get(piece, 0) + 0.5) / (n_other + 1)
-        if p > q:
-            ranked.append(((p - q) * math.log(p / q), piece))
+def dictionary(pieces: list[bytes], size: int) -> bytes:
+    """Pieces in order of their worth, the best last (nearest to the window), each once; then the primer."""
     out = b""
-    for _, piece in sorted(ranked, reverse=True):
+    for piece in pieces:
         if piece not in out:
             out = piece + out
             if len(out) > size:
@@ -128,58 +113,69 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+def _pieces(batches):
+    """(piece, k, n): in how many texts of class and half k = 2 * toxic + half each piece occurs, added up by chunk."""
+    for b in chunks(batches, size=1 << 19):
+        counts: Counter = Counter()
+        for text, k in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
+            counts.update((k, p) for p in {w[i : i + n] for w in set(windows(text)) for n in PIECES for i in range(min(len(w), WORD) - n + 1)})
+        yield pa.RecordBatch.from_arrays([pa.array([p for _, p in counts], pa.binary()), pa.array([k for k, _ in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["piece", "k", "n"])
+
+
+def _dictionary(pieces: DataFrame, own: Column, n_own: int, other: Column, n_other: int, size: int) -> bytes:
+    """The pieces that are more frequent in own than in other texts, ranked by the difference and ratio of shares."""
+    p, q = (own + 0.5) / (n_own + 1), (other + 0.5) / (n_other + 1)
+    ranked = pieces.where(own >= 3).where(p > q).select("piece", F.round((p - q) * F.log(p / q), 9).alias("r")).orderBy(F.desc("r"), "piece").limit(2 * size)
+    return dictionary([bytes(r.piece) for r in ranked.collect()], size)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Train on at most per_class documents of each label, none of them held out.
 
-    Half of the sample makes the dictionaries, the other half the calibration (then the other way round, and
-    both halves' dictionaries are pooled in the end).  Labels other than 0 and 1, labels of documents that are
-    not there, and repeated ones (the largest counts) do no harm; with a class missing, every score is the
-    share of toxic labels, or 0 without any.
+    The sample is halved by a hash of the id: dictionaries of one half are tried on the other, which gives the features
+    of the calibration, and those of both halves go into the model.  Counting pieces and compressing is done by
+    tasks; the driver sees the best pieces and a row of features for each document of the sample.  Labels other than 0 and 1, labels of
+    documents that are not there, and repeated ones (the largest counts) do no harm; with fewer than four
+    documents in a class, every score is the share of toxic labels, or 0 without any.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(per_class).union(known.where("toxic = 0").orderBy(*order).limit(per_class))
     # At most 2 * per_class ids, so the broadcast is bounded.
-    rows = ids_and_texts(docs).join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
-    room = F.sum(F.octet_length("text")).over(_by_class())
-    sample = [(r.doc_id, r.toxic, r.text.encode()) for r in rows.withColumn("held", room).where((F.col("held") <= class_bytes)).orderBy("toxic", "doc_id", "text").collect()]
-    return train([(y, t) for _, y, t in sample], share.get(1, 0), share.get(0, 0))
-
-
-def _by_class():
-    from pyspark.sql import Window
+    rows = ids_and_texts(docs).join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    sample = materialise(rows.select("text", (2 * F.col("toxic") + F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).cast("int").alias("k")), "sample")
+    sizes = [0, 0, 0, 0]
+    for r in sample.groupBy("k").count().collect():
+        sizes[r.k] = r["count"]
+    n_ordinary, n_toxic = share.get(0, 0), share.get(1, 0)
+    if min(sizes[0] + sizes[1], sizes[2] + sizes[3]) < 4 or not all(sizes):
+        p = min(max(n_toxic / max(1, n_toxic + n_ordinary), 1e-9), 1 - 1e-9)
+        model = Model()
+        model.weights[0] = math.log(p / (1 - p))
+        return model
+    counts = sample.mapInArrow(_pieces, "piece binary, k int, n long").groupBy("piece").agg(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(4)))
+    counts = materialise(counts.where("c0 + c1 >= 3 or c2 + c3 >= 3"), "pieces")
 
-    return Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    def model_of(halves: list[int]) -> Model:
+        ordinary, toxic = (sum((F.col(f"c{2 * c + h}") for h in halves), F.lit(0)) for c in (0, 1))
+        n0, n1 = (sum(sizes[2 * c + h] for h in halves) for c in (0, 1))
+        return Model(_dictionary(counts, toxic, n1, ordinary, n0, TOXIC_BYTES), _dictionary(counts, ordinary, n0, toxic, n1, ORDINARY_BYTES))
 
+    trial = {h: model_of([1 - h]) for h in (0, 1)}
 
-def train(sample: list[tuple[int, bytes]], n_toxic: int, n_ordinary: int) -> Model:
-    """A model from (label, text) pairs; n_toxic and n_ordinary are the classes' sizes before sampling."""
-    classes = [[t for y, t in sample if y == c] for c in (0, 1)]
-    if min(map(len, classes)) < 4:
-        model = Model()
-        p = n_toxic / (n_toxic + n_ordinary) if n_toxic else 1e-9
-        model.weights[0] = math.log(p / (1 - p)) if p < 1 else 30.0
-        return model
-    halves = [[c[k::2] for c in classes] for k in (0, 1)]
-    counts = [[_piece_counts(c) for c in h] for h in halves]
-
-    def dictionaries(parts: list[int]) -> tuple[bytes, bytes]:
-        ordinary, toxic = (sum((counts[k][c] for k in parts), Counter()) for c in (0, 1))
-        n0, n1 = (sum(len(halves[k][c]) for k in parts) for c in (0, 1))
-        return train_dictionary(toxic, n1, ordinary, n0, TOXIC_BYTES), train_dictionary(ordinary, n0, toxic, n1, ORDINARY_BYTES)
-
-    x, y = [], []
-    for k in (0, 1):  # features of texts that the dictionaries have not seen
-        toxic, ordinary = dictionaries([1 - k])
-        part, known = Model(toxic, ordinary), {}
-        for c in (0, 1):
-            x.append(part.features(halves[k][c], known))
-            y += [c] * len(halves[k][c])
-    x, y = np.vstack(x), np.array(y, float)
-    toxic, ordinary = dictionaries([0, 1])
-    model = Model(toxic, ordinary, x.mean(axis=0), x.std(axis=0) + 1e-6)
-    weight = np.where(y == 1, n_toxic / len(classes[1]), n_ordinary / len(classes[0]))
+    def features(batches):
+        known: dict[int, dict[bytes, int]] = {0: {}, 1: {}}
+        for b in chunks(batches):
+            ks = b.column(1).to_pylist()
+            x = [trial[k % 2].features([t], known[k % 2])[0].tolist() for t, k in zip(text_bytes(b.column(0)), ks, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["k", "x"])
+
+    found = sorted((r.k, r.x) for r in sample.mapInArrow(features, "k int, x array<double>").collect())
+    x, y = np.array([x for _, x in found]), np.array([k // 2 for k, _ in found], float)
+    model = model_of([0, 1])
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    weight = np.where(y == 1, n_toxic / y.sum(), n_ordinary / (1 - y).sum())
     model.weights = _logistic((x - model.mean) / model.scale, y, weight * len(y) / weight.sum())
     return model
 
