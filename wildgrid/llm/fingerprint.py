@@ -86,7 +86,7 @@ def with_successors(docs: DataFrame, slices: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     slices = slices or 8 * partitions(spark)
     given = ids_and_texts(docs).withColumn("order", F.coalesce("doc_id", F.lit(NO_ID)))
-    cuts = sorted({int(x) for x in given.approxQuantile("order", [i / slices for i in range(1, slices)], 1 / (4 * slices))}) if slices > 1 else []
+    cuts = sorted({min(int(x), NO_ID) for x in given.approxQuantile("order", [i / slices for i in range(1, slices)], 1 / (4 * slices))}) if slices > 1 else []
 
     def numbered(batches):
         edges = np.array(cuts, np.int64)

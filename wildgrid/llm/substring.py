@@ -200,9 +200,9 @@ def without_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).bitwiseAND(F.lit(0xFFFFFF)).alias("_crc"), "doc_id", F.col("text"), *others
     )
-    found = repeats(docs, length).withColumnsRenamed({"doc": "_doc", "crc": "_crc"})
-    joined = given.join(found, ["_doc", "_crc"], "left").select("doc_id", "text", *others, "spans")
-    schema = joined.drop("spans").schema.add("n_words", "long").add("n_removed", "long").add("kept_words", "string")
+    found = repeats(docs, length).withColumnsRenamed({"doc": "_doc", "crc": "_crc", "spans": "_spans"})
+    joined = given.join(found, ["_doc", "_crc"], "left").select("doc_id", "text", *others, "_spans")
+    schema = joined.drop("_spans").schema.add("n_words", "long").add("n_removed", "long").add("kept_words", "string")
 
     def cut(batches):
         for b in batches:
