@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained on labelled documents, one on what toxic texts have more often
 than ordinary ones and one the other way round.  Each window of a text (a word with its borders) is
 compressed with both; a window that the toxic dictionary shortens more is evidence.  A primer
-that both dictionaries hold precedes each window, so that a few bytes are already coded as a match
-and the lengths show the window's own cost.  How many windows differ by how much is calibrated to a
+that both dictionaries hold stands before and after each window: so the input is coded with matches anyway and the
+lengths show the window's own cost, and the compressor, which seeks no match in the last bytes, sees all of it.  How many windows differ by how much is calibrated to a
 probability by a logistic fit on the labelled documents.
 
 Fitting uses a bounded sample of labelled rows (`per_class` of each label, chosen by a hash of the
@@ -29,10 +29,12 @@ from .common import chunks, ids_and_texts, materialise, text_bytes
 #: Labelled documents of each class that the fit may look at.
 PER_CLASS = 1500
 #: Bytes of the toxic and the ordinary dictionary.
-TOXIC_BYTES, ORDINARY_BYTES = 1500, 3000
+TOXIC_BYTES, ORDINARY_BYTES = 1000, 3000
 #: A score from here on is a prediction of toxic.
 THRESHOLD = 0.3
-PRIMER = bytes(range(200, 232))
+#: A piece must tell the classes apart by so much (the sample's size times difference and log ratio of the shares), else it is chance.
+EVIDENCE = 12.0
+PRIMER = bytes(range(200, 216))
 #: Lengths of the pieces that dictionaries are made of; words are looked at up to so many bytes.
 PIECES, WORD = range(4, 11), 64
 STEPS = range(1, 9)
@@ -77,7 +79,7 @@ class Model:
         for i, t in enumerate(texts):
             found = windows(t)
             for w in set(found).difference(known):
-                known[w] = len(ordinary(PRIMER + w)) - len(toxic(PRIMER + w))
+                known[w] = len(ordinary(PRIMER + w + PRIMER)) - len(toxic(PRIMER + w + PRIMER))
             if found:
                 gain = np.sort(np.array([known[w] for w in found]))
                 counts = len(gain) - np.searchsorted(gain, STEPS)
@@ -125,7 +127,8 @@ def _pieces(batches):
 def _dictionary(pieces: DataFrame, own: Column, n_own: int, other: Column, n_other: int, size: int) -> bytes:
     """The pieces that are more frequent in own than in other texts, ranked by the difference and ratio of shares."""
     p, q = (own + 0.5) / (n_own + 1), (other + 0.5) / (n_other + 1)
-    ranked = pieces.where(own >= 3).where(p > q).select("piece", F.round((p - q) * F.log(p / q), 9).alias("r")).orderBy(F.desc("r"), "piece").limit(2 * size)
+    worth = (p - q) * F.log(p / q)
+    ranked = pieces.where(own >= 3).where(p > q).where(n_own * worth >= EVIDENCE).select("piece", F.round(worth, 9).alias("r")).orderBy(F.desc("r"), "piece").limit(2 * size)
     return dictionary([bytes(r.piece) for r in ranked.collect()], size)
 
 
