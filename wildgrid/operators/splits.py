@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,7 +80,3 @@ def checked_against(splits: DataFrame, sites: DataFrame) -> DataFrame:
     count = lambda df, name: df.agg(F.count("*").alias(name))
     return count(a, "n_sites").crossJoin(count(b, "n_split")).crossJoin(count(new, "n_unsplit")).crossJoin(count(gone, "n_gone"))
 
-
-def cell_of(column: Column) -> Column:
-    """Any cell column of the data serves as it is."""
-    return column

@@ -117,6 +117,11 @@ def _(v):
     return _summary(metrics.summary(metrics.per_group(_swept(v), ["species", "rate", "scheme"]), ["rate", "scheme"]))
 
 
+@query("s19_by_split", f"SELECT species, rate, scheme, n, n_pres, {R('auroc', 'auprc', 'cbi', 'brier', 'ece')} FROM metrics", f"{SWEPT}, {SWEEP}")
+def _(v):
+    return metrics.per_group(_swept(v), ["species", "rate", "scheme"]).select("species", "rate", "scheme", "n", "n_pres", *(number(F.col(c)).alias(c) for c in metrics.METRICS))
+
+
 @query("s14_macro", f"SELECT scheme, round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc, round(avg(CASE WHEN NOT isnan(cbi) THEN cbi END), 6) + 0.0 AS cbi FROM metrics GROUP BY scheme", f"{SWEPT}, {SWEEP}")
 def _(v):
     return _summary(metrics.macro(metrics.per_group(_swept(v), ["species", "rate", "scheme"]), ["scheme"]))
@@ -209,6 +214,12 @@ def _(v):
     return neighbours.cell_sources(v.stations, v.pool, N, "c")
 
 
+@query("e04_train_sources", "SELECT count(*) AS n, count(DISTINCT target_id) AS n_targets FROM sources", _pairs_sql("t").replace("JOIN pool s ON", "JOIN (SELECT * FROM pool WHERE site_id % 5 <> 0) s ON"))
+def _(v):
+    drawn = neighbours.sources(v.stations, v.pool.where("site_id % 5 <> 0"), N, "t")
+    return drawn.agg(F.count("*").alias("n"), F.countDistinct("target_id").alias("n_targets"))
+
+
 @query("c17_gathered", "SELECT target_id, count(*) AS n_sources, sum((SELECT count(*) FROM pool_presence p WHERE p.site_id = source_id)) AS n_states FROM sources GROUP BY target_id", _pairs_sql("e"))
 def _(v):
     out = neighbours.gathered(neighbours.sources(v.stations, v.pool, N, "e"), v.pool_presence)

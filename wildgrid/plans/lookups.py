@@ -261,6 +261,11 @@ def _(v):
     return out.groupBy("species").agg(F.sum((F.col("state") == 2).cast("int")).alias("n_token"))
 
 
+@query("k04_evaluation_mask", MASK_OUT, f"{PRES}, {ROWS}, {_mask('0.75', 'eval#0.75', False)}")
+def _(v):
+    return _mask_counts(masking.masked(masking.entries(v.sites, _presence(v)), 0.75, "eval#0.75"))
+
+
 @query("k05_absence_mask", MASK_OUT, f"{PRES}, {ROWS}, {_mask('0.5', 'k5', True)}")
 def _(v):
     return _mask_counts(masking.masked(masking.entries(v.sites, _presence(v)), 0.5, "k5", absences=True))
