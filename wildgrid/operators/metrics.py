@@ -77,7 +77,8 @@ def boyce(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     windows = windows.withColumn("ratio", (F.col("pos") / F.col("np")) / (F.col("neg") / F.col("nn")))
     w = Window.partitionBy(*keys)
     rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*keys, c)) - 1) / 2
-    ranked = windows.withColumn("r1", rank("centre")).withColumn("r2", rank("ratio"))
+    uneven = F.max("ratio").over(w) > F.min("ratio").over(w)  # else there is no correlation
+    ranked = windows.withColumn("r1", F.when(uneven, rank("centre"))).withColumn("r2", F.when(uneven, rank("ratio")))
     out = ranked.groupBy(*keys).agg(F.count("*").alias("w"), F.countDistinct("ratio").alias("d"), F.corr("r1", "r2").alias("cbi"))
     return totals.select(*keys).join(out, list(keys), "left").select(*keys, F.when((F.col("w") >= WINDOWS) & (F.col("d") >= 2), F.col("cbi")).otherwise(F.lit(NAN)).alias("cbi"))
 
