@@ -20,6 +20,8 @@ from .common import materialise
 LEAST = 30
 #: Interquartile ranges beyond the quartiles, and the margins (symbols, lines and words in thousandths, word length in hundredths).
 REACH, MARGIN = 3, {"symbols": 100, "lines": 300, "repeats": 300, "length": 150}
+#: Groups up to which the fences are broadcast: about 2 MB.
+MAX_GROUPS = 20_000
 _BLANK = "[\\x20\\x09-\\x0D]"
 
 
@@ -98,7 +100,9 @@ def judge(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
     measured = materialise(measures(named), "measures")
     judged = spark.sql(JUDGED.replace("FROM measured", "FROM {measured}"), measured=measured)
-    own = spark.sql(f"WITH {FENCES} SELECT * FROM own".replace("FROM judged", "FROM {judged}"), judged=judged)
+    own = materialise(spark.sql(f"WITH {FENCES} SELECT * FROM own".replace("FROM judged", "FROM {judged}"), judged=judged), "fences")
+    if own.count() <= MAX_GROUPS:  # a row a group; else the join is by language and source, and skew is left to adaptive execution
+        own = F.broadcast(own)
     return spark.sql(VERDICT.replace("judged j", "{judged} j").replace("own o", "{own} o"), judged=judged, own=own)
 
 
