@@ -9,7 +9,7 @@ from .packing import op1_query
 from .quality import OP8_SQL, op8_query
 from .secrets import op9_query
 from .simhash import op6_query
-from .substring import op5_query
+from .substring import OP5_SQL, op5_query
 from .toxicity import op10_query
 from .urls import OP3_SQL, op3_query
 
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op8_quality": OP8_SQL,
 }

@@ -244,3 +244,14 @@ def substring_brute(rows: list[tuple[int, str]], length: int = 13) -> list[tuple
         gone = {j for s in range(len(w) - length + 1) if least[tuple(w[s : s + length])] < i for j in range(s, s + length)}
         out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
     return out
+
+
+OP5_SQL = """
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts) x),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS least FROM windows) x WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM hits, (SELECT unnest(range(0, 13)) AS k) ks),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS line FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM texts) x ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = texts.doc_id) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
