@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from .common import checkpoint_dir
 
 
+#: Tasks that the edges of one node are dealt to.
+SALTS = 8
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Link the larger (large) or smaller neighbours of each node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     linked = near.where("v > u") if large else near
-    out = linked.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # The smallest node of a third of all edges would meet them in one task: its edges are dealt by their other end.
+    dealt = linked.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    out = dealt.join(salted, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
