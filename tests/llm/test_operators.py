@@ -260,6 +260,37 @@ def test_similar_documents(spark):
     assert all(got[3 * i] == got[3 * i + 1] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(40))
 
 
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    k = min(k, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def brute_similar(texts, similarity=0.8):
+    """{doc_id: smallest id reachable over pairs of this Jaccard similarity or more}"""
+    sets, home = {i: shingle_set(t) for i, t in texts}, {i: i for i, _ in texts}
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and len(x & y) >= similarity * len(x | y) and home[i] != home[j]:
+                low, high = sorted((home[i], home[j]))
+                home = {d: low if h == high else h for d, h in home.items()}
+    return home
+
+
+@pytest.mark.parametrize("set_block", [4, 512])
+def test_similar_documents_are_alike_by_the_similarity(spark, set_block):
+    rnd, texts = random.Random(31), []
+    for i in range(25):  # edited copies of 0.6 to 0.95, of which the filter links many below 0.8
+        words = prose(rnd, 150, 5000).split()
+        texts.append((10 * i, " ".join(words)))
+        for j, cut in enumerate((4, 12, 20, 25, 30, 36), 1):
+            texts.append((10 * i + j, " ".join(words[: 150 - cut] + prose(rnd, cut, 5000).split())))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts), block=8, set_block=set_block).collect()}
+    want = brute_similar(texts)
+    assert sum(got[i] != want[i] and got[i] < want[i] for i in want) == 0  # nothing below 0.8 is merged
+    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -242,6 +242,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
 
 #: Of a wide fingerprint (for similarity): words, smallest shingle hashes taken as keys, and members of a bucket compared at once.
 WIDE, KEYS, WIDE_BLOCK = 4, 6, 1024
+#: Members and shingles of one block of a group whose pairs are checked exactly.
+SET_BLOCK, SET_SHINGLES = 512, 1 << 21
 
 
 def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
@@ -250,47 +252,133 @@ def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
     return int(bits * part + 1.5 * np.sqrt(bits * part * (1 - part)))
 
 
-def wide_simhash(text: bytes, words_per_shingle: int) -> tuple[bytes, int, list[int]]:
-    """Fingerprint of several words, a hash of the whole word sequence, and the smallest distinct shingle hashes."""
+def shingle_hashes(text: bytes, words_per_shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of the whole word sequence, and the distinct shingle hashes in order (none for a text without words)."""
     words = text.lower().split()
     line = b" ".join(words)
     whole = xxhash.xxh64_intdigest(line, SEED) - 2**63
     if not words:
-        return bytes(8 * WIDE), whole, []
+        return whole, np.empty(0, np.uint64)
     k = min(words_per_shingle, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    hashes = np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
+    return whole, np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def wide_simhash(text: bytes, words_per_shingle: int) -> tuple[bytes, int, list[int], int]:
+    """Fingerprint of several words, a hash of the whole word sequence, the smallest distinct shingle hashes and the number of all."""
+    whole, hashes = shingle_hashes(text, words_per_shingle)
     ones = np.zeros(64 * WIDE, np.int64)
     for i in range(0, len(hashes), 4096):
         part = np.stack([xxmix(hashes[i : i + 4096] + np.uint64((w * 0x9E3779B97F4A7C15) % 2**64)) for w in range(1, WIDE + 1)], axis=1).astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), whole, hashes[:KEYS].view(np.int64).tolist()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), whole, hashes[:KEYS].view(np.int64).tolist(), len(hashes)
+
+
+def alike(sets: list[np.ndarray], right: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) that connect what has the Jaccard similarity or more: i of all, j after i and from `right` on.
+
+    Every such pair is checked but those already connected.
+    """
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, lab, out = np.zeros(len(names), bool), np.arange(len(sets)), []
+    for i in range(min(right, len(sets)) if right else len(sets)):
+        first = max(i + 1, right)
+        if first >= len(sets) or not (lab[first:] != lab[i]).any():
+            continue
+        own = codes[starts[i] : starts[i + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[codes[starts[first] :]], starts[first:-1] - starts[first], dtype=np.int64)
+        mark[own] = False
+        for j in (first + np.nonzero(both / (sizes[i] + sizes[first:] - both) >= similarity)[0]).tolist():
+            if lab[j] != lab[i]:
+                out.append((i, j))
+                lab[lab == lab[j]] = lab[i]
+    return out
+
+
+def exact_links(docs: DataFrame, groups: DataFrame, words_per_shingle: int, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """groups(component, whole, rep, size) -> edges(u, v) over whole that connect the members of each component that are alike.
+
+    The shingles of the members' texts (of the document rep) are made again; a component above a block is cut, and each pair of
+    blocks is checked in a task of its own.
+    """
+    counts = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(SET_SHINGLES))).cast("long").alias("n"))
+    placed = groups.join(counts, "component").select("component", "n", F.pmod(F.xxhash64("whole", F.lit(1)), F.col("n")).alias("own"), "whole", "rep")
+    texts = ids_and_texts(docs).join(placed, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "own", "whole")
+
+    def made(batches):
+        for b in chunks(batches):
+            rows = [shingle_hashes(t, words_per_shingle) for t in text_bytes(b.column(0))]
+            mine = pa.array([r[0] == w for r, w in zip(rows, b.column(4).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r[1].astype("<u8").tobytes() for r in rows], pa.binary())], names=["component", "n", "own", "whole", "shingles"]).filter(mine)
+
+    sets = texts.mapInArrow(made, "component long, n long, own long, whole long, shingles binary")
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "whole", "shingles")
+
+    def checked(batches):
+        """Rows come sorted: one pair of blocks after the other, the first block's members first."""
+        key, own, nodes, held = None, [], [], []
+
+        def solved():
+            if len(nodes) < 2:
+                return []
+            right = own.count(key[1])
+            if key[1] != key[2] and right in (0, len(own)):
+                return []
+            return [(nodes[i], nodes[j]) for i, j in alike(held, right if key[1] != key[2] else 0, similarity)]
+
+        for b in batches:
+            out = []
+            for c, x, y, o, w, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (c, x, y) != key:
+                    out += solved()
+                    key, own, nodes, held = (c, x, y), [], [], []
+                if not nodes or nodes[-1] != w:  # rows of one id that repeat
+                    own.append(o)
+                    nodes.append(w)
+                    held.append(np.frombuffer(s, "<u8"))
+            if out:
+                yield _links(out)
+        out = solved()
+        if out:
+            yield _links(out)
+
+    return dealt.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "own", "whole").mapInArrow(checked, "u long, v long")
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
 
-def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = WIDE_BLOCK) -> DataFrame:
+def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = WIDE_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """documents -> (doc_id, component_id): groups of texts whose shingle sets are alike by the given similarity or more.
 
     At a similarity of 0.8 fingerprints differ in about a seventh of their bits, too many for buckets
     of equal bits.  So texts meet that share one of their six smallest shingle hashes, which fails for 0.2^6 of such pairs at
-    most, and are compared by fingerprints of 256 bits, with pivots as before.  Equal word sequences are one.
+    most, and are compared by fingerprints of 256 bits, with pivots as before.  This is a filter: within each component of its links
+    the shingle sets of all pairs are compared, and only pairs alike by the similarity link.  Equal word sequences are one.
     Texts without words form one group; rows without a doc_id are left out.
     """
 
     def made(batches):
         for b in chunks(batches):
             rows = [wide_simhash(t, words_per_shingle) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "fp", "whole", "keys"])
-
-    given = materialise(ids_and_texts(docs).where("doc_id is not null").mapInArrow(made, "doc_id long, fp binary, whole long, keys array<long>"), "wide")
-    distinct = materialise(given.groupBy("whole", "fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
-    edges = bucket_links(distinct.select(F.explode("keys").alias("key"), "fp", "rep"), wide_radius(similarity), references(pivots * WIDE).reshape(-1, WIDE), block)
-    parts = connected_components(edges)
-    home = distinct.join(parts, distinct.rep == parts.node, "left").select("whole", "fp", F.coalesce("component", "rep").alias("component_id"))
-    return given.join(home, ["whole", "fp"], "left").select("doc_id", "component_id")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "fp", "whole", "keys", "size"])
+
+    given = materialise(ids_and_texts(docs).where("doc_id is not null").mapInArrow(made, "doc_id long, fp binary, whole long, keys array<long>, size long"), "wide")
+    distinct = materialise(given.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size")), "distinct")
+    loose = bucket_links(distinct.select(F.explode("keys").alias("key"), "fp", F.col("whole").alias("rep")), wide_radius(similarity), references(pivots * WIDE).reshape(-1, WIDE), block)
+    groups = connected_components(loose).join(distinct, F.col("node") == F.col("whole")).select("component", "whole", "rep", "size")
+    edges = materialise(exact_links(docs, materialise(groups, "groups"), words_per_shingle, similarity, set_block), "alike")
+    parts = distinct.join(connected_components(edges), F.col("node") == F.col("whole"), "left").select("whole", "rep", F.coalesce("component", "whole").alias("component"))
+    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return given.join(parts.join(least, "component").select("whole", "component_id"), "whole").select("doc_id", "component_id")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
