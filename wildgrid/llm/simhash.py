@@ -16,6 +16,8 @@ has a spread of four bits, no more than the radius), hence the buckets in front
 
 from __future__ import annotations
 
+import math
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -241,15 +243,36 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
 
 
 #: Of a wide fingerprint (for similarity): words, smallest shingle hashes taken as keys, and members of a bucket compared at once.
-WIDE, KEYS, WIDE_BLOCK = 4, 6, 1024
+WIDE, KEYS, WIDE_BLOCK = 4, 12, 1024
 #: Members and shingles of one block of a group whose pairs are checked exactly.
 SET_BLOCK, SET_SHINGLES = 512, 1 << 21
 
 
-def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits to be expected of two texts whose shingle sets have this Jaccard similarity, and one and a half standard errors."""
-    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * part + 1.5 * np.sqrt(bits * part * (1 - part)))
+def _differ(shared: int, left: int, right: int) -> float:
+    """Chance that a bit differs between sets with this many shared shingles and so many that only one of them has."""
+    half = lambda n: np.array([math.comb(n, x) / 2**n for x in range(n + 1)])
+    x = np.arange(shared + 1)
+
+    def above(own):
+        at_least = np.append(np.cumsum(half(own)[::-1])[::-1], 0.0)
+        return at_least[np.clip((shared + own) // 2 + 1 - x, 0, own + 1)]
+
+    p, q = above(left), above(right)
+    return float((half(shared) * (p + q - 2 * p * q)).sum())
+
+
+@cache
+def wide_radius(similarity: float, bits: int = 64 * WIDE, missed: float = 1e-6) -> int:
+    """Differing bits that two texts whose shingle sets have this Jaccard similarity or more exceed with a chance of `missed` at most.
+
+    The chance that a bit differs is that of the worst sizes: it is exact up to 64 shingles, and falls beyond.
+    """
+    worst = 0.0
+    for shared in range(1, 65):
+        more = int(shared / similarity + 1e-9) - shared
+        worst = max([worst, *(_differ(shared, left, right) for left in range(more // 2 + 1) for right in range(left, more - left + 1))])
+    tail = np.cumsum([math.comb(bits, k) * worst**k * (1 - worst) ** (bits - k) for k in range(bits, -1, -1)])[::-1]
+    return next(r for r in range(bits + 1) if r == bits or tail[r + 1] <= missed)
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int) -> tuple[int, np.ndarray]:
@@ -360,8 +383,9 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
     """documents -> (doc_id, component_id): groups of texts whose shingle sets are alike by the given similarity or more.
 
     At a similarity of 0.8 fingerprints differ in about a seventh of their bits, too many for buckets
-    of equal bits.  So texts meet that share one of their six smallest shingle hashes, which fails for 0.2^6 of such pairs at
-    most, and are compared by fingerprints of 256 bits, with pivots as before.  This is a filter: within each component of its links
+    of equal bits.  So texts meet that share one of their twelve smallest shingle hashes, which all such pairs of up to 59 shingles do and
+    fails for 0.2^12 of longer ones at most, and are compared by fingerprints of 256 bits, with pivots as before and a radius that
+    a millionth of such pairs exceed at most.  This is a filter: within each component of its links
     the shingle sets of all pairs are compared, and only pairs alike by the similarity link.  Equal word sequences are one.
     Texts without words form one group; rows without a doc_id are left out.
     """
