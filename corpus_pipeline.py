@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wildgrid.llm.common import materialise, table
 from wildgrid.llm.packing import best_fit_packing
 from wildgrid.llm.secrets import redact
-from wildgrid.llm.simhash import similar_documents
+from wildgrid.llm.simhash import similar_documents, text_hash
 from wildgrid.llm.substring import without_repeats
 from wildgrid.llm.toxicity import accepted, fit
 
@@ -23,9 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays; rows without an id stay."""
-    copies = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates (five words, similarity 0.8) one row stays, of the smallest id; rows without an id stay.
+
+    Rows are known by id and text, so that of an id with several texts each is judged by itself.
+    """
+    rows = materialise(similar_documents(docs), "similar")
+    copies = rows.where("not first").select("doc_id", "text_hash").distinct()
+    left = docs.withColumn("text_hash", text_hash(docs)).join(copies, ["doc_id", "text_hash"], "left_anti")
+    again = rows.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
+    if again.limit(1).count():  # whole rows that repeat
+        again = materialise(again, "again")
+        left = left.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(left.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return left.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

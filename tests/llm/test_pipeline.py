@@ -73,3 +73,13 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     bins = corpus_pipeline.run(spark, corpus).collect()
     assert bins and all(sum(b.sizes) == b.used <= b.capacity for b in bins)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rnd = random.Random(22)
+    one, two, three = (" ".join(f"v{rnd.randint(0, 4000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, one), (2, one + " more"), (2, two), (3, three), (3, three), (4, two), (5, None), (5, ""), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, one), (2, two), (3, three), (5, ""), (0, one), (0, one)])

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ids_and_texts, materialise, text_bytes
@@ -379,30 +379,35 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
 
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash")
+
+
 def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, pivots: int = 16, block: int = WIDE_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
-    """documents -> (doc_id, component_id): groups of texts whose shingle sets are alike by the given similarity or more.
+    """documents -> (doc_id, text_hash, component_id, first), one row for each row of docs with an id: groups of texts whose shingle sets are alike by the given similarity or more.
 
     At a similarity of 0.8 fingerprints differ in about a seventh of their bits, too many for buckets
     of equal bits.  So texts meet that share one of their twelve smallest shingle hashes, which all such pairs of up to 59 shingles do and
     fails for 0.2^12 of longer ones at most, and are compared by fingerprints of 256 bits, with pivots as before and a radius that
     a millionth of such pairs exceed at most.  This is a filter: within each component of its links
     the shingle sets of all pairs are compared, and only pairs alike by the similarity link.  Equal word sequences are one.
-    Texts without words form one group; rows without a doc_id are left out.
+    Texts without words form one group; rows without a doc_id are left out.  first: the row has the smallest doc_id of its group, and
+    of the texts of that id the one with the smallest text_hash (of the text as it stands).
     """
 
     def made(batches):
         for b in chunks(batches):
             rows = [wide_simhash(t, words_per_shingle) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "fp", "whole", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "text_hash", "fp", "whole", "keys", "size"])
 
-    given = materialise(ids_and_texts(docs).where("doc_id is not null").mapInArrow(made, "doc_id long, fp binary, whole long, keys array<long>, size long"), "wide")
-    distinct = materialise(given.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size")), "distinct")
+    given = materialise(ids_and_texts(docs, text_hash(docs)).where("doc_id is not null").mapInArrow(made, "doc_id long, text_hash long, fp binary, whole long, keys array<long>, size long"), "wide")
+    distinct = materialise(given.groupBy("whole").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size")), "distinct")
     loose = bucket_links(distinct.select(F.explode("keys").alias("key"), "fp", F.col("whole").alias("rep")), wide_radius(similarity), references(pivots * WIDE).reshape(-1, WIDE), block)
     groups = connected_components(loose).join(distinct, F.col("node") == F.col("whole")).select("component", "whole", "rep", "size")
     edges = materialise(exact_links(docs, materialise(groups, "groups"), words_per_shingle, similarity, set_block), "alike")
-    parts = distinct.join(connected_components(edges), F.col("node") == F.col("whole"), "left").select("whole", "rep", F.coalesce("component", "whole").alias("component"))
-    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return given.join(parts.join(least, "component").select("whole", "component_id"), "whole").select("doc_id", "component_id")
+    parts = distinct.join(connected_components(edges), F.col("node") == F.col("whole"), "left").select("whole", "least", F.coalesce("component", "whole").alias("component"))
+    home = parts.drop("least").join(parts.groupBy("component").agg(F.min("least").alias("least")), "component").select("whole", "least")
+    return given.join(home, "whole").select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "text_hash") == F.col("least")).alias("first"))
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
