@@ -30,12 +30,23 @@ from .common import chunks, ids_and_texts
 
 #: Fixed value: how byte-level BPE vocabularies of this kind split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words, and pieces between spaces, whose tokens a worker remembers; beyond, it starts afresh.
-MEMORY = 500_000
+#: Code points that are letters or numbers only since Unicode 17; the vocabulary's library follows Unicode 16.
+LATER = (
+    "\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    "\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB"
+    "\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3"
+    "\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191"
+    "\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96"
+    "\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4"
+    "\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+_LATER = re.compile(f"[{LATER}]")
+#: Bytes of words, and of pieces between spaces, whose tokens a worker remembers; beyond, it starts afresh.
+MEMORY = 1 << 25
+#: Entries that a worker remembers.
+ENTRIES = 500_000
 #: A space before white space or at the end: such a text is not cut at its spaces.
 _WIDE = re.compile(r" (?:\s|\Z)")
-#: A word of more bytes is merged at once, without a proposal.
-LONG = 512
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -45,6 +56,21 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """What a worker remembers, forgotten as a whole once it is large."""
+
+    held = 0
+
+    def add(self, new: dict) -> None:
+        self.update(new)
+        self.held += sum(map(len, new))
+
+    def forget_if_full(self) -> None:
+        if len(self) > ENTRIES or self.held > MEMORY:
+            self.clear()
+            self.held = 0
+
+
 class ByteBPE:
     """Encoder and decoder of a tokenizers file with a byte-level BPE model."""
 
@@ -68,8 +94,7 @@ class ByteBPE:
         self.longest = max(map(len, self.id_of))
         self.starts = {b[:n]: -1 for b in self.id_of for n in range(1, len(b) + 1)} | self.id_of
         self._tables(pairs)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Memory(), Memory()
 
     def _tables(self, pairs: list[tuple[int, int, int]]) -> None:
         """Of each token: the parts that its own merges join last, and their rank; the merges as a sorted array."""
@@ -167,19 +192,10 @@ class ByteBPE:
 
     def learn(self, words: set[str]) -> None:
         """Tokens of new words, as little-endian bytes: propose, verify all at once, merge what fails."""
-        known, pack = self.known, struct.pack
-        if len(known) > MEMORY:
-            known.clear()
-        names, proposed = [], []
-        for w in words:
-            b = w.encode()
-            if len(b) > LONG:
-                known[w] = np.array(self.merge(b), "<u4").tobytes()
-            else:
-                names.append(w)
-                proposed.append(self.greedy(b))
+        pack, names = struct.pack, list(words)
         if not names:
             return
+        proposed = [self.greedy(w.encode()) for w in names]
         sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
         flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(proposed)), sizes)
@@ -188,10 +204,12 @@ class ByteBPE:
         good = np.ones(len(proposed), bool)
         good[owner[inner[~self.compatible(pairs // self.width, pairs % self.width)[back]]]] = False
         good[owner[~self.own[flat]]] = False
+        found = {}
         for w, p, ok in zip(names, proposed, good.tolist(), strict=True):
             if not ok:
                 p = self.merge(w.encode())
-            known[w] = pack(f"<{len(p)}I", *p)
+            found[w] = pack(f"<{len(p)}I", *p)
+        self.known.add(found)
 
     @property
     def own(self) -> np.ndarray:
@@ -202,11 +220,17 @@ class ByteBPE:
                 self._own[i] = self.id_of.get(b) == i and self.merge(b) == [i]
         return self._own
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens: by the library's Unicode version, whatever that of the splitter."""
+        if text.isascii() or not _LATER.search(text):
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(_LATER.sub("!", text))]
+
     def _cut(self, text: str) -> list[str | bytes]:
         """Words of a text; special tokens as bytes of their id."""
         if self.split_special and any(s in text for s in self.special):
-            return [x for part in self.split_special.split(text) if part for x in ([struct.pack("<I", self.special[part])] if part in self.special else self.split.findall(part))]
-        return self.split.findall(text)
+            return [x for part in self.split_special.split(text) if part for x in ([struct.pack("<I", self.special[part])] if part in self.special else self.words(part))]
+        return self.words(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers.
@@ -214,18 +238,17 @@ class ByteBPE:
         A space that stands before something else than white space always begins a word, so a text without
         other spaces is cut there, and each piece (with the space before it) has its own tokens.
         """
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
+        self.known.forget_if_full()
+        self.pieces.forget_if_full()
         parts = [[t] if _WIDE.search(t) or (self.special and any(s in t for s in self.special)) else t.split(" ") for t in texts]
         first = {p[0] for p in parts}
-        new = set(chain.from_iterable(islice(p, 1, None) for p in parts)).difference(self.pieces)
-        cut_new = {p: self.split.findall(f" {p}") for p in new}
+        new = {p for p in set(chain.from_iterable(islice(p, 1, None) for p in parts)) if p not in self.pieces}
+        cut_new = {p: self.words(f" {p}") for p in new}
         cut_first = {t: self._cut(t) for t in first}
         words = {w for c in (cut_new, cut_first) for ws in c.values() for w in ws if isinstance(w, str)}
-        self.learn(words.difference(self.known) if len(self.known) <= MEMORY else words)
+        self.learn({w for w in words if w not in self.known})
         known, pieces = self.known, self.pieces
-        for p, ws in cut_new.items():
-            pieces[p] = b"".join([known[w] for w in ws])
+        pieces.add({p: b"".join([known[w] for w in ws]) for p, ws in cut_new.items()})
         heads = {t: b"".join([w if isinstance(w, bytes) else known[w] for w in ws]) for t, ws in cut_first.items()}
         get = pieces.__getitem__
         return [heads[p[0]] + b"".join(map(get, islice(p, 1, None))) for p in parts]

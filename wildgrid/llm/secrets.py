@@ -3,7 +3,8 @@
 A random string breaks into many short tokens under a BPE vocabulary made from ordinary text, so few
 characters for each token mark a candidate as a secret.  Known digests (hexadecimal of a digest's
 length, UUIDs) and identifiers (words joined by - _ . / or case, plain numbers, web addresses) are
-excluded before the test.
+excluded before the test.  Runs of letters alone, or joined by - _ / = +, look like identifiers whether they are words
+or not, so they are tested too, with a stricter ratio that words of the four languages keep.
 """
 
 from __future__ import annotations
@@ -29,11 +30,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: A run of these characters of at least this length is put to the test.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Fewer characters for each token than this is random.
-RATIO = 2.0
+#: Fewer characters for each token than this is random; of letters alone, and of letters joined by signs, than that.
+RATIO, LETTERS = 2.0, 1.7
+#: Characters that are tokenized at once; a longer candidate is cut, so that its cost grows with its length only.
+PIECE = 1 << 16
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
-_IDENTIFIER = re.compile(r"[0-9]*\Z|(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*\Z|[a-z]+(?:[A-Z][a-z]{2,})+\Z|[-_=+/]+\Z")
+_NUMBER = re.compile(r"[0-9]*\Z|[0-9]{1,4}(?:[-_/=+][0-9]{1,4})*\Z|[-_=+/]+\Z")
+#: Parts that can begin in one way only, taken whole: no string is looked at twice.
+_PART = "(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)"
+_IDENTIFIER = re.compile(rf"{_PART}(?:[-_/=+]{_PART})*+\Z|[a-z]++(?:[A-Z][a-z]{{2,}}+)++\Z")
 
 
 @lru_cache(maxsize=4)
@@ -62,11 +68,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def random_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[str, int, int]]:
+def is_random(word: str, encode, ratio: float = RATIO, letters: float = LETTERS) -> bool:
+    """Whether few characters a token expose a string; digests, UUIDs and numbers never are."""
+    if _DIGEST.match(word) or _UUID.match(word) or _NUMBER.match(word):
+        return False
+    limit = letters if _IDENTIFIER.match(word) else ratio
+    return len(word) < limit * sum(len(encode(word[i : i + PIECE])) for i in range(0, len(word), PIECE))
+
+
+def random_spans(text: str, encode, ratio: float = RATIO, letters: float = LETTERS) -> list[tuple[str, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0].strip("-_=+/")
-        if len(word) >= 16 and not (_DIGEST.match(word) or _UUID.match(word) or _IDENTIFIER.match(word)) and len(word) < ratio * len(encode(word)):
+        if len(word) >= 16 and is_random(word, encode, ratio, letters):
             out.append(("random", m.start(), m.end()))
     return out
 

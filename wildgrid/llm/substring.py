@@ -2,79 +2,100 @@
 
 Seeds are winnowed anchors: of the word k-grams inside every window of `length` words the one with
 the smallest hash is the window's anchor, so equal windows have equal anchors wherever they stand.
-Documents are joined on their anchors.  An anchor is sent with the run of windows that chose it,
-which is its extension to the left and to the right; windows that a smaller document also has are
-marked, and neighbouring ones merge into maximal repeats.
+Documents are joined on their anchors, and each seed comes extended to both sides as far as its anchor rules:
+a run is the words of all neighbouring windows with that anchor.
 
-Windows are compared by anchor (64 bits) and window hash (40 bits).  Equal runs that meet in one
-chunk of input are settled there and only the smallest document's goes on, so a passage that a third
-of all documents hold puts a row per chunk, not per document, into its task.
+* Equal runs are settled as wholes: all of a run's windows stand in the smallest document that has the run.
+* If an anchor has different runs, its matches end inside of them.  Of each such run the smallest document's is opened: its
+  words are fetched, and its windows are compared one by one.
+
+Spans of both kinds merge into maximal repeats, which are cut from the texts.  Runs are told apart by 160 bits (anchor 64,
+run 96), windows by 128, made from 128-bit hashes of the words; so no two that differ are ever taken for one.
+
+Equal runs and windows that meet in one chunk of input are settled there and only the smallest document's goes on, so a
+passage that a third of all documents hold puts a row per chunk, not per document, into its task.  Anchors that a sample
+of the documents shows to be frequent are dealt by their runs, and all of these are opened.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import NO_ID, chunks, ids_and_texts, text_bytes
+from .common import NO_ID, chunks, fresh, materialise, partitions, text_bytes
 from .simhash import xxmix
 
 #: Words of an anchor; the window length less this is the winnowing window less one.
 ANCHOR = 5
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+#: Of so many documents one is looked at for frequent anchors; a frequent one has this part of a shuffle partition, and so many rows in the sample.
+SAMPLE, SHARE, RARE = 64, 0.125, 64
+#: Words that a task remembers the hashes of, and their bytes.
+WORDS, WORD_BYTES = 300_000, 1 << 24
+SEED = "part long, key long, run long, more int, doc long, twin long, start int, size int, kind int"
+SPAN = "doc long, twin long, begin int, end int, open boolean"
+#: Kinds of seeds: of an anchor dealt as one, of a frequent one, and of a run that a smaller document of the chunk has.
+PLAIN, FREQUENT, SETTLED = 0, 1, 2
+
 
+class _Words(dict):
+    """Place of each word in the tables lo and hi of the halves of its hash."""
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
+    def __init__(self):
+        super().__init__()
+        self.lo, self.hi, self.held = array("Q"), array("Q"), 0
+
+    def __missing__(self, word: bytes) -> int:
+        x = xxhash.xxh3_128_intdigest(word)
+        self.lo.append(x & 0xFFFFFFFFFFFFFFFF)
+        self.hi.append(x >> 64)
+        self.held += len(word)
+        self[word] = n = len(self)
+        return n
 
 
 class Windows:
-    """Word and window hashes of many texts at once."""
+    """Word, anchor and window hashes of many texts at once."""
 
     def __init__(self, length: int, anchor: int = ANCHOR):
         if not 1 <= anchor <= length:
             raise ValueError("an anchor has between 1 and `length` words")
-        self.length, self.anchor, self.size = length, anchor, 0
-        self.coef = xxmix(np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text number of each word."""
-        line = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-        if len(line) > self.size:
-            self.size = len(line)
-            self.up, self.down = _powers(_BASE, self.size), _powers(_BACK, self.size)
-        space = _SPACE[line]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        starts, ends = edge[::2], edge[1::2]
-        total = np.zeros(len(line) + 1, np.uint64)
-        np.cumsum((line.astype(np.uint64) + np.uint64(1)) * self.up[: len(line)], out=total[1:])
-        heads = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        return xxmix((total[ends] - total[starts]) * self.down[starts]), np.searchsorted(heads, starts)
-
-    def _rolled(self, words: np.ndarray, k: int) -> np.ndarray:
-        n = len(words) - k + 1
+        self.length, self.anchor, self.known = length, anchor, _Words()
+        self.coef = xxmix(np.arange(1, 2 * length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both halves of the hash of each word, and its text's number."""
+        if len(self.known) > WORDS or self.known.held > WORD_BYTES:
+            self.known = _Words()
+        split = [t.split() for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        lo, hi = (np.array(x, np.uint64)[at] for x in (self.known.lo, self.known.hi))
+        return lo, hi, np.repeat(np.arange(len(texts)), counts)
+
+    def rolled(self, words: np.ndarray, k: int, first: int = 0) -> np.ndarray:
+        n = max(0, len(words) - k + 1)
         out = np.zeros(n, np.uint64)
         for i in range(k):
-            out += words[i : i + n] * self.coef[i]
+            out += words[i : i + n] * self.coef[first + i]
         return xxmix(out)
 
-    def runs(self, texts: list[bytes]):
-        """For each run of windows with one anchor: key, text number, first window's word; and all window hashes with the run's bounds."""
-        words, owner = self.words(texts)
-        none = np.zeros(0, np.int64)
-        if len(words) < self.length:
-            return none, none, none, np.zeros(0, np.uint64), none, none
-        least = self._rolled(words, self.anchor)
+    def identities(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each window."""
+        return self.rolled(lo, self.length), self.rolled(hi, self.length, self.length)
+
+    def runs(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+        """key, run, more (identity), owner (text number), start (first word) and size (windows) of each run of windows with one anchor."""
+        lo, hi, owner = self.words(texts)
+        if len(lo) < self.length:
+            return {c: np.zeros(0, np.int64) for c in ("key", "run", "more", "owner", "start", "size")}
+        least = self.rolled(lo, self.anchor)
         at = np.arange(len(least))
         done, want = 1, self.length - self.anchor + 1  # k-grams that the minimum spans
         while done < want:
@@ -83,132 +104,214 @@ class Windows:
             take = left <= right
             at, least = np.where(take, at[:-step], at[step:]), np.where(take, left, right)
             done += step
-        n = len(words) - self.length + 1
-        windows = self._rolled(words, self.length)
+        n = len(lo) - self.length + 1
         valid = owner[:n] == owner[self.length - 1 :]
-        first = np.flatnonzero(valid & np.r_[True, (at[1:] != at[:-1]) | ~valid[:-1] | (owner[1:n] != owner[: n - 1])])
-        last = np.flatnonzero(valid & np.r_[(at[1:] != at[:-1]) | ~valid[1:] | (owner[1:n] != owner[: n - 1]), True]) + 1
+        turn = (at[1:] != at[:-1]) | (owner[1:n] != owner[: n - 1])
+        first = np.flatnonzero(valid & np.r_[True, turn | ~valid[:-1]])
+        size = np.flatnonzero(valid & np.r_[turn | ~valid[1:], True]) + 1 - first
+        if not len(first):
+            return self.runs([])
+        nth = np.arange(n) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, n]))  # number of a window within its run
+        one, two = self.identities(lo, hi)
+        inside = valid & (nth < self.length)
+        total = [np.add.reduceat(np.where(inside, h * self.coef[np.minimum(nth, self.length - 1)], np.uint64(0)), first) for h in (one, two)]
+        run, more = (xxmix(t + size.astype(np.uint64)) for t in total)
         word0 = np.searchsorted(owner, np.arange(len(texts)))
-        return least[first].view(np.int64), owner[first], first - word0[owner[first]], windows, first, last
+        return {"key": least[first].view(np.int64), "run": run.view(np.int64), "more": (more >> np.uint64(32)).astype(np.uint32).view(np.int32), "owner": owner[first], "start": first - word0[owner[first]], "size": size}
 
 
-def _little(values: np.ndarray, width: int) -> np.ndarray:
-    """The low bytes of non-negative integers, a row each."""
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group begins in sorted columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
-def _seeds(length: int):
-    """Rows (key, doc, run): run is the text's checksum (3 bytes), the first window's word (4), and a hash (5) of each window.
+def _lows(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of rows sorted by group and document: the smallest document of each row's group."""
+    return doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
-    A run that a smaller document of the chunk also has is settled: only its number of windows (7 bytes) follows.
-    """
+
+def _seeds(length: int, frequent: np.ndarray):
+    """Runs as rows of SEED; a settled one keeps only its place."""
 
     def seeds(batches):
         make = Windows(length)
         for b in chunks(batches):
-            ids, texts = b.column(0).to_numpy(), text_bytes(b.column(1))
-            check = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
-            key, owner, start, windows, first, last = make.runs(texts)
-            order = np.argsort(ids[owner], kind="stable")  # the smallest document of equal runs comes first
-            heads = np.hstack([_little(check[owner], 3), _little(start, 4)]).tobytes()
-            subs = _little((windows >> np.uint64(24)).view(np.int64), 5).tobytes()
-            settled = _little(last - first, 7).tobytes()
-            seen: dict[tuple[int, bytes], int] = {}
-            ids_, owner_, key_, first_, last_ = ids.tolist(), owner.tolist(), key.tolist(), first.tolist(), last.tolist()
-            runs, done = [], np.zeros(len(order), bool)
-            for n, r in enumerate(order.tolist()):
-                piece = subs[5 * first_[r] : 5 * last_[r]]
-                if seen.setdefault((key_[r], piece), d := ids_[owner_[r]]) < d:
-                    done[n] = True
-                    piece = settled[7 * r : 7 * r + 7]
-                runs.append(heads[7 * r : 7 * r + 7] + piece)
-            doc = ids[owner[order]]
-            spread = np.where(done, xxmix((doc * 31 + start[order]).view(np.uint64)).view(np.int64), key[order])  # settled rows go anywhere
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc), pa.array(runs, pa.binary())], names=["key", "doc", "run"])
+            ids, twins = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x = make.runs(text_bytes(b.column(2)))
+            doc = ids[x["owner"]]
+            order = np.lexsort((doc, x["more"], x["run"], x["key"]))
+            key, run, more, owner, start, size = (x[c][order] for c in ("key", "run", "more", "owner", "start", "size"))
+            doc = doc[order]
+            kind = np.where(np.isin(key, frequent), FREQUENT, PLAIN)
+            kind[doc > _lows(_groups(key, run, more), doc)] = SETTLED if len(doc) else 0
+            gone = kind == SETTLED
+            place = xxmix((doc * 31 + start).view(np.uint64)).view(np.int64)
+            part = np.where(gone, place, np.where(kind == FREQUENT, key ^ run, key))
+            for c in (key, run, more):
+                c[gone] = 0
+            columns = [part, key, run, more, doc, twins[owner], start.astype(np.int32), size.astype(np.int32), kind.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "run", "more", "doc", "twin", "start", "size", "kind"])
 
     return seeds
 
 
 def _extend(length: int):
-    """Rows sorted by key and document.  Of each window the smallest document stays; the runs of marked windows go out."""
+    """Rows of SEED sorted by key, run, more and doc -> rows of SPAN: settled runs, and those to be opened (of anchors with different runs).
 
-    def number(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        raw = np.zeros((len(at), 8), np.uint8)
-        raw[:, :width] = data[at[:, None] + np.arange(width)]
-        return raw.view("<i8").ravel()
+    Only the rows of one document with one run are held between batches.
+    """
 
     def extend(batches):
-        held_key, held_sub, held_doc = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = None  # rows of the last key so far that may still have to be opened, and whether it has different runs
+        several = False
         for b in batches:
             if not b.num_rows:
                 continue
-            key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            runs = b.column(2).to_pylist()
-            size = np.fromiter(map(len, runs), np.int64, len(runs))
-            data, at = np.frombuffer(b"".join(runs), np.uint8), np.cumsum(size) - size
-            crc, start = number(data, at, 3), number(data, at + 3, 4)
-            done = np.flatnonzero(size == 14)
-            count = (size - 7) // 5
-            count[done] = 0
-            row = np.repeat(np.arange(len(key)), count)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            sub, word = number(data, at[row] + 7 + 5 * nth, 5), start[row] + nth
-            k, d, n = key[row], doc[row], len(held_sub)
-            if n:
-                k, d, sub = np.r_[np.full(n, held_key), k], np.r_[held_doc, d], np.r_[held_sub, sub]
-            order = np.lexsort((sub, k))
-            ks, ss, ds = k[order], sub[order], d[order]
-            least = np.empty(len(k), np.int64)
-            if len(ks):
-                new = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]) | (ss[1:] != ss[:-1])])
-                lows = np.minimum.reduceat(ds, new)
-                least[order] = np.repeat(lows, np.diff(np.r_[new, len(ks)]))
-                tail = ks[new] == key[-1]
-                held_key, held_sub, held_doc = key[-1], ss[new][tail], lows[tail]
-            hit = np.flatnonzero(least[n:] < d[n:])
-            r, s = row[hit], word[hit]
-            f = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]) if len(hit) else hit
-            e = np.r_[f[1:], len(hit)] - 1 if len(hit) else hit
-            settled = number(data, at[done] + 7, 7)
-            rows = np.r_[r[f], done]
-            begin, end = np.r_[s[f], start[done]], np.r_[s[e] + length, start[done] + settled - 1 + length]
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(crc[rows]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "crc", "begin", "end"])
+            key, run, more, doc, twin, start, size, kind = (c.to_numpy() for c in b.columns[1:])
+            gone = kind == SETTLED
+            out = [(doc[gone], twin[gone], start[gone], size[gone], np.zeros(int(gone.sum()), bool))]
+            rows = [c[~gone] for c in (key, run, more, doc, twin, start, size, kind)]
+            n = 0
+            if held is not None and len(rows[0]):
+                n = len(held[0])
+                rows = [np.r_[h, c] for h, c in zip(held, rows, strict=True)]
+            key, run, more, doc, twin, start, size, kind = rows
+            if len(key):
+                new_run, new_key = _groups(key, run, more), _groups(key)
+                low = _lows(new_run, doc)
+                after = np.flatnonzero(doc > low)
+                number = np.cumsum(new_key) - 1
+                differ = np.bincount(number, new_run) > 1
+                if n and several:
+                    differ[0] = True
+                first = doc == low
+                sent = np.zeros(len(key), bool)
+                if several:
+                    sent[:n] = True  # held only to be compared with
+                opened = first & ~sent & (differ[number] | (kind == FREQUENT))
+                out += [(doc[after], twin[after], start[after], size[after], np.zeros(len(after), bool)), (doc[opened], twin[opened], start[opened], size[opened], np.ones(int(opened.sum()), bool))]
+                several = bool(differ[-1]) or kind[-1] == FREQUENT
+                last = np.flatnonzero((number == number[-1]) & first & (np.cumsum(new_run) == new_run.sum()))
+                held = [c[last] for c in rows]
+            doc, twin, start, size, opens = (np.concatenate(c) for c in zip(*out, strict=True))
+            if len(doc):
+                end = (start + size - 1 + length).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(twin), pa.array(start.astype(np.int32)), pa.array(end), pa.array(opens)], names=["doc", "twin", "begin", "end", "open"])
 
     return extend
 
 
-def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
-    """(doc, crc, spans): the words of each text that a window of a smaller document covers, as [begin, end) pairs.
+def _opened(length: int, text: str, at: tuple[int, int, int, int]):
+    """Rows with a text and its opened runs -> (part, one, two, doc, twin, begin, settled), a row a window of these runs.
 
-    A missing doc_id counts as larger than any other; rows that share an id are told apart by a
-    24-bit checksum of the text and never cover each other.
+    at: places of the document, its twin hash, the text and the runs among the columns.
     """
-    spark = docs.sparkSession
-    seeds = ids_and_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInArrow(_seeds(length), "key long, doc long, run binary")
-    found = seeds.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_extend(length), "doc long, crc long, begin int, end int")
-    return found.groupBy("doc", "crc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
+    def opened(batches):
+        make = Windows(length)
+        for b in chunks(batches, text):
+            ids, twins = (b.column(at[i]).to_numpy() for i in (0, 1))
+            runs = b.column(at[3])
+            lo, hi, owner = make.words(text_bytes(b.column(at[2])))
+            one, two = make.identities(lo, hi)
+            word0 = np.searchsorted(owner, np.arange(b.num_rows))
+            of = np.repeat(np.arange(b.num_rows), runs.value_lengths().to_numpy())
+            bounds = runs.flatten()
+            start, end = (bounds.field(c).to_numpy().astype(np.int64) for c in ("begin", "end"))
+            count = end - start - length + 1
+            row = np.repeat(of, count)
+            begin = np.repeat(start, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            place = word0[row] + begin
+            one, two, doc = one[place].view(np.int64), two[place].view(np.int64), ids[row]
+            order = np.lexsort((doc, two, one))
+            one, two, doc, twin, begin = (c[order] for c in (one, two, doc, twins[row], begin))
+            settled = doc > _lows(_groups(one, two), doc) if len(doc) else np.zeros(0, bool)
+            part = np.where(settled, xxmix((doc * 31 + begin).view(np.uint64)).view(np.int64), one)
+            columns = [part, one, two, doc, twin, begin.astype(np.int32), settled]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "one", "two", "doc", "twin", "begin", "settled"])
+
+    return opened
+
+
+def _compared(length: int):
+    """Windows sorted by identity and doc -> rows of SPAN, of those that a smaller document has."""
+
+    def compared(batches):
+        held = None  # identity and smallest document of the last window
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, two, doc, twin, begin, settled = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            hit = settled.copy()
+            open_ = np.flatnonzero(~settled)
+            if len(open_):
+                x, y, d = one[open_], two[open_], doc[open_]
+                if held is not None:
+                    x, y, d = (np.r_[h, c] for h, c in zip(held, (x, y, d), strict=True))
+                low = _lows(_groups(x, y), d)
+                hit[open_] = (d > low)[len(d) - len(open_) :]
+                held = x[-1], y[-1], low[-1]
+            begin = begin[hit]
+            if len(begin):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(twin[hit]), pa.array(begin), pa.array((begin + length).astype(np.int32)), pa.array(np.zeros(len(begin), bool))], names=["doc", "twin", "begin", "end", "open"])
+
+    return compared
+
+
+def _frequent(texts: DataFrame, length: int, sample: int, rare: int) -> np.ndarray:
+    """Anchors that many rows of a sample have; at most a few for each shuffle partition.  They only say how rows are dealt."""
+
+    def keys(batches):
+        make = Windows(length)
+        for b in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(make.runs(text_bytes(b.column(0)))["key"])], names=["key"])
+
+    n = int(partitions(texts.sparkSession) / SHARE)
+    counts = texts.where(F.pmod(F.xxhash64("twin", F.lit("sample")), F.lit(sample)) == 0).select("text").mapInArrow(keys, "key long").groupBy("key").count()
+    return np.array([r.key for r in counts.where(F.col("count") >= rare).orderBy(F.desc("count"), "key").limit(n).collect()], np.int64)
 
-def without_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
-    """docs with two more columns: kept_words (the words left, joined by one space; the text itself has them if none went) and n_words, n_removed.
 
-    Empty, null and wordless texts have no words and lose none.  Returns doc_id, text, n_words,
-    n_removed and every other column of docs, whose own n_words or n_removed is replaced.
+def _with_spans(docs: DataFrame, length: int, sample: int, rare: int) -> tuple[DataFrame, str, str, str]:
+    """docs with the spans to cut, and the names of the columns doc, twin and spans in it.
+
+    doc is doc_id, or a number larger than any other where it is missing; rows that share it are told apart by twin, a hash
+    of the text, and never cover each other.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_words")]
-    given = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).bitwiseAND(F.lit(0xFFFFFF)).alias("_crc"), "doc_id", F.col("text"), *others
-    )
-    found = repeats(docs, length).withColumnsRenamed({"doc": "_doc", "crc": "_crc", "spans": "_spans"})
-    joined = given.join(found, ["_doc", "_crc"], "left").select("doc_id", "text", *others, "_spans")
-    schema = joined.drop("_spans").schema.add("n_words", "long").add("n_removed", "long").add("kept_words", "string")
+    doc, twin, runs = (fresh(c, docs) for c in ("doc", "twin", "spans"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    given = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), twin: F.xxhash64(text)})
+    texts = given.select(F.col(doc).alias("doc"), F.col(twin).alias("twin"), text.alias("text"))
+    frequent = _frequent(texts, length, sample, rare)
+    seeds = texts.mapInArrow(_seeds(length, frequent), SEED).repartition("part").sortWithinPartitions("key", "run", "more", "doc")
+    found = materialise(seeds.mapInArrow(_extend(length), SPAN), "runs")
+
+    def by_text(spans: DataFrame) -> DataFrame:
+        return spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("begin", "end")).alias(runs)).withColumnsRenamed({"doc": doc, "twin": twin})
+
+    # Both joins take the same columns of docs, so that the texts are shuffled once.
+    opened = given.join(by_text(found.where("open")), [doc, twin]).select(*given.columns, runs)
+    at = tuple(opened.columns.index(c) for c in (doc, twin, "text", runs))
+    windows = opened.mapInArrow(_opened(length, "text", at), "part long, one long, two long, doc long, twin long, begin int, settled boolean")
+    inner = windows.repartition("part").sortWithinPartitions("one", "two", "doc").mapInArrow(_compared(length), SPAN)
+    return given.join(by_text(found.where("not open").union(inner)), [doc, twin], "left").select(*given.columns, runs), doc, twin, runs
+
+
+def _cut(docs: DataFrame, length: int, sample: int, rare: int) -> tuple[DataFrame, str]:
+    """docs with a column (its name comes second) of struct(n_words, n_removed, kept_words)."""
+    joined, doc, twin, spans = _with_spans(docs, length, sample, rare)
+    out = fresh("cut", joined)
+    at = joined.columns.index("text")
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_words", pa.string())])
 
     def cut(batches):
-        for b in batches:
-            texts, spans = b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        for b in chunks(batches):
             n, gone, kept = [], [], []
-            for t, pairs in zip(texts, spans, strict=True):
+            for t, pairs in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 words = (t or "").encode().split()
                 n.append(len(words))
                 if pairs:
@@ -218,16 +321,37 @@ def without_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*b.schema.names[:-1], "n_words", "n_removed", "kept_words"])
+            made = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], out])
+
+    schema = joined.drop(spans).schema.add(out, StructType().add("n_words", "long").add("n_removed", "long").add("kept_words", "string"))
+    return joined.mapInArrow(cut, schema).drop(doc, twin), out
+
+
+def without_repeats(docs: DataFrame, length: int = 13, sample: int = SAMPLE, rare: int = RARE) -> DataFrame:
+    """docs with three more columns: n_words, n_removed and kept_words (the words left, joined by one space).
+
+    A word goes if a window of `length` words covers it that a document with a smaller doc_id also has.  Empty, null and
+    wordless texts have no words and lose none.  A missing doc_id counts as larger than any other; rows that share an id,
+    equal or not, keep their words from each other.  Every row and column of docs stays; its own n_words, n_removed or
+    kept_words is replaced.
+    """
+    made, out = _cut(docs, length, sample, rare)
+    new = ("n_words", "n_removed", "kept_words")
+    return made.select(*(c for c in docs.columns if c not in new), *(F.col(f"{out}.{c}").alias(c) for c in new))
+
 
-    return joined.mapInArrow(cut, schema)
+def cut_texts(docs: DataFrame, length: int = 13, sample: int = SAMPLE, rare: int = RARE) -> DataFrame:
+    """docs with the repeated words cut from text, as in without_repeats; a text that loses none stays as it is.  All other columns stay."""
+    made, out = _cut(docs, length, sample, rare)
+    text = F.when(F.col(f"{out}.n_removed") > 0, F.col(f"{out}.kept_words")).otherwise(F.col("text"))
+    return made.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_repeats(docs)
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words"), 256).alias("kept_sha256"))
 
 
