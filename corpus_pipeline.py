@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wildgrid.llm.common import materialise, table
+from wildgrid.llm.common import fresh, materialise, table
 from wildgrid.llm.packing import best_fit_packing
 from wildgrid.llm.secrets import redact
 from wildgrid.llm.simhash import similar_documents, text_hash
-from wildgrid.llm.substring import without_repeats
+from wildgrid.llm.substring import cut_texts
 from wildgrid.llm.toxicity import accepted, fit
 
 
@@ -27,20 +27,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are known by id and text, so that of an id with several texts each is judged by itself.
     """
-    rows = materialise(similar_documents(docs), "similar")
-    copies = rows.where("not first").select("doc_id", "text_hash").distinct()
-    left = docs.withColumn("text_hash", text_hash(docs)).join(copies, ["doc_id", "text_hash"], "left_anti")
-    again = rows.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
+    rows = materialise(similar_documents(docs), "similar").withColumnRenamed("text_hash", mark := fresh("text_hash", docs))
+    key = ["doc_id", mark]
+    left = docs.withColumn(mark, text_hash(docs)).join(rows.where("not first").select(key).distinct(), key, "left_anti")
+    again = rows.where("first").groupBy(key).count().where("count > 1").drop("count")
     if again.limit(1).count():  # whole rows that repeat
         again = materialise(again, "again")
-        left = left.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(left.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates(key))
     return left.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 or more words that a document with a smaller id has are cut out; other texts stay as they are."""
-    cut = without_repeats(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_words")).otherwise(F.col("text")))
-    return _measured(cut.select(docs.columns))
+    return _measured(cut_texts(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
