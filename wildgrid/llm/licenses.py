@@ -4,7 +4,7 @@ A template is a text with markup: <<beginOptional>> ... <<endOptional>> encloses
 left out, and <<var;name=...;max=N>> stands for up to N words of any kind.  It is compiled to a token
 automaton whose states are positions in the template; a text is accepted where some run of its
 words takes the automaton from start to end, that is, where all mandatory wording stands exactly.
-Besides, fixed phrases give the base labels.
+Templates are whole licenses, and the notices by which texts name one.  Besides, fixed phrases give the base labels.
 """
 
 from __future__ import annotations
@@ -18,37 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ids_and_texts, text_bytes
+from .license_texts import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Templates in markup, by label.
-TEMPLATES = {
-    "mit": (
-        "<<beginOptional>>released<<endOptional>> under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
-        "<<var;name=what;max=2>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
-        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the "
-        "following conditions",
-    ),
-    "apache-2": (
-        "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 <<beginOptional>>0<<endOptional>> <<beginOptional>>the license you "
-        "may not use this file except in compliance with the license<<endOptional>>",
-    ),
-    "cc-by-nc": ("licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc <<beginOptional>>4 0<<endOptional>>",
-                 "creative commons attribution noncommercial <<var;name=version;max=2>> <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license"),
-    "cc-by": ("licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by 4 0", "creative commons attribution <<beginOptional>>4 0<<endOptional>> <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license"),
-    "gpl": ("under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;name=version;max=1>>",),
-    "lgpl": ("under the <<beginOptional>>terms of the<<endOptional>> gnu lesser general public license",),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "<<var;name=number;max=1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        "under the bsd <<beginOptional>>2 clause<<endOptional>> <<beginOptional>>3 clause<<endOptional>> license",
-    ),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
-    "mpl-2": ("subject to the terms of the mozilla public license <<beginOptional>>v<<endOptional>> <<beginOptional>>version<<endOptional>> 2 0",),
-}
-
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MARKUP = re.compile(r"<<(\w+)(?:;([^>]*))?>>|([^\s<]+)")
 
@@ -65,7 +39,7 @@ class Automaton:
     step: tuple[bytes | None, ...]
     free: tuple[tuple[int, ...], ...]
     heads: frozenset[bytes]
-    mandatory: int
+    mandatory: tuple[bytes, ...]
 
     def closure(self, states: set[int]) -> set[int]:
         out, todo = set(states), list(states)
@@ -96,7 +70,7 @@ def compile_template(markup: str) -> Automaton:
     step: list[bytes | None] = []
     free: list[list[int]] = [[]]
     open_: list[int] = []
-    optional_words = 0
+    mandatory: list[bytes] = []
     for m in _MARKUP.finditer(markup):
         tag, options, word = m.groups()
         if word or tag == "var":
@@ -106,7 +80,8 @@ def compile_template(markup: str) -> Automaton:
                 free.append([])
                 if piece is None:
                     free[-2].append(len(step))
-                optional_words += bool(open_) or piece is None
+                if piece is not None and not open_:
+                    mandatory.append(piece)
         elif tag == "beginOptional":
             open_.append(len(step))
         elif tag == "endOptional":
@@ -117,7 +92,7 @@ def compile_template(markup: str) -> Automaton:
             raise ValueError(f"unknown markup {tag}")
     if open_:
         raise ValueError("beginOptional without endOptional")
-    made = Automaton(tuple(step), tuple(map(tuple, free)), frozenset(), len(step) - optional_words)
+    made = Automaton(tuple(step), tuple(map(tuple, free)), frozenset(), tuple(mandatory))
     start = made.closure({0})
     if not made.mandatory:
         raise ValueError("a template needs mandatory wording")
@@ -127,33 +102,31 @@ def compile_template(markup: str) -> Automaton:
 
 
 @lru_cache(maxsize=1)
-def compiled() -> tuple[tuple[str, Automaton, bytes], ...]:
-    """Label, automaton and a mandatory word that is rare in other texts (the longest) of each template."""
-    out = []
-    for label, markups in TEMPLATES.items():
-        for markup in markups:
-            plain = re.sub(r"<<beginOptional>>.*?<<endOptional>>|<<[^>]*>>", " ", markup)
-            out.append((label, compile_template(markup), max(words_of(plain.encode()), key=len)))
-    return tuple(out)
+def compiled() -> tuple[tuple[str, Automaton, frozenset[bytes]], ...]:
+    """Label, automaton and mandatory words of each template."""
+    made = ((label, compile_template(markup)) for label, markups in TEMPLATES.items() for markup in markups)
+    return tuple((label, a, frozenset(a.mandatory)) for label, a in made)
 
 
 _PHRASES = [(tuple(p.encode().split()), label) for p, label in PHRASES.items()]
 
 
 def scan_words(words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, float]]]:
-    """Places of the phrases (start, label), and accepted template runs (start, end, label, share of mandatory words in the run)."""
+    """Places of the phrases (start, label), and accepted template runs (start, end, label, share of mandatory words in the run), leftmost of each template."""
     base, runs = [], []
     there = set(words)
     phrases = [(p, label) for p, label in _PHRASES if there.issuperset(p)]
-    templates = [(label, a) for label, a, rare in compiled() if rare in there]
+    templates = [[label, a, 0] for label, a, needed in compiled() if there.issuperset(needed)]
     if phrases or templates:
         for i, w in enumerate(words):
             for p, label in phrases:
                 if w == p[0] and tuple(words[i : i + len(p)]) == p:
                     base.append((i, label))
-            for label, a in templates:
-                if w in a.heads and (end := a.match(words, i)) is not None:
-                    runs.append((i, end, label, min(1.0, a.mandatory / (end - i))))
+            for t in templates:
+                label, a, done = t
+                if i >= done and w in a.heads and (end := a.match(words, i)) is not None:
+                    runs.append((i, end, label, min(1.0, len(a.mandatory) / (end - i))))
+                    t[2] = end
     return base, runs
 
 
@@ -162,7 +135,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     spans are the accepted template runs (start and end word, label).  score is 0 without a finding, at
     least 0.5 with a phrase, and up to 1 the more of an accepted run is mandatory wording.  Null, empty
-    and wordless texts have no words and no labels (empty strings).
+    and wordless texts have no words and no labels (empty strings).  Repeated rows each give their row; other columns of
+    documents are not looked at, so their names cannot clash.
     """
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
