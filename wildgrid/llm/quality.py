@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: Documents that a group needs for fences of its own.
 LEAST = 30
@@ -54,10 +54,11 @@ def measures(docs: DataFrame) -> DataFrame:
 
     of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated(w).alias("r")))
     of_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    both = fresh("both", docs)
     kept = [c for c in docs.columns if c not in ("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return docs.select(
-        *kept, of_words.alias("_w"), (F.length(text) - F.regexp_count(text, F.lit(_BLANK))).cast("long").alias("word_chars"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), of_lines.cast("long").alias("n_dup_lines")
-    ).select(*kept, F.col("_w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.r").cast("long").alias("n_repeat_words"))
+        *kept, of_words.alias(both), (F.length(text) - F.regexp_count(text, F.lit(_BLANK))).cast("long").alias("word_chars"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), of_lines.cast("long").alias("n_dup_lines")
+    ).select(*kept, F.col(f"{both}.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col(f"{both}.r").cast("long").alias("n_repeat_words"))
 
 
 #: From measured(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) to verdicts, in the SQL common to Spark and DuckDB.

@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents, one on what toxic texts have more often
-than ordinary ones and one the other way round.  Each window of a text (a word with its borders) is
+There are two zstandard dictionaries, one of toxic and one of ordinary text.  Each window of a text (a word with its borders) is
 compressed with both; a window that the toxic dictionary shortens more is evidence.  A primer
 that both dictionaries hold stands before and after each window: so the input is coded with matches anyway and the
 lengths show the window's own cost, and the compressor, which seeks no match in the last bytes, sees all of it.  How many windows differ by how much is calibrated to a
 probability by a logistic fit on the labelled documents.
 
+The content of each dictionary is what its class's labelled documents have more often than the other's: dictionaries that the library's trainer, or
+raw text, gives from each class alone hold mostly what the classes share, and tell them apart poorly (README has the figures, also of
+windows of several words).
+
 Fitting uses a bounded sample of labelled rows (`per_class` of each label, chosen by a hash of the
 id); scoring is one pass over all whole texts without a shuffle.
 """
@@ -35,8 +38,8 @@ THRESHOLD = 0.3
 #: A piece must tell the classes apart by so much (the sample's size times difference and log ratio of the shares), else it is chance.
 EVIDENCE = 12.0
 PRIMER = bytes(range(200, 216))
-#: Lengths of the pieces that dictionaries are made of; words are looked at up to so many bytes.
-PIECES, WORD = range(4, 11), 64
+#: Lengths of the pieces that dictionaries are made of.
+PIECES = range(4, 11)
 STEPS = range(1, 9)
 _MEMORY = 300_000
 
@@ -120,7 +123,7 @@ def _pieces(batches):
     for b in chunks(batches, size=1 << 19):
         counts: Counter = Counter()
         for text, k in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-            counts.update((k, p) for p in {w[i : i + n] for w in set(windows(text)) for n in PIECES for i in range(min(len(w), WORD) - n + 1)})
+            counts.update((k, p) for p in {w[i : i + n] for w in set(windows(text)) for n in PIECES for i in range(len(w) - n + 1)})
         yield pa.RecordBatch.from_arrays([pa.array([p for _, p in counts], pa.binary()), pa.array([k for k, _ in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["piece", "k", "n"])
 
 

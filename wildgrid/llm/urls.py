@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, materialise
+
 #: Fixed values: (action, host, path); a rule fits its host and all subdomains, and paths that begin with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Rules are one expression; more of them belong into a list of URLs.
@@ -21,8 +23,6 @@ MAX_RULES = 1000
 #: Blocks of 64 bytes (as columns) up to which the filter is broadcast: 4 MB.
 MAX_BLOCKS = 1 << 16
 BITS_PER_URL = 16
-#: Words in a host label that the query's list is made of.
-LISTED_LABELS = "spam|pills|casino|adult|loan|torrent|xxx"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,7 +50,7 @@ def canonical(url: Column) -> Column:
 
 
 def rule_of(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """The longest rule that fits (host and path as one string) and its action; null if none does."""
+    """The longest rule that fits (host and path as one string), of equally long ones the last, and its action; null if none does."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: list the URLs instead")
     name, action = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -76,25 +76,30 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 def listed_urls(urls: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS, bits: int = BITS_PER_URL) -> DataFrame:
     """urls (with a column canonical) plus `listed`: whether listed(canonical) has it.  Null or empty ones are not listed.
 
-    Every row and column of urls stays; repeated rows of listed do no harm.
+    Every row and column of urls stays, but for one named listed, which is replaced; repeated rows of listed do no harm.  The
+    list and the probed rows are written once, as the filter and the join both read the one and hits and others the other.
     """
-    known = listed.select("canonical").where("canonical <> ''").distinct()
+    urls = urls.drop("listed")
+    known = materialise(listed.select("canonical").where("canonical <> ''").distinct(), "listed")
     blocks = 1 << (max(1, known.count() * bits // 256) - 1).bit_length()
+    block, filled, maybe = (fresh(c, urls) for c in ("block", "filled", "maybe"))
     table = bloom(known, "canonical", blocks)
-    table = F.broadcast(table) if blocks <= max_blocks else table
+    table = table.select(F.col("block").alias(block), F.struct(*(f"m{i}" for i in range(8))).alias(filled))
     key = F.coalesce(F.col("canonical"), F.lit(""))
-    probed = urls.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).join(table, "block", "left")
-    maybe = F.coalesce(reduce(Column.__and__, [F.col(f"m{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(key))]), F.lit(False))
-    probed = probed.withColumn("maybe", maybe).select(*urls.columns, "maybe")
+    met = urls.withColumn(block, F.pmod(F.xxhash64(key), F.lit(blocks))).join(F.broadcast(table) if blocks <= max_blocks else table, block, "left")
+    passes = F.coalesce(reduce(Column.__and__, [F.col(f"{filled}.m{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(key))]), F.lit(False))
+    probed = materialise(met.withColumn(maybe, passes).select(*urls.columns, maybe), "probed")
     exact = known.withColumn("listed", F.lit(True)).hint("shuffle_hash")
-    hits = probed.where("maybe").drop("maybe").join(exact, "canonical", "left").select(*urls.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    return hits.union(probed.where(~F.col("maybe")).select(*urls.columns, F.lit(False).alias("listed")))
+    hits = probed.where(F.col(maybe)).join(exact, "canonical", "left").select(*urls.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
+    return hits.union(probed.where(~F.col(maybe)).select(*urls.columns, F.lit(False).alias("listed")))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict, canonical, listed; a row for each row.
 
-    A rule decides; where none fits, a listed URL is blocked and any other allowed.
+    A rule decides; where none fits, a listed URL is blocked and any other allowed.  A null or empty url, and one without ://,
+    has an empty host and path, no rule and the verdict allow.  Repeated rows and null ids each give their row; other
+    columns of pages are not looked at, so their names cannot clash.
     """
     u = F.col("url")
     parts = pages.select("page_id", F.coalesce(host(u), F.lit("")).alias("host"), F.coalesce(path(u), F.lit("")).alias("path"), F.coalesce(canonical(u), F.lit("")).alias("canonical"))
@@ -104,12 +109,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
-    """The list: canonical URLs of the pages on hosts with a label of LISTED_LABELS."""
+    """The list: canonical URLs of the pages whose id a label marks as toxic or of low quality."""
     from .common import table
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(host(F.col("url")).rlike(LISTED_LABELS)).select(canonical(F.col("url")).alias("canonical"))
-    return judge(pages, listed)
+    marked = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0").select(F.col("doc_id").alias("page_id")).distinct()
+    return judge(pages, pages.join(marked, "page_id").select(canonical(F.col("url")).alias("canonical")))
 
 
 _HOST = f"translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
@@ -120,7 +125,7 @@ parts AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*
     lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid)='))), 'string_agg', '&') AS query FROM cut),
 named AS (SELECT page_id, host, path, regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
   || CASE WHEN coalesce(query, '') <> '' THEN '?' || query ELSE '' END AS canonical FROM parts),
-listed AS (SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '{LISTED_LABELS}') AND canonical <> ''),
+listed AS (SELECT DISTINCT canonical FROM named WHERE canonical <> '' AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)),
 rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(action, h, p)),
 ruled AS (SELECT named.*, canonical IN (SELECT canonical FROM listed) AS listed,
   (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM named)
