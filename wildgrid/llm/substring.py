@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ from .common import NO_ID, chunks, fresh, materialise, partitions, text_bytes
 from .simhash import xxmix
 
 #: Words of an anchor; the window length less this is the winnowing window less one.
-ANCHOR = 5
+ANCHOR = 6
 #: Of so many documents one is looked at for frequent anchors; a frequent one has this part of a shuffle partition, and so many rows in the sample.
 SAMPLE, SHARE, RARE = 64, 0.125, 64
 #: Words that a task remembers the hashes of, and their bytes.
 WORDS, WORD_BYTES = 300_000, 1 << 24
-SEED = "part long, key long, run long, more int, doc long, twin long, start int, size int, kind int"
+SEED = "key long, run long, more int, doc long, twin long, start int, size int, kind int"
 SPAN = "doc long, twin long, begin int, end int, open boolean"
 #: Kinds of seeds: of an anchor dealt as one, of a frequent one, and of a run that a smaller document of the chunk has.
 PLAIN, FREQUENT, SETTLED = 0, 1, 2
@@ -67,7 +68,8 @@ class Windows:
         if not 1 <= anchor <= length:
             raise ValueError("an anchor has between 1 and `length` words")
         self.length, self.anchor, self.known = length, anchor, _Words()
-        self.coef = xxmix(np.arange(1, 2 * length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        #: Odd numbers of which each but one is even once only.
+        self.coef = (xxmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(3)).reshape(4, 64)
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both halves of the hash of each word, and its text's number."""
@@ -75,27 +77,37 @@ class Windows:
             self.known = _Words()
         split = [t.split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         lo, hi = (np.array(x, np.uint64)[at] for x in (self.known.lo, self.known.hi))
         return lo, hi, np.repeat(np.arange(len(texts)), counts)
 
-    def rolled(self, words: np.ndarray, k: int, first: int = 0) -> np.ndarray:
-        n = max(0, len(words) - k + 1)
-        out = np.zeros(n, np.uint64)
-        for i in range(k):
-            out += words[i : i + n] * self.coef[first + i]
-        return xxmix(out)
+    def rolled(self, words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+        """Hashes of all k-grams of words for each k of sizes; sums over 1, 2, 4, ... words are shared."""
+        sums = [words]
+        while 2 << (len(sums) - 1) <= max(sizes):
+            half, w = sums[-1], 1 << (len(sums) - 1)
+            sums.append(half[: max(0, len(half) - w)] + half[w:] * self.coef[0, len(sums)])
+        out = []
+        for k in sizes:
+            n, at, total = max(0, len(words) - k + 1), 0, np.uint64(0)
+            for j in range(k.bit_length() - 1, -1, -1):
+                if k >> j & 1:
+                    total = sums[j][at : at + n] * self.coef[1, j] + total
+                    at += 1 << j
+            out.append(xxmix(total))
+        return out
 
     def identities(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each window."""
-        return self.rolled(lo, self.length), self.rolled(hi, self.length, self.length)
+        return self.rolled(lo, self.length)[0], self.rolled(hi, self.length)[0]
 
     def runs(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """key, run, more (identity), owner (text number), start (first word) and size (windows) of each run of windows with one anchor."""
         lo, hi, owner = self.words(texts)
         if len(lo) < self.length:
             return {c: np.zeros(0, np.int64) for c in ("key", "run", "more", "owner", "start", "size")}
-        least = self.rolled(lo, self.anchor)
+        least, one = self.rolled(lo, self.anchor, self.length)
+        two = self.rolled(hi, self.length)[0]
         at = np.arange(len(least))
         done, want = 1, self.length - self.anchor + 1  # k-grams that the minimum spans
         while done < want:
@@ -112,9 +124,8 @@ class Windows:
         if not len(first):
             return self.runs([])
         nth = np.arange(n) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, n]))  # number of a window within its run
-        one, two = self.identities(lo, hi)
-        inside = valid & (nth < self.length)
-        total = [np.add.reduceat(np.where(inside, h * self.coef[np.minimum(nth, self.length - 1)], np.uint64(0)), first) for h in (one, two)]
+        weight = np.where(valid & (nth < size.max()), xxmix((nth + 1).astype(np.uint64)) | np.uint64(1), np.uint64(0))
+        total = [np.add.reduceat(h * weight, first) for h in (one, two)]
         run, more = (xxmix(t + size.astype(np.uint64)) for t in total)
         word0 = np.searchsorted(owner, np.arange(len(texts)))
         return {"key": least[first].view(np.int64), "run": run.view(np.int64), "more": (more >> np.uint64(32)).astype(np.uint32).view(np.int32), "owner": owner[first], "start": first - word0[owner[first]], "size": size}
@@ -135,27 +146,29 @@ def _lows(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
+def _place(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Where a settled row goes: anywhere."""
+    return xxmix((doc * 31 + word).view(np.uint64)).view(np.int64)
+
+
 def _seeds(length: int, frequent: np.ndarray):
-    """Runs as rows of SEED; a settled one keeps only its place."""
+    """Runs as rows of SEED, by document; a settled one keeps only its place, one of a frequent anchor is dealt by its run."""
 
     def seeds(batches):
         make = Windows(length)
         for b in chunks(batches):
             ids, twins = b.column(0).to_numpy(), b.column(1).to_numpy()
             x = make.runs(text_bytes(b.column(2)))
-            doc = ids[x["owner"]]
-            order = np.lexsort((doc, x["more"], x["run"], x["key"]))
-            key, run, more, owner, start, size = (x[c][order] for c in ("key", "run", "more", "owner", "start", "size"))
-            doc = doc[order]
+            key, run, more, owner = (x[c] for c in ("key", "run", "more", "owner"))
+            doc = ids[owner]
+            order = np.lexsort((doc, more, run, key))
             kind = np.where(np.isin(key, frequent), FREQUENT, PLAIN)
-            kind[doc > _lows(_groups(key, run, more), doc)] = SETTLED if len(doc) else 0
-            gone = kind == SETTLED
-            place = xxmix((doc * 31 + start).view(np.uint64)).view(np.int64)
-            part = np.where(gone, place, np.where(kind == FREQUENT, key ^ run, key))
-            for c in (key, run, more):
-                c[gone] = 0
-            columns = [part, key, run, more, doc, twins[owner], start.astype(np.int32), size.astype(np.int32), kind.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "run", "more", "doc", "twin", "start", "size", "kind"])
+            if len(order):
+                kind[order[doc[order] > _lows(_groups(key[order], run[order], more[order]), doc[order])]] = SETTLED
+            gone, dealt = kind == SETTLED, kind == FREQUENT
+            key = np.where(gone, _place(doc, x["start"]), np.where(dealt, xxmix((key ^ run).view(np.uint64)).view(np.int64), key))
+            columns = [key, np.where(gone, 0, run), np.where(gone, 0, more).astype(np.int32), doc, twins[owner], x["start"].astype(np.int32), x["size"].astype(np.int32), kind.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "run", "more", "doc", "twin", "start", "size", "kind"])
 
     return seeds
 
@@ -172,7 +185,7 @@ def _extend(length: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, run, more, doc, twin, start, size, kind = (c.to_numpy() for c in b.columns[1:])
+            key, run, more, doc, twin, start, size, kind = (c.to_numpy() for c in b.columns)
             gone = kind == SETTLED
             out = [(doc[gone], twin[gone], start[gone], size[gone], np.zeros(int(gone.sum()), bool))]
             rows = [c[~gone] for c in (key, run, more, doc, twin, start, size, kind)]
@@ -207,7 +220,7 @@ def _extend(length: int):
 
 
 def _opened(length: int, text: str, at: tuple[int, int, int, int]):
-    """Rows with a text and its opened runs -> (part, one, two, doc, twin, begin, settled), a row a window of these runs.
+    """Rows with a text and its opened runs -> (one, two, doc, twin, begin, settled), a row a window of these runs.
 
     at: places of the document, its twin hash, the text and the runs among the columns.
     """
@@ -229,11 +242,11 @@ def _opened(length: int, text: str, at: tuple[int, int, int, int]):
             place = word0[row] + begin
             one, two, doc = one[place].view(np.int64), two[place].view(np.int64), ids[row]
             order = np.lexsort((doc, two, one))
-            one, two, doc, twin, begin = (c[order] for c in (one, two, doc, twins[row], begin))
-            settled = doc > _lows(_groups(one, two), doc) if len(doc) else np.zeros(0, bool)
-            part = np.where(settled, xxmix((doc * 31 + begin).view(np.uint64)).view(np.int64), one)
-            columns = [part, one, two, doc, twin, begin.astype(np.int32), settled]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "one", "two", "doc", "twin", "begin", "settled"])
+            settled = np.zeros(len(doc), bool)
+            if len(doc):
+                settled[order] = doc[order] > _lows(_groups(one[order], two[order]), doc[order])
+            columns = [np.where(settled, _place(doc, begin), one), np.where(settled, 0, two), doc, twins[row], begin.astype(np.int32), settled]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "twin", "begin", "settled"])
 
     return opened
 
@@ -246,7 +259,7 @@ def _compared(length: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            one, two, doc, twin, begin, settled = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            one, two, doc, twin, begin, settled = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             hit = settled.copy()
             open_ = np.flatnonzero(~settled)
             if len(open_):
@@ -287,7 +300,7 @@ def _with_spans(docs: DataFrame, length: int, sample: int, rare: int) -> tuple[D
     given = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), twin: F.xxhash64(text)})
     texts = given.select(F.col(doc).alias("doc"), F.col(twin).alias("twin"), text.alias("text"))
     frequent = _frequent(texts, length, sample, rare)
-    seeds = texts.mapInArrow(_seeds(length, frequent), SEED).repartition("part").sortWithinPartitions("key", "run", "more", "doc")
+    seeds = texts.mapInArrow(_seeds(length, frequent), SEED).repartition("key").sortWithinPartitions("key", "run", "more", "doc")
     found = materialise(seeds.mapInArrow(_extend(length), SPAN), "runs")
 
     def by_text(spans: DataFrame) -> DataFrame:
@@ -296,8 +309,8 @@ def _with_spans(docs: DataFrame, length: int, sample: int, rare: int) -> tuple[D
     # Both joins take the same columns of docs, so that the texts are shuffled once.
     opened = given.join(by_text(found.where("open")), [doc, twin]).select(*given.columns, runs)
     at = tuple(opened.columns.index(c) for c in (doc, twin, "text", runs))
-    windows = opened.mapInArrow(_opened(length, "text", at), "part long, one long, two long, doc long, twin long, begin int, settled boolean")
-    inner = windows.repartition("part").sortWithinPartitions("one", "two", "doc").mapInArrow(_compared(length), SPAN)
+    windows = opened.mapInArrow(_opened(length, "text", at), "one long, two long, doc long, twin long, begin int, settled boolean")
+    inner = windows.repartition("one").sortWithinPartitions("one", "two", "doc").mapInArrow(_compared(length), SPAN)
     return given.join(by_text(found.where("not open").union(inner)), [doc, twin], "left").select(*given.columns, runs), doc, twin, runs
 
 
