@@ -1,13 +1,15 @@
 """Sampling of neighbouring sites and the predictor built on it.
 
 Draws follow weights 1 / (distance + 1e-6) without replacement, by the keys -ln(u) / w of which the
-smallest are taken; u comes from the md5 of seed, target and source.  The exact mode looks at every pair
+smallest are taken; u comes from seed, target and source.  The exact mode looks at every pair
 of target and pool and refuses to start above a budget of pairs; the cell mode draws a cell first (weight: its sites over the
 distance to its centre), then a site inside by its own distance, so its cost is targets times cells.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +25,38 @@ def draw(*key: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
 
 
+#: Modulus of the pair draws.
+_P = 2147483647
+
+
+def number_of(site: Column) -> Column:
+    """A number below the modulus from an id of any type."""
+    return F.conv(F.substring(F.md5(site.cast("string")), 1, 8), 16, 10).cast("long") % _P
+
+
+def pair_draw(seed: str, target: Column, source: Column) -> Column:
+    """In (0, 1), from two numbers and the seed: a few multiplications and squares, as it is worked out for each pair."""
+    p = F.lit(_P).cast("long")
+    x = (target * 48271 + source * 69621 + zlib.crc32(seed.encode()) % _P) % p
+    x = (x * x + 1013904223) % p
+    x = (x * 16807 + source) % p
+    x = (x * x + 12345) % p
+    x = (x * 48271 + target) % p
+    return (x + 1) / F.lit(float(_P + 1))
+
+
 def _pairs(targets: DataFrame, pool: DataFrame, budget: int) -> DataFrame:
     n = targets.count() * pool.count()
     if n > budget:
         raise ValueError(f"{n} pairs are above the budget of {budget}: use the cell mode")
-    t = targets.select(F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("t_days").alias("t_t"))
-    s = pool.select(F.col("site_id").alias("source_id"), "latitude", "longitude", "t_days")
+    t = targets.select(F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("t_days").alias("t_t"), number_of(F.col("site_id")).alias("t_number"))
+    s = pool.select(F.col("site_id").alias("source_id"), "latitude", "longitude", "t_days", number_of(F.col("site_id")).alias("s_number"))
     both = t.join(s, F.col("target_id") != F.col("source_id"))
-    return both.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days"))).select("target_id", "source_id", "d", "gap")
+    return both.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days"))).select("target_id", "source_id", "d", "gap", "t_number", "s_number")
 
 
 def _take(pairs: DataFrame, weight: Column, n: int, seed: str) -> DataFrame:
-    keyed = pairs.withColumn("key", -F.log(draw(seed, F.col("target_id"), F.col("source_id"))) / weight)
+    keyed = pairs.withColumn("key", -F.log(pair_draw(seed, F.col("t_number"), F.col("s_number"))) / weight)
     w = Window.partitionBy("target_id").orderBy("key", "source_id")
     return keyed.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from .registry import CELLS, PRES, Views, _cells, _draw, _km, _presence, logit, metrics, models, neighbours, number, query, scratch, sigmoid, sinks
@@ -173,13 +175,27 @@ def _(v):
 N = 8
 
 
+def _pair_draw(seed: str) -> str:
+    """The draw of a pair with numbers tn and sn, in steps of the modulus."""
+    p = neighbours._P
+    x = f"((tn * 48271 + sn * 69621 + {zlib.crc32(seed.encode()) % p}) % {p})"
+    for step in ("({x} * {x} + 1013904223)", "({x} * 16807 + sn)", "({x} * {x} + 12345)", "({x} * 48271 + tn)"):
+        x = f"list_transform([{x}], lambda x: {step.format(x='x')} % {p})[1]"
+    return f"(({x} + 1) / CAST({p + 1} AS DOUBLE))"
+
+
+def _number(site: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({site} AS VARCHAR)), 1, 8)) AS BIGINT) % {neighbours._P}"
+
+
 def _pairs_sql(seed: str, time: bool = True) -> str:
     weight = "1 / (sqrt(pow(d / ds, 2) + pow(gap / ts, 2)) + 1e-6)" if time else "1 / (d / ds + 1e-6)"
-    return f"""pairs AS (SELECT t.site_id AS target_id, s.site_id AS source_id, {_km('t.latitude', 't.longitude', 's.latitude', 's.longitude')} AS d, abs(t.t_days - s.t_days) AS gap FROM stations t JOIN pool s ON t.site_id <> s.site_id),
-first AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY -ln({_draw(f"'{seed}#1'", 'CAST(target_id AS VARCHAR)', 'CAST(source_id AS VARCHAR)')}) / (1 / (d + 1e-6)), source_id) AS k FROM pairs),
+    return f"""pairs AS (SELECT t.site_id AS target_id, s.site_id AS source_id, {_km('t.latitude', 't.longitude', 's.latitude', 's.longitude')} AS d, abs(t.t_days - s.t_days) AS gap, tn, sn
+  FROM (SELECT *, {_number('site_id')} AS tn FROM stations) t JOIN (SELECT *, {_number('site_id')} AS sn FROM pool) s ON t.site_id <> s.site_id),
+first AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY -ln({_pair_draw(f"{seed}#1")}) / (1 / (d + 1e-6)), source_id) AS k FROM pairs),
 scales AS (SELECT target_id, quantile_cont(d, 0.5) + 1e-6 AS ds, quantile_cont(gap, 0.5) + 1e-6 AS ts FROM first WHERE k <= {N} GROUP BY target_id),
 weighted AS (SELECT p.*, {weight} AS weight FROM pairs p JOIN scales USING (target_id)),
-second AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY -ln({_draw(f"'{seed}#2'", 'CAST(target_id AS VARCHAR)', 'CAST(source_id AS VARCHAR)')}) / weight, source_id) AS slot FROM weighted),
+second AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY -ln({_pair_draw(f"{seed}#2")}) / weight, source_id) AS slot FROM weighted),
 sources AS (SELECT * FROM second WHERE slot <= {N})"""
 
 
@@ -214,17 +230,15 @@ def _(v):
     return neighbours.cell_sources(v.stations, v.pool, N, "c")
 
 
-@query("e04_train_sources", "SELECT count(*) AS n, count(DISTINCT target_id) AS n_targets FROM sources", _pairs_sql("t").replace("JOIN pool s ON", "JOIN (SELECT * FROM pool WHERE site_id % 5 <> 0) s ON"))
+@query("e04_train_sources", "SELECT target_id, slot, source_id FROM sources", _pairs_sql("t").replace("FROM pool)", "FROM pool WHERE site_id % 5 <> 0)"))
 def _(v):
-    drawn = neighbours.sources(v.stations, v.pool.where("site_id % 5 <> 0"), N, "t")
-    return drawn.agg(F.count("*").alias("n"), F.countDistinct("target_id").alias("n_targets"))
+    return neighbours.sources(v.stations, v.pool.where("site_id % 5 <> 0"), N, "t").select("target_id", "slot", "source_id")
 
 
-@query("c17_gathered", "SELECT target_id, count(*) AS n_sources, sum((SELECT count(*) FROM pool_presence p WHERE p.site_id = source_id)) AS n_states FROM sources GROUP BY target_id", _pairs_sql("e"))
+@query("c17_gathered", "SELECT target_id, slot, source_id, (SELECT string_agg(species, ',' ORDER BY species) FROM pool_presence p WHERE p.site_id = source_id) AS species FROM sources", _pairs_sql("e"))
 def _(v):
     out = neighbours.gathered(neighbours.sources(v.stations, v.pool, N, "e"), v.pool_presence)
-    states = F.aggregate("sources", F.lit(0).cast("long"), lambda a, x: a + F.size(x["species"]))
-    return out.select("target_id", F.size("sources").cast("long").alias("n_sources"), states.alias("n_states"))
+    return out.select("target_id", F.explode("sources").alias("x")).select("target_id", "x.slot", "x.source_id", F.nullif(F.array_join("x.species", ","), F.lit("")).alias("species"))
 
 
 PRED = "pred AS (SELECT t.target_id, x.species, coalesce(w, 0) / total AS p FROM (SELECT target_id, sum(weight) AS total FROM sources GROUP BY target_id) t CROSS JOIN (SELECT DISTINCT species FROM pool_presence) x LEFT JOIN (SELECT target_id, species, sum(weight) AS w FROM sources JOIN pool_presence ON source_id = site_id GROUP BY target_id, species) h ON h.target_id = t.target_id AND h.species = x.species)"
