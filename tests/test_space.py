@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wildgrid.functions.expr import composite_start
 from wildgrid.operators import geo, masking, models, neighbours, splits
-from wildgrid.operators.prepare import rate_draw, refuse_missing
+from wildgrid.operators.prepare import imputed, rate_draw, refuse_missing
 from wildgrid.sources.readers import ColumnRoles
 
 
@@ -41,12 +41,26 @@ def test_longest_distance(sites, places):
 
 def test_nearest_fill(spark, sites, places):
     targets = spark.createDataFrame([(i, 15.0 + i * 2.3, -150.0 + i * 4.1) for i in range(20)], "id long, latitude double, longitude double")
-    out = {r.id: r.v for r in geo.nearest_fill(targets, sites.withColumn("v", F.col("t_days")), "id", "v", 3.0, rings=32).collect()}
+    out = {r.id: r.v for r in geo.nearest_fill(targets, sites.withColumn("v", F.col("t_days")), "id", "v", 3.0).collect()}
     for i in range(20):
         y, x = 15.0 + i * 2.3, -150.0 + i * 4.1
         assert out[i] == min((round(math.hypot(p[1] - y, p[2] - x), 9), p[3]) for p in places)[1]
 
 
+def test_nearest_fill_at_the_edge_of_a_cell_and_far_away(spark):
+    points = [(0.0, 2.05, 1.0), (1.55, 0.0, 2.0), (90.0, 90.0, 3.0)]
+    known = spark.createDataFrame(points, "latitude double, longitude double, v double")
+    targets = spark.createDataFrame([(1, 0.0, 0.0), (2, -80.0, -170.0), (3, 89.0, 90.0)], "id long, latitude double, longitude double")
+    got = {r.id: r.v for r in geo.nearest_fill(targets, known, "id", "v", 1.0).collect()}
+    assert got == {1: 2.0, 2: 2.0, 3: 3.0}
+    assert {r.v for r in geo.nearest_fill(targets, known.limit(0), "id", "v", 1.0).collect()} == {None}
+
+
+def test_imputed_takes_nan_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (0.0,), (None,), (3.0,)], "x double")
+    assert sorted(r.x for r in imputed(df, "x").collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]
+
+
 def test_polygons(spark):
     square = [("s", 0.0, 0.0, 2.0, 0.0), ("s", 2.0, 0.0, 2.0, 2.0), ("s", 2.0, 2.0, 0.0, 2.0), ("s", 0.0, 2.0, 0.0, 0.0)]
     edges = spark.createDataFrame(square, "poly string, x1 double, y1 double, x2 double, y2 double")

@@ -82,25 +82,33 @@ def countries_named(countries: DataFrame, wanted: DataFrame) -> DataFrame:
     return countries.select("country").distinct().join(F.broadcast(wanted), name_matches(F.col("country"), F.col("wanted")))
 
 
-def nearest_fill(targets: DataFrame, known: DataFrame, key: str, value: str, cell: float, rings: int = 8) -> DataFrame:
+def nearest_fill(targets: DataFrame, known: DataFrame, key: str, value: str, cell: float) -> DataFrame:
     """(key, value): of each target, the value at the nearest known point by longitude and latitude, of equals the smallest value.
 
-    Points are binned; a ring of cells around the target is searched, and what found nothing within the ring's
-    safe radius is searched again with a ring twice as wide.  Targets without any point in the last ring get null.
+    Points are binned.  A target looks at its cell and the eight around it, and what it finds counts if no point beyond them can
+    be nearer; else it looks again with cells twice as wide, until they span all points.  Null only without any known point.
+    Targets that are left are cut off by a checkpoint after each round, so rounds do not repeat each other's work.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    points = known.where(F.col(value).isNotNull()).select(at("latitude").alias("i"), at("longitude").alias("j"), F.col("latitude").alias("y"), F.col("longitude").alias("x"), F.col(value).alias("v"))
-    left, found, ring = targets.select(key, "latitude", "longitude"), None, 1
+    points = known.where(F.col(value).isNotNull()).select(F.col("latitude").alias("y"), F.col("longitude").alias("x"), F.col(value).alias("v"))
+    left, found = targets.select(key, "latitude", "longitude"), None
+    bounds = points.select("y", "x").union(left.select("latitude", "longitude")).agg(F.max("y") - F.min("y"), F.max("x") - F.min("x")).first()
+    span = max(b or 0.0 for b in bounds)
     while True:
-        around = left.withColumn("di", F.explode(F.sequence(F.lit(-ring), F.lit(ring)))).withColumn("dj", F.explode(F.sequence(F.lit(-ring), F.lit(ring))))
-        met = around.select(key, "latitude", "longitude", (at("latitude") + F.col("di")).alias("i"), (at("longitude") + F.col("dj")).alias("j")).join(points, ["i", "j"])
+        at = lambda c: F.floor(F.col(c) / cell).cast("long")  # noqa: B023, E731
+        around = F.sequence(F.lit(-1), F.lit(1))
+        near = left.withColumn("i", F.explode(F.transform(around, lambda d: d + at("latitude")))).withColumn("j", F.explode(F.transform(around, lambda d: d + at("longitude"))))
+        met = near.join(points.select(at("y").alias("i"), at("x").alias("j"), "y", "x", "v"), ["i", "j"])
         d = euclidean(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x"))
-        near = met.groupBy(key).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col("v"))).alias("best"))
-        last = ring >= rings
-        near = near if last else near.where(F.col("best.d") <= ring * cell)
-        part = near.select(key, F.col("best.v").alias(value))
+        best = met.groupBy(key).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col("v"))).alias("best"))
+        last = cell > span
+        round_ = left.join(best, key, "left")
+        round_ = round_ if last else round_.checkpoint()
+        sure = F.lit(True) if last else F.coalesce(F.col("best.d") < cell, F.lit(False))
+        part = round_.where(sure).select(key, F.col("best.v").alias(value))
         found = part if found is None else found.union(part)
-        left = left.join(near.select(key), key, "left_anti")
         if last:
-            return found.union(left.select(key, F.lit(None).alias(value)))
-        ring *= 2
+            return found
+        left = round_.where(~sure).select(key, "latitude", "longitude")
+        if not left.limit(1).count():
+            return found
+        cell *= 2

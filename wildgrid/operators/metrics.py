@@ -21,19 +21,20 @@ METRICS = ("auroc", "auprc", "cbi", "brier", "ece")
 NAN = float("nan")
 
 
-def two_classes(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Group sizes of the groups that are scored: both classes occur."""
-    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_pres"), F.max(missing(F.col("p")).cast("int")).alias("bad")).where("n_pres > 0 and n_pres < n")
-
-
 def _collapsed(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return scored.where(~missing(F.col("p"))).groupBy(*keys, "p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+    """(keys, p, pos, neg): how often each distinct prediction occurs with each class; missing ones, NaN too, as null."""
+    p = F.when(~missing(F.col("p")), F.col("p").cast("double")).alias("p")
+    return scored.groupBy(*keys, p).agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
 
 
 def ranking(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """auroc (ties count a half) and auprc (average precision over distinct thresholds)."""
+    return _ranking(_collapsed(scored, keys), keys)
+
+
+def _ranking(collapsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
-    rows = _collapsed(scored, keys)
+    rows = collapsed.where("p is not null")
     below = F.coalesce(F.sum("neg").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.withColumn("below", below).withColumn("tp", F.sum("pos").over(w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("k", F.sum(F.col("pos") + F.col("neg")).over(w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)))
@@ -67,7 +68,11 @@ def boyce(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Each distinct prediction is sent to the few centres that can hold it and checked exactly there.
     """
-    rows = _collapsed(scored, keys)
+    return _boyce(_collapsed(scored, keys), keys)
+
+
+def _boyce(collapsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = collapsed.where("p is not null")
     totals = rows.groupBy(*keys).agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn")).where("np > 0 and nn > 0")
     low = F.greatest(F.floor((F.col("p") - HALF) * 100) - 1, F.lit(0)).cast("int")
     high = F.least(F.ceil((F.col("p") + HALF) * 100) + 1, F.lit(CENTRES - 1)).cast("int")
@@ -83,11 +88,22 @@ def boyce(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return totals.select(*keys).join(out, list(keys), "left").select(*keys, F.when((F.col("w") >= WINDOWS) & (F.col("d") >= 2), F.col("cbi")).otherwise(F.lit(NAN)).alias("cbi"))
 
 
+def _calibration(collapsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n, n_pres, ece and bad (a prediction is missing) of the groups that are scored: both classes occur."""
+    n, p = F.col("pos") + F.col("neg"), F.col("p")
+    bins = collapsed.groupBy(*keys, bin_of(p).alias("bin")).agg(F.sum(n).alias("n"), F.sum("pos").alias("pos"), F.sum(p * n).alias("sum_p"), F.max(p.isNull().cast("int")).alias("bad"))
+    out = bins.groupBy(*keys).agg(
+        F.sum("n").cast("long").alias("n"), F.sum("pos").cast("long").alias("n_pres"), (F.sum(F.abs(F.col("sum_p") - F.col("pos"))) / F.sum("n")).alias("ece"), F.max("bad").alias("bad")
+    )
+    return out.where("n_pres > 0 and n_pres < n")
+
+
 def per_group(scored: DataFrame, keys: Sequence[str] = ("species",)) -> DataFrame:
-    """All metrics, n, n_pres and prevalence of every group with both classes."""
+    """All metrics, n, n_pres and prevalence of every group with both classes: Brier scores from the rows, the rest from one collapse of them."""
     keys = list(keys)
-    base = two_classes(scored, keys)
-    for part in (ranking(scored, keys), brier(scored, keys), ece(scored, keys), boyce(scored, keys)):
+    rows = _collapsed(scored, keys)
+    base = _calibration(rows, keys)
+    for part in (_ranking(rows, keys), _boyce(rows, keys), brier(scored, keys)):
         base = base.join(part, keys, "left")
     ok = F.col("bad") == 0
     return base.select(*keys, "n", "n_pres", (F.col("n_pres") / F.col("n")).alias("prevalence"), *(F.when(ok, F.col(m)).otherwise(F.lit(NAN)).alias(m) for m in METRICS))
@@ -144,10 +160,14 @@ def best_epoch(log: DataFrame, metric: str) -> DataFrame:
 
 
 def regularisation_summary(rows: DataFrame) -> DataFrame:
-    """rows(reg, species, auroc_val, cbi_val, auroc_train) -> per reg means and gap, the chosen ones and whether it is at the grid's edge."""
+    """rows(reg, species, auroc_val, cbi_val, auroc_train) -> per reg means and gap, the chosen ones and whether it is at the grid's edge.
+
+    Of equally good ones the smallest is chosen.
+    """
     finite = lambda c: F.when(~missing(F.col(c)), F.col(c))
     by = rows.groupBy("reg").agg(F.avg(finite("auroc_val")).alias("auroc"), F.avg(finite("cbi_val")).alias("cbi"), F.avg(F.abs(finite("auroc_val") - finite("auroc_train"))).alias("gap"))
-    pick = by.agg(F.max_by("reg", "auroc").alias("best_auroc"), F.max_by("reg", "cbi").alias("best_cbi"), F.min_by("reg", "gap").alias("best_gap"), F.min("reg").alias("lo"), F.max("reg").alias("hi"))
+    known = lambda c, tie: F.when(F.col(c).isNotNull(), F.struct(F.col(c), tie))
+    pick = by.agg(F.max_by("reg", known("auroc", -F.col("reg"))).alias("best_auroc"), F.max_by("reg", known("cbi", -F.col("reg"))).alias("best_cbi"), F.min_by("reg", known("gap", F.col("reg"))).alias("best_gap"), F.min("reg").alias("lo"), F.max("reg").alias("hi"))
     return by.crossJoin(F.broadcast(pick)).withColumn("at_edge", F.col("best_auroc").isin(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 

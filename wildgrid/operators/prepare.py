@@ -175,9 +175,10 @@ def extent(sites: DataFrame, presence: DataFrame) -> DataFrame:
 
 
 def imputed(df: DataFrame, column: str) -> DataFrame:
-    """Zero counts as missing, and what is missing becomes the mean of the rest."""
-    mean = df.agg(F.avg(F.nullif(F.col(column), F.lit(0.0))).alias("_mean"))
-    return df.crossJoin(F.broadcast(mean)).withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit(0.0)), "_mean")).drop("_mean")
+    """Zero and NaN count as missing, and what is missing becomes the mean of the rest."""
+    there = F.when(~missing(F.col(column)) & (F.col(column) != 0), F.col(column))
+    mean = df.agg(F.avg(there).alias("_mean"))
+    return df.crossJoin(F.broadcast(mean)).withColumn(column, F.coalesce(there, "_mean")).drop("_mean")
 
 
 def effective_number_weights(counts: DataFrame, beta: float) -> DataFrame:

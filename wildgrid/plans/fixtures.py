@@ -62,8 +62,11 @@ class Views:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder of the session (a temporary folder where none is set)."""
+    """A new path in the shared checkpoint folder that the session names; without one, in a temporary folder in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
