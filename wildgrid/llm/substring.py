@@ -39,8 +39,10 @@ ANCHOR = 6
 SAMPLE, SHARE, RARE = 64, 0.125, 64
 #: Words that a task remembers the hashes of, and their bytes.
 WORDS, WORD_BYTES = 300_000, 1 << 24
-SEED = "key long, run long, more int, doc long, twin long, start int, size int, kind int"
+SEED = "key long, run long, more int, doc long, twin long, place long"
 SPAN = "doc long, twin long, begin int, end int, open boolean"
+#: Bits of a seed's place: first word, number of windows, kind.
+SIZE_BITS, KIND_BITS = 16, 2
 #: Kinds of seeds: of an anchor dealt as one, of a frequent one, and of a run that a smaller document of the chunk has.
 PLAIN, FREQUENT, SETTLED = 0, 1, 2
 
@@ -65,8 +67,8 @@ class Windows:
     """Word, anchor and window hashes of many texts at once."""
 
     def __init__(self, length: int, anchor: int = ANCHOR):
-        if not 1 <= anchor <= length:
-            raise ValueError("an anchor has between 1 and `length` words")
+        if not 1 <= anchor <= length < 1 << SIZE_BITS:
+            raise ValueError(f"an anchor has between 1 and `length` words, and a window fewer than {1 << SIZE_BITS}")
         self.length, self.anchor, self.known = length, anchor, _Words()
         #: Odd numbers of which each but one is even once only.
         self.coef = (xxmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(3)).reshape(4, 64)
@@ -167,8 +169,9 @@ def _seeds(length: int, frequent: np.ndarray):
                 kind[order[doc[order] > _lows(_groups(key[order], run[order], more[order]), doc[order])]] = SETTLED
             gone, dealt = kind == SETTLED, kind == FREQUENT
             key = np.where(gone, _place(doc, x["start"]), np.where(dealt, xxmix((key ^ run).view(np.uint64)).view(np.int64), key))
-            columns = [key, np.where(gone, 0, run), np.where(gone, 0, more).astype(np.int32), doc, twins[owner], x["start"].astype(np.int32), x["size"].astype(np.int32), kind.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "run", "more", "doc", "twin", "start", "size", "kind"])
+            place = (x["start"] << (SIZE_BITS + KIND_BITS)) | (x["size"] << KIND_BITS) | kind
+            columns = [key, np.where(gone, 0, run), np.where(gone, 0, more).astype(np.int32), doc, twins[owner], place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "run", "more", "doc", "twin", "place"])
 
     return seeds
 
@@ -185,7 +188,8 @@ def _extend(length: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, run, more, doc, twin, start, size, kind = (c.to_numpy() for c in b.columns)
+            key, run, more, doc, twin, place = (c.to_numpy() for c in b.columns)
+            start, size, kind = place >> (SIZE_BITS + KIND_BITS), place >> KIND_BITS & ((1 << SIZE_BITS) - 1), place & ((1 << KIND_BITS) - 1)
             gone = kind == SETTLED
             out = [(doc[gone], twin[gone], start[gone], size[gone], np.zeros(int(gone.sum()), bool))]
             rows = [c[~gone] for c in (key, run, more, doc, twin, start, size, kind)]
