@@ -6,7 +6,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from wildgrid.llm import substring, toxicity  # noqa: E402
+from wildgrid.llm import packing, secrets, substring, toxicity  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -70,9 +70,74 @@ def test_stages(spark, corpus):
     assert sum(b.used for b in bins) == sum(len((t or "").split()) + 1 for t in texts.values())
 
 
-def test_run(spark, corpus):
+def shingles(text):
+    words = (text or "").lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def brute_pipeline(rows, scores):
+    """The five stages over (doc_id, text), one after the other; scores: of toxicity, whose definition is tested by itself."""
+    kept = [(i, t) for i, t in rows if scores[i] < 0.3]
+    home, sets = {i: i for i, _ in kept}, {i: shingles(t) for i, t in kept}
+    for i in home:
+        for j in home:
+            both = len(sets[i] & sets[j])
+            if i < j and home[i] != home[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((home[i], home[j]))
+                home = {d: low if h == high else h for d, h in home.items()}
+    alone = [(i, t) for i, t in kept if home[i] == i]
+    least = {}
+    for i, t in alone:
+        w = (t or "").split()
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(i, least.get(tuple(w[k : k + 13]), i))
+    encode, cut = secrets.load(secrets.default_vocabulary()).encode_ordinary, []
+    for i, t in alone:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        t = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else t
+        spans = [(m.start(2), m.end(2)) for m in secrets.ASSIGN.finditer(t or "") if len(m[2]) >= 6]
+        spans += [s[1:] for s in secrets.base_spans(t or "") + secrets.random_spans(t or "", encode) if s[0] != "assign"]
+        hidden = {c for a, b in spans for c in range(a, b)}
+        if hidden:
+            t = "".join("[SECRET]" if c in hidden and c - 1 not in hidden else "" if c in hidden else x for c, x in enumerate(t))
+        cut.append((i, len((t or "").split()) + 1))
+    pieces = [(i, s, min(4096, n - s)) for i, n in sorted(cut) for s in range(0, n, 4096)]
+    return sorted((c, [pieces[k][0] for k in b], [pieces[k][1] for k in b], [pieces[k][2] for k in b]) for c, b in packing.pack([p[2] for p in pieces]))
+
+
+def test_run_equals_brute_force(spark, corpus):
     bins = corpus_pipeline.run(spark, corpus).collect()
-    assert bins and all(sum(b.sizes) == b.used <= b.capacity for b in bins)
+    docs = corpus_pipeline.table(spark, corpus, "documents")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, corpus_pipeline.table(spark, corpus, "labels"))).collect()}
+    want = brute_pipeline([(r.doc_id, r.text) for r in docs.collect()], scores)
+    assert sorted((b.capacity, b.doc_ids, b.starts, b.sizes) for b in bins) == want
+    assert all(sum(b.sizes) == b.used <= b.capacity for b in bins)
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, doc int, twin int, spans int, cut int, n_words int, kept boolean, score double"
+
+
+def test_stages_on_awkward_tables(spark, corpus):
+    """Null ids and columns, repeated rows, a very long text and clashing names pass through every stage; an empty table gives an empty one."""
+    rnd = random.Random(23)
+    same = " ".join(f"v{rnd.randint(0, 4000)}" for _ in range(40))
+    long_ = " ".join(f"v{rnd.randint(0, 4000)}" for _ in range(30_000))
+    more = ("h", 1, 2, 3, 4, 5, True, 0.5)
+    rows = [(None, same, None, None, None), (None, same, None, None, None), (None, None, None, None, None), (1, same, "en", "s", 0), (1, same, "en", "s", 0), (1, "quite another text", "en", "s", 0), (2, "", "en", "s", 0), (3, " \n ", "en", "s", 0), (4, long_, None, "s", 0)]
+    docs = spark.createDataFrame([(*r, *more) for r in rows], AWKWARD)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = (corpus_pipeline.materialise(stage(spark, d, corpus), name) for d in (docs, empty))
+        got = docs.collect()
+        assert docs.columns == empty.columns == [c.split()[0] for c in AWKWARD.split(", ")] and empty.count() == 0
+        assert all(tuple(r)[5:] == more for r in got)
+    assert sum(r.doc_id is None for r in got) == 3 and sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 1, 2, 4]
+    assert len({r.text for r in got if r.doc_id == 1}) == 2
+    pack = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    assert pack(spark, empty, corpus).count() == 0
+    assert sum(len(b.doc_ids) for b in pack(spark, docs, corpus).collect()) == 6 + -(-30_001 // 4096)
 
 
 def test_near_duplicates_of_repeated_ids(spark):
