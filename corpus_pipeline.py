@@ -18,7 +18,10 @@ from wildgrid.llm.toxicity import accepted, fit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go.
+
+    A null text is scored as an empty one; equal texts have equal scores, so repeated rows go or stay together; ids do not count.
+    """
     return accepted(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -38,17 +41,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 or more words that a document with a smaller id has are cut out; other texts stay as they are."""
+    """Passages of 13 or more words that a document with a smaller id has are cut out; other texts, null ones too, stay as they are.
+
+    A missing id counts as the largest; rows that share an id keep their words from each other.
+    """
     return _measured(cut_texts(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every row stays, and a text without any, or null, as it is."""
     return _measured(redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: the bins with the ids, first words and sizes of their pieces."""
+    """Training sequences: the bins with the ids, first words and sizes of their pieces; every row is placed, null ids and texts too."""
     return best_fit_packing(docs)
 
 
@@ -64,7 +70,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests compare run() with a brute-force version.
+#: SQL can express neither the classifier nor the packing; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
