@@ -108,7 +108,7 @@ def test_sources(sites):
     few = neighbours.sources(sites, sites.where("site_id < 4"), 6, "s").collect()
     assert all(r.source_id < 4 for r in few)
     with pytest.raises(ValueError):
-        neighbours.sources(sites, sites, 6, "s", budget=100)
+        neighbours._pairs(sites, sites, 100)
 
 
 def test_nearer_sites_are_drawn_more_often(spark):
@@ -119,9 +119,29 @@ def test_nearer_sites_are_drawn_more_often(spark):
     assert 38 <= hits <= 58  # four times as likely
 
 
-def test_cell_sources(sites):
-    for r in neighbours.cell_sources(sites, sites, 4, "c").collect():
-        assert r.target_id != r.source_id and r.slot >= 1
+@pytest.mark.parametrize("with_time", [False, True])
+def test_tree_draws_by_the_exact_law(spark, with_time):
+    import numpy as np
+
+    rnd, n, targets = np.random.default_rng(3), 4, 600
+    spots = [(40.0 + rnd.normal() * s, -100.0 + rnd.normal() * s, float(rnd.integers(0, 200))) for s in (0.05, 1.0, 20.0) for _ in range(25)]
+    spots += [(40.0, -100.0, 100.0)] * 2 + [(41.0, -101.0, 50.0)] * 40  # at the targets, and many at one place
+    pool = spark.createDataFrame([(i, float(y), float(x), t) for i, (y, x, t) in enumerate(spots)], "site_id long, latitude double, longitude double, t_days double")
+    here = spark.range(1000, 1000 + targets).select(F.col("id").alias("site_id"), F.lit(40.0).alias("latitude"), F.lit(-100.0).alias("longitude"), F.lit(100.0).alias("t_days"), F.lit(200.0).alias("d_scale"), F.lit(30.0).alias("t_scale"))
+    rows = neighbours.tree.sampled(neighbours.tree.Tree(pool, with_time), here, n, "s", with_time).collect()
+    assert len(rows) == n * targets and len({(r.target_id, r.source_id) for r in rows}) == n * targets and {r.slot for r in rows} == {1, 2, 3, 4}
+    d = np.array([km((40.0, -100.0), s[:2]) for s in spots]) / 200
+    w = 1 / ((np.hypot(d, [abs(s[2] - 100) / 30 for s in spots]) if with_time else d) + 1e-6)
+    keys = -np.log(rnd.random((20_000, len(w)))) / w
+    share = np.bincount(np.argsort(keys, axis=1)[:, :n].ravel(), minlength=len(w)) / 20_000
+    got = np.bincount([r.source_id for r in rows], minlength=len(w)) / targets
+    assert np.abs(got - share).max() < 5 * np.sqrt(0.25 / targets) and (((got - share) ** 2) / (share * (1 - share) / targets + 1e-9))[share < 0.999].mean() < 1.6
+    assert all(r.weight == pytest.approx(w[r.source_id]) for r in rows[:50])
+
+
+def test_tree_mode_of_sites_among_themselves(spark, sites):
+    rows = neighbours.sources(sites, sites, 6, "s", budget=100).collect()
+    assert len(rows) == 6 * 120 and all(r.target_id != r.source_id for r in rows) and len({(r.target_id, r.source_id) for r in rows}) == 6 * 120
 
 
 def test_logistic_fit(spark):

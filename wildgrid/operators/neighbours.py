@@ -1,9 +1,8 @@
 """Sampling of neighbouring sites and the predictor built on it.
 
 Draws follow weights 1 / (distance + 1e-6) without replacement, by the keys -ln(u) / w of which the
-smallest are taken; u comes from seed, target and source.  The exact mode looks at every pair
-of target and pool and refuses to start above a budget of pairs; the cell mode draws a cell first (weight: its sites over the
-distance to its centre), then a site inside by its own distance, so its cost is targets times cells.
+smallest are taken; u comes from seed, target and source.  The exact mode looks at every pair of target and pool.  Above a
+budget of pairs the tree mode takes over (see tree), which draws by the same law and whose cost grows with the targets.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import haversine_km, space_time
+from . import tree
 
 EPS = 1e-6
 PAIRS = 500_000_000
@@ -45,10 +45,10 @@ def pair_draw(seed: str, target: Column, source: Column) -> Column:
     return (x + 1) / F.lit(float(_P + 1))
 
 
-def _pairs(targets: DataFrame, pool: DataFrame, budget: int) -> DataFrame:
-    n = targets.count() * pool.count()
-    if n > budget:
-        raise ValueError(f"{n} pairs are above the budget of {budget}: use the cell mode")
+def _pairs(targets: DataFrame, pool: DataFrame, budget: int | None) -> DataFrame:
+    n = targets.count() * pool.count() if budget is not None else 0
+    if budget is not None and n > budget:
+        raise ValueError(f"{n} pairs are above the budget of {budget}: use tree_sources")
     t = targets.select(F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("t_days").alias("t_t"), number_of(F.col("site_id")).alias("t_number"))
     s = pool.select(F.col("site_id").alias("source_id"), "latitude", "longitude", "t_days", number_of(F.col("site_id")).alias("s_number"))
     both = t.join(s, F.col("target_id") != F.col("source_id"))
@@ -63,20 +63,27 @@ def _take(pairs: DataFrame, weight: Column, n: int, seed: str) -> DataFrame:
 
 def scales(pairs: DataFrame, n: int, seed: str) -> DataFrame:
     """First stage: n sources near in space; the medians of their distances and gaps (and 1e-6) are the target's scales."""
-    first = _take(pairs, 1 / (F.col("d") + EPS), n, f"{seed}#1")
+    return _medians(_take(pairs, 1 / (F.col("d") + EPS), n, f"{seed}#1"))
+
+
+def _medians(first: DataFrame) -> DataFrame:
     return first.groupBy("target_id").agg((F.percentile("d", F.lit(0.5)) + EPS).alias("d_scale"), (F.percentile("gap", F.lit(0.5)) + EPS).alias("t_scale"))
 
 
 def sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, with_time: bool = True, budget: int = PAIRS) -> DataFrame:
     """(target_id, slot, source_id, d, gap, weight): n sources of each target, near in space and time on the target's scales.
 
-    If the pool has no more than n other sites, draws are made with replacement instead.
+    If the pool has fewer than n other sites, draws are made with replacement instead.  Above `budget` pairs the sources are drawn
+    over a tree of the pool: by the same law, but they are other draws.
     """
-    pairs = _pairs(targets, pool, budget)
+    size = pool.count()
+    if targets.count() * size > budget and size - 1 > n:
+        return tree_sources(targets, pool, n, seed, with_time)
+    pairs = _pairs(targets, pool, None)
     at = pairs.join(scales(pairs, n, seed), "target_id")
     distance = space_time(F.col("d"), F.col("gap"), F.col("d_scale"), F.col("t_scale")) if with_time else F.col("d") / F.col("d_scale")
     at = at.withColumn("weight", 1 / (distance + EPS))
-    if pool.count() - 1 < n:
+    if size - 1 < n:
         return with_replacement(at, n, seed)
     return _take(at, F.col("weight"), n, f"{seed}#2").select("target_id", "slot", "source_id", "d", "gap", "weight")
 
@@ -90,26 +97,13 @@ def with_replacement(weighted: DataFrame, n: int, seed: str) -> DataFrame:
     return hit.select("target_id", "slot", "source_id", "d", "gap", "weight")
 
 
-def cell_sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, degrees: float = 5.0, tries: int = 3) -> DataFrame:
-    """(target_id, slot, source_id, d): up to n sources of each target, drawn by cells; no pair of sites is formed that is not drawn.
-
-    `tries` draws are made for each of the n; sources drawn twice and the target itself fall out, the first n stay.
-    """
-    cell = lambda df: df.withColumn("cell", F.floor(F.col("latitude") / degrees).cast("long") * 1000 + F.floor(F.col("longitude") / degrees).cast("long"))
-    member = cell(pool).select("cell", F.col("site_id").alias("source_id"), "latitude", "longitude")
-    member = member.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(F.md5(F.col("source_id").cast("string")), "source_id")))
-    cells = member.groupBy("cell").agg(F.count("*").alias("size"), F.avg("latitude").alias("c_lat"), F.avg("longitude").alias("c_lon"))
-    at = targets.select(F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"))
-    near = at.crossJoin(F.broadcast(cells)).withColumn("w", F.col("size") / (haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("c_lat"), F.col("c_lon")) + degrees * 10))
-    w = Window.partitionBy("target_id")
-    near = near.withColumn("hi", F.sum("w").over(w.orderBy("cell"))).withColumn("total", F.sum("w").over(w))
-    tried = near.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(n * tries)))).withColumn("u", draw(seed, F.col("target_id"), F.col("t")) * F.col("total"))
-    drawn = tried.where((F.col("u") <= F.col("hi")) & (F.col("u") > F.col("hi") - F.col("w")))
-    drawn = drawn.withColumn("rank", (F.floor(draw(f"{seed}#m", F.col("target_id"), F.col("t")) * F.col("size")) + 1).cast("int"))
-    met = drawn.join(member, ["cell", "rank"]).where("target_id <> source_id")
-    met = met.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude")))
-    once = met.groupBy("target_id", "source_id").agg(F.min("t").alias("t"), F.first("d").alias("d"))
-    return once.withColumn("slot", F.row_number().over(w.orderBy("t"))).where(F.col("slot") <= n).select("target_id", "slot", "source_id", "d")
+def tree_sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, with_time: bool = True) -> DataFrame:
+    """sources() by the same law without looking at each pair; the pool must have more than n sites besides any target."""
+    columns = ("site_id", "latitude", "longitude", "t_days")
+    ones = targets.select(*columns, F.lit(1.0).alias("d_scale"), F.lit(1.0).alias("t_scale"))
+    first = tree.sampled(tree.Tree(pool.select(*columns), False), ones, n, f"{seed}#1", False)
+    at = targets.select(*columns).join(_medians(first).withColumnRenamed("target_id", "site_id"), "site_id")
+    return tree.sampled(tree.Tree(pool.select(*columns), with_time), at, n, f"{seed}#2", with_time)
 
 
 def gathered(drawn: DataFrame, presence: DataFrame) -> DataFrame:

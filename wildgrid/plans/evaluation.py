@@ -225,9 +225,9 @@ def _(v):
     return neighbours.with_replacement(at, 5, "e").select("target_id", "slot", "source_id")
 
 
-@query("e04_cell_sources")
+@query("e04_tree_sources")
 def _(v):
-    return neighbours.cell_sources(v.stations, v.pool, N, "c")
+    return neighbours.tree_sources(v.stations, v.pool, N, "c")
 
 
 @query("e04_train_sources", "SELECT target_id, slot, source_id FROM sources", _pairs_sql("t").replace("FROM pool)", "FROM pool WHERE site_id % 5 <> 0)"))
