@@ -158,6 +158,52 @@ def test_logistic_fit(spark):
     assert abs(residual.sum()) < 1e-3 and np.abs(residual @ x).max() < 1e-3
 
 
+def newton(x, y, ridge, steps=60):
+    import numpy as np
+
+    x = np.hstack([np.ones((len(x), 1)), x])
+    penalty, b = np.r_[0.0, np.full(x.shape[1] - 1, ridge)], np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * b)
+    return b
+
+
+def test_many_fits_equal_direct_ones(spark):
+    import numpy as np
+
+    rnd, rows, names = np.random.default_rng(7), [], [f"f{i}" for i in range(5)]
+    for g in range(6):
+        x = rnd.normal(size=(300, 5))
+        y = (rnd.random(300) < 1 / (1 + np.exp(-x @ rnd.normal(size=5)))).astype(int)
+        rows += [(g, int(t), *map(float, v)) for t, v in zip(y, x)]
+    more = [(0, 1, float("nan"), 0.0, 0.0, 0.0, 0.0), (1, 0, None, 0.0, 0.0, 0.0, 0.0), (9, 0, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + more, "g int, y int, " + ", ".join(f"{n} double" for n in names)).repartition(5)
+    fits = models.logistic_fits(df, ["g"], names, ridge=[0.5, 8.0]).collect()
+    assert {(f.reg, f.g) for f in fits} == {(r, g) for r in (0.5, 8.0) for g in range(6)} and all(f.converged for f in fits)
+    for f in fits:
+        part = np.array([r for r in rows if r[0] == f.g])
+        assert np.allclose([f.b0, *(f[f"b_{n}"] for n in names)], newton(part[:, 2:], part[:, 1], f.reg), atol=1e-6)
+
+
+def test_systems_without_a_solution_are_not_converged(spark):
+    rows = [(g, i % 2, float(i % 2) * 50 if g == 0 else float(i % 5)) for g in (0, 1) for i in range(40)]
+    fits = {f.g: f for f in models.logistic_fits(spark.createDataFrame(rows, "g int, y int, u double"), ["g"], ["u"], ridge=0.0, rounds=12).collect()}
+    assert fits[1].converged and len(fits) == 2
+
+
+def test_the_ridge_is_chosen_on_validation_rows(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    make = lambda n: [(s, int(rnd.random() < 1 / (1 + np.exp(-a))), float(a), float(b)) for s in "ab" for a, b in rnd.normal(size=(n, 2))]
+    schema = "species string, y int, u double, v double"
+    train, val = (spark.createDataFrame(make(n), schema) for n in (80, 200))
+    df, names = models.quadratic(train, ["u", "v"])
+    fits = models.chosen(df, models.quadratic(val, ["u", "v"])[0], spark.createDataFrame([("a",)], "species string"), names, grid=(1, 32)).collect()
+    assert sorted(f.species for f in fits) == ["a", "b"] and len({f.reg for f in fits}) == 1 and fits[0].reg in (1.0, 32.0)
+
+
 def test_temperature_of_calibrated_scores_is_one(spark):
     rows = [(p / 10, y) for p in range(1, 10) for y in [1] * p + [0] * (10 - p)]
     assert models.temperature(spark.createDataFrame(rows, "p double, y int")).first().temperature == pytest.approx(1.0)

@@ -6,73 +6,129 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import logit, sigmoid
+from ..functions.expr import logit, missing, sigmoid
+from ..plans.fixtures import scratch
+from .metrics import ranking
 
-#: Groups times coefficients that may be held on the driver between passes.
-COEFFICIENTS = 5_000_000
+#: Bytes of cross products that a task holds before it passes them on.
+HELD = 1 << 26
 
 
-def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str], ridge: float | str = 1e-6, rounds: int = 8, tolerance: float = 1e-8) -> DataFrame:
+def _sums(d: int):
+    """Rows (unit, y, x, b) -> (unit, sums): of each unit of a task the cross products, the gradient and the log-likelihood."""
+
+    def sums(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["unit", "sums"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x, b = (batch.column(i).flatten().to_numpy().reshape(-1, d) for i in (2, 3))
+            z = np.clip((x * b).sum(axis=1), -30, 30)
+            p = 1 / (1 + np.exp(-z))
+            like = y * z - np.maximum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+            order = np.argsort(unit, kind="stable")
+            cuts = np.flatnonzero(np.diff(unit[order])) + 1
+            for at in np.split(order, cuts):
+                xi = x[at]
+                part = np.r_[((xi.T * (p[at] * (1 - p[at]))) @ xi).ravel(), xi.T @ (y[at] - p[at]), like[at].sum()]
+                u = int(unit[at[0]])
+                held[u] = held[u] + part if u in held else part
+            if len(held) * (d * d + d + 1) * 8 > HELD:
+                yield out()
+        if held:
+            yield out()
+
+    return sums
+
+
+def _newton(d: int, tolerance: float):
+    """The next state of a unit from its state and the sums of all tasks."""
+
+    def newton(state, sums):
+        import pandas as pd
+
+        if not len(state):
+            return pd.DataFrame()
+        s = state.iloc[0].to_dict()
+        total = np.sum(np.stack(sums.sums.to_numpy()), axis=0)
+        h, g, like = total[: d * d].reshape(d, d), total[d * d : -1], total[-1]
+        b, step, penalty = np.array(s["b"]), np.array(s["step"]), s["ridge"] * np.r_[0.0, np.ones(d - 1)]
+        like -= (penalty * b * b).sum() / 2
+        s["rounds"] += 1
+        if like < s["best"] - 1e-9:
+            step = step / 2
+            b = b - step
+        else:
+            s["best"] = like
+            try:
+                step = np.linalg.solve(h + np.diag(penalty + 1e-12), g - penalty * b)
+            except np.linalg.LinAlgError:
+                step = np.full(d, np.nan)
+            if np.isfinite(step).all():
+                s["converged"] = bool(np.abs(step).max() < tolerance)
+                s["settled"] = s["converged"]
+                b = b + step
+            else:  # no fit: it stays as it was, and is not converged
+                s["settled"], step = True, np.zeros(d)
+        return pd.DataFrame([{**s, "b": b.tolist(), "step": step.tolist()}])
+
+    return newton
+
+
+def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str], ridge: float | Sequence[float] = 1e-6, rounds: int = 25, tolerance: float = 1e-8) -> DataFrame:
     """rows(keys, y, features) -> (keys, converged, rounds, b0, b_<feature>...): one logistic regression per group.
 
-    Each pass over the data is one aggregate of the weighted cross products of all groups; only the small
-    systems (a row a group) are solved on the driver.  Groups of one class are skipped.  ridge: a number, or
-    the name of a key that holds it (for sweeps).  A step is halved while it lowers the likelihood.
+    The rows needed are written once.  In each pass tasks add up the cross products of the groups they hold, so a large group is
+    the work of many, and the small systems are solved group by group; coefficients are a written table.  Groups of one class are
+    skipped, rows with a missing y or feature left out; a system without a solution leaves its group not converged.  ridge: a number, or
+    several, and then a column reg tells the fits apart, all of which share each pass.  A step is halved while it lowers the likelihood.
     """
     keys, names = list(keys), ["b0", *(f"b_{f}" for f in features)]
-    d = len(names)
-    x = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
-    usable = rows.groupBy(*keys).agg(F.sum("y").alias("_n1"), F.count("*").alias("_n")).where("_n1 > 0 and _n1 < _n").select(*keys)
-    groups = [tuple(r) for r in usable.collect()]
-    if len(groups) * d > COEFFICIENTS:
-        raise ValueError(f"{len(groups)} groups of {d} coefficients are above the bound of {COEFFICIENTS}")
-    data = rows.join(F.broadcast(usable), keys, "left_semi")
-    b, step = {g: np.zeros(d) for g in groups}, {g: np.zeros(d) for g in groups}
-    best, settled = dict.fromkeys(groups, -math.inf), dict.fromkeys(groups, False)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    spark = rows.sparkSession
-    schema = rows.select(*keys).schema
-    for n in names:
-        schema = schema.add(f"_{n}", "double")
-    done = 0
-    while groups and done < rounds and not all(settled.values()):
-        done += 1
-        now = spark.createDataFrame([(*g, *map(float, b[g])) for g in groups], schema)
-        z = sum((x[i] * F.col(f"_{n}") for i, n in enumerate(names)), F.lit(0.0))
-        z = F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
-        p = sigmoid(F.col("_z"))
-        fit = data.join(F.broadcast(now), keys).withColumn("_z", z).withColumn("_p", p).withColumn("_w", p * (1 - p))
-        sums = [F.sum(F.col("_w") * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum((F.col("y") - F.col("_p")) * x[i]).alias(f"g{i}") for i in range(d)]
-        loss = F.sum(F.col("y") * F.col("_z") - F.greatest("_z", F.lit(0.0)) - F.log1p(F.exp(-F.abs("_z")))).alias("like")
-        for r in fit.groupBy(*keys).agg(*sums, loss).collect():
-            g = tuple(r[k] for k in keys)
-            lam = float(r[ridge]) if isinstance(ridge, str) else ridge
-            penalty = lam * np.diag([0.0, *[1.0] * (d - 1)])
-            like = r["like"] - b[g] @ penalty @ b[g] / 2
-            if like < best[g] - 1e-9:
-                step[g] = step[g] / 2
-                b[g] = b[g] - step[g]
-                continue
-            best[g] = like
-            h = np.zeros((d, d))
-            for i, j in pairs:
-                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-            step[g] = np.linalg.solve(h + penalty + 1e-12 * np.eye(d), np.array([r[f"g{i}"] for i in range(d)]) - penalty @ b[g])
-            settled[g] = bool(np.abs(step[g]).max() < tolerance)
-            b[g] = b[g] + step[g]
-    out = rows.select(*keys).schema.add("converged", "boolean").add("rounds", "integer")
-    for n in names:
-        out = out.add(n, "double")
-    return spark.createDataFrame([(*g, settled[g], done, *map(float, b[g])) for g in groups], out)
-
-
-def predicted(rows: DataFrame, fits: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """rows with the prediction of their group's model."""
+    d, spark = len(names), rows.sparkSession
+    x = F.array(F.lit(1.0), *(F.col(f).cast("double") for f in features))
+    ridges = [float(r) for r in ([ridge] if isinstance(ridge, (int, float)) else ridge)]
+    data = _written(rows.select(F.xxhash64(*keys).alias("group"), *keys, F.col("y").cast("double").alias("y"), x.alias("x")).sortWithinPartitions("group"), "design")
+    data = data.where(~missing(F.col("y")) & ~F.exists("x", missing))  # once written, as a filter before would work out every feature twice
+    groups = data.groupBy("group", *keys).agg(F.sum("y").alias("_n1"), F.count("*").alias("_n")).where("_n1 > 0 and _n1 < _n").drop("_n1", "_n")
+    zeros = F.array_repeat(F.lit(0.0), d)
+    state = groups.withColumn("ridge", F.explode(F.array(*map(F.lit, ridges)))).select(
+        F.xxhash64("group", "ridge").alias("unit"), "group", *keys, "ridge", zeros.alias("b"), zeros.alias("step"), F.lit(-math.inf).alias("best"), F.lit(0).alias("rounds"), F.lit(False).alias("converged"), F.lit(False).alias("settled")
+    )
+    state, done = _written(state, "state"), None
+    for _ in range(rounds):
+        part = data.select("group", "y", "x").join(state.select("unit", "group", "b"), "group").select("unit", "y", "x", "b").mapInArrow(_sums(d), "unit long, sums array<double>")
+        state = _written(state.groupBy("unit").cogroup(part.groupBy("unit")).applyInPandas(_newton(d, tolerance), state.schema), "state")
+        over = state.where("settled")
+        done = over if done is None else done.union(over)
+        state = state.where("not settled")
+        if not state.limit(1).count():
+            break
+    out = state if done is None else done.union(state)
+    reg = [] if isinstance(ridge, (int, float)) else [F.col("ridge").alias("reg")]
+    return out.select(*reg, *keys, "converged", "rounds", *(F.get("b", i).alias(n) for i, n in enumerate(names)))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def predicted(rows: DataFrame, fits: DataFrame, keys: Sequence[str], features: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """rows with the prediction of their group's model; more: columns of fits to keep (a row for each of several models of a group)."""
     z = F.col("b0") + sum((F.col(f"b_{f}") * F.col(f) for f in features), F.lit(0.0))
-    return rows.join(F.broadcast(fits) if fits.count() <= COEFFICIENTS // 100 else fits, list(keys)).withColumn("predicted", sigmoid(z)).select(*rows.columns, "predicted")
+    return rows.join(fits, list(keys)).withColumn("predicted", sigmoid(z)).select(*rows.columns, *more, "predicted")
 
 
 def seasonal_basis(df: DataFrame, doy: str, knots: int = 12, period: float = 365.25) -> tuple[DataFrame, list[str]]:
@@ -90,10 +146,29 @@ def spatial_basis(df: DataFrame, centres: Sequence[tuple[float, float]], width:
     return df.withColumns({n: F.exp(-d2(c) / (2 * width * width)) for n, c in zip(names, centres, strict=True)}), names
 
 
-def sweep(rows: DataFrame, keys: Sequence[str], features: Sequence[str], grid: Sequence[float] = (1, 2, 4, 8, 16, 32), rounds: int = 8) -> DataFrame:
-    """Fits of every group for every ridge of the grid, in one job per pass."""
-    grid_df = rows.sparkSession.createDataFrame([(float(g),) for g in grid], "reg double")
-    return logistic_fits(rows.crossJoin(F.broadcast(grid_df)), ["reg", *keys], features, ridge="reg", rounds=rounds)
+def quadratic(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The features and their squares, as columns."""
+    squares = {f"{f}_2": F.pow(F.col(f), 2) for f in features}
+    return df.withColumns(squares), [*features, *squares]
+
+
+def sweep(rows: DataFrame, keys: Sequence[str], features: Sequence[str], grid: Sequence[float] = (1, 2, 4, 8, 16, 32), rounds: int = 25) -> DataFrame:
+    """Fits of every group for every ridge of the grid (column reg); all share one pass over the rows at a time."""
+    return logistic_fits(rows, keys, features, ridge=[float(g) for g in grid], rounds=rounds)
+
+
+def chosen(train: DataFrame, validation: DataFrame, species: DataFrame, features: Sequence[str], grid: Sequence[float] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
+    """Fits of all species with the ridge that serves a sample of them best: (species, reg, converged, rounds, b0, ...).
+
+    train and validation have species, y and the features, species the sample.  The ridge is that of the largest mean auroc on
+    the validation rows, of equal ones the smallest.
+    """
+    few = sweep(train.join(F.broadcast(species), "species", "left_semi"), ["species"], features, grid)
+    scored = predicted(validation.select("species", "y", *features), few, ["species"], features, more=["reg"]).withColumnRenamed("predicted", "p")
+    by = ranking(scored, ["reg", "species"]).groupBy("reg").agg(F.avg("auroc").alias("auroc"))
+    best = by.orderBy(F.desc(F.round("auroc", 12)), "reg").first()  # a row a ridge of the grid
+    reg = best.reg if best else float(min(grid))
+    return logistic_fits(train, ["species"], features, ridge=[reg])
 
 
 def temperature(scored: DataFrame, low: float = -2.0, high: float = 2.0, steps: int = 80) -> DataFrame:

@@ -121,6 +121,20 @@ def neighbour_prediction(drawn: DataFrame, presence: DataFrame, species: DataFra
     return every.join(there, ["target_id", "species"], "left").select("target_id", "species", (F.coalesce("w", F.lit(0.0)) / F.col("total")).alias("p"))
 
 
+def training_rows(drawn: DataFrame, masks: DataFrame, presence: DataFrame, env: DataFrame) -> DataFrame:
+    """(target_id, env, states, sources): what a trainer reads, a row for each target.
+
+    masks: site_id, species, state and label of the targets; env: site_id and env of targets and sources.  states are
+    (species, state, label) by species, sources (slot, source_id, env, d, gap, species) by slot.
+    """
+    there = presence.groupBy(F.col("site_id").alias("source_id")).agg(F.array_sort(F.collect_set("species")).alias("species"))
+    rows = drawn.join(there, "source_id", "left").join(env.withColumnRenamed("site_id", "source_id"), "source_id", "left")
+    one = F.struct("slot", "source_id", "env", "d", "gap", F.coalesce("species", F.array().cast("array<string>")).alias("species"))
+    sources = rows.groupBy("target_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
+    states = masks.groupBy(F.col("site_id").alias("target_id")).agg(F.array_sort(F.collect_list(F.struct("species", "state", "label"))).alias("states"))
+    return sources.join(states, "target_id").join(env.withColumnRenamed("site_id", "target_id"), "target_id", "left").select("target_id", "env", "states", "sources")
+
+
 def with_grid(observations: DataFrame, grid: DataFrame) -> DataFrame:
     """Observations and prediction points together; kind tells them apart, and only obs may be sources."""
     return observations.withColumn("kind", F.lit("obs")).unionByName(grid.withColumn("kind", F.lit("grid")), allowMissingColumns=True)

@@ -6,7 +6,8 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from .registry import CELLS, PRES, Views, _cells, _draw, _km, _presence, logit, metrics, models, neighbours, number, query, scratch, sigmoid, sinks
+from .lookups import _mask
+from .registry import BLOCKS, CELLS, ENV, Views, _draw, _env, _km, _split, fourier, logit, masking, metrics, models, neighbours, number, prepare, query, scratch, sinks
 
 HIST = "hist AS (SELECT species, model, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM scored GROUP BY species, model, p), tot AS (SELECT species, model, sum(pos) AS np, sum(neg) AS nn FROM hist GROUP BY species, model HAVING sum(pos) > 0 AND sum(neg) > 0)"
 RANK = """cum AS (SELECT h.*, np, nn, coalesce(sum(neg) OVER (PARTITION BY h.species, h.model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
@@ -271,10 +272,31 @@ def _(v):
     return neighbours.neighbour_prediction(drawn, v.pool_presence.join(F.broadcast(one), "species", "left_semi"), one).select("target_id", F.round("p", 6).alias("p"))
 
 
-@query("g09_training_rows")
+ENV_AT = "CAST(floor((latitude - 7) / 5) AS BIGINT) * 24 + CAST(floor((longitude + 170) / 5) AS BIGINT)"
+TRAINING = f"""place AS (SELECT site_id, {ENV_AT} AS cell FROM (SELECT site_id, latitude, longitude FROM stations UNION ALL SELECT site_id, latitude, longitude FROM pool) p),
+place_env AS (SELECT site_id, value AS env FROM place LEFT JOIN raster_static USING (cell)),
+seen AS (SELECT site_id + 10000000 AS site_id, species FROM pool_presence),
+rows AS (SELECT s.site_id, x.species, CASE WHEN q.species IS NULL THEN 0 ELSE 1 END AS present FROM stations s CROSS JOIN (SELECT DISTINCT species FROM seen) x LEFT JOIN seen q ON q.site_id = s.site_id AND q.species = x.species),
+{_mask('0.5', 'g9', False)},
+states AS (SELECT site_id, string_agg(species || ':' || CAST(CASE WHEN masked THEN 2 ELSE present END AS VARCHAR), ',' ORDER BY species) AS states,
+  string_agg(CASE WHEN masked THEN species || ':' || CAST(present AS VARCHAR) END, ',' ORDER BY species) AS labels FROM masks GROUP BY site_id),
+near AS (SELECT target_id, string_agg(CAST(slot AS VARCHAR) || ':' || CAST(source_id AS VARCHAR) || ':' || CAST(round(coalesce(env, -1), 2) AS VARCHAR), ';' ORDER BY slot) AS sources FROM sources JOIN place_env ON source_id = site_id GROUP BY target_id)"""
+
+
+@query("g09_training_rows", "SELECT target_id, states, labels, sources, round(env, 2) AS env FROM near JOIN states ON target_id = states.site_id JOIN place_env ON target_id = place_env.site_id", f"{_pairs_sql('e')}, {TRAINING}")
 def _(v):
-    drawn = neighbours.sources(v.stations, v.pool, N, "e")
-    return neighbours.gathered(drawn, v.pool_presence).join(v.stations.withColumnRenamed("site_id", "target_id"), "target_id")
+    at = F.expr(ENV_AT).alias("cell")
+    place = v.stations.select("site_id", at).union(v.pool.select("site_id", at))
+    env = place.join(v.raster_static.select("cell", F.col("value").alias("env")), "cell", "left").select("site_id", "env")
+    seen = v.pool_presence.select((F.col("site_id") + 10000000).alias("site_id"), "species")
+    masks = masking.masked(masking.entries(v.stations, seen), 0.5, "g9")
+    out = neighbours.training_rows(neighbours.sources(v.stations, v.pool, N, "e"), masks, v.pool_presence, env)
+    path = scratch(v.spark, "training")
+    out.write.parquet(path)
+    rows = v.spark.read.parquet(path)
+    pairs = lambda c, value: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["species"], x[value])), ",")
+    near = F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["slot"], x["source_id"], F.round(F.coalesce(x["env"], F.lit(-1.0)), 2))), ";")
+    return rows.select("target_id", pairs("states", "state").alias("states"), F.nullif(pairs(F.filter("states", lambda x: x["label"].isNotNull()), "label"), F.lit("")).alias("labels"), near.alias("sources"), F.round("env", 2).alias("env"))
 
 
 # --- models --------------------------------------------------------------------------------------
@@ -286,30 +308,71 @@ def _rows(v: Views):
     return v.scored.join(x, "site_id")
 
 
-@query("g01_logistic_fits")
-def _(v):
+def _newton_sql(steps: int = 8) -> str:
+    """Newton steps of the regression on two features as common table expressions fit0, fit1, ..., by Cramer's rule."""
+    out = ["design AS (SELECT species, y, site_id, pass, (latitude - 39.5) / 18.8 AS x1, (longitude + 110) / 34.6 AS x2 FROM scored JOIN sites USING (site_id))", "fit0 AS (SELECT species, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2, CAST(0 AS DOUBLE) AS s FROM design GROUP BY species HAVING min(y) < max(y))"]
+    det = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+    move = (f"((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / {det}", f"((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / {det}", f"((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / {det}")
+    for k in range(1, steps + 1):
+        out.append(f"""fit{k} AS (SELECT species, b0 + {move[0]} AS b0, b1 + {move[1]} AS b1, b2 + {move[2]} AS b2, greatest(abs({move[0]}), abs({move[1]}), abs({move[2]})) AS s FROM
+  (SELECT species, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(w) + 1e-12 AS a, sum(w * x1) AS b, sum(w * x2) AS c, sum(w * x1 * x1) + 1.000001e-6 AS d, sum(w * x1 * x2) AS e, sum(w * x2 * x2) + 1.000001e-6 AS f,
+    sum(y - p) AS g0, sum((y - p) * x1) - 1e-6 * any_value(b1) AS g1, sum((y - p) * x2) - 1e-6 * any_value(b2) AS g2 FROM
+    (SELECT *, p * (1 - p) AS w FROM (SELECT r.*, b0, b1, b2, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM design r JOIN fit{k - 1} USING (species)) z) u GROUP BY species) t)""")
+    return ", ".join(out)
+
+
+FITS = _newton_sql()
+
+
+@query("g01_logistic_fits", "SELECT species, s < 1e-8 AS converged, round(b0, 5) AS b0, round(b1, 5) AS b_f_lat, round(b2, 5) AS b_f_lon FROM fit8", FITS)
+def _(v: Views):
     fits = models.logistic_fits(_rows(v), ["species"], ["f_lat", "f_lon"])
     return fits.select("species", "converged", *(F.round(c, 5).alias(c) for c in ("b0", "b_f_lat", "b_f_lon")))
 
 
-@query("g02_predictions", "SELECT species, site_id, pass, round(1 / (1 + exp(-(0.1 + 0.2 * (latitude - 39.5) / 18.8 - 0.3 * (longitude + 110) / 34.6))), 6) AS predicted FROM scored JOIN sites USING (site_id)")
+def _sets(v: Views):
+    """Rows with all covariates, and which of them belong to each set."""
+    env = _env(v).select("site_id", ((F.col("env_dem") - 4500) / 3200).alias("e_dem"), ((F.col("env_col") - 11.5) / 6.9).alias("e_col"))
+    season = fourier(F.col("doy"))
+    rows = _rows(v).join(env, "site_id").withColumns(season)
+    where = ["f_lat", "f_lon", *season]
+    return rows, {"env": ["e_dem", "e_col"], "spatiotemporal": where, "full": ["e_dem", "e_col", *where]}
+
+
+@query("g01_covariate_sets")
+def _(v):
+    rows, sets = _sets(v)
+    out = None
+    for name, features in sets.items():
+        fits = models.logistic_fits(rows, ["species"], features)
+        part = fits.select(F.lit(name).alias("cov_set"), "species", "converged", F.map_from_arrays(F.array(*map(F.lit, fits.columns[3:])), F.array(*(F.round(c, 4) for c in fits.columns[3:]))).alias("coefficients"))
+        out = part if out is None else out.union(part)
+    return out.select("cov_set", "species", "converged", F.explode("coefficients").alias("name", "value"))
+
+
+@query("g02_predictions", "SELECT species, site_id, pass, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 5) AS predicted FROM design JOIN fit8 USING (species)", FITS)
 def _(v):
-    fits = v.scored.select("species").distinct().select("species", F.lit(0.1).alias("b0"), F.lit(0.2).alias("b_f_lat"), F.lit(-0.3).alias("b_f_lon"))
-    return models.predicted(_rows(v), fits, ["species"], ["f_lat", "f_lon"]).select("species", "site_id", "pass", F.round("predicted", 6).alias("predicted"))
+    rows = _rows(v)
+    fits = models.logistic_fits(rows, ["species"], ["f_lat", "f_lon"])
+    return models.predicted(rows, fits, ["species"], ["f_lat", "f_lon"]).select("species", "site_id", "pass", F.round("predicted", 5).alias("predicted"))
 
 
 @query("g03_smooth_fits")
 def _(v):
-    rows, seasons = models.seasonal_basis(_rows(v), "doy", knots=6)
-    rows, space = models.spatial_basis(rows, [(20.0, -140.0), (20.0, -80.0), (55.0, -140.0), (55.0, -80.0)], 25.0)
-    fits = models.logistic_fits(rows, ["model"], [*seasons, *space], ridge=0.1, rounds=6)
-    return fits.select("model", "converged", *(F.round(c, 4).alias(c) for c in fits.columns if c.startswith("b")))
+    rows, seasons = models.seasonal_basis(_rows(v), "doy", knots=12)
+    centres = [(10.25 + 6.5 * i, -158.0 + 24.0 * j) for i in range(10) for j in range(5)]
+    rows, space = models.spatial_basis(rows, centres, 12.0)
+    fits = models.logistic_fits(rows, ["species"], [*seasons, *space], ridge=0.1)
+    return fits.select("species", "converged", *(F.round(c, 3).alias(c) for c in fits.columns if c.startswith("b")))
 
 
 @query("g04_regularisation_sweep")
 def _(v):
-    fits = models.sweep(_rows(v), ["species"], ["f_lat", "f_lon"], grid=(1, 4, 16), rounds=5)
-    return fits.select("reg", "species", "converged", F.round("b_f_lat", 4).alias("b_f_lat"))
+    rows, names = models.quadratic(_rows(v), ["f_lat", "f_lon"])
+    parts = rows.join(_split(v).select("site_id", "split"), "site_id")
+    sample = prepare.random_species(v.scored.select("species"), 16, "g4")
+    fits = models.chosen(parts.where("split = 'train'"), parts.where("split = 'val'"), sample, names)
+    return fits.select("reg", "species", "converged", *(F.round(c, 4).alias(c) for c in fits.columns if c.startswith("b")))
 
 
 GRID_T = "ts AS (SELECT exp(-2.0 + 4.0 * CAST(unnest(range(0, 81)) AS DOUBLE) / 80) AS t), small AS (SELECT p, y, count(*) AS n, ln(least(greatest(p, 1e-7), 1 - CAST(1e-7 AS DOUBLE)) / (1 - least(greatest(p, 1e-7), 1 - CAST(1e-7 AS DOUBLE)))) AS lz FROM scored GROUP BY p, y), losses AS (SELECT t, sum(n * (greatest(lz / t, 0) - lz / t * y + ln(1 + exp(-abs(lz / t))))) / sum(n) AS loss FROM small, ts GROUP BY t)"
@@ -320,8 +383,16 @@ def _(v):
     return models.temperature(v.scored).select(F.round("temperature", 6).alias("temperature"))
 
 
-@query("g08_ece_before_after")
+VAL_T = GRID_T.replace("FROM scored", "FROM scored JOIN split USING (site_id) WHERE split = 'val'")
+TEST = f"""chosen AS (SELECT t FROM losses ORDER BY round(loss, 12), t LIMIT 1), test AS (SELECT y, p, least(greatest(p, 1e-7), 1 - CAST(1e-7 AS DOUBLE)) AS q FROM scored JOIN split USING (site_id) WHERE split = 'test'),
+twice AS (SELECT 'before' AS k, y, p FROM test UNION ALL SELECT 'after' AS k, y, 1 / (1 + exp(-ln(q / (1 - q)) / t)) AS p FROM test, chosen),
+eces AS (SELECT k, sum(n * abs(conf - freq)) / (SELECT count(*) FROM test) AS ece FROM (SELECT k, floor(p * 15) AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS freq FROM twice WHERE p < 1 GROUP BY 1, 2) b GROUP BY k)"""
+
+
+@query("g08_ece_before_after", "SELECT round(max(CASE WHEN k = 'before' THEN ece END), 6) AS ece_before, round(max(CASE WHEN k = 'after' THEN ece END), 6) AS ece_after FROM eces", f"{CELLS}, {BLOCKS}, {VAL_T}, {TEST}")
 def _(v):
-    t = models.temperature(v.scored)
-    before, after = metrics.pooled_ece(v.scored), metrics.pooled_ece(models.calibrated(v.scored, t))
+    parts = v.scored.join(_split(v).select("site_id", "split"), "site_id")
+    t = models.temperature(parts.where("split = 'val'"))
+    test = parts.where("split = 'test'")
+    before, after = metrics.pooled_ece(test), metrics.pooled_ece(models.calibrated(test, t))
     return before.select(F.round("ece", 6).alias("ece_before")).crossJoin(after.select(F.round("ece", 6).alias("ece_after")))
