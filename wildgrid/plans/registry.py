@@ -175,18 +175,36 @@ def _bundle(v: Views) -> str:
     return path
 
 
-@query("a11_export_bundle", "SELECT 'presence' AS part, count(*) AS n FROM pres UNION ALL SELECT 'dynamic', count(*) FROM sites UNION ALL SELECT 'static', count(*) FROM sites UNION ALL SELECT 'splits', count(*) FROM sites UNION ALL SELECT 'species', count(DISTINCT species) FROM pres", PRES)
+@query(
+    "a11_export_bundle",
+    "SELECT 'presence' AS part, CAST(site_id AS VARCHAR) AS key, species AS value FROM pres UNION ALL SELECT 'dynamic', CAST(site_id AS VARCHAR), CAST(round(latitude, 2) AS VARCHAR) FROM sites UNION ALL SELECT 'static', CAST(site_id AS VARCHAR), CAST(round(env_dem, 2) AS VARCHAR) FROM env UNION ALL SELECT 'splits', CAST(site_id AS VARCHAR), split FROM split UNION ALL SELECT DISTINCT 'species', species, NULL FROM pres",
+    f"{PRES}, {ENV}, {CELLS}, {BLOCKS}",
+)
 def _(v):
     path, out = _bundle(v), None
-    for part in ("presence", "dynamic", "static", "splits", "species"):
-        one = v.spark.read.parquet(f"{path}/{part}").agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    for part, key, value in (("presence", "site_id", F.col("species")), ("dynamic", "site_id", F.round("latitude", 2)), ("static", "site_id", F.round("env_dem", 2)), ("splits", "site_id", F.col("split")), ("species", "species", F.lit(None))):
+        one = v.spark.read.parquet(f"{path}/{part}").select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), value.cast("string").alias("value"))
         out = one if out is None else out.union(one)
     return out
 
 
-@query("a12_check_bundle", "SELECT * FROM (VALUES ('static rows without dynamic', 0, true), ('dynamic rows without static', 0, true), ('presences without a site', 0, true), ('presences without a species', 0, true), ('splits without a site', 0, true), ('sites without a split', 0, true)) t(\"check\", n, passed)")
+BROKEN = """late AS (SELECT site_id FROM sites WHERE year(time) >= 1997), common AS (SELECT species FROM pres GROUP BY species HAVING count(*) >= 900),
+lost AS (SELECT 'static rows without dynamic' AS "check", (SELECT count(*) FROM late) AS n UNION ALL SELECT 'dynamic rows without static', 0 UNION ALL SELECT 'presences without a site', (SELECT count(*) FROM pres WHERE site_id IN (SELECT site_id FROM late))
+  UNION ALL SELECT 'presences without a species', (SELECT count(*) FROM pres WHERE species NOT IN (SELECT species FROM common)) UNION ALL SELECT 'splits without a site', (SELECT count(*) FROM split WHERE split <> 'val' AND site_id IN (SELECT site_id FROM late))
+  UNION ALL SELECT 'sites without a split', (SELECT count(*) FROM split WHERE split = 'val' AND site_id NOT IN (SELECT site_id FROM late)))"""
+
+
+@query("a12_check_bundle", 'SELECT "check", n, n = 0 AS passed FROM lost', f"{PRES}, {CELLS}, {BLOCKS}, {BROKEN}")
 def _(v):
-    return sinks.check_bundle(v.spark, _bundle(v))
+    """Of a bundle that lacks late sites, rare species and the split of the validation blocks."""
+    path = scratch(v.spark, "broken")
+    presence = _presence(v)
+    sites = v.sites.where("year(time) < 1997").select("site_id", "time", "latitude", "longitude")
+    common = presence.groupBy("species").count().where("count >= 900").select("species")
+    sinks.export_bundle(path, sites, _env(v), presence, _split(v).where("split <> 'val'"), ["env_dem"])
+    _env(v).select("site_id", "env_dem").write.mode("overwrite").parquet(f"{path}/static")
+    common.write.mode("overwrite").parquet(f"{path}/species")
+    return sinks.check_bundle(v.spark, path)
 
 
 @query("a14_needs_refresh", "SELECT month(time) AS month, count(*) AS n_in, CASE WHEN month(time) = 3 THEN 0 ELSE count(*) FILTER (site_id % 100 <> 7) END AS n_out FROM sites GROUP BY month(time) HAVING count(*) <> CASE WHEN month(time) = 3 THEN 0 ELSE count(*) FILTER (site_id % 100 <> 7) END")
@@ -214,11 +232,11 @@ def _(v):
     return prepare.in_region(v.sites, ("NATION_1",), WITHOUT, prepare.CONTERMINOUS["lon"], prepare.CONTERMINOUS["lat"]).select("site_id")
 
 
-@query("b04_plot_regions", "SELECT 'us' AS region, count(*) AS n FROM sites WHERE longitude BETWEEN -125 AND -66 AND latitude BETWEEN 24 AND 50 UNION ALL SELECT 'europe', count(*) FROM sites WHERE province = 'BUILDING' AND country <> 'NATION_7' AND latitude <= 72 UNION ALL SELECT 'australia', count(*) FROM sites WHERE country = 'NATION_5' UNION ALL SELECT 'global', count(*) FROM sites")
+@query("b04_plot_regions", "SELECT 'us' AS region, site_id FROM sites WHERE longitude BETWEEN -125 AND -66 AND latitude BETWEEN 24 AND 50 UNION ALL SELECT 'europe', site_id FROM sites WHERE province = 'BUILDING' AND country <> 'NATION_7' AND latitude <= 72 UNION ALL SELECT 'australia', site_id FROM sites WHERE country = 'NATION_5' UNION ALL SELECT 'global', site_id FROM sites")
 def _(v):
     plots, out = v.sites.withColumn("continent", F.when(F.col("province") == "BUILDING", "EUROPE")).withColumn("country", F.when(F.col("country") == "NATION_5", "AUSTRALIA").otherwise(F.col("country"))), None
     for r in ("us", "europe", "australia", "global"):
-        one = prepare.plot_region(plots, r, ("NATION_7",)).agg(F.lit(r).alias("region"), F.count("*").alias("n"))
+        one = prepare.plot_region(plots, r, ("NATION_7",)).select(F.lit(r).alias("region"), "site_id")
         out = one if out is None else out.union(one)
     return out
 
@@ -320,9 +338,10 @@ def _(v):
     return _presence(v)
 
 
-@query("d02_dedup", "SELECT count(*) AS n_records, (SELECT count(*) FROM (SELECT DISTINCT event_id, species FROM occurrences WHERE species IS NOT NULL) d) AS n_pairs FROM occurrences")
+@query("d02_dedup", "SELECT event_id AS site_id, species, count(*) AS n_records FROM occurrences WHERE species IS NOT NULL GROUP BY event_id, species")
 def _(v):
-    return v.occurrences.agg(F.count("*").alias("n_records")).crossJoin(prepare.presences(v.occurrences).agg(F.count("*").alias("n_pairs")))
+    records = v.occurrences.groupBy(F.col("event_id").alias("site_id"), "species").agg(F.count("*").alias("n_records"))
+    return prepare.presences(v.occurrences).select("site_id", "species").join(records, ["site_id", "species"])
 
 
 FREQ = "period AS (SELECT site_id FROM sites WHERE year(time) BETWEEN 1993 AND 1996), freq AS (SELECT * FROM pres WHERE species IN (SELECT species FROM pres GROUP BY species HAVING count(*) >= 200)), inside AS (SELECT * FROM freq WHERE site_id IN (SELECT site_id FROM period))"
