@@ -175,6 +175,25 @@ def test_fingerprints_tell_edits_from_strangers():
     assert near > far and fingerprint.likeness([], []).size == 0
 
 
+def test_an_id_with_many_rows_is_cut(spark):
+    """Each row is followed by one other, all in one ring, however many rows share an id."""
+    rnd = random.Random(50)
+    texts = [(None, f"{i} {prose(rnd, 5)}") for i in range(60)] + [(7, f"{i} {prose(rnd, 5)}") for i in range(40)] + [(i, prose(rnd, 6)) for i in range(100, 120)]
+    rows = fingerprint.with_successors(table(spark, texts), slices=12).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.part, []).append(r)
+    assert sum(not r.ghost for r in rows) == len(texts) and sum(r.ghost for r in rows) == len(per) and max(map(len, per.values())) < 45
+    order = [r for p in sorted(per) for r in per[p] if not r.ghost]
+    ids = [r.doc_id if r.doc_id is not None else 2**63 for r in order]
+    assert ids == sorted(ids)
+    follow = {}
+    for p in per:
+        for a, b in zip(per[p], per[p][1:]):
+            follow[a.text] = b.text
+    assert [follow[r.text] for r in order] == [r.text for r in [*order[1:], order[0]]]
+
+
 def test_sole_and_repeated_documents(spark, awkward):
     one = fingerprint.edited_fingerprints(table(spark, [(9, "abcdefgh")])).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()

@@ -7,14 +7,12 @@ by a score between 0 (unlike) and 1 (alike).
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, ids_and_texts, partitions
+from .common import NO_ID, chunks, ids_and_texts, partitions, text_bytes
 
 BUCKETS = 256
 #: A difference of so much, or more, is a likeness of zero: about what two unrelated digests have.
@@ -70,8 +68,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, fingerprint), a row for each row; null texts count as empty."""
 
     def made(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(t.encode()) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
+        for b in chunks(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(t) for t in text_bytes(b.column(1))], pa.string())], names=["doc_id", "fingerprint"])
 
     return ids_and_texts(docs).mapInArrow(made, "doc_id long, fingerprint string")
 
@@ -81,39 +79,43 @@ def with_successors(docs: DataFrame, slices: int | None = None) -> DataFrame:
 
     The ids are cut at quantiles into slices (a few for each shuffle partition); the first row of a slice
     comes once more as the ghost at the end of the slice before, and the first of all at the end of the last.
-    Missing ids come last; rows that share an id are in order of their text.
+    Missing ids come last; rows that share an id are in order of a hash of their text, and an id with more rows than a slice
+    holds is cut by that hash.
     """
     spark = docs.sparkSession
     slices = slices or 8 * partitions(spark)
-    given = ids_and_texts(docs).withColumn("order", F.coalesce("doc_id", F.lit(NO_ID)))
-    cuts = sorted({min(int(x), NO_ID) for x in given.approxQuantile("order", [i / slices for i in range(1, slices)], 1 / (4 * slices))}) if slices > 1 else []
+    given = ids_and_texts(docs).withColumn("order", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
+    quantiles = [min(int(x), NO_ID) for x in given.approxQuantile("order", [i / slices for i in range(1, slices)], 1 / (4 * slices))] if slices > 1 else []
+    cuts = sorted(set(quantiles))
+    parts = [1, *(quantiles.count(c) + 1 for c in cuts)]  # of each stretch of ids: as many for its first id as that is a quantile, and one for the rest
+    first = [sum(parts[:i]) for i in range(len(parts))]
+
+    def part_of(order: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(np.array(cuts, np.int64), order, side="right")
+        same = (at > 0) & (order == np.array([0, *cuts], np.int64)[at])
+        many = np.array(parts, np.int64)[at] - 1
+        share = (tie.astype(np.float64) / 2.0**64 + 0.5) * many
+        return (np.array(first, np.int64)[at] + np.where(same, np.clip(share.astype(np.int64), 0, np.maximum(many - 1, 0)), many)).astype(np.int32)
 
     def numbered(batches):
-        edges = np.array(cuts, np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column(0).to_numpy(), side="right").astype(np.int32)), b.column(0)], names=["part", "order"])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0).to_numpy(), b.column(1).to_numpy())), *b.columns], names=["part", "order", "tie"])
 
-    heads = given.select("order").mapInArrow(numbered, "part int, order long").groupBy("part").agg(F.min("order").alias("head")).orderBy("part").collect()  # one row a slice
-    before = {h.head: heads[i - 1].part for i, h in enumerate(heads)}
-    part_of = [h.head for h in heads]
-    schema = "part int, ghost boolean, doc_id long, order long, text string"
+    lowest = given.select("order", "tie").mapInArrow(numbered, "part int, order long, tie long").groupBy("part").agg(F.min(F.struct("order", "tie")).alias("head")).orderBy("part")
+    heads = [(r.part, tuple(r["head"])) for r in lowest.collect()]  # one row a slice
+    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    schema = "part int, ghost boolean, doc_id long, order long, tie long, text string"
 
     def dealt(batches):
         for b in chunks(batches):
-            order = b.column(2).to_pylist()
-            rows, parts, ghosts = [], [], []
-            for i, d in enumerate(order):
-                rows.append(i)
-                parts.append(heads[bisect.bisect_right(part_of, d) - 1].part)
-                ghosts.append(False)
-                if d in before:
-                    rows.append(i)
-                    parts.append(before[d])
-                    ghosts.append(True)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(ghosts), b.column(0).take(at), b.column(2).take(at), b.column(1).take(at)], names=["part", "ghost", "doc_id", "order", "text"])
-
-    return given.select("doc_id", "text", "order").mapInArrow(dealt, schema).repartition("part").sortWithinPartitions("part", "ghost", "order", "text").drop("order")
+            order, tie = b.column(2).to_numpy(), b.column(3).to_numpy()
+            own = part_of(order, tie)
+            again = [(i, before[k]) for i, k in enumerate(zip(order.tolist(), tie.tolist(), strict=True)) if k in before]
+            at = pa.array([*range(b.num_rows), *(i for i, _ in again)], pa.int64())
+            slots = pa.array(np.r_[own, np.array([p for _, p in again], np.int32)])
+            yield pa.RecordBatch.from_arrays([slots, pa.array([False] * b.num_rows + [True] * len(again)), *(b.column(i).take(at) for i in (0, 2, 3, 1))], names=["part", "ghost", "doc_id", "order", "tie", "text"])
+
+    return given.select("doc_id", "text", "order", "tie").mapInArrow(dealt, schema).repartition("part").sortWithinPartitions("part", "ghost", "order", "tie", "text").drop("order", "tie")
 
 
 def edited_fingerprints(docs: DataFrame, slices: int | None = None) -> DataFrame:
@@ -121,13 +123,13 @@ def edited_fingerprints(docs: DataFrame, slices: int | None = None) -> DataFrame
 
     The edited text has the last quarter of the code points replaced by as many from the start of the next
     document (all of it if it has fewer).  Null texts count as empty; a sole document follows itself; of rows
-    that share an id, the next is the next row by text.
+    that share an id, the next is the next row by a hash of the text.  Other columns of documents are not looked at.
     """
     import hashlib
 
     def made(batches):
         part, held = None, None
-        for b in batches:
+        for b in chunks(batches):
             rows: list[tuple] = []
             for p, ghost, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if p == part and held is not None:
