@@ -109,6 +109,18 @@ def per_group(scored: DataFrame, keys: Sequence[str] = ("species",)) -> DataFram
     return base.select(*keys, "n", "n_pres", (F.col("n_pres") / F.col("n")).alias("prevalence"), *(F.when(ok, F.col(m)).otherwise(F.lit(NAN)).alias(m) for m in METRICS))
 
 
+def swept(scored: DataFrame, full: str | float) -> DataFrame:
+    """Metrics of each species, rate and scheme (uniform or absence) of a sweep, all in one job.
+
+    At the rate `full` every entry is masked under both schemes: absence is not scored there but takes the metrics of uniform.
+    """
+    keys = ["species", "rate", "scheme"]
+    whole = F.col("rate") == full
+    out = per_group(scored.where(~(whole & (F.col("scheme") == "absence"))), keys)
+    schemes = F.when(whole & (F.col("scheme") == "uniform"), F.array(F.lit("uniform"), F.lit("absence"))).otherwise(F.array("scheme"))
+    return out.withColumn("scheme", F.explode(schemes))
+
+
 def summary(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Means over finite values, quartiles of auroc, and how many species have which."""
     finite = lambda m: F.when(~missing(F.col(m)), F.col(m))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -81,6 +82,25 @@ def _(v):
     return _summary(metrics.summary(metrics.per_group(v.scored, KEYS), ["model"]))
 
 
+RUN = "epochs AS (SELECT CAST(regexp_extract(line, 'Epoch (\\d+)', 1) AS INT) AS epoch, CAST(regexp_extract(line, 'AUC: ([\\d.]+)', 1) AS DOUBLE) AS auc FROM epoch_log)"
+
+
+@query(
+    "a13_run_sinks",
+    "SELECT 'parameters' AS part, 'seed' AS key, '7' AS value UNION ALL SELECT 'parameters', 'rate', '0.5' UNION ALL SELECT 'epochs', CAST(epoch AS VARCHAR), CAST(CAST(round(auc * 1000000) AS BIGINT) AS VARCHAR) FROM epochs UNION ALL SELECT 'convergence', model, CAST(count(*) FILTER (p > 0.9) AS VARCHAR) FROM scored GROUP BY model UNION ALL SELECT 'summary', model, CAST(round(avg(auroc), 4) AS VARCHAR) FROM metrics GROUP BY model",
+    f"{ALL}, {RUN}",
+)
+def _(v):
+    from ..sources.readers import epoch_log
+
+    path = scratch(v.spark, "run")
+    fits = v.scored.select(F.col("model").alias("cov_set"), (F.col("p") > 0.9).alias("converged"))
+    sinks.write_run(path, {"seed": 7, "rate": 0.5}, epochs=epoch_log(v.epoch_log), summary=metrics.summary(metrics.per_group(v.scored, KEYS), ["model"]), convergence=metrics.convergence(fits))
+    read = lambda part, key, value: v.spark.read.parquet(f"{path}/{part}").select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), value.cast("string").alias("value"))
+    out = read("parameters", "name", F.col("value")).union(read("epochs", "epoch", F.round(F.col("auc") * 1000000).cast("long")))
+    return out.union(read("convergence", "cov_set", F.col("n_converged"))).union(read("summary", "model", F.round("mean_auroc", 4)))
+
+
 @query("s09_accuracy", "SELECT model, round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM scored GROUP BY model")
 def _(v):
     return metrics.accuracy(v.scored, ["model"]).select("model", F.round("accuracy", 6).alias("accuracy"))
@@ -115,9 +135,13 @@ def _swept(v: Views):
     return v.scored.select("species", "y", "p", F.when(F.col("pass") % 2 == 0, "0.5").otherwise("1.0").alias("rate"), F.when(F.col("model") == "O", "uniform").otherwise("absence").alias("scheme"))
 
 
-@query("s13_sweep", f"SELECT rate, scheme, {SUMMARY} FROM metrics GROUP BY rate, scheme", f"{SWEPT}, {SWEEP}")
+#: With every entry masked the schemes are the same, so absence takes the metrics of uniform there.
+REUSED = "every AS (SELECT * FROM metrics WHERE NOT (rate = '1.0' AND scheme = 'absence') UNION ALL SELECT * REPLACE ('absence' AS scheme) FROM metrics WHERE rate = '1.0' AND scheme = 'uniform')"
+
+
+@query("s13_sweep", f"SELECT rate, scheme, {SUMMARY} FROM every GROUP BY rate, scheme", f"{SWEPT}, {SWEEP}, {REUSED}")
 def _(v):
-    return _summary(metrics.summary(metrics.per_group(_swept(v), ["species", "rate", "scheme"]), ["rate", "scheme"]))
+    return _summary(metrics.summary(metrics.swept(_swept(v), "1.0"), ["rate", "scheme"]))
 
 
 @query("s19_by_split", f"SELECT species, rate, scheme, n, n_pres, {R('auroc', 'auprc', 'cbi', 'brier', 'ece')} FROM metrics", f"{SWEPT}, {SWEEP}")
@@ -264,12 +288,34 @@ def _(v):
     return bag.select("target_id", "species", F.round("p", 6).alias("p"), F.round("p_single", 6).alias("p_single"))
 
 
-@query("g07_suitability", "SELECT target_id, round(p, 6) AS p FROM pred WHERE species = (SELECT min(species) FROM pool_presence)", f"{_pairs_sql('e')}, {PRED}")
+_SECOND = ("pairs", "first", "scales", "weighted", "second", "sources", "pred")
+
+
+def _two(one: str, other: str, targets: str) -> str:
+    """Predictions pred and pred1 of two passes for a table of targets."""
+    again = f"{_pairs_sql(other)}, {PRED}"
+    for name in _SECOND:
+        again = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}1", again)
+        again = re.sub(rf"\b{name} AS \(", f"{name}1 AS (", again)
+    return f"{_pairs_sql(one)}, {PRED}, {again}".replace("FROM stations)", f"FROM {targets})")
+
+
+DATED = "dated AS (SELECT site_id * 10 + k AS site_id, latitude, longitude, CAST(100 * k AS DOUBLE) AS t_days FROM stations, (SELECT unnest([1, 2]) AS k) ks)"
+
+
+@query("g07_suitability", "SELECT a.target_id // 10 AS cell_id, a.target_id % 10 * 100 AS day, round((a.p + b.p) / 2, 6) AS p FROM pred a JOIN pred1 b USING (target_id, species) WHERE species = (SELECT min(species) FROM pool_presence)", f"{DATED}, {_two('m0', 'm1', 'dated')}")
 def _(v):
-    both = neighbours.with_grid(v.pool, v.stations)
-    drawn = neighbours.sources(both.where("kind = 'grid'"), both.where("kind = 'obs'"), N, "e")
+    """A row for each cell and date: the mean of two passes, nothing known of the cell, sources from observations alone."""
+    dated = v.stations.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).select((F.col("site_id") * 10 + F.col("k")).alias("site_id"), "latitude", "longitude", (100.0 * F.col("k")).alias("t_days"))
+    both = neighbours.with_grid(v.pool, dated)
     one = v.pool_presence.agg(F.min("species").alias("species"))
-    return neighbours.neighbour_prediction(drawn, v.pool_presence.join(F.broadcast(one), "species", "left_semi"), one).select("target_id", F.round("p", 6).alias("p"))
+    there, out = v.pool_presence.join(F.broadcast(one), "species", "left_semi"), None
+    for k in range(2):
+        drawn = neighbours.sources(both.where("kind = 'grid'"), both.where("kind = 'obs'"), N, f"m{k}")
+        part = neighbours.neighbour_prediction(drawn, there, one).withColumn("pass", F.lit(k)).withColumn("y", F.lit(0))
+        out = part if out is None else out.unionByName(part)
+    bag = metrics.bagged(out, ["target_id", "species"])
+    return bag.select(F.floor(F.col("target_id") / 10).alias("cell_id"), (F.col("target_id") % 10 * 100).alias("day"), F.round("p", 6).alias("p"))
 
 
 ENV_AT = "CAST(floor((latitude - 7) / 5) AS BIGINT) * 24 + CAST(floor((longitude + 170) / 5) AS BIGINT)"

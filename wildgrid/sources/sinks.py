@@ -65,6 +65,14 @@ def write_metrics(metrics: DataFrame, path: str, by: Sequence[str] = ()) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_run(path: str, parameters: dict[str, object], **tables: DataFrame) -> None:
+    """The record of a run: each table (epochs, summary, convergence, test results, ...) and the parameters as names and values."""
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(k, str(v)) for k, v in sorted(parameters.items())], "name string, value string").write.mode("overwrite").parquet(f"{path}/parameters")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
