@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ids_and_texts, materialise, text_bytes
+from .common import chunks, ids_and_texts, materialise, partitions, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -144,6 +144,8 @@ def bucket_links(rows: DataFrame, radius: int, marks: np.ndarray, block: int) ->
     def words(fps: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
 
+    pivots = [int.from_bytes(p.astype("<u8").tobytes(), "little") for p in marks]
+
     def linked(batches):
         """Rows come sorted by key: a bucket of up to `block` is solved here, a larger one is passed on."""
         key, fps, reps, over = None, [], [], False
@@ -151,9 +153,10 @@ def bucket_links(rows: DataFrame, radius: int, marks: np.ndarray, block: int) ->
         def solved():
             if len(fps) < 2:
                 return [], []
-            if len(fps) == 2:
-                a, b = fps
-                return ([reps[0]], [reps[1]]) if (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() <= radius else ([], [])
+            if len(fps) == 2:  # the table of two: the same test without arrays
+                a, b = (int.from_bytes(f, "little") for f in fps)
+                far = any(abs((a ^ p).bit_count() - (b ^ p).bit_count()) > radius for p in pivots)
+                return ([reps[0]], [reps[1]]) if not far and (a ^ b).bit_count() <= radius else ([], [])
             x, r = words(fps), np.array(reps, np.int64)
             i, j = forest(near(x, x, marks, radius))
             return (r[i].tolist(), r[j].tolist()) if len(i) else ([], [])
@@ -214,6 +217,8 @@ def _hot_links(hot: DataFrame, radius: int, marks: np.ndarray, block: int) -> Da
         other = lab != np.arange(len(x))
         return pd.DataFrame({"u": r[lab[other]], "v": r[other]})
 
+    # A stated number of partitions: the rows are few and small, their comparison is what takes time.
+    dealt = dealt.repartition(partitions(hot.sparkSession), "key", "a", "b")
     return dealt.groupBy("key", "a", "b").applyInPandas(solved, "u long, v long")
 
 
