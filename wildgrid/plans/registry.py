@@ -79,12 +79,12 @@ def _wide(v: Views) -> tuple[DataFrame, list[str]]:
     return sinks.wide_table(v.sites.select("site_id", "time", "latitude", "longitude"), _env(v).where("env_dem is not null"), _presence(v), species, ["env_dem"]), species
 
 
-@query("a01_read_site_table", "SELECT species, count(*) AS n_pres, round(avg(env_dem), 4) AS mean_dem FROM pres JOIN env USING (site_id) WHERE env_dem IS NOT NULL GROUP BY species", f"{PRES}, {ENV}")
+@query("a01_read_site_table", "SELECT species, count(*) AS n_pres, CAST(sum(CAST(round(env_dem * 100) AS BIGINT)) AS BIGINT) AS dem_cents FROM pres JOIN env USING (site_id) WHERE env_dem IS NOT NULL GROUP BY species", f"{PRES}, {ENV}")
 def _(v):
     path = scratch(v.spark, "site_table")
     sinks.write_site_table(_wide(v)[0], path, "csv")
     sites, env, presence, roles = readers.site_table(v.spark, path)
-    return presence.join(env, "site_id").groupBy("species").agg(F.count("*").alias("n_pres"), F.round(F.avg("env_dem"), 4).alias("mean_dem"))
+    return presence.join(env, "site_id").groupBy("species").agg(F.count("*").alias("n_pres"), F.sum(F.round(F.col("env_dem") * 100).cast("long")).alias("dem_cents"))
 
 
 @query("a02_read_events", "SELECT CAST(site_id AS VARCHAR) AS site_id, CAST(time AS VARCHAR) AS date, country, latitude, longitude, protocol FROM sites")
