@@ -6,50 +6,59 @@ State: 0 absent, 1 present, 2 masked.  Labels of entries that are not scored are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import uniform
 
 
+def states(sites: DataFrame, presence: DataFrame) -> DataFrame:
+    """(site_id, states): of each site an array of (species, present) over the species in presence, absences included.
+
+    Presences are gathered by site; the list of species, one row, is broadcast.  Nothing of the size sites times species is shuffled.
+    """
+    species = presence.agg(F.array_sort(F.collect_set("species")).alias("all"))
+    here = presence.groupBy("site_id").agg(F.collect_set("species").alias("here"))
+    every = sites.select("site_id").join(here, "site_id", "left").crossJoin(F.broadcast(species))
+    there = lambda x: F.coalesce(F.array_contains("here", x), F.lit(False)).cast("int")
+    return every.select("site_id", F.transform("all", lambda x: F.struct(x.alias("species"), there(x).alias("present"))).alias("states"))
+
+
 def entries(sites: DataFrame, presence: DataFrame) -> DataFrame:
     """(site_id, species, present) with the absences, of sites and the species in presence."""
-    species = presence.select("species").distinct()
-    every = sites.select("site_id").crossJoin(F.broadcast(species))
-    return every.join(presence.withColumn("present", F.lit(1)), ["site_id", "species"], "left").select("site_id", "species", F.coalesce("present", F.lit(0)).alias("present"))
+    return states(sites, presence).select("site_id", F.inline("states"))
+
+
+def _hidden(rows: DataFrame, keys: Sequence[str], u: Callable[[Column], Column], rate: Column, absences: bool) -> DataFrame:
+    """(keys, species, present, masked) of rows(keys, states): draws and the rule of at least one are worked out within the row."""
+    drawn = rows.withColumn("drawn", F.transform("states", lambda x: F.struct(u(x["species"]).alias("u"), x["species"].alias("species"), x["present"].alias("present"))))
+    hit = lambda x: (x["u"] < rate) | (x["present"] == 0) if absences else x["u"] < rate
+    least = drawn.withColumn("any", F.exists("drawn", hit)).withColumn("least", F.array_min("drawn"))
+    first = lambda x: ~F.col("any") & (x["u"] == F.col("least.u")) & (x["species"] == F.col("least.species"))
+    return least.select(*keys, F.inline(F.transform("drawn", lambda x: F.struct(x["species"].alias("species"), x["present"].alias("present"), (hit(x) | first(x)).alias("masked")))))
 
 
-def _draw(seed: str, *more: Column | str) -> Column:
-    return uniform(seed, F.col("site_id"), F.col("species"), *more)
+def _by_site(rows: DataFrame) -> DataFrame:
+    """rows with states, gathered by site if they come as entries."""
+    return rows if "states" in rows.columns else rows.groupBy("site_id").agg(F.collect_list(F.struct("species", "present")).alias("states"))
 
 
 def masked(rows: DataFrame, rate: Column | float, seed: str, absences: bool = False, token_share: float = 1.0) -> DataFrame:
-    """rows(site_id, species, present) with masked, state and label.
+    """states, or entries (site_id, species, present), with masked, state and label.
 
-    An entry is masked if its draw is below the rate; absences: all absent ones are masked too.  A site with
-    nothing masked gets its species of the least draw masked.  token_share: what part of the masked entries
+    An entry is masked if its draw is below the rate (a number, or an expression of site_id); absences: all absent ones are masked too.  A
+    site with nothing masked gets its species of the least draw masked.  token_share: what part of the masked entries
     shows the mask, the rest shows its state.
     """
     rate = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
-    u = _draw(seed)
-    hit = (F.col("u") < rate) | (F.col("present") == 0) if absences else F.col("u") < rate
-    site = Window.partitionBy("site_id")
-    out = rows.withColumn("u", u).withColumn("hit", hit)
-    none = ~F.max("hit").over(site)
-    first = F.min(F.struct("u", "species")).over(site)
-    out = out.withColumn("masked", F.col("hit") | (none & (F.struct("u", "species") == first)))
-    shown = F.lit(True) if token_share >= 1 else _draw(f"{seed}#token") < token_share
+    out = _hidden(_by_site(rows), ["site_id"], lambda species: uniform(seed, F.col("site_id"), species), rate, absences)
+    shown = F.lit(True) if token_share >= 1 else uniform(f"{seed}#token", F.col("site_id"), F.col("species")) < token_share
     return out.select("site_id", "species", "present", "masked", F.when(F.col("masked") & shown, 2).otherwise(F.col("present")).alias("state"), F.when(F.col("masked"), F.col("present")).alias("label"))
 
 
 def mask_set(rows: DataFrame, rates: Sequence[float], seed: str, absences: bool = False) -> DataFrame:
     """masked() for each of several rates, with a salt of its own, in one job: a column rate tells them apart."""
-    many = rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(float(r),) for r in rates], "rate double")))
-    u = uniform(seed, F.col("rate"), F.col("site_id"), F.col("species"))
-    hit = (F.col("u") < F.col("rate")) | (F.col("present") == 0) if absences else F.col("u") < F.col("rate")
-    w = Window.partitionBy("rate", "site_id")
-    out = many.withColumn("u", u).withColumn("hit", hit).withColumn("any", F.max("hit").over(w)).withColumn("least", F.min(F.struct("u", "species")).over(w))
-    hidden = F.col("hit") | (~F.col("any") & (F.struct("u", "species") == F.col("least")))
-    return out.select("rate", "site_id", "species", "present", hidden.alias("masked"))
+    many = _by_site(rows).withColumn("rate", F.explode(F.array(*(F.lit(float(r)) for r in rates))))
+    return _hidden(many, ["rate", "site_id"], lambda species: uniform(seed, F.col("rate"), F.col("site_id"), species), F.col("rate"), absences)

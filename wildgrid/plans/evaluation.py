@@ -335,7 +335,7 @@ def _(v):
     place = v.stations.select("site_id", at).union(v.pool.select("site_id", at))
     env = place.join(v.raster_static.select("cell", F.col("value").alias("env")), "cell", "left").select("site_id", "env")
     seen = v.pool_presence.select((F.col("site_id") + 10000000).alias("site_id"), "species")
-    masks = masking.masked(masking.entries(v.stations, seen), 0.5, "g9")
+    masks = masking.masked(masking.states(v.stations, seen), 0.5, "g9")
     out = neighbours.training_rows(neighbours.sources(v.stations, v.pool, N, "e"), masks, v.pool_presence, env)
     path = scratch(v.spark, "training")
     out.write.parquet(path)

@@ -255,31 +255,31 @@ def _mask_counts(df):
 
 @query("k01_uniform_mask", MASK_OUT, f"{PRES}, {ROWS}, {_mask('0.25', 'k1', False)}")
 def _(v):
-    return _mask_counts(masking.masked(masking.entries(v.sites, _presence(v)), 0.25, "k1"))
+    return _mask_counts(masking.masked(masking.states(v.sites, _presence(v)), 0.25, "k1"))
 
 
 @query("k02_at_least_one", "SELECT site_id, count(*) AS n_masked FROM masks WHERE masked GROUP BY site_id", f"{PRES}, {ROWS}, {_mask('0.01', 'k2', False)}")
 def _(v):
-    out = masking.masked(masking.entries(v.sites, _presence(v)), 0.01, "k2")
+    out = masking.masked(masking.states(v.sites, _presence(v)), 0.01, "k2")
     return out.where("masked").groupBy("site_id").agg(F.count("*").alias("n_masked"))
 
 
 @query("k03_token_share", f"SELECT species, sum(CASE WHEN masked AND {_u(chr(39) + 'k3#token' + chr(39), 'CAST(site_id AS VARCHAR)', 'species')} < 0.8 THEN 1 ELSE 0 END) AS n_token FROM masks GROUP BY species", f"{PRES}, {ROWS}, {_mask('0.5', 'k3', False)}")
 def _(v):
-    out = masking.masked(masking.entries(v.sites, _presence(v)), 0.5, "k3", token_share=0.8)
+    out = masking.masked(masking.states(v.sites, _presence(v)), 0.5, "k3", token_share=0.8)
     return out.groupBy("species").agg(F.sum((F.col("state") == 2).cast("int")).alias("n_token"))
 
 
 @query("k04_evaluation_mask", MASK_OUT, f"{PRES}, {ROWS}, {_mask('0.75', 'eval#0.75', False)}")
 def _(v):
-    return _mask_counts(masking.masked(masking.entries(v.sites, _presence(v)), 0.75, "eval#0.75"))
+    return _mask_counts(masking.masked(masking.states(v.sites, _presence(v)), 0.75, "eval#0.75"))
 
 
 @query("k05_absence_mask", MASK_OUT, f"{PRES}, {ROWS}, {_mask('0.5', 'k5', True)}")
 def _(v):
-    return _mask_counts(masking.masked(masking.entries(v.sites, _presence(v)), 0.5, "k5", absences=True))
+    return _mask_counts(masking.masked(masking.states(v.sites, _presence(v)), 0.5, "k5", absences=True))
 
 
 @query("k06_mask_set", f"SELECT rate, species, sum(CASE WHEN masked THEN 1 ELSE 0 END) AS n_masked FROM masks GROUP BY rate, species", f"{PRES}, {ROWS}, drawn AS (SELECT *, {_u(chr(39) + 'k6' + chr(39), 'rate_name', 'CAST(site_id AS VARCHAR)', 'species')} AS u FROM rows, (VALUES (CAST(0.25 AS DOUBLE), '0.25'), (CAST(0.5 AS DOUBLE), '0.5'), (CAST(1 AS DOUBLE), '1.0')) r(rate, rate_name)), masks AS (SELECT *, u < rate OR (NOT bool_or(u < rate) OVER (PARTITION BY rate, site_id) AND row_number() OVER (PARTITION BY rate, site_id ORDER BY u, species) = 1) AS masked FROM drawn)")
 def _(v):
-    return masking.mask_set(masking.entries(v.sites, _presence(v)), (0.25, 0.5, 1.0), "k6").groupBy("rate", "species").agg(F.sum(F.col("masked").cast("int")).alias("n_masked"))
+    return masking.mask_set(masking.states(v.sites, _presence(v)), (0.25, 0.5, 1.0), "k6").groupBy("rate", "species").agg(F.sum(F.col("masked").cast("int")).alias("n_masked"))
