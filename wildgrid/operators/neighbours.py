@@ -46,19 +46,36 @@ def pair_draw(seed: str, target: Column, source: Column) -> Column:
 
 
 def _pairs(targets: DataFrame, pool: DataFrame, budget: int | None) -> DataFrame:
-    n = targets.count() * pool.count() if budget is not None else 0
-    if budget is not None and n > budget:
-        raise ValueError(f"{n} pairs are above the budget of {budget}: use tree_sources")
+    """Each target with each other site of the pool.
+
+    The smaller side is broadcast: within the budget it has at most its square root of rows.  The other is dealt over all partitions,
+    the targets by their id, so that what is gathered for a target stays where it is.
+    """
+    n_targets, n_pool = targets.count(), pool.count()
+    if budget is not None and n_targets * n_pool > budget:
+        raise ValueError(f"{n_targets * n_pool} pairs are above the budget of {budget}: use tree_sources")
+    parts = 2 * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = targets.select(F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("t_days").alias("t_t"), number_of(F.col("site_id")).alias("t_number"))
     s = pool.select(F.col("site_id").alias("source_id"), "latitude", "longitude", "t_days", number_of(F.col("site_id")).alias("s_number"))
-    both = t.join(s, F.col("target_id") != F.col("source_id"))
+    if n_targets < n_pool:
+        both = s.repartition(parts, "source_id").join(F.broadcast(t), F.col("target_id") != F.col("source_id"))
+    else:
+        both = t.repartition(parts, "target_id").join(F.broadcast(s), F.col("target_id") != F.col("source_id"))
     return both.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days"))).select("target_id", "source_id", "d", "gap", "t_number", "s_number")
 
 
 def _take(pairs: DataFrame, weight: Column, n: int, seed: str) -> DataFrame:
+    """The n pairs of the smallest keys of each target.
+
+    The sources of a target fall into 8 n parts by their number.  The n-th smallest of the parts' least keys is no less than the n-th smallest of
+    all, so only pairs up to it are sorted: two passes over the pairs, as they are formed, in place of a sort of them all.
+    """
     keyed = pairs.withColumn("key", -F.log(pair_draw(seed, F.col("t_number"), F.col("s_number"))) / weight)
+    least = keyed.groupBy("target_id", F.pmod("s_number", F.lit(8 * n)).alias("part")).agg(F.min("key").alias("key"))
+    limit = least.groupBy("target_id").agg(F.get(F.array_sort(F.collect_list("key")), n - 1).alias("limit"))
+    near = keyed.join(limit, "target_id").where(F.col("limit").isNull() | (F.col("key") <= F.col("limit"))).drop("limit")
     w = Window.partitionBy("target_id").orderBy("key", "source_id")
-    return keyed.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n)
+    return near.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n)
 
 
 def scales(pairs: DataFrame, n: int, seed: str) -> DataFrame:
