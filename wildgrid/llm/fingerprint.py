@@ -98,8 +98,13 @@ def with_successors(docs: DataFrame, slices: int | None = None) -> DataFrame:
         return (np.array(first, np.int64)[at] + np.where(same, np.clip(share.astype(np.int64), 0, np.maximum(many - 1, 0)), many)).astype(np.int32)
 
     def numbered(batches):
+        """The first row of each slice in a batch."""
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0).to_numpy(), b.column(1).to_numpy())), *b.columns], names=["part", "order", "tie"])
+            order, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
+            part = part_of(order, tie)
+            at = np.lexsort((tie, order, part))
+            at = at[np.r_[True, part[at][1:] != part[at][:-1]]] if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (part, order, tie)], names=["part", "order", "tie"])
 
     lowest = given.select("order", "tie").mapInArrow(numbered, "part int, order long, tie long").groupBy("part").agg(F.min(F.struct("order", "tie")).alias("head")).orderBy("part")
     heads = [(r.part, tuple(r["head"])) for r in lowest.collect()]  # one row a slice
