@@ -76,9 +76,11 @@ _OUT = " OR ".join(f"coalesce(v_{m} > o.hi_{m} OR v_{m} < o.lo_{m}, false)" for
 _FENCES = ", ".join(f"max(CASE WHEN metric = '{m}' THEN q3 + {REACH} * (q3 - q1) + {MARGIN[m]} END) AS hi_{m}, max(CASE WHEN metric = '{m}' THEN q1 - {REACH} * (q3 - q1) - {MARGIN[m]} END) AS lo_{m}" for m in _METRICS)
 _CHOSEN = ", ".join(f"coalesce(a.{s}_{m}, l.{s}_{m}, g.{s}_{m}) AS {s}_{m}" for m in _METRICS for s in ("hi", "lo"))
 JUDGED = f"SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {', '.join(f'CAST(floor({e}) AS BIGINT) AS v_{m}' for m, e in _METRICS.items())} FROM measured"
-FENCES = f"""
+SKETCH = f"""
 bucketed AS (SELECT lang, source, metric, {_BUCKET} AS b FROM ({_ROWS}) r),
-sketch AS (SELECT lang, source, metric, b, count(*) AS n FROM bucketed GROUP BY lang, source, metric, b),
+sketch AS (SELECT lang, source, metric, b, count(*) AS n FROM bucketed GROUP BY lang, source, metric, b)
+"""
+OWN = f"""
 levels AS ({_LEVELS}),
 run AS (SELECT lang, source, metric, b, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM levels),
 quartiles AS (SELECT lang, source, metric, min(CASE WHEN 4 * upto >= total THEN {_VALUE} END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN {_VALUE} END) AS q3, max(total) AS total
@@ -87,6 +89,7 @@ fences AS (SELECT lang, source, {_FENCES} FROM quartiles WHERE total >= {LEAST}
 own AS (SELECT k.lang AS lang, k.source AS source, {_CHOSEN} FROM (SELECT DISTINCT lang, source FROM sketch) k
   LEFT JOIN fences a ON k.lang = a.lang AND k.source = a.source LEFT JOIN fences l ON k.lang = l.lang AND l.source = '*' LEFT JOIN fences g ON g.lang = '*' AND g.source = '*')
 """
+FENCES = f"{SKETCH}, {OWN}"
 VERDICT = f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OUT}) AS kept
 FROM judged j LEFT JOIN own o ON j.lang = o.lang AND j.source = o.source"""
 
@@ -101,7 +104,9 @@ def judge(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
     measured = materialise(measures(named), "measures")
     judged = spark.sql(JUDGED.replace("FROM measured", "FROM {measured}"), measured=measured)
-    own = materialise(spark.sql(f"WITH {FENCES} SELECT * FROM own".replace("FROM judged", "FROM {judged}"), judged=judged), "fences")
+    # The sketches, a row a bucket, are written once: three levels of groups are merged from them.
+    sketch = materialise(spark.sql(f"WITH {SKETCH} SELECT * FROM sketch".replace("FROM judged", "FROM {judged}"), judged=judged), "sketch")
+    own = materialise(spark.sql(f"WITH {OWN} SELECT * FROM own".replace("FROM sketch", "FROM {sketch}"), sketch=sketch), "fences")
     if own.count() <= MAX_GROUPS:  # a row a group; else the join is by language and source, and skew is left to adaptive execution
         own = F.broadcast(own)
     return spark.sql(VERDICT.replace("judged j", "{judged} j").replace("own o", "{own} o"), judged=judged, own=own)
