@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_query
 from .bpe import op4_query
 from .fingerprint import op2_query
 from .licenses import op7_query
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_quality": op8_query,
     "op9_secrets": op9_query,
     "op10_toxicity": op10_query,
+    "op11_filter_audit": op11_query,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op8_quality": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
