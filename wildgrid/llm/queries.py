@@ -7,6 +7,7 @@ from .bpe import op4_query
 from .fingerprint import op2_query
 from .licenses import op7_query
 from .packing import op1_query
+from .periodic import op12_query
 from .quality import OP8_SQL, op8_query
 from .secrets import op9_query
 from .simhash import op6_query
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secrets": op9_query,
     "op10_toxicity": op10_query,
     "op11_filter_audit": op11_query,
+    "op12_periodic_runs": op12_query,
 }
 
 ORACLE_SQL = {
