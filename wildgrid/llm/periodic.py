@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -235,7 +236,7 @@ def collapse(batches: Iterable[pa.RecordBatch], fixture: bool):
                 words[a:] = (words[a : a + p] * (len(words) // p + 1))[: len(words) - a]
             texts.append(words)
             lengths.append(len(words))
-        flat = np.fromiter((numbers[w] for words in texts for w in words), np.int64, sum(lengths))
+        flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, sum(lengths))
         first = np.concatenate([[0], np.cumsum(lengths)])
         found = [[] for _ in texts]
         for s, length, period in runs_of(flat, np.repeat(np.arange(len(texts)), lengths)):
