@@ -12,6 +12,7 @@ from .quality import OP8_SQL, op8_query
 from .secrets import op9_query
 from .simhash import op6_query
 from .substring import OP5_SQL, op5_query
+from .tokens import op13_query
 from .toxicity import op10_query
 from .urls import OP3_SQL, op3_query
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_query,
     "op11_filter_audit": op11_query,
     "op12_periodic_runs": op12_query,
+    "op13_byte_bpe": op13_query,
 }
 
 ORACLE_SQL = {
