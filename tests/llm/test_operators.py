@@ -460,6 +460,23 @@ def test_similar_documents_at_the_similarity_and_of_few_words(spark):
     assert sum(want[i] != i for i in want) == 160 and got == want
 
 
+def test_similar_documents_of_one_large_group(spark):
+    """Near copies of one text, a chain whose ends are unlike, and texts that share a passage only: buckets and groups far above a block."""
+    rnd = random.Random(35)
+    base, texts = prose(rnd, 120, 5000).split(), []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            words[rnd.randrange(120)] = f"x{rnd.randint(0, 10**6)}"
+        texts.append((i, " ".join(words)))
+    chain = prose(rnd, 400, 5000).split()
+    texts += [(1000 + i, " ".join(chain[3 * i : 3 * i + 100])) for i in range(60)]
+    texts += [(2000 + i, " ".join(base[:30] + prose(rnd, 90, 5000).split())) for i in range(80)]
+    rnd.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, texts), block=16, set_block=32).collect()}
+    assert got == brute_similar(texts)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

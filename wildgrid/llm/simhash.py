@@ -135,10 +135,11 @@ def links(distinct: DataFrame, radius: int = 4, pivots: int = 16, block: int = B
     return bucket_links(rows, radius, references(pivots).reshape(-1, 1), block)
 
 
-def bucket_links(rows: DataFrame, radius: int, marks: np.ndarray, block: int) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int, marks: np.ndarray, block: int, loose: bool = False) -> DataFrame:
     """rows(key, fp, rep) -> edges(u, v) over rep that connect what links within radius in each bucket (key).
 
-    fp: the fingerprint's 64-bit words as bytes; marks: the pivots, as many words each.
+    fp: the fingerprint's 64-bit words as bytes; marks: the pivots, as many words each.  loose: an edge may connect members of a large
+    bucket within twice the radius, which spares most of its pairs.
     """
 
     def words(fps: list[bytes]) -> np.ndarray:
@@ -190,10 +191,46 @@ def bucket_links(rows: DataFrame, radius: int, marks: np.ndarray, block: int) ->
     edges = found.where("key is null").select("u", "v")
     hot = found.where("key is not null").select("key", "fp", F.col("u").alias("rep"))
     if hot.limit(1).count():
+        if loose:
+            more, hot = _hub_links(hot, radius)
+            edges = edges.union(more)
         edges = edges.union(_hot_links(hot, radius, marks, block))
     return edges
 
 
+def _hub_links(hot: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Large buckets, by hubs: (edges, the rest).
+
+    Each hub is compared with all that is left of its bucket: what lies within the radius goes, what lies within twice the radius is linked.
+    Two members within the radius of each other are then linked if either of them went, as the other is within twice the radius of
+    that hub.  So a bucket of near copies, whatever its size, takes a few looks at each member.
+    """
+    edges = None
+    for hubs in HUBS:
+        chosen = hot.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(hubs)).alias("part")).agg(F.min(F.struct("rep", "fp")).alias("hub"))
+        chosen = chosen.groupBy("key").agg(F.collect_list("hub.rep").alias("reps"), F.collect_list("hub.fp").alias("fps"))
+
+        def met(batches):
+            for b in batches:
+                near, gone = [], []
+                for fp, reps, fps in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                    own = int.from_bytes(fp, "little")
+                    far = [(own ^ int.from_bytes(f, "little")).bit_count() for f in fps]
+                    near.append([r for r, d in zip(reps, far, strict=True) if d <= 2 * radius])
+                    gone.append(min(far) <= radius)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near, pa.list_(pa.int64())), pa.array(gone, pa.bool_())], names=["key", "rep", "fp", "near", "gone"])
+
+        seen = hot.join(chosen, "key").select("key", "rep", "fp", "reps", "fps").mapInArrow(met, "key long, rep long, fp binary, near array<long>, gone boolean")
+        seen = materialise(seen, "hubs")
+        new = seen.select(F.explode("near").alias("u"), F.col("rep").alias("v")).where("u <> v")
+        edges = new if edges is None else edges.union(new)
+        before, hot = hot, seen.where("not gone").select("key", "fp", "rep")
+        left, was = hot.count(), before.count()
+        if not left or 10 * left > 9 * was:
+            break
+    return edges, hot
+
+
 def _hot_links(hot: DataFrame, radius: int, marks: np.ndarray, block: int) -> DataFrame:
     """Large buckets: cut into blocks, each pair of blocks in a task of its own."""
     counts = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
@@ -251,6 +288,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
 WIDE, KEYS, WIDE_BLOCK = 4, 12, 1024
 #: Members and shingles of one block of a group whose pairs are checked exactly.
 SET_BLOCK, SET_SHINGLES = 512, 1 << 21
+#: Hubs that all members of a large bucket or group are compared with, round by round.
+HUBS = (1, 4, 8, 8, 8)
 
 
 def _differ(shared: int, left: int, right: int) -> float:
@@ -306,15 +345,16 @@ def wide_simhash(text: bytes, words_per_shingle: int) -> tuple[bytes, int, list[
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), whole, hashes[:KEYS].view(np.int64).tolist(), len(hashes)
 
 
-def alike(sets: list[np.ndarray], right: int, similarity: float) -> list[tuple[int, int]]:
+def alike(sets: list[np.ndarray], right: int, similarity: float, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) that connect what has the Jaccard similarity or more: i of all, j after i and from `right` on.
 
-    Every such pair is checked but those already connected.
+    Every such pair is checked but those already connected; equal labels: connected before.
     """
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, lab, out = np.zeros(len(names), bool), np.arange(len(sets)), []
+    mark, out = np.zeros(len(names), bool), []
+    lab = np.arange(len(sets)) if labels is None else np.unique(labels, return_inverse=True)[1]
     for i in range(min(right, len(sets)) if right else len(sets)):
         first = max(i + 1, right)
         if first >= len(sets) or not (lab[first:] != lab[i]).any():
@@ -333,51 +373,96 @@ def alike(sets: list[np.ndarray], right: int, similarity: float) -> list[tuple[i
 def exact_links(docs: DataFrame, groups: DataFrame, words_per_shingle: int, similarity: float, block: int = SET_BLOCK) -> DataFrame:
     """groups(component, whole, rep, size) -> edges(u, v) over whole that connect the members of each component that are alike.
 
-    The shingles of the members' texts (of the document rep) are made again; a component above a block is cut, and each pair of
-    blocks is checked in a task of its own.
+    The shingles of the members' texts (of the document rep) are made again.  A component of one block is solved in one task; for
+    larger ones see _large_links.
     """
-    counts = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(SET_SHINGLES))).cast("long").alias("n"))
-    placed = groups.join(counts, "component").select("component", "n", F.pmod(F.xxhash64("whole", F.lit(1)), F.col("n")).alias("own"), "whole", "rep")
-    texts = ids_and_texts(docs).join(placed, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "own", "whole")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(SET_SHINGLES))).cast("long")
+    placed = groups.join(groups.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "whole", "rep")
+    texts = ids_and_texts(docs).join(placed, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "whole")
 
     def made(batches):
         for b in chunks(batches):
             rows = [shingle_hashes(t, words_per_shingle) for t in text_bytes(b.column(0))]
-            mine = pa.array([r[0] == w for r, w in zip(rows, b.column(4).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r[1].astype("<u8").tobytes() for r in rows], pa.binary())], names=["component", "n", "own", "whole", "shingles"]).filter(mine)
+            mine = pa.array([r[0] == w for r, w in zip(rows, b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["component", "n", "whole", "shingles"]).filter(mine)
 
-    sets = texts.mapInArrow(made, "component long, n long, own long, whole long, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "whole", "shingles")
+    sets = materialise(texts.mapInArrow(made, "component long, n long, whole long, shingles array<long>"), "sets")
+    small = sets.where("n = 1").select("component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "whole", F.col("whole").alias("label"), "shingles")
+    edges = _checked(small, similarity)
+    large = sets.where("n > 1")
+    return edges.union(_large_links(large, similarity, block)) if large.limit(1).count() else edges
 
-    def checked(batches):
-        """Rows come sorted: one pair of blocks after the other, the first block's members first."""
-        key, own, nodes, held = None, [], [], []
 
-        def solved():
-            if len(nodes) < 2:
-                return []
-            right = own.count(key[1])
-            if key[1] != key[2] and right in (0, len(own)):
-                return []
-            return [(nodes[i], nodes[j]) for i, j in alike(held, right if key[1] != key[2] else 0, similarity)]
+def _large_links(sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links of large components, sets(component, n, whole, shingles): by hubs first, then what they leave.
 
+    Hubs are compared with all members of their component; what links to a hub is no hub itself.  As a rule that connects nearly all.
+    Then members that are not of the largest part of their component are compared with all members of other parts, block by block.
+    """
+    edges, left = None, sets.select("component", "whole").distinct()
+    for hubs in HUBS:
+        chosen = left.groupBy("component", F.pmod(F.xxhash64("whole", F.lit(2)), F.lit(hubs)).alias("part")).agg(F.min("whole").alias("whole"))
+        hub = chosen.join(sets, ["component", "whole"]).groupBy("component", "whole").agg(F.first("shingles").alias("shingles"))
+        hub = hub.groupBy("component").agg(F.collect_list(F.struct("whole", "shingles")).alias("hubs"))
+        both = lambda x: F.size(F.array_intersect("shingles", x["shingles"]))
+        near = F.transform(F.filter("hubs", lambda x: both(x) >= F.lit(similarity) * (F.size("shingles") + F.size(x["shingles"]) - both(x))), lambda x: x["whole"])
+        met = materialise(sets.join(hub, "component").select("component", "whole", near.alias("near")), "hubs")
+        new = met.select(F.explode("near").alias("u"), F.col("whole").alias("v")).where("u <> v")
+        edges = new if edges is None else edges.union(new)
+        was = left.count()
+        left = left.join(met.where(F.size("near") > 0).select("component", "whole").distinct(), ["component", "whole"], "left_anti")
+        left = materialise(left, "left")
+        now = left.count()
+        if not now or 10 * now > 9 * was:
+            break
+    parts = connected_components(edges).withColumnRenamed("component", "label")
+    at = sets.select("component", "whole").distinct().join(parts, F.col("whole") == F.col("node"), "left").select("component", "whole", F.coalesce("label", "whole").alias("label"))
+    at = materialise(at, "parts")
+    main = at.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = at.join(main, "component").where("label <> main").select("component", "whole", F.lit(True).alias("rest"))
+    if not rest.limit(1).count():
+        return edges
+    share = rest.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("m"))
+    rows = sets.join(at, ["component", "whole"]).join(share, "component").join(rest, ["component", "whole"], "left")
+    part = lambda n: F.pmod(F.xxhash64("whole", F.lit(1)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    first = rows.where("rest").select("component", part("m").alias("a"), every("n").alias("b"), F.lit(0).alias("own"), "whole", "label", "shingles")
+    second = rows.select("component", every("m").alias("a"), part("n").alias("b"), F.lit(1).alias("own"), "whole", "label", "shingles")
+    return edges.union(_checked(first.union(second), similarity))
+
+
+def _checked(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows(component, a, b, own, whole, label, shingles) -> edges(u, v): what links within each (component, a, b), each in one task.
+
+    Rows whose own is 0 are compared with those whose own is 1, or with each other if there are none.
+    """
+
+    def solved(nodes, own, labels, held):
+        right = own.count(0)
+        if len(nodes) < 2 or not right:
+            return []
+        right = 0 if right == len(own) else right
+        return [(nodes[i], nodes[j]) for i, j in alike(held, right, similarity, labels)]
+
+    def checked(batches):
+        """Rows come sorted: one pair of blocks after the other, the first block's members first."""
+        key, now = None, ([], [], [], [])
         for b in batches:
             out = []
-            for c, x, y, o, w, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for c, x, y, o, w, label, s in zip(*(c.to_pylist() if k < 6 else c for k, c in enumerate(b.columns)), strict=True):
                 if (c, x, y) != key:
-                    out += solved()
-                    key, own, nodes, held = (c, x, y), [], [], []
-                if not nodes or nodes[-1] != w:  # rows of one id that repeat
-                    own.append(o)
-                    nodes.append(w)
-                    held.append(np.frombuffer(s, "<u8"))
+                    out += solved(*now)
+                    key, now = (c, x, y), ([], [], [], [])
+                if not now[0] or (now[0][-1], now[1][-1]) != (w, o):  # rows of one id that repeat
+                    for part, v in zip(now, (w, o, label, s.values.to_numpy().view(np.uint64)), strict=True):
+                        part.append(v)
             if out:
                 yield _links(out)
-        out = solved()
+        out = solved(*now)
         if out:
             yield _links(out)
 
-    return dealt.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "own", "whole").mapInArrow(checked, "u long, v long")
+    return rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "own", "whole").mapInArrow(checked, "u long, v long")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -407,7 +492,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = 5, similarity: f
 
     given = materialise(ids_and_texts(docs, text_hash(docs)).where("doc_id is not null").mapInArrow(made, "doc_id long, text_hash long, fp binary, whole long, keys array<long>, size long"), "wide")
     distinct = materialise(given.groupBy("whole").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size")), "distinct")
-    loose = bucket_links(distinct.select(F.explode("keys").alias("key"), "fp", F.col("whole").alias("rep")), wide_radius(similarity), references(pivots * WIDE).reshape(-1, WIDE), block)
+    loose = bucket_links(distinct.select(F.explode("keys").alias("key"), "fp", F.col("whole").alias("rep")), wide_radius(similarity), references(pivots * WIDE).reshape(-1, WIDE), block, True)
     groups = connected_components(loose).join(distinct, F.col("node") == F.col("whole")).select("component", "whole", "rep", "size")
     edges = materialise(exact_links(docs, materialise(groups, "groups"), words_per_shingle, similarity, set_block), "alike")
     parts = distinct.join(connected_components(edges), F.col("node") == F.col("whole"), "left").select("whole", "least", F.coalesce("component", "whole").alias("component"))
