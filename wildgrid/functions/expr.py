@@ -13,9 +13,23 @@ GRAVITY, LAPSE_K_PER_M = 9.80665, 0.0065
 COMPOSITE_DAYS, COMPOSITES = 16, 23
 
 
+def missing(value: Column) -> Column:
+    return value.isNull() | F.isnan(value.cast("double"))
+
+
+def clamped(x: Column, low, high) -> Column:
+    """x, but no less than low and no more than high.  Null stays null and NaN NaN, where least and greatest would give a bound."""
+    return F.when(missing(x), x).when(x < low, low).when(x > high, high).otherwise(x)
+
+
+def index_of(x: Column, cells: int) -> Column:
+    """The whole part of x as one of 0 to cells - 1; null if x is missing."""
+    return F.when(~missing(x), clamped(F.floor(x), F.lit(0), F.lit(cells - 1)))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_KM * F.asin(clamped(F.sqrt(a), F.lit(0.0), F.lit(1.0)))
 
 
 def euclidean(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -36,13 +50,13 @@ def tile_pixel(lat: Column, lon: Column) -> dict[str, Column]:
     x, y = sinusoidal(lat, lon)
     h = F.floor(x / TILE_M + 18).cast("int")
     v = F.floor(9 - y / TILE_M).cast("int")
-    at = lambda part: F.least(F.greatest(F.floor(part * TILE_PIXELS), F.lit(0)), F.lit(TILE_PIXELS - 1)).cast("int")
+    at = lambda part: index_of(part * TILE_PIXELS, TILE_PIXELS).cast("int")
     return {"h": h, "v": v, "row": at(9 - y / TILE_M - v), "col": at(x / TILE_M + 18 - h)}
 
 
 def composite_start(doy: Column) -> Column:
     """Nearest of the days 1, 17, ..., 353; of two as near the earlier; never of another year."""
-    return F.least(F.greatest(F.ceil((doy - 1) / COMPOSITE_DAYS - 0.5), F.lit(0)), F.lit(COMPOSITES - 1)).cast("int") * COMPOSITE_DAYS + 1
+    return clamped(F.ceil((doy - 1) / COMPOSITE_DAYS - 0.5), F.lit(0), F.lit(COMPOSITES - 1)).cast("int") * COMPOSITE_DAYS + 1
 
 
 def wrap_longitude(lon: Column) -> Column:
@@ -67,10 +81,6 @@ def without_nodata(value: Column, low: float = -32000.0, high: float = 1e6) -> C
     return F.when((value >= low) & (value <= high), value)
 
 
-def missing(value: Column) -> Column:
-    return value.isNull() | F.isnan(value.cast("double"))
-
-
 def fourier(doy: Column, periods=(365, 182, 122, 91)) -> dict[str, Column]:
     out = {}
     for p in periods:
@@ -84,7 +94,7 @@ def sigmoid(z: Column, temperature: Column | float = 1.0) -> Column:
 
 
 def logit(p: Column, eps: float = 1e-7) -> Column:
-    q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    q = clamped(p, F.lit(eps), F.lit(1 - eps))
     return F.log(q / (1 - q))
 
 
@@ -96,7 +106,7 @@ def uniform(*key: Column | str) -> Column:
 
 def cell_index(x: Column, low: Column | float, step: float, cells: int) -> Column:
     """Nearest of `cells` regular grid points (half up), clamped to the grid."""
-    return F.least(F.greatest(F.floor((x - low) / step + 0.5), F.lit(0)), F.lit(cells - 1)).cast("long")
+    return index_of((x - low) / step + 0.5, cells).cast("long")
 
 
 def sanitised(name: Column) -> Column:

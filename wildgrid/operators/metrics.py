@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import missing
+from ..functions.expr import index_of, missing
 
 BINS = 15
 #: Boyce index: centres 0, 0.01, ..., 1; half the window; least background in a window; least windows.
@@ -47,18 +47,18 @@ def brier(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bin_of(p: Column) -> Column:
-    return F.greatest(F.least(F.floor(p * BINS), F.lit(BINS - 1)), F.lit(0))
+    return index_of(p * BINS, BINS)
 
 
 def ece(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Expected calibration error over 15 equal bins; a prediction of 1 falls into the last."""
-    bins = scored.groupBy(*keys, bin_of(F.col("p")).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("conf"), F.avg(F.col("y").cast("double")).alias("freq"))
+    """Expected calibration error over 15 equal bins; a prediction of 1 falls into the last, a missing one does not count."""
+    bins = scored.where(~missing(F.col("p"))).groupBy(*keys, bin_of(F.col("p")).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("conf"), F.avg(F.col("y").cast("double")).alias("freq"))
     return bins.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("freq"))) / F.sum("n")).alias("ece"))
 
 
 def pooled_ece(scored: DataFrame) -> DataFrame:
     """One group, half-open bins: a prediction of exactly 1 is in none, but counts in the denominator."""
-    total = scored.agg(F.count("*").alias("total"))
+    total = scored.where(~missing(F.col("p"))).agg(F.count("*").alias("total"))
     bins = scored.where("p < 1").groupBy(F.floor(F.col("p") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("conf"), F.avg(F.col("y").cast("double")).alias("freq"))
     return bins.agg(F.sum(F.col("n") * F.abs(F.col("conf") - F.col("freq"))).alias("s")).crossJoin(total).select((F.col("s") / F.col("total")).alias("ece"))
 

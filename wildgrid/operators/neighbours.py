@@ -1,126 +1,53 @@
 """Sampling of neighbouring sites and the predictor built on it.
 
-Draws follow weights 1 / (distance + 1e-6) without replacement, by the keys -ln(u) / w of which the
-smallest are taken; u comes from seed, target and source.  The exact mode looks at every pair of target and pool.  Above a
-budget of pairs the tree mode takes over (see tree), which draws by the same law and whose cost grows with the targets.
+Draws follow weights 1 / (distance + 1e-6) without replacement: the n smallest of the keys e / weight, e an exponential of seed, target and
+source.  At every size they are found over a tree of the pool (see tree); no target looks at all sites.
 """
 
 from __future__ import annotations
 
-import zlib
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import haversine_km, space_time
 from . import tree
 
-EPS = 1e-6
-PAIRS = 500_000_000
-
-
-def draw(*key: Column | str) -> Column:
-    """In (0, 1): never zero, so that its logarithm is finite."""
-    parts = [F.lit(k) if isinstance(k, str) else k.cast("string") for k in key]
-    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
-
-
-#: Modulus of the pair draws.
-_P = 2147483647
-
-
-def number_of(site: Column) -> Column:
-    """A number below the modulus from an id of any type."""
-    return F.conv(F.substring(F.md5(site.cast("string")), 1, 8), 16, 10).cast("long") % _P
-
-
-def pair_draw(seed: str, target: Column, source: Column) -> Column:
-    """In (0, 1), from two numbers and the seed: a few multiplications and squares, as it is worked out for each pair."""
-    p = F.lit(_P).cast("long")
-    x = (target * 48271 + source * 69621 + zlib.crc32(seed.encode()) % _P) % p
-    x = (x * x + 1013904223) % p
-    x = (x * 16807 + source) % p
-    x = (x * x + 12345) % p
-    x = (x * 48271 + target) % p
-    return (x + 1) / F.lit(float(_P + 1))
 
+def _targets(targets: DataFrame) -> DataFrame:
+    """Without scales: distances count in kilometres and days."""
+    at = [F.col(c).cast("double").alias(name) for c, name in (("latitude", "t_lat"), ("longitude", "t_lon"), ("t_days", "t_t"))]
+    return targets.select(F.col("site_id").cast("string").alias("key"), F.col("site_id").alias("target_id"), *at, F.lit(1.0).alias("d_scale"), F.lit(1.0).alias("t_scale"))
 
-def _pairs(targets: DataFrame, pool: DataFrame, budget: int | None) -> DataFrame:
-    """Each target with each other site of the pool.
 
-    The smaller side is broadcast: within the budget it has at most its square root of rows.  The other is dealt over all partitions,
-    the targets by their id, so that what is gathered for a target stays where it is.
-    """
-    n_targets, n_pool = targets.count(), pool.count()
-    if budget is not None and n_targets * n_pool > budget:
-        raise ValueError(f"{n_targets * n_pool} pairs are above the budget of {budget}: use tree_sources")
-    parts = 2 * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = targets.select(F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("t_days").alias("t_t"), number_of(F.col("site_id")).alias("t_number"))
-    s = pool.select(F.col("site_id").alias("source_id"), "latitude", "longitude", "t_days", number_of(F.col("site_id")).alias("s_number"))
-    if n_targets < n_pool:
-        both = s.repartition(parts, "source_id").join(F.broadcast(t), F.col("target_id") != F.col("source_id"))
-    else:
-        both = t.repartition(parts, "target_id").join(F.broadcast(s), F.col("target_id") != F.col("source_id"))
-    return both.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days"))).select("target_id", "source_id", "d", "gap", "t_number", "s_number")
-
-
-def _take(pairs: DataFrame, weight: Column, n: int, seed: str) -> DataFrame:
-    """The n pairs of the smallest keys of each target.
-
-    The sources of a target fall into 8 n parts by their number.  The n-th smallest of the parts' least keys is no less than the n-th smallest of
-    all, so only pairs up to it are sorted: two passes over the pairs, as they are formed, in place of a sort of them all.
-    """
-    keyed = pairs.withColumn("key", -F.log(pair_draw(seed, F.col("t_number"), F.col("s_number"))) / weight)
-    least = keyed.groupBy("target_id", F.pmod("s_number", F.lit(8 * n)).alias("part")).agg(F.min("key").alias("key"))
-    limit = least.groupBy("target_id").agg(F.get(F.array_sort(F.collect_list("key")), n - 1).alias("limit"))
-    near = keyed.join(limit, "target_id").where(F.col("limit").isNull() | (F.col("key") <= F.col("limit"))).drop("limit")
-    w = Window.partitionBy("target_id").orderBy("key", "source_id")
-    return near.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n)
-
-
-def scales(pairs: DataFrame, n: int, seed: str) -> DataFrame:
+def scales(targets: DataFrame, pool: DataFrame | tree.Tree, n: int, seed: str) -> DataFrame:
     """First stage: n sources near in space; the medians of their distances and gaps (and 1e-6) are the target's scales."""
-    return _medians(_take(pairs, 1 / (F.col("d") + EPS), n, f"{seed}#1"))
+    over = pool if isinstance(pool, tree.Tree) else tree.Tree(pool)
+    first = tree.sampled(over, _targets(targets), n, f"{seed}#1", False)
+    return first.groupBy("target_id").agg((F.percentile("d", F.lit(0.5)) + tree.EPS).alias("d_scale"), (F.percentile("gap", F.lit(0.5)) + tree.EPS).alias("t_scale"))
 
 
-def _medians(first: DataFrame) -> DataFrame:
-    return first.groupBy("target_id").agg((F.percentile("d", F.lit(0.5)) + EPS).alias("d_scale"), (F.percentile("gap", F.lit(0.5)) + EPS).alias("t_scale"))
-
-
-def sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, with_time: bool = True, budget: int = PAIRS) -> DataFrame:
+def sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, with_time: bool = True, replacement: bool | None = None) -> DataFrame:
     """(target_id, slot, source_id, d, gap, weight): n sources of each target, near in space and time on the target's scales.
 
-    If the pool has fewer than n other sites, draws are made with replacement instead.  Above `budget` pairs the sources are drawn
-    over a tree of the pool: by the same law, but they are other draws.
+    replacement: draw each slot by itself, so that a source may come again; by default only if the pool has fewer than n other sites.
+    A target or site without a place or time has no sources and is none; ids are taken once.
     """
-    size = pool.count()
-    if targets.count() * size > budget and size - 1 > n:
-        return tree_sources(targets, pool, n, seed, with_time)
-    pairs = _pairs(targets, pool, None)
-    at = pairs.join(scales(pairs, n, seed), "target_id")
-    distance = space_time(F.col("d"), F.col("gap"), F.col("d_scale"), F.col("t_scale")) if with_time else F.col("d") / F.col("d_scale")
-    at = at.withColumn("weight", 1 / (distance + EPS))
-    if size - 1 < n:
-        return with_replacement(at, n, seed)
-    return _take(at, F.col("weight"), n, f"{seed}#2").select("target_id", "slot", "source_id", "d", "gap", "weight")
-
-
-def with_replacement(weighted: DataFrame, n: int, seed: str) -> DataFrame:
-    """n draws of each target by cumulative weights."""
-    w = Window.partitionBy("target_id").orderBy("source_id")
-    upto = weighted.withColumn("hi", F.sum("weight").over(w)).withColumn("total", F.sum("weight").over(Window.partitionBy("target_id"))).withColumn("lo", F.col("hi") - F.col("weight"))
-    slots = weighted.select("target_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", draw(f"{seed}#r", F.col("target_id"), F.col("slot")))
-    hit = slots.join(upto, "target_id").where((F.col("u") * F.col("total") > F.col("lo")) & (F.col("u") * F.col("total") <= F.col("hi")))
-    return hit.select("target_id", "slot", "source_id", "d", "gap", "weight")
+    over = tree.Tree(pool)
+    at = _targets(targets).drop("d_scale", "t_scale").join(scales(targets, over, n, seed), "target_id")
+    if over.size - 1 < n if replacement is None else replacement:
+        return with_replacement(over, at, n, seed, with_time)
+    return tree.sampled(over, at, n, f"{seed}#2", with_time).drop("key")
+
+
+def with_replacement(over: tree.Tree, targets: DataFrame, n: int, seed: str, with_time: bool = True) -> DataFrame:
+    """n draws of each target, each by keys of its own: the smallest is that of a source by its share of all weights."""
+    slots = targets.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("key", F.concat_ws("|", "key", "slot"))
+    drawn = tree.sampled(over, slots, 1, f"{seed}#r", with_time)
+    return drawn.select("target_id", F.substring_index("key", "|", -1).cast("int").alias("slot"), "source_id", "d", "gap", "weight")
 
 
 def tree_sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, with_time: bool = True) -> DataFrame:
-    """sources() by the same law without looking at each pair; the pool must have more than n sites besides any target."""
-    columns = ("site_id", "latitude", "longitude", "t_days")
-    ones = targets.select(*columns, F.lit(1.0).alias("d_scale"), F.lit(1.0).alias("t_scale"))
-    first = tree.sampled(tree.Tree(pool.select(*columns), False), ones, n, f"{seed}#1", False)
-    at = targets.select(*columns).join(_medians(first).withColumnRenamed("target_id", "site_id"), "site_id")
-    return tree.sampled(tree.Tree(pool.select(*columns), with_time), at, n, f"{seed}#2", with_time)
+    """sources() without replacement, whatever the size of the pool."""
+    return sources(targets, pool, n, seed, with_time, False)
 
 
 def gathered(drawn: DataFrame, presence: DataFrame) -> DataFrame:
@@ -134,7 +61,7 @@ def neighbour_prediction(drawn: DataFrame, presence: DataFrame, species: DataFra
     """(target_id, species, p): weighted share of the sources with the species.  A baseline, not a trained model."""
     total = drawn.groupBy("target_id").agg(F.sum("weight").alias("total"))
     there = drawn.join(presence, drawn.source_id == presence.site_id).groupBy("target_id", "species").agg(F.sum("weight").alias("w"))
-    every = total.crossJoin(F.broadcast(species.select("species").distinct()))
+    every = total.crossJoin(species.select("species").distinct())
     return every.join(there, ["target_id", "species"], "left").select("target_id", "species", (F.coalesce("w", F.lit(0.0)) / F.col("total")).alias("p"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import index_of
+
 
 def degree_cells(sites: DataFrame, degrees: float = 5.0) -> DataFrame:
     """cell: the number of the degree cell that holds the site."""
@@ -14,7 +16,7 @@ def degree_cells(sites: DataFrame, degrees: float = 5.0) -> DataFrame:
 def planar_cells(sites: DataFrame, x: str, y: str, n_cells: int = 20) -> DataFrame:
     """cell of a regular grid over the extent: xi * n + yi."""
     lo = sites.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    at = lambda v, a, b: F.least(F.greatest(F.floor((F.col(v) - F.col(a)) / (F.col(b) - F.col(a) + 1e-9) * n_cells), F.lit(0)), F.lit(n_cells - 1)).cast("long")
+    at = lambda v, a, b: index_of((F.col(v) - F.col(a)) / (F.col(b) - F.col(a) + 1e-9) * n_cells, n_cells).cast("long")
     return sites.crossJoin(F.broadcast(lo)).withColumn("cell", at(x, "_x0", "_x1") * n_cells + at(y, "_y0", "_y1")).drop("_x0", "_x1", "_y0", "_y1")
 
 

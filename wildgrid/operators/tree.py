@@ -1,15 +1,15 @@
-"""Weighted sampling of sources without forming all pairs, by the same law as the exact mode of neighbours.
+"""Weighted sampling of sources over a tree of the pool, by exponential keys that are drawn from the top down.
 
-The pool is a tree: cells of space (and time) that are cut into halves along each axis from level to level, and below them single
-places.  A target meets few nodes: one whose contents lie within a factor `SPREAD` of one distance is taken as a whole, others are opened.
-The keys -ln(u) / w of the exact law are the first arrivals of independent Poisson processes with rates w.  So
+Sources of the n smallest keys e / w are a sample without replacement by weights w, if each e is an exponential of rate one.  The least e of
+a node of m sites is an exponential of rate m.  It is drawn first, and passed on: the site that has it lies in a child with a chance of
+the child's share, and by the want of memory the least e of every other child of k sites exceeds it by an exponential of rate k.  Draws
+depend on seed, target and node alone, so each site's key is fixed, whether or not it is looked at.
 
-* members of small nodes with much weight get their key one by one, and
-* all other nodes share one process of the sum of their largest possible rates; each arrival falls to a node by its rate, to a member of
-  it evenly, and is accepted with the ratio of the member's weight to the largest possible.
+A node is a ball around its box.  No key below it is less than e over the largest weight that the ball allows, and one is no more than e over
+the smallest.  Level by level, a target drops the nodes that cannot hold one of its n smallest keys; it never looks at all pairs.
 
-The n sources of the smallest keys are the sample.  A target whose n keys do not all lie before its last arrival is given more
-arrivals, until they do; draws are keyed by their number, so more of them do not change the first.
+Nodes are split by place, then by time, then by a hash of the id, sixteen ways, until they hold few sites.  So a third of the pool at one
+place is a tree as well.
 """
 
 from __future__ import annotations
@@ -19,16 +19,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import EARTH_KM, haversine_km
+from ..functions.expr import EARTH_KM, haversine_km, missing
 from ..plans.fixtures import scratch
 
 EPS = 1e-6
-#: Largest ratio of distances within a node that is taken as a whole.
-SPREAD = 3.0
-#: Members up to which a node with much weight is taken apart; parts that the members of one place are dealt to.
-SMALL, SALTS = 16, 16
-#: Coordinates with their lower end and span.
-LATITUDE, LONGITUDE = ("latitude", -90.0, 180.0), ("longitude", -180.0, 360.0)
+#: Sites of a node that is not split further; levels by place, time and id; levels that are built at once beyond the expected ones.
+LEAF, PLACE, TIME, ID, MORE = 8, 8, 4, 8, 4
+_DIGITS = "0123456789abcdef"
+
+
+def draw(*key: Column | str) -> Column:
+    """In (0, 1): never zero, so that its logarithm is finite."""
+    parts = [F.lit(k) if isinstance(k, str) else k.cast("string") for k in key]
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -37,128 +40,109 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(low: float, span: float) -> Column:
+    """The way of a site down the tree: a digit for each level."""
+    digit = lambda d: F.substring(F.lit(_DIGITS), (d + 1).cast("int"), F.lit(1))
+    at = lambda x, cells: F.greatest(F.least(F.floor(x * cells), F.lit(cells - 1)), F.lit(0))
+    y, x, t = (F.col("latitude") + 90.0) / 180.0, (F.col("longitude") + 180.0) / 360.0, (F.col("t_days") - low) / span
+    place = [digit(at(y, 4**k) % 4 * 4 + at(x, 4**k) % 4) for k in range(1, PLACE + 1)]
+    time = [digit(at(t, 16**k) % 16) for k in range(1, TIME + 1)]
+    return F.concat(*place, *time, F.substring(F.md5(F.col("site_id").cast("string")), 1, ID))
+
+
 class Tree:
-    """The pool's cells by level, and its members by place."""
-
-    def __init__(self, pool: DataFrame, with_time: bool):
-        low, high, count = pool.agg(F.min("t_days"), F.max("t_days"), F.count("*")).first()
-        self.axes = [LATITUDE, LONGITUDE, *([("t_days", low or 0.0, max((high or 0.0) - (low or 0.0), 1e-9))] if with_time else [])]
-        self.levels = min(15, 2 + math.ceil(math.log(max(count, 2), 2 ** len(self.axes))))
-        self.place = self.levels + 1
-        self.size = count
-        ids = F.array(*(F.struct(F.lit(level).alias("level"), self.cell(level).alias("id"), (self.cell(level - 1) if level <= self.levels else self.cell(self.levels)).alias("parent")) for level in range(1, self.place + 1)))
-        sites = pool.select("site_id", *(F.col(c).cast("double").alias(c) for c in ("latitude", "longitude", "t_days")))
-        self.members = _written(sites.withColumn("at", F.explode(ids)).select("site_id", "latitude", "longitude", "t_days", "at.level", "at.id", "at.parent"), "members")
-        box = [f(c).alias(f"{c}_{s}") for c in ("latitude", "longitude", "t_days") for f, s in ((F.min, "low"), (F.max, "high"))]
-        nodes = self.members.groupBy("level", "id", "parent").agg(F.count("*").alias("n"), *box)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("level", "parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        self.nodes = _written(nodes.withColumn("before", before), "nodes")
-
-    def cell(self, level: int) -> Column:
-        """Number of the cell of a site at a level; of its place at the last one."""
-        if level > self.levels:
-            return F.xxhash64(*(a[0] for a in self.axes), F.pmod(F.xxhash64("site_id"), F.lit(SALTS)))
-        out = F.lit(level).cast("long")
-        for name, low, span in self.axes:
-            at = F.floor((F.col(name) - low) / span * 2**level).cast("long")
-            out = out * 65536 + F.greatest(F.least(at, F.lit(2**level - 1)), F.lit(0))
-        return out
-
-
-def _gap(x: str, low: str, high: str) -> Column:
-    return F.greatest(F.lit(0.0), F.col(low) - F.col(x), F.col(x) - F.col(high))
-
-
-def _bounds() -> tuple[Column, Column, Column, Column]:
-    """Least distance and gap from a target (t_*) to a node's box, and the box's extents."""
-    north, east = _gap("t_lat", "latitude_low", "latitude_high"), _gap("t_lon", "longitude_low", "longitude_high")
-    widest = F.greatest(F.col("longitude_high") - F.col("t_lon"), F.col("t_lon") - F.col("longitude_low"))
-    east = F.greatest(F.lit(0.0), F.least(east, 360 - widest))
-    polar = F.greatest(F.abs("latitude_low"), F.abs("latitude_high"))
-    a = F.pow(F.sin(F.radians(north) / 2), 2) + F.cos(F.radians("t_lat")) * F.cos(F.radians(polar)) * F.pow(F.sin(F.radians(F.least(east, F.lit(180.0))) / 2), 2)
-    least = 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
-    across = EARTH_KM * (F.radians(F.col("latitude_high") - F.col("latitude_low")) + F.radians(F.col("longitude_high") - F.col("longitude_low")))
-    return least, _gap("t_t", "t_days_low", "t_days_high"), across, F.col("t_days_high") - F.col("t_days_low")
+    """Levels of nodes(parent, id, n, before, y, x, radius, t, t_radius, home) and members(home, rank, site_id, latitude, longitude, t_days).
 
+    Sites without a place or time are left out; of rows of one id the least counts.  A node that is not split stands for itself at the
+    levels below, so that a target's nodes are always of one level.
+    """
 
-def _scaled(d: Column, gap: Column, with_time: bool) -> Column:
-    return F.sqrt(F.pow(d / F.col("d_scale"), 2) + F.pow(gap / F.col("t_scale"), 2)) if with_time else d / F.col("d_scale")
+    def __init__(self, pool: DataFrame):
+        known = pool.where(~missing(F.col("latitude")) & ~missing(F.col("longitude")) & ~missing(F.col("t_days")))
+        sites = known.groupBy("site_id").agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in ("latitude", "longitude", "t_days")))).alias("at")).select("site_id", "at.*")
+        low, high, self.size = sites.agg(F.min("t_days"), F.max("t_days"), F.count("*")).first()
+        span = (high - low) if self.size and high > low else 1.0
+        sites = sites.withColumn("path", _path(low or 0.0, span))
+        last, nodes, done, rest = PLACE + TIME + ID, None, 0, sites
+        upto = min(last, 2 + math.ceil(math.log(max(self.size / LEAF, 1), 16)))
+        while True:
+            new = _written(self._boxes(rest, done + 1, upto), "nodes")
+            nodes = new if nodes is None else nodes.union(new)
+            over = new.where((F.col("level") == upto) & (F.col("n") > LEAF)).select(F.col("id").alias("_over"))
+            if upto == last or not over.limit(1).count():
+                break
+            rest = rest.join(over, F.substring("path", 1, upto) == F.col("_over"), "left_semi")
+            done, upto = upto, min(last, upto + MORE)
+        self.depth = upto
+        inner = nodes.where(F.col("n") > LEAF).select(F.col("id").alias("parent"))
+        nodes = nodes.join(inner, "parent", "left_semi").union(nodes.where("level = 1").select("parent", *(c for c in nodes.columns if c != "parent")))
+        before = F.sum("n").over(Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        nodes = nodes.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == last)).withColumn("before", before)
+        again = F.when(F.col("leaf"), F.sequence("level", F.lit(self.depth))).otherwise(F.array("level"))
+        nodes = nodes.withColumn("own", F.col("level")).withColumn("level", F.explode(again))
+        same = F.col("level") > F.col("own")
+        nodes = nodes.withColumn("parent", F.when(same, F.col("id")).otherwise(F.col("parent"))).withColumn("before", F.when(same, 0).otherwise(F.col("before")))
+        nodes = nodes.select("parent", "id", "n", "before", "y", "x", "radius", "t", "t_radius", (F.col("leaf") & ~same).alias("home"), "level")
+        self.spark, self.path, self.schema = pool.sparkSession, scratch(pool.sparkSession, "tree"), nodes.drop("level").schema
+        nodes.repartition("level", F.pmod(F.xxhash64("parent"), F.lit(16))).write.partitionBy("level").parquet(self.path)
+        homes = self.spark.read.parquet(self.path).where("home").select(F.col("id").alias("home")) if self.size else nodes.select(F.col("id").alias("home"))
+        ways = sites.withColumn("home", F.explode(F.transform(F.sequence(F.lit(1), F.lit(self.depth)), lambda k: F.substring(F.col("path"), F.lit(1), k)))).drop("path")
+        rank = F.row_number().over(Window.partitionBy("home").orderBy("site_id")) - 1
+        self.members = _written(ways.join(homes, "home").withColumn("rank", rank), "members")
+
+    def level(self, k: int) -> DataFrame:
+        """Nodes of a level: a table of its own, so that small levels are known to be small and are broadcast."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={k}")
+
+    @staticmethod
+    def _boxes(sites: DataFrame, first: int, last: int) -> DataFrame:
+        at = sites.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("id", F.substring(F.col("path"), F.lit(1), F.col("level")))
+        ends = [f(c).alias(f"{c}_{s}") for c in ("latitude", "longitude", "t_days") for f, s in ((F.min, "low"), (F.max, "high"))]
+        boxes = at.groupBy("level", "id").agg(F.count("*").alias("n"), *ends)
+        middle, half = (lambda c: (F.col(f"{c}_low") + F.col(f"{c}_high")) / 2), (lambda c: (F.col(f"{c}_high") - F.col(f"{c}_low")) / 2)
+        widest = F.when((F.col("latitude_low") <= 0) & (F.col("latitude_high") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs("latitude_low"), F.abs("latitude_high")))))
+        # Along a straight line in degrees, no member is further from the middle; a little more for rounding.
+        radius = EARTH_KM * F.sqrt(F.pow(F.radians(half("latitude")), 2) + F.pow(widest * F.radians(half("longitude")), 2)) * (1 + 1e-9) + 1e-6
+        parent = F.substring(F.col("id"), F.lit(1), F.col("level") - 1)
+        return boxes.select(parent.alias("parent"), "level", "id", "n", middle("latitude").alias("y"), middle("longitude").alias("x"), radius.alias("radius"), middle("t_days").alias("t"), (half("t_days") * (1 + 1e-9) + 1e-9).alias("t_radius"))
 
 
-def _met(tree: Tree, targets: DataFrame, with_time: bool) -> DataFrame:
-    """(target columns, level, id, n, most): the nodes that a target takes as wholes and the largest weight in them."""
-    front, done = targets.withColumn("parent", F.lit(0).cast("long")), None
-    least, gap, across, days = _bounds()
-    for level in range(1, tree.place + 1):
-        nodes = tree.nodes.where(F.col("level") == level).drop("before")
-        met = front.join(nodes.drop("parent") if level == 1 else nodes, [] if level == 1 else ["parent"]) if level > 1 else front.join(F.broadcast(nodes.drop("parent")))  # at most eight
-        at = met.withColumn("near", _scaled(least, gap, with_time)).withColumn("wide", _scaled(across, days, with_time))
-        whole = F.lit(level == tree.place) | ((F.col("id") != F.element_at("own", level)) & (F.col("wide") + EPS <= (SPREAD - 1) * (F.col("near") + EPS)))
-        at = _written(at.withColumn("whole", whole).select(*targets.columns, "level", "id", "n", "near", "whole"), f"met{level}")
-        # At its own place a target does not count itself.
-        part = at.where("whole").withColumn("n", F.col("n") - (F.col("there") & (F.col("id") == F.element_at("own", level)) & (F.col("level") == tree.place)).cast("long"))
-        part = part.where("n > 0").select(*targets.columns, "level", "id", "n", (1 / (F.col("near") + EPS)).alias("most"))
-        done = part if done is None else done.union(part)
-        front = at.where(~F.col("whole")).select(*targets.columns, F.col("id").alias("parent"))
-    return done
+def _scaled(d: Column, gap: Column, with_time: bool) -> Column:
+    return F.sqrt(F.pow(d / F.col("d_scale"), 2) + F.pow(gap / F.col("t_scale"), 2)) if with_time else d / F.col("d_scale")
 
 
 def sampled(tree: Tree, targets: DataFrame, n: int, seed: str, with_time: bool) -> DataFrame:
-    """targets(site_id, latitude, longitude, t_days, d_scale, t_scale) -> (target_id, slot, source_id, d, gap, weight).
+    """targets(key, target_id, t_lat, t_lon, t_t, d_scale, t_scale) -> (key, target_id, slot, source_id, d, gap, weight).
 
-    The tree must have more than n members besides any target.
+    The n sources of the smallest keys for each row of targets, fewer if the tree has fewer.  Draws depend on seed and key.  A target is no
+    source of itself; one without a place or time has none.
     """
-    from .neighbours import draw, number_of, pair_draw
-
-    own = F.array(*(tree.cell(level) for level in range(1, tree.place + 1)))
-    there = tree.members.where(F.col("level") == tree.place).select("site_id", F.lit(True).alias("there")).distinct()
-    given = targets.withColumn("own", own).join(there, "site_id", "left").select(
-        F.col("site_id").alias("target_id"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), F.col("t_days").alias("t_t"), "d_scale", "t_scale", "own", F.coalesce("there", F.lit(False)).alias("there")
-    )
-    site = ["target_id", "t_lat", "t_lon", "t_t", "d_scale", "t_scale"]
-    met = _met(tree, given, with_time).withColumn("rate", F.col("n") * F.col("most"))
-    met = met.withColumn("total", F.sum("rate").over(Window.partitionBy("target_id")))
-    met = _written(met.withColumn("apart", (F.col("n") <= SMALL) & (F.col("rate") * 4 * n > F.col("total"))).select(*site, "level", "id", "n", "most", "rate", "apart"), "met")
-    d, gap = haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude")), F.abs(F.col("t_t") - F.col("t_days"))
-
-    def weighed(df: DataFrame) -> DataFrame:
-        return df.where(F.col("site_id") != F.col("target_id")).withColumn("d", d).withColumn("gap", gap).withColumn("weight", 1 / (_scaled(F.col("d"), F.col("gap"), with_time) + EPS))
-
-    singles = weighed(met.where("apart").drop("n").join(tree.members.drop("parent"), ["level", "id"]))
-    singles = singles.withColumn("key", -F.log(pair_draw(seed, number_of(F.col("target_id")), number_of(F.col("site_id")))) / F.col("weight")).select("target_id", F.col("site_id").alias("source_id"), "d", "gap", "weight", "key")
-    singles = _written(singles, "singles")
-    order = Window.partitionBy("target_id").orderBy("level", "id").rowsBetween(Window.unboundedPreceding, 0)
-    shared = _written(met.where("not apart").withColumn("upto", F.sum("rate").over(order)), "shared")
-    ranked = tree.members.where(F.col("level") == tree.place).withColumn("r", (F.row_number().over(Window.partitionBy("id").orderBy("site_id")) - 1).cast("long")).drop("level", "parent")
-    todo, found, tries = targets.select(F.col("site_id").alias("target_id")), None, 6 * n
-    while True:
-        mine = shared.join(todo, "target_id", "left_semi")
-        sums = mine.groupBy("target_id").agg(F.max("upto").alias("sum"))
-        u = lambda what: draw(f"{seed}#{what}", F.col("target_id"), F.col("j"))
-        arrivals = sums.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("key", F.sum(-F.log(u("time")) / F.col("sum")).over(Window.partitionBy("target_id").orderBy("j")))
-        arrivals = arrivals.withColumn("x", u("node") * F.col("sum"))
-        ends = arrivals.groupBy("target_id").agg(F.max("key").alias("horizon"))
-        hit = arrivals.join(mine, "target_id").where((F.col("x") <= F.col("upto")) & (F.col("x") > F.col("upto") - F.col("rate")))
-        # A node that is the target's own place has the target among its members: it is drawn like them and falls out.
-        size = tree.nodes.select("level", "id", F.col("n").alias("size"))
-        hit = _written(hit.join(size, ["level", "id"]).withColumn("r", F.least(F.floor(u("member") * F.col("size")), F.col("size") - 1)).withColumn("accept", u("accept")).select(*site, "j", "key", "level", "id", "r", "most", "accept"), "hits")
-        now = None
-        for level in range(1, tree.place + 1):
-            new = hit.where(F.col("level") == level).drop("level")
-            now = new if now is None else now.union(new)
-            if level < tree.place:
-                below = tree.nodes.where(F.col("level") == level + 1).select(F.col("parent").alias("id"), F.col("id").alias("child"), "before", "n")
-                now = now.join(below, "id").where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n"))).select(*site, "j", "key", F.col("child").alias("id"), (F.col("r") - F.col("before")).alias("r"), "most", "accept")
-        drawn = weighed(now.join(ranked, ["id", "r"])).where(F.col("accept") * F.col("most") <= F.col("weight"))
-        drawn = drawn.groupBy("target_id", F.col("site_id").alias("source_id")).agg(F.min("key").alias("key"), F.first("d").alias("d"), F.first("gap").alias("gap"), F.first("weight").alias("weight"))
-        both = singles.join(todo, "target_id", "left_semi").unionByName(drawn)
-        sure = both.join(ends, "target_id", "left").where(F.col("horizon").isNull() | (F.col("key") <= F.col("horizon")))
-        slot = F.row_number().over(Window.partitionBy("target_id").orderBy("key", "source_id"))
-        taken = _written(sure.withColumn("slot", slot).where(F.col("slot") <= n).select("target_id", "slot", "source_id", "d", "gap", "weight"), "taken")
-        full = taken.where(F.col("slot") == n).select("target_id")
-        part = taken.join(full, "target_id", "left_semi")
-        found = part if found is None else found.union(part)
-        todo = todo.join(full, "target_id", "left_anti")
-        if not todo.limit(1).count():
-            return found
-        todo, tries = _written(todo, "todo"), 4 * tries
+    site = ["key", "target_id", "t_lat", "t_lon", "t_t", "d_scale", "t_scale"]
+    given = targets.where(~missing(F.col("t_lat")) & ~missing(F.col("t_lon")) & ~missing(F.col("t_t"))).select(*site)
+    if not tree.size:
+        nothing = (F.lit(0.0).alias(c) for c in ("d", "gap", "weight"))
+        return given.where(F.lit(False)).select("key", "target_id", F.lit(0).alias("slot"), F.col("target_id").alias("source_id"), *nothing)
+    # A stated number of partitions: targets are few and small, their descent is what takes time.
+    given = given.repartition(int(tree.spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    exponential = lambda what, part, rate: -F.log(draw(f"{seed}#{what}", F.col("key"), part)) / rate
+    all_ = F.lit(float(max(tree.size, 1)))
+    front = given.select(*site, F.lit("").alias("at"), F.lit(tree.size).cast("long").alias("m"), exponential("e", F.lit(""), all_).alias("e"))
+    order = Window.partitionBy("key").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for level in range(1, tree.depth + 1):
+        met = front.join(tree.level(level).drop("home"), F.col("at") == F.col("parent"))
+        x = draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m")
+        least = F.col("e") + F.when((x >= F.col("before")) & (x < F.col("before") + F.col("n")), 0.0).otherwise(exponential("e", F.col("id"), F.col("n")))
+        met = met.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("y"), F.col("x"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t"))).withColumn("e", least)
+        near = _scaled(F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)), F.greatest(F.col("gap") - F.col("t_radius"), F.lit(0.0)), with_time)
+        far = _scaled(F.col("d") + F.col("radius"), F.col("gap") + F.col("t_radius"), with_time)
+        met = met.select(*site, F.col("id").alias("at"), F.col("n").alias("m"), "e", (F.col("e") * (near + EPS)).alias("low"), (F.col("e") * (far + EPS)).alias("high"))
+        # One more than n, as the target itself may be among the sites.
+        limit = F.nth_value("high", n + 1).over(order)
+        front = met.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select(*site, "at", "m", "e")
+    met = front.join(tree.members, F.col("at") == F.col("home"))
+    x = F.floor(draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m"))
+    own = F.col("e") + F.when(x == F.col("rank"), 0.0).otherwise(exponential("m", F.col("site_id"), F.lit(1.0)))
+    met = met.where(F.col("site_id") != F.col("target_id")).withColumn("e", own).withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days")))
+    met = met.select("key", "target_id", F.col("site_id").alias("source_id"), "d", "gap", (_scaled(F.col("d"), F.col("gap"), with_time) + EPS).alias("away"), "e")
+    slot = F.row_number().over(Window.partitionBy("key").orderBy(F.col("e") * F.col("away"), "source_id"))
+    return met.withColumn("slot", slot).where(F.col("slot") <= n).select("key", "target_id", "slot", "source_id", "d", "gap", (1 / F.col("away")).alias("weight"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 from pyspark.sql import functions as F
 
+from ..operators import tree
 from .lookups import _mask
 from .registry import BLOCKS, CELLS, ENV, Views, _draw, _env, _km, _split, fourier, logit, masking, metrics, models, neighbours, number, prepare, query, scratch, sinks
 
@@ -200,34 +200,50 @@ def _(v):
 N = 8
 
 
-def _pair_draw(seed: str) -> str:
-    """The draw of a pair with numbers tn and sn, in steps of the modulus."""
-    p = neighbours._P
-    x = f"((tn * 48271 + sn * 69621 + {zlib.crc32(seed.encode()) % p}) % {p})"
-    for step in ("({x} * {x} + 1013904223)", "({x} * 16807 + sn)", "({x} * {x} + 12345)", "({x} * 48271 + tn)"):
-        x = f"list_transform([{x}], lambda x: {step.format(x='x')} % {p})[1]"
-    return f"(({x} + 1) / CAST({p + 1} AS DOUBLE))"
+_STEPS = tree.PLACE + tree.TIME + tree.ID
+_HEX = lambda d: f"substr('0123456789abcdef', CAST({d} AS INT) + 1, 1)"
+_AT = lambda x, cells: f"greatest(least(floor({x} * {cells}), {cells - 1}), 0)"
+_Y, _X, _T = "((latitude + CAST(90 AS DOUBLE)) / CAST(180 AS DOUBLE))", "((longitude + CAST(180 AS DOUBLE)) / CAST(360 AS DOUBLE))", "((t_days - low) / span)"
+_WAY = " || ".join([*(_HEX(f"{_AT(_Y, 4**k)} % 4 * 4 + {_AT(_X, 4**k)} % 4") for k in range(1, tree.PLACE + 1)), *(_HEX(f"{_AT(_T, 16**k)} % 16") for k in range(1, tree.TIME + 1)), f"substr(md5(CAST(site_id AS VARCHAR)), 1, {tree.ID})"])
 
 
-def _number(site: str) -> str:
-    return f"CAST(('0x' || substr(md5(CAST({site} AS VARCHAR)), 1, 8)) AS BIGINT) % {neighbours._P}"
+def _tree_sql(pool: str) -> str:
+    """The tree of a pool: its sites with their ways, its nodes, and the nodes above each site."""
+    return f"""sites_of AS (SELECT site_id, latitude, longitude, t_days, {_WAY} AS way FROM {pool}, (SELECT min(t_days) AS low, CASE WHEN max(t_days) > min(t_days) THEN max(t_days) - min(t_days) ELSE 1 END AS span FROM {pool}) r),
+counted AS (SELECT substr(way, 1, k) AS id, k, count(*) AS n FROM sites_of, (SELECT unnest(range(1, {_STEPS + 1})) AS k) ks GROUP BY ALL),
+nodes AS (SELECT c.id, c.k, c.n, substr(c.id, 1, c.k - 1) AS parent, coalesce(p.n, (SELECT count(*) FROM sites_of)) AS m, c.n <= {tree.LEAF} OR c.k = {_STEPS} AS leaf,
+  sum(c.n) OVER (PARTITION BY substr(c.id, 1, c.k - 1) ORDER BY c.id ROWS UNBOUNDED PRECEDING) - c.n AS before FROM counted c LEFT JOIN counted p ON p.id = substr(c.id, 1, c.k - 1) WHERE c.k = 1 OR p.n > {tree.LEAF}),
+above AS (SELECT site_id, id, leaf, n FROM sites_of JOIN nodes ON starts_with(way, id)),
+homes AS (SELECT site_id, id, n, row_number() OVER (PARTITION BY id ORDER BY site_id) - 1 AS rank FROM above WHERE leaf)"""
 
 
-def _pairs_sql(seed: str, time: bool = True) -> str:
+def _keys_sql(name: str, keys: str, seed: str) -> str:
+    """name(key, site_id, e): every exponential of every pair of a table of keys and the sites, as they are passed down the tree."""
+    u = lambda what, part: _draw(f"'{seed}#{what}'", "key", part)
+    return f"""{name}_steps AS (SELECT key, id, CASE WHEN x >= before AND x < before + n THEN CAST(0 AS DOUBLE) ELSE -ln({u('e', 'id')}) / n END AS step FROM (SELECT *, {u('c', 'parent')} * m AS x FROM {keys}, nodes) q),
+{name}_sums AS (SELECT key, site_id, sum(step) AS e FROM {name}_steps JOIN above USING (id) GROUP BY key, site_id),
+{name} AS (SELECT key, h.site_id, e + -ln({u('e', "''")}) / (SELECT count(*) FROM sites_of) + CASE WHEN floor({u('c', 'h.id')} * n) = rank THEN 0 ELSE -ln({u('m', 'CAST(h.site_id AS VARCHAR)')}) END AS e FROM {name}_sums s JOIN homes h USING (site_id))"""
+
+
+def _pairs_sql(seed: str, time: bool = True, targets: str = "stations", pool: str = "pool") -> str:
+    """sources(target_id, slot, source_id, d, gap, weight) by looking at every pair."""
+    return f"{_tree_sql(pool)}, keys AS (SELECT CAST(site_id AS VARCHAR) AS key FROM {targets}), {_stages_sql(seed, time, targets)}"
+
+
+def _stages_sql(seed: str, time: bool, targets: str) -> str:
     weight = "1 / (sqrt(pow(d / ds, 2) + pow(gap / ts, 2)) + 1e-6)" if time else "1 / (d / ds + 1e-6)"
-    return f"""pairs AS (SELECT t.site_id AS target_id, s.site_id AS source_id, {_km('t.latitude', 't.longitude', 's.latitude', 's.longitude')} AS d, abs(t.t_days - s.t_days) AS gap, tn, sn
-  FROM (SELECT *, {_number('site_id')} AS tn FROM stations) t JOIN (SELECT *, {_number('site_id')} AS sn FROM pool) s ON t.site_id <> s.site_id),
-first AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY -ln({_pair_draw(f"{seed}#1")}) / (1 / (d + 1e-6)), source_id) AS k FROM pairs),
+    return f"""pairs AS (SELECT CAST(t.site_id AS VARCHAR) AS key, t.site_id AS target_id, s.site_id AS source_id, {_km('t.latitude', 't.longitude', 's.latitude', 's.longitude')} AS d, abs(t.t_days - s.t_days) AS gap FROM {targets} t JOIN sites_of s ON t.site_id <> s.site_id),
+{_keys_sql('k1', 'keys', f'{seed}#1')}, {_keys_sql('k2', 'keys', f'{seed}#2')},
+first AS (SELECT p.*, row_number() OVER (PARTITION BY target_id ORDER BY e * (d + 1e-6), source_id) AS k FROM pairs p JOIN k1 ON p.key = k1.key AND source_id = k1.site_id),
 scales AS (SELECT target_id, quantile_cont(d, 0.5) + 1e-6 AS ds, quantile_cont(gap, 0.5) + 1e-6 AS ts FROM first WHERE k <= {N} GROUP BY target_id),
 weighted AS (SELECT p.*, {weight} AS weight FROM pairs p JOIN scales USING (target_id)),
-second AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY -ln({_pair_draw(f"{seed}#2")}) / weight, source_id) AS slot FROM weighted),
+second AS (SELECT w.*, row_number() OVER (PARTITION BY target_id ORDER BY e / weight, source_id) AS slot FROM weighted w JOIN k2 ON w.key = k2.key AND source_id = k2.site_id),
 sources AS (SELECT * FROM second WHERE slot <= {N})"""
 
 
 @query("e01_scales", "SELECT target_id, round(ds, 6) AS d_scale, round(ts, 6) AS t_scale FROM scales", _pairs_sql("e"))
 def _(v):
-    pairs = neighbours._pairs(v.stations, v.pool, neighbours.PAIRS)
-    return neighbours.scales(pairs, N, "e").select("target_id", F.round("d_scale", 6).alias("d_scale"), F.round("t_scale", 6).alias("t_scale"))
+    return neighbours.scales(v.stations, v.pool, N, "e").select("target_id", F.round("d_scale", 6).alias("d_scale"), F.round("t_scale", 6).alias("t_scale"))
 
 
 @query("e02_sources", "SELECT target_id, slot, source_id, round(d, 6) AS d, round(weight, 6) AS weight FROM sources", _pairs_sql("e"))
@@ -240,22 +256,21 @@ def _(v):
     return neighbours.sources(v.stations, v.pool, N, "s", with_time=False).select("target_id", "slot", "source_id")
 
 
-@query("e03_with_replacement", f"SELECT c.target_id, slot, source_id FROM (SELECT target_id, source_id, weight, sum(weight) OVER (PARTITION BY target_id ORDER BY source_id) AS hi, sum(weight) OVER (PARTITION BY target_id) AS total FROM weighted) c JOIN (SELECT DISTINCT target_id, s.slot FROM weighted, (SELECT unnest(range(1, 6)) AS slot) s) d ON c.target_id = d.target_id WHERE {_draw(chr(39) + 'e#r' + chr(39), 'CAST(d.target_id AS VARCHAR)', 'CAST(slot AS VARCHAR)')} * total > hi - weight AND {_draw(chr(39) + 'e#r' + chr(39), 'CAST(d.target_id AS VARCHAR)', 'CAST(slot AS VARCHAR)')} * total <= hi", _pairs_sql("e"))
-def _(v):
-    pairs = neighbours._pairs(v.stations, v.pool, neighbours.PAIRS)
-    at = pairs.join(neighbours.scales(pairs, N, "e"), "target_id")
-    from ..functions.expr import space_time
+_SLOTS = "slot_keys AS (SELECT key || '|' || slot AS key, key AS target, slot FROM keys, (SELECT unnest(range(1, 9)) AS slot) s)"
+
 
-    at = at.withColumn("weight", 1 / (space_time(F.col("d"), F.col("gap"), F.col("d_scale"), F.col("t_scale")) + 1e-6))
-    return neighbours.with_replacement(at, 5, "e").select("target_id", "slot", "source_id")
+@query("e03_with_replacement", "SELECT target_id, slot, source_id FROM (SELECT target_id, s.slot, source_id, row_number() OVER (PARTITION BY target_id, s.slot ORDER BY e / weight, source_id) AS k FROM slot_keys s JOIN weighted w ON w.key = s.target JOIN k3 ON k3.key = s.key AND k3.site_id = source_id) q WHERE k = 1", f"{_pairs_sql('e')}, {_SLOTS}, {_keys_sql('k3', 'slot_keys', 'e#r')}")
+def _(v):
+    return neighbours.sources(v.stations, v.pool, N, "e", replacement=True).select("target_id", "slot", "source_id")
 
 
-@query("e04_tree_sources")
+@query("e04_tree_sources", "SELECT target_id, slot, source_id, round(d, 6) AS d, round(gap, 6) AS gap, round(weight, 6) AS weight FROM sources", _pairs_sql("c"))
 def _(v):
-    return neighbours.tree_sources(v.stations, v.pool, N, "c")
+    out = neighbours.tree_sources(v.stations, v.pool, N, "c")
+    return out.select("target_id", "slot", "source_id", *(F.round(c, 6).alias(c) for c in ("d", "gap", "weight")))
 
 
-@query("e04_train_sources", "SELECT target_id, slot, source_id FROM sources", _pairs_sql("t").replace("FROM pool)", "FROM pool WHERE site_id % 5 <> 0)"))
+@query("e04_train_sources", "SELECT target_id, slot, source_id FROM sources", "train_pool AS (SELECT * FROM pool WHERE site_id % 5 <> 0), " + _pairs_sql("t", pool="train_pool"))
 def _(v):
     return neighbours.sources(v.stations, v.pool.where("site_id % 5 <> 0"), N, "t").select("target_id", "slot", "source_id")
 
@@ -275,10 +290,16 @@ def _(v):
     return neighbours.neighbour_prediction(drawn, v.pool_presence, v.pool_presence).select("target_id", "species", F.round("p", 6).alias("p"))
 
 
-_TWO = f"{_pairs_sql('b0')}, {PRED}" + ", " + f"{_pairs_sql('b1')}, {PRED}".replace("pairs AS", "pairs1 AS").replace("FROM pairs", "FROM pairs1").replace("first AS", "first1 AS").replace("FROM first", "FROM first1").replace("scales AS", "scales1 AS").replace("JOIN scales", "JOIN scales1").replace("weighted AS", "weighted1 AS").replace("FROM weighted", "FROM weighted1").replace("second AS", "second1 AS").replace("FROM second", "FROM second1").replace("sources AS", "sources1 AS").replace("FROM sources", "FROM sources1").replace("pred AS", "pred1 AS")
+_SECOND = ("k1_steps", "k1_sums", "k1", "k2_steps", "k2_sums", "k2", "pairs", "first", "scales", "weighted", "second", "sources", "pred")
 
 
-@query("g06_bagged_prediction", "SELECT target_id, species, round((a.p + b.p) / 2, 6) AS p, round(a.p, 6) AS p_single FROM pred a JOIN pred1 b USING (target_id, species)", _TWO)
+def _two(one: str, other: str, targets: str = "stations") -> str:
+    """Predictions pred and pred1 of two passes for a table of targets, over one tree."""
+    again = re.sub(rf"\b({'|'.join(_SECOND)})\b", r"\1_b", f"{_stages_sql(other, True, targets)}, {PRED}")
+    return f"{_pairs_sql(one, targets=targets)}, {PRED}, {again}"
+
+
+@query("g06_bagged_prediction", "SELECT target_id, species, round((a.p + b.p) / 2, 6) AS p, round(a.p, 6) AS p_single FROM pred a JOIN pred_b b USING (target_id, species)", _two("b0", "b1"))
 def _(v):
     out = None
     for k in range(2):
@@ -288,22 +309,10 @@ def _(v):
     return bag.select("target_id", "species", F.round("p", 6).alias("p"), F.round("p_single", 6).alias("p_single"))
 
 
-_SECOND = ("pairs", "first", "scales", "weighted", "second", "sources", "pred")
-
-
-def _two(one: str, other: str, targets: str) -> str:
-    """Predictions pred and pred1 of two passes for a table of targets."""
-    again = f"{_pairs_sql(other)}, {PRED}"
-    for name in _SECOND:
-        again = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}1", again)
-        again = re.sub(rf"\b{name} AS \(", f"{name}1 AS (", again)
-    return f"{_pairs_sql(one)}, {PRED}, {again}".replace("FROM stations)", f"FROM {targets})")
-
-
 DATED = "dated AS (SELECT site_id * 10 + k AS site_id, latitude, longitude, CAST(100 * k AS DOUBLE) AS t_days FROM stations, (SELECT unnest([1, 2]) AS k) ks)"
 
 
-@query("g07_suitability", "SELECT a.target_id // 10 AS cell_id, a.target_id % 10 * 100 AS day, round((a.p + b.p) / 2, 6) AS p FROM pred a JOIN pred1 b USING (target_id, species) WHERE species = (SELECT min(species) FROM pool_presence)", f"{DATED}, {_two('m0', 'm1', 'dated')}")
+@query("g07_suitability", "SELECT a.target_id // 10 AS cell_id, a.target_id % 10 * 100 AS day, round((a.p + b.p) / 2, 6) AS p FROM pred a JOIN pred_b b USING (target_id, species) WHERE species = (SELECT min(species) FROM pool_presence)", f"{DATED}, {_two('m0', 'm1', 'dated')}")
 def _(v):
     """A row for each cell and date: the mean of two passes, nothing known of the cell, sources from observations alone."""
     dated = v.stations.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).select((F.col("site_id") * 10 + F.col("k")).alias("site_id"), "latitude", "longitude", (100.0 * F.col("k")).alias("t_days"))

@@ -62,11 +62,17 @@ class Views:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder that the session names; without one, in a temporary folder in local mode, and an error on a cluster."""
+    """A new path in the shared checkpoint folder that the session names; without one, in a temporary folder in local mode, and an error on a cluster.
+
+    What is written there is deleted when the driver ends.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
