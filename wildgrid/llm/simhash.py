@@ -378,7 +378,6 @@ def exact_links(docs: DataFrame, groups: DataFrame, words_per_shingle: int, simi
     """
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(SET_SHINGLES))).cast("long")
     placed = groups.join(groups.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "whole", "rep")
-    texts = ids_and_texts(docs).join(placed, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "whole")
 
     def made(batches):
         for b in chunks(batches):
@@ -386,11 +385,14 @@ def exact_links(docs: DataFrame, groups: DataFrame, words_per_shingle: int, simi
             mine = pa.array([r[0] == w for r, w in zip(rows, b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["component", "n", "whole", "shingles"]).filter(mine)
 
-    sets = materialise(texts.mapInArrow(made, "component long, n long, whole long, shingles array<long>"), "sets")
-    small = sets.where("n = 1").select("component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "whole", F.col("whole").alias("label"), "shingles")
+    def sets(members):
+        texts = ids_and_texts(docs).join(members, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "whole")
+        return texts.mapInArrow(made, "component long, n long, whole long, shingles array<long>")
+
+    small = sets(placed.where("n = 1")).select("component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "whole", F.col("whole").alias("label"), "shingles")
     edges = _checked(small, similarity)
-    large = sets.where("n > 1")
-    return edges.union(_large_links(large, similarity, block)) if large.limit(1).count() else edges
+    large = placed.where("n > 1")
+    return edges.union(_large_links(materialise(sets(large), "sets"), similarity, block)) if large.limit(1).count() else edges
 
 
 def _large_links(sets: DataFrame, similarity: float, block: int) -> DataFrame:
