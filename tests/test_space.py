@@ -41,7 +41,7 @@ def test_longest_distance(sites, places):
 
 def test_nearest_fill(spark, sites, places):
     targets = spark.createDataFrame([(i, 15.0 + i * 2.3, -150.0 + i * 4.1) for i in range(20)], "id long, latitude double, longitude double")
-    out = {r.id: r.v for r in geo.nearest_fill(targets, sites.withColumn("v", F.col("t_days")), "id", "v", 3.0).collect()}
+    out = {r.id: r.v for r in geo.nearest_fill(targets, sites.withColumn("v", F.col("t_days")), "id", "v").collect()}
     for i in range(20):
         y, x = 15.0 + i * 2.3, -150.0 + i * 4.1
         assert out[i] == min((round(math.hypot(p[1] - y, p[2] - x), 9), p[3]) for p in places)[1]
@@ -51,9 +51,26 @@ def test_nearest_fill_at_the_edge_of_a_cell_and_far_away(spark):
     points = [(0.0, 2.05, 1.0), (1.55, 0.0, 2.0), (90.0, 90.0, 3.0)]
     known = spark.createDataFrame(points, "latitude double, longitude double, v double")
     targets = spark.createDataFrame([(1, 0.0, 0.0), (2, -80.0, -170.0), (3, 89.0, 90.0)], "id long, latitude double, longitude double")
-    got = {r.id: r.v for r in geo.nearest_fill(targets, known, "id", "v", 1.0).collect()}
+    got = {r.id: r.v for r in geo.nearest_fill(targets, known, "id", "v").collect()}
     assert got == {1: 2.0, 2: 2.0, 3: 3.0}
-    assert {r.v for r in geo.nearest_fill(targets, known.limit(0), "id", "v", 1.0).collect()} == {None}
+    assert {r.v for r in geo.nearest_fill(targets, known.limit(0), "id", "v").collect()} == {None}
+
+
+def test_nearest_fill_far_from_a_dense_set(spark):
+    """Targets a continent away from all points, points at one place, and rows that are missing something."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    points = np.vstack([rnd.uniform(0, 8, (4000, 2)), np.repeat([[5.0, 5.0]], 300, axis=0), np.round(rnd.uniform(0, 8, (500, 2)))])
+    values = rnd.integers(0, 50, len(points)).astype(float)
+    far = np.vstack([rnd.uniform(-60, -50, (300, 2)), rnd.uniform(0, 8, (100, 2)), [[4.5, 4.5], [5.0, 5.0]]])
+    rows = [(float(y), float(x), float(v)) for (y, x), v in zip(points, values)] + [(-60.0, -60.0, None), (-60.0, -60.0, float("nan")), (None, 1.0, 1.0), (1.0, float("nan"), 1.0)]
+    known = spark.createDataFrame(rows, "latitude double, longitude double, v double")
+    targets = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(far)] + [(9001, None, 0.0), (9002, 0.0, float("nan"))], "id long, latitude double, longitude double")
+    got = {r.id: r.v for r in geo.nearest_fill(targets, known, "id", "v").collect()}
+    d = np.round(np.hypot(far[:, None, 0] - points[None, :, 0], far[:, None, 1] - points[None, :, 1]), 9)
+    want = {i: min(values[row == row.min()]) for i, row in enumerate(d)}
+    assert got == {**want, 9001: None, 9002: None}
 
 
 def test_imputed_takes_nan_as_missing(spark):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import euclidean, haversine_km
+from ..functions.expr import euclidean, haversine_km, index_of, missing
+from . import tree
 
 
 def grid(spark, lat: tuple[float, float], lon: tuple[float, float], step: float) -> DataFrame:
@@ -82,33 +83,39 @@ def countries_named(countries: DataFrame, wanted: DataFrame) -> DataFrame:
     return countries.select("country").distinct().join(F.broadcast(wanted), name_matches(F.col("country"), F.col("wanted")))
 
 
-def nearest_fill(targets: DataFrame, known: DataFrame, key: str, value: str, cell: float) -> DataFrame:
+#: Points of a box that is not split further, and levels of boxes, each sixteen times as many.
+LEAF, LEVELS = 8, 12
+
+
+def nearest_fill(targets: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): of each target, the value at the nearest known point by longitude and latitude, of equals the smallest value.
 
-    Points are binned.  A target looks at its cell and the eight around it, and what it finds counts if no point beyond them can
-    be nearer; else it looks again with cells twice as wide, until they span all points.  Null only without any known point.
-    Targets that are left are cut off by a checkpoint after each round, so rounds do not repeat each other's work.
+    Branch and bound over a tree of boxes that lie close around the points.  A point of a box is no nearer than the box, and one of them no
+    further than the nearest of its sides' far ends.  Level by level, a target keeps the boxes that are not further than the least such
+    bound.  So its cost does not depend on how far away the points are.  Null for a target without a place, or if no value
+    is known; a point without a place or value (null or NaN) is none.
     """
-    points = known.where(F.col(value).isNotNull()).select(F.col("latitude").alias("y"), F.col("longitude").alias("x"), F.col(value).alias("v"))
-    left, found = targets.select(key, "latitude", "longitude"), None
-    bounds = points.select("y", "x").union(left.select("latitude", "longitude")).agg(F.max("y") - F.min("y"), F.max("x") - F.min("x")).first()
-    span = max(b or 0.0 for b in bounds)
-    while True:
-        at = lambda c: F.floor(F.col(c) / cell).cast("long")  # noqa: B023, E731
-        around = F.sequence(F.lit(-1), F.lit(1))
-        near = left.withColumn("i", F.explode(F.transform(around, lambda d: d + at("latitude")))).withColumn("j", F.explode(F.transform(around, lambda d: d + at("longitude"))))
-        met = near.join(points.select(at("y").alias("i"), at("x").alias("j"), "y", "x", "v"), ["i", "j"])
-        d = euclidean(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x"))
-        best = met.groupBy(key).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col("v"))).alias("best"))
-        last = cell > span
-        round_ = left.join(best, key, "left")
-        round_ = round_ if last else round_.checkpoint()
-        sure = F.lit(True) if last else F.coalesce(F.col("best.d") < cell, F.lit(False))
-        part = round_.where(sure).select(key, F.col("best.v").alias(value))
-        found = part if found is None else found.union(part)
-        if last:
-            return found
-        left = round_.where(~sure).select(key, "latitude", "longitude")
-        if not left.limit(1).count():
-            return found
-        cell *= 2
+    points = known.where(~missing(F.col(value)) & ~missing(F.col("latitude")) & ~missing(F.col("longitude")))
+    points = points.groupBy(F.col("latitude").cast("double").alias("py"), F.col("longitude").cast("double").alias("px")).agg(F.min(value).alias("v"))
+    y0, y1, x0, x1, size = points.agg(F.min("py"), F.max("py"), F.min("px"), F.max("px"), F.count("*")).first()
+    if not size:
+        return targets.select(key, F.lit(None).cast(points.schema["v"].dataType).alias(value))
+    span = max(y1 - y0, x1 - x0) or 1.0
+    at = lambda c, low, k: index_of((F.col(c) - low) / span * 4**k, 4**k)
+    path = F.concat(*(tree.digit(at("py", y0, k) % 4 * 4 + at("px", x0, k) % 4) for k in range(1, LEVELS + 1)))
+    boxes = tree.Levels(tree._written(points.withColumn("path", path), "points"), size, LEVELS, LEAF, tree.ends("py", "px"), lambda b: b)
+    here = targets.where(~missing(F.col("latitude")) & ~missing(F.col("longitude"))).select(F.col(key).alias("key"), F.col("latitude").cast("double").alias("y"), F.col("longitude").cast("double").alias("x"))
+    front = here.repartition(int(boxes.spark.conf.get("spark.sql.shuffle.partitions")), "key").withColumn("at", F.lit(""))
+    outside_ = lambda t, c: F.greatest(F.lit(0.0), F.col(f"{c}_low") - F.col(t), F.col(t) - F.col(f"{c}_high"))
+    near_side = lambda t, c: F.least(F.abs(F.col(t) - F.col(f"{c}_low")), F.abs(F.col(t) - F.col(f"{c}_high")))
+    far_side = lambda t, c: F.greatest(F.abs(F.col(t) - F.col(f"{c}_low")), F.abs(F.col(t) - F.col(f"{c}_high")))
+    length = lambda a, b: F.sqrt(F.pow(a, 2) + F.pow(b, 2))
+    low = length(outside_("y", "py"), outside_("x", "px"))
+    high = F.least(length(near_side("y", "py"), far_side("x", "px")), length(far_side("y", "py"), near_side("x", "px")))
+    best = F.min("high").over(Window.partitionBy("key", "y", "x"))
+    for level in range(1, boxes.depth + 1):
+        met = front.join(boxes.level(level), F.col("at") == F.col("parent")).select("key", "y", "x", F.col("id").alias("at"), low.alias("low"), high.alias("high"))
+        front = met.withColumn("best", best).where(F.col("low") <= F.col("best") + 1e-8).select("key", "y", "x", "at")  # distances count to nine digits
+    d = F.round(euclidean(F.col("y"), F.col("x"), F.col("py"), F.col("px")), 9)
+    found = front.join(boxes.members, F.col("at") == F.col("home")).groupBy("key").agg(F.min(F.struct(d.alias("d"), F.col("v"))).alias("best"))
+    return targets.join(found, F.col(key) == F.col("key"), "left").select(targets[key], F.col("best.v").alias(value))

@@ -25,7 +25,6 @@ from ..plans.fixtures import scratch
 EPS = 1e-6
 #: Sites of a node that is not split further; levels by place, time and id; levels that are built at once beyond the expected ones.
 LEAF, PLACE, TIME, ID, MORE = 8, 8, 4, 8, 4
-_DIGITS = "0123456789abcdef"
 
 
 def draw(*key: Column | str) -> Column:
@@ -40,9 +39,12 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def digit(d: Column) -> Column:
+    return F.substring(F.lit("0123456789abcdef"), (d + 1).cast("int"), F.lit(1))
+
+
 def _path(low: float, span: float) -> Column:
     """The way of a site down the tree: a digit for each level."""
-    digit = lambda d: F.substring(F.lit(_DIGITS), (d + 1).cast("int"), F.lit(1))
     at = lambda x, cells: F.greatest(F.least(F.floor(x * cells), F.lit(cells - 1)), F.lit(0))
     y, x, t = (F.col("latitude") + 90.0) / 180.0, (F.col("longitude") + 180.0) / 360.0, (F.col("t_days") - low) / span
     place = [digit(at(y, 4**k) % 4 * 4 + at(x, 4**k) % 4) for k in range(1, PLACE + 1)]
@@ -50,61 +52,74 @@ def _path(low: float, span: float) -> Column:
     return F.concat(*place, *time, F.substring(F.md5(F.col("site_id").cast("string")), 1, ID))
 
 
-class Tree:
-    """Levels of nodes(parent, id, n, before, y, x, radius, t, t_radius, home) and members(home, rank, site_id, latitude, longitude, t_days).
+class Levels:
+    """A tree over rows with a column path, a digit for each level: levels of nodes, and members with the leaf that they are in.
 
-    Sites without a place or time are left out; of rows of one id the least counts.  A node that is not split stands for itself at the
-    levels below, so that a target's nodes are always of one level.
+    Nodes of up to `leaf` members, and those of the last level, are not split.  A node that is not split stands for itself at the levels below,
+    so that what descends is always at nodes of one level.  boxes: aggregates of a node, finished by a function into its columns.
     """
 
-    def __init__(self, pool: DataFrame):
-        known = pool.where(~missing(F.col("latitude")) & ~missing(F.col("longitude")) & ~missing(F.col("t_days")))
-        sites = known.groupBy("site_id").agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in ("latitude", "longitude", "t_days")))).alias("at")).select("site_id", "at.*")
-        low, high, self.size = sites.agg(F.min("t_days"), F.max("t_days"), F.count("*")).first()
-        span = (high - low) if self.size and high > low else 1.0
-        sites = sites.withColumn("path", _path(low or 0.0, span))
-        last, nodes, done, rest = PLACE + TIME + ID, None, 0, sites
-        upto = min(last, 2 + math.ceil(math.log(max(self.size / LEAF, 1), 16)))
+    def __init__(self, rows: DataFrame, size: int, last: int, leaf: int, boxes: list[Column], finished):
+        self.spark, self.size = rows.sparkSession, size
+        upto = min(last, 2 + math.ceil(math.log(max(size / leaf, 1), 16)))
+        nodes, done, rest = None, 0, rows
         while True:
-            new = _written(self._boxes(rest, done + 1, upto), "nodes")
+            at = rest.withColumn("level", F.explode(F.sequence(F.lit(done + 1), F.lit(upto)))).withColumn("id", F.substring(F.col("path"), F.lit(1), F.col("level")))
+            new = at.groupBy("level", "id").agg(F.count("*").alias("n"), *boxes).withColumn("parent", F.substring(F.col("id"), F.lit(1), F.col("level") - 1))
+            new = _written(finished(new), "nodes")
             nodes = new if nodes is None else nodes.union(new)
-            over = new.where((F.col("level") == upto) & (F.col("n") > LEAF)).select(F.col("id").alias("_over"))
+            over = new.where((F.col("level") == upto) & (F.col("n") > leaf)).select(F.col("id").alias("_over"))
             if upto == last or not over.limit(1).count():
                 break
             rest = rest.join(over, F.substring("path", 1, upto) == F.col("_over"), "left_semi")
             done, upto = upto, min(last, upto + MORE)
         self.depth = upto
-        inner = nodes.where(F.col("n") > LEAF).select(F.col("id").alias("parent"))
-        nodes = nodes.join(inner, "parent", "left_semi").union(nodes.where("level = 1").select("parent", *(c for c in nodes.columns if c != "parent")))
+        inner = nodes.where(F.col("n") > leaf).select(F.col("id").alias("parent"))
+        first = nodes.where("level = 1").select("parent", *(c for c in nodes.columns if c != "parent"))
+        nodes = nodes.join(inner, "parent", "left_semi").union(first)
         before = F.sum("n").over(Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        nodes = nodes.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("level") == last)).withColumn("before", before)
-        again = F.when(F.col("leaf"), F.sequence("level", F.lit(self.depth))).otherwise(F.array("level"))
-        nodes = nodes.withColumn("own", F.col("level")).withColumn("level", F.explode(again))
-        same = F.col("level") > F.col("own")
-        nodes = nodes.withColumn("parent", F.when(same, F.col("id")).otherwise(F.col("parent"))).withColumn("before", F.when(same, 0).otherwise(F.col("before")))
-        nodes = nodes.select("parent", "id", "n", "before", "y", "x", "radius", "t", "t_radius", (F.col("leaf") & ~same).alias("home"), "level")
-        self.spark, self.path, self.schema = pool.sparkSession, scratch(pool.sparkSession, "tree"), nodes.drop("level").schema
+        whole = (F.col("n") <= leaf) | (F.col("level") == last)
+        nodes = nodes.withColumn("before", before).withColumn("first", F.col("level")).withColumn("level", F.explode(F.when(whole, F.sequence("level", F.lit(self.depth))).otherwise(F.array("level"))))
+        again = F.col("level") > F.col("first")
+        nodes = nodes.withColumn("home", ((F.col("n") <= leaf) | (F.col("first") == last)) & ~again)
+        nodes = nodes.withColumn("parent", F.when(again, F.col("id")).otherwise(F.col("parent"))).withColumn("before", F.when(again, 0).otherwise(F.col("before"))).drop("first")
+        self.path, self.schema = scratch(self.spark, "tree"), nodes.drop("level").schema
         nodes.repartition("level", F.pmod(F.xxhash64("parent"), F.lit(16))).write.partitionBy("level").parquet(self.path)
-        homes = self.spark.read.parquet(self.path).where("home").select(F.col("id").alias("home")) if self.size else nodes.select(F.col("id").alias("home"))
-        ways = sites.withColumn("home", F.explode(F.transform(F.sequence(F.lit(1), F.lit(self.depth)), lambda k: F.substring(F.col("path"), F.lit(1), k)))).drop("path")
-        rank = F.row_number().over(Window.partitionBy("home").orderBy("site_id")) - 1
-        self.members = _written(ways.join(homes, "home").withColumn("rank", rank), "members")
+        homes = self.spark.read.parquet(self.path).where("home").select(F.col("id").alias("home")) if size else nodes.select(F.col("id").alias("home"))
+        ways = rows.withColumn("home", F.explode(F.transform(F.sequence(F.lit(1), F.lit(self.depth)), lambda k: F.substring(F.col("path"), F.lit(1), k)))).drop("path")
+        self.members = _written(ways.join(homes, "home"), "members")
 
     def level(self, k: int) -> DataFrame:
         """Nodes of a level: a table of its own, so that small levels are known to be small and are broadcast."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={k}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={k}").drop("home")
+
+
+def ends(*columns: str) -> list[Column]:
+    return [f(c).alias(f"{c}_{s}") for c in columns for f, s in ((F.min, "low"), (F.max, "high"))]
+
+
+class Tree(Levels):
+    """Levels of nodes(parent, id, n, before, y, x, radius, t, t_radius) and members(home, rank, site_id, latitude, longitude, t_days).
+
+    Sites without a place or time are left out; of rows of one id the least counts.
+    """
+
+    def __init__(self, pool: DataFrame):
+        known = pool.where(~missing(F.col("latitude")) & ~missing(F.col("longitude")) & ~missing(F.col("t_days")))
+        low, high = known.agg(F.min("t_days"), F.max("t_days")).first()
+        span = float(high - low) if low is not None and high > low else 1.0
+        sites = known.groupBy("site_id").agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in ("latitude", "longitude", "t_days")))).alias("at")).select("site_id", "at.*")
+        sites = _written(sites.withColumn("path", _path(float(low or 0.0), span)), "sites")
+        super().__init__(sites, sites.count(), PLACE + TIME + ID, LEAF, ends("latitude", "longitude", "t_days"), self._balls)
+        self.members = self.members.withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy("site_id")) - 1)
 
     @staticmethod
-    def _boxes(sites: DataFrame, first: int, last: int) -> DataFrame:
-        at = sites.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("id", F.substring(F.col("path"), F.lit(1), F.col("level")))
-        ends = [f(c).alias(f"{c}_{s}") for c in ("latitude", "longitude", "t_days") for f, s in ((F.min, "low"), (F.max, "high"))]
-        boxes = at.groupBy("level", "id").agg(F.count("*").alias("n"), *ends)
+    def _balls(boxes: DataFrame) -> DataFrame:
         middle, half = (lambda c: (F.col(f"{c}_low") + F.col(f"{c}_high")) / 2), (lambda c: (F.col(f"{c}_high") - F.col(f"{c}_low")) / 2)
         widest = F.when((F.col("latitude_low") <= 0) & (F.col("latitude_high") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs("latitude_low"), F.abs("latitude_high")))))
         # Along a straight line in degrees, no member is further from the middle; a little more for rounding.
         radius = EARTH_KM * F.sqrt(F.pow(F.radians(half("latitude")), 2) + F.pow(widest * F.radians(half("longitude")), 2)) * (1 + 1e-9) + 1e-6
-        parent = F.substring(F.col("id"), F.lit(1), F.col("level") - 1)
-        return boxes.select(parent.alias("parent"), "level", "id", "n", middle("latitude").alias("y"), middle("longitude").alias("x"), radius.alias("radius"), middle("t_days").alias("t"), (half("t_days") * (1 + 1e-9) + 1e-9).alias("t_radius"))
+        return boxes.select("parent", "level", "id", "n", middle("latitude").alias("y"), middle("longitude").alias("x"), radius.alias("radius"), middle("t_days").alias("t"), (half("t_days") * (1 + 1e-9) + 1e-9).alias("t_radius"))
 
 
 def _scaled(d: Column, gap: Column, with_time: bool) -> Column:
@@ -127,18 +142,18 @@ def sampled(tree: Tree, targets: DataFrame, n: int, seed: str, with_time: bool)
     exponential = lambda what, part, rate: -F.log(draw(f"{seed}#{what}", F.col("key"), part)) / rate
     all_ = F.lit(float(max(tree.size, 1)))
     front = given.select(*site, F.lit("").alias("at"), F.lit(tree.size).cast("long").alias("m"), exponential("e", F.lit(""), all_).alias("e"))
+    # The same at each level: the least e of a node, its bounds, and the n-th smallest upper bound (one more than n, as the target itself may be a site).
+    x = draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m")
+    least = F.col("e") + F.when((x >= F.col("before")) & (x < F.col("before") + F.col("n")), 0.0).otherwise(exponential("e", F.col("id"), F.col("n")))
+    near = _scaled(F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)), F.greatest(F.col("gap") - F.col("t_radius"), F.lit(0.0)), with_time)
+    far = _scaled(F.col("d") + F.col("radius"), F.col("gap") + F.col("t_radius"), with_time)
     order = Window.partitionBy("key").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    below = [*site, F.col("id").alias("at"), F.col("n").alias("m"), least.alias("e"), "radius", "t_radius", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("y"), F.col("x")).alias("d"), F.abs(F.col("t_t") - F.col("t")).alias("gap")]
+    bounds = [*site, "at", "m", "e", (F.col("e") * (near + EPS)).alias("low"), (F.col("e") * (far + EPS)).alias("high")]
+    limit, child = [*site, "at", "m", "e", "low", F.nth_value("high", n + 1).over(order).alias("limit")], F.col("at") == F.col("parent")
+    open_ = F.col("limit").isNull() | (F.col("low") <= F.col("limit"))
     for level in range(1, tree.depth + 1):
-        met = front.join(tree.level(level).drop("home"), F.col("at") == F.col("parent"))
-        x = draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m")
-        least = F.col("e") + F.when((x >= F.col("before")) & (x < F.col("before") + F.col("n")), 0.0).otherwise(exponential("e", F.col("id"), F.col("n")))
-        met = met.withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("y"), F.col("x"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t"))).withColumn("e", least)
-        near = _scaled(F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)), F.greatest(F.col("gap") - F.col("t_radius"), F.lit(0.0)), with_time)
-        far = _scaled(F.col("d") + F.col("radius"), F.col("gap") + F.col("t_radius"), with_time)
-        met = met.select(*site, F.col("id").alias("at"), F.col("n").alias("m"), "e", (F.col("e") * (near + EPS)).alias("low"), (F.col("e") * (far + EPS)).alias("high"))
-        # One more than n, as the target itself may be among the sites.
-        limit = F.nth_value("high", n + 1).over(order)
-        front = met.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select(*site, "at", "m", "e")
+        front = front.join(tree.level(level), child).select(*below).select(*bounds).select(*limit).where(open_).drop("low", "limit")
     met = front.join(tree.members, F.col("at") == F.col("home"))
     x = F.floor(draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m"))
     own = F.col("e") + F.when(x == F.col("rank"), 0.0).otherwise(exponential("m", F.col("site_id"), F.lit(1.0)))

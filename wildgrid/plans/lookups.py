@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .fixtures import scratch
 from .registry import BLOCKS, CELLS, ENV, PRES, Views, _cells, _env, _km, _presence, _split, _u, composite_start, cov, fourier, geo, lapse_corrected, masking, neighbours, number, query, splits, wrap_longitude
 
 DOY = "CAST(least(greatest(ceil((doy - 1) / CAST(16 AS DOUBLE) - 0.5), 0), 22) AS INT) * 16 + 1"
@@ -79,8 +78,7 @@ def _(v):
 
 @query("c11_nearest_fill", "SELECT site_id, v AS value FROM (SELECT t.site_id, p.v, row_number() OVER (PARTITION BY t.site_id ORDER BY round(sqrt(pow(t.latitude - p.latitude, 2) + pow(t.longitude - p.longitude, 2)), 9), p.v) AS k FROM stations t JOIN (SELECT latitude, longitude, CAST(site_id % 100 AS DOUBLE) AS v FROM pool) p ON true) x WHERE k = 1")
 def _(v):
-    scratch(v.spark, "nearest")  # names the checkpoint folder
-    return geo.nearest_fill(v.stations, v.pool.withColumn("value", (F.col("site_id") % 100).cast("double")), "site_id", "value", 2.0)
+    return geo.nearest_fill(v.stations, v.pool.withColumn("value", (F.col("site_id") % 100).cast("double")), "site_id", "value")
 
 
 #: Four districts as polygons: a square, a concave shape, a triangle and one with a corner on a grid line.
