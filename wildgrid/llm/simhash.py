@@ -222,13 +222,15 @@ def _hub_links(hot: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
 
         seen = hot.join(chosen, "key").select("key", "rep", "fp", "reps", "fps").mapInArrow(met, "key long, rep long, fp binary, near array<long>, gone boolean")
         seen = materialise(seen, "hubs")
+        loose = seen.groupBy("key").agg(F.avg(F.col("gone").cast("double")).alias("share")).where(F.col("share") < SHARE).select("key")
+        unlike, seen = seen.join(loose, "key", "left_semi").select("key", "fp", "rep"), seen.join(loose, "key", "left_anti")
+        rest = unlike if rest is None else rest.union(unlike)
         new = seen.select(F.explode("near").alias("u"), F.col("rep").alias("v")).where("u <> v")
         edges = new if edges is None else edges.union(new)
-        before, hot = hot, seen.where("not gone").select("key", "fp", "rep")
-        left, was = hot.count(), before.count()
-        if not left or 10 * left > 9 * was:
+        hot = seen.where("not gone").select("key", "fp", "rep")
+        if not hot.limit(1).count():
             break
-    return edges, hot
+    return edges, rest.union(hot)
 
 
 def _hot_links(hot: DataFrame, radius: int, marks: np.ndarray, block: int) -> DataFrame:
@@ -288,8 +290,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
 WIDE, KEYS, WIDE_BLOCK = 4, 12, 1024
 #: Members and shingles of one block of a group whose pairs are checked exactly.
 SET_BLOCK, SET_SHINGLES = 512, 1 << 21
-#: Hubs that all members of a large bucket or group are compared with, round by round.
-HUBS = (1, 4, 8, 8, 8)
+#: Hubs that all members of a large bucket or group are compared with, round by round; the share of a bucket that must go in a round.
+HUBS, SHARE = (4, 8, 8, 8), 0.3
 
 
 def _differ(shared: int, left: int, right: int) -> float:
