@@ -203,9 +203,10 @@ def _hub_links(hot: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
 
     Each hub is compared with all that is left of its bucket: what lies within the radius goes, what lies within twice the radius is linked.
     Two members within the radius of each other are then linked if either of them went, as the other is within twice the radius of
-    that hub.  So a bucket of near copies, whatever its size, takes a few looks at each member.
+    that hub.  So a bucket of near copies, whatever its size, takes a few looks at each member.  A bucket of which few go, as its texts share a
+    passage and no more, is left as it was.
     """
-    edges = None
+    edges, rest = None, None
     for hubs in HUBS:
         chosen = hot.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(hubs)).alias("part")).agg(F.min(F.struct("rep", "fp")).alias("hub"))
         chosen = chosen.groupBy("key").agg(F.collect_list("hub.rep").alias("reps"), F.collect_list("hub.fp").alias("fps"))
