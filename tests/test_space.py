@@ -39,6 +39,21 @@ def test_longest_distance(sites, places):
     assert geo.longest_distance(sites).first().d_max == pytest.approx(want)
 
 
+def test_longest_distance_looks_at_few_pairs(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(9)
+    for low, high in (((-60, -170), (60, 170)), ((30, -120), (50, -80))):
+        at = rnd.uniform(low, high, (1500, 2))
+        rows = [(float(y), float(x)) for y, x in at] + [(None, 1.0), (1.0, float("nan"))]
+        got = geo.longest_distance(spark.createDataFrame(rows, "latitude double, longitude double")).first()
+        y, x = np.radians(at[:, 0]), np.radians(at[:, 1])
+        h = np.sin((y[:, None] - y[None]) / 2) ** 2 + np.cos(y[:, None]) * np.cos(y[None]) * np.sin((x[:, None] - x[None]) / 2) ** 2
+        assert got.d_max == pytest.approx(2 * 6371 * np.arcsin(np.sqrt(h.max()))) and got.compared < 0.01 * 1500**2
+    one = spark.createDataFrame([(1.0, 2.0)] * 3, "latitude double, longitude double")
+    assert geo.longest_distance(one).first().d_max == 1.0 and geo.longest_distance(one.limit(0)).first().d_max == 1.0
+
+
 def test_nearest_fill(spark, sites, places):
     targets = spark.createDataFrame([(i, 15.0 + i * 2.3, -150.0 + i * 4.1) for i in range(20)], "id long, latitude double, longitude double")
     out = {r.id: r.v for r in geo.nearest_fill(targets, sites.withColumn("v", F.col("t_days")), "id", "v").collect()}

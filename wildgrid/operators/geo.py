@@ -31,25 +31,35 @@ def time_span(sites: DataFrame) -> DataFrame:
     return sites.agg(F.when(span > 0, span).otherwise(1.0).alias("t_max"))
 
 
-def longest_distance(sites: DataFrame, degrees: float = 5.0) -> DataFrame:
-    """The largest great-circle distance between two sites, 1 if all are at one place.
+def longest_distance(sites: DataFrame) -> DataFrame:
+    """(d_max, compared): the largest great-circle distance between two sites, 1 if all are at one place; and how many pairs were looked at.
 
-    Sites are grouped into cells; a pair of cells is searched only if the most that its boxes allow reaches the
-    best that some pair of the cells' own sites is known to have, so few pairs of sites are ever compared.
+    A search over pairs of nodes of one tree.  Two balls hold a pair no further apart than their middles and both radii together, and any two
+    of their members are at least as far apart as the middles less both radii.  Level by level, pairs of nodes that cannot reach the best of
+    these lower bounds go.  Places count once; those without a latitude or longitude do not count.
     """
-    cell = sites.select("latitude", "longitude", F.floor(F.col("latitude") / degrees).alias("i"), F.floor(F.col("longitude") / degrees).alias("j")).distinct()
-    boxes = cell.groupBy("i", "j").agg(F.min("latitude").alias("y0"), F.max("latitude").alias("y1"), F.min("longitude").alias("x0"), F.max("longitude").alias("x1"), F.first(F.struct("latitude", "longitude")).alias("any"))
-    a, b = (boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in boxes.columns)) for s in "ab")
-    pairs = a.join(b, (F.col("i_a") < F.col("i_b")) | ((F.col("i_a") == F.col("i_b")) & (F.col("j_a") <= F.col("j_b"))))  # of cells: bounded by the grid
-    known = haversine_km(F.col("any_a.latitude"), F.col("any_a.longitude"), F.col("any_b.latitude"), F.col("any_b.longitude"))
-    half = lambda s: haversine_km(F.col(f"y0_{s}"), F.col(f"x0_{s}"), F.col(f"y1_{s}"), F.col(f"x1_{s}")) + haversine_km(F.col(f"y0_{s}"), F.col(f"x1_{s}"), F.col(f"y1_{s}"), F.col(f"x0_{s}"))
-    bound = known + half("a") + half("b")
-    best = pairs.agg(F.max(known).alias("best"))
-    live = pairs.withColumn("bound", bound).crossJoin(F.broadcast(best)).where("bound >= best").select("i_a", "j_a", "i_b", "j_b")
-    left, right = (cell.select(*(F.col(c).alias(f"{c}_{s}") for c in cell.columns)) for s in "ab")
-    exact = live.join(left, ["i_a", "j_a"]).join(right, ["i_b", "j_b"])
+    known = sites.where(~missing(F.col("latitude")) & ~missing(F.col("longitude")))
+    places = known.select(F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude")).distinct()
+    at = lambda c, low, span, k: index_of((F.col(c) - low) / span * 4**k, 4**k)
+    path = F.concat(*(tree.digit(at("latitude", -90.0, 180.0, k) % 4 * 4 + at("longitude", -180.0, 360.0, k) % 4) for k in range(1, LEVELS + 1)))
+    places = tree._written(places.withColumn("path", path), "places")
+    size = places.count()
+    if size < 2:
+        return sites.agg(F.lit(1.0).alias("d_max"), F.lit(0).cast("long").alias("compared"))
+    balls = tree.Levels(places, size, LEVELS, LEAF, tree.ends("latitude", "longitude"), tree.balls)
+    left = balls.spark.createDataFrame([("", "")], "a string, b string")
+    floor = 0.0
+    for level in range(1, balls.depth + 1):
+        one, two = (balls.level(level).select(*(F.col(c).alias(f"{c}_{s}") for c in ("parent", "id", "y", "x", "radius"))) for s in "ab")
+        met = left.join(one, F.col("a") == F.col("parent_a")).join(two, (F.col("b") == F.col("parent_b")) & (F.col("id_a") <= F.col("id_b")))
+        d, both = haversine_km(F.col("y_a"), F.col("x_a"), F.col("y_b"), F.col("x_b")), F.col("radius_a") + F.col("radius_b")
+        met = tree._written(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (d - both).alias("low"), (d + both).alias("high")), "pairs")
+        floor = max(floor, met.agg(F.max("low")).first()[0] or 0.0)
+        left = met.where(F.col("high") >= floor).select("a", "b")
+    one, two = (balls.members.select(*(F.col(c).alias(f"{c}_{s}") for c in ("home", "latitude", "longitude"))) for s in "ab")
+    exact = left.join(one, F.col("a") == F.col("home_a")).join(two, F.col("b") == F.col("home_b"))
     d = F.max(haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b")))
-    return exact.agg(F.when(d > 0, d).otherwise(1.0).alias("d_max"))
+    return exact.agg(F.when(d > 0, d).otherwise(1.0).alias("d_max"), F.count("*").alias("compared"))
 
 
 def inside(points: DataFrame, edges: DataFrame, key: str, band: float = 1.0) -> DataFrame:

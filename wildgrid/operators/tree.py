@@ -98,6 +98,16 @@ def ends(*columns: str) -> list[Column]:
     return [f(c).alias(f"{c}_{s}") for c in columns for f, s in ((F.min, "low"), (F.max, "high"))]
 
 
+def balls(boxes: DataFrame) -> DataFrame:
+    """Middle and radius of boxes (columns of ends()), and of their time if they have one."""
+    middle, half = (lambda c: (F.col(f"{c}_low") + F.col(f"{c}_high")) / 2), (lambda c: (F.col(f"{c}_high") - F.col(f"{c}_low")) / 2)
+    widest = F.when((F.col("latitude_low") <= 0) & (F.col("latitude_high") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs("latitude_low"), F.abs("latitude_high")))))
+    # Along a straight line in degrees, no member is further from the middle; a little more for rounding.
+    radius = EARTH_KM * F.sqrt(F.pow(F.radians(half("latitude")), 2) + F.pow(widest * F.radians(half("longitude")), 2)) * (1 + 1e-9) + 1e-6
+    time = [middle("t_days").alias("t"), (half("t_days") * (1 + 1e-9) + 1e-9).alias("t_radius")] if "t_days_low" in boxes.columns else []
+    return boxes.select("parent", "level", "id", "n", middle("latitude").alias("y"), middle("longitude").alias("x"), radius.alias("radius"), *time)
+
+
 class Tree(Levels):
     """Levels of nodes(parent, id, n, before, y, x, radius, t, t_radius) and members(home, rank, site_id, latitude, longitude, t_days).
 
@@ -110,17 +120,9 @@ class Tree(Levels):
         span = float(high - low) if low is not None and high > low else 1.0
         sites = known.groupBy("site_id").agg(F.min(F.struct(*(F.col(c).cast("double").alias(c) for c in ("latitude", "longitude", "t_days")))).alias("at")).select("site_id", "at.*")
         sites = _written(sites.withColumn("path", _path(float(low or 0.0), span)), "sites")
-        super().__init__(sites, sites.count(), PLACE + TIME + ID, LEAF, ends("latitude", "longitude", "t_days"), self._balls)
+        super().__init__(sites, sites.count(), PLACE + TIME + ID, LEAF, ends("latitude", "longitude", "t_days"), balls)
         self.members = self.members.withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy("site_id")) - 1)
 
-    @staticmethod
-    def _balls(boxes: DataFrame) -> DataFrame:
-        middle, half = (lambda c: (F.col(f"{c}_low") + F.col(f"{c}_high")) / 2), (lambda c: (F.col(f"{c}_high") - F.col(f"{c}_low")) / 2)
-        widest = F.when((F.col("latitude_low") <= 0) & (F.col("latitude_high") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs("latitude_low"), F.abs("latitude_high")))))
-        # Along a straight line in degrees, no member is further from the middle; a little more for rounding.
-        radius = EARTH_KM * F.sqrt(F.pow(F.radians(half("latitude")), 2) + F.pow(widest * F.radians(half("longitude")), 2)) * (1 + 1e-9) + 1e-6
-        return boxes.select("parent", "level", "id", "n", middle("latitude").alias("y"), middle("longitude").alias("x"), radius.alias("radius"), middle("t_days").alias("t"), (half("t_days") * (1 + 1e-9) + 1e-9).alias("t_radius"))
-
 
 def _scaled(d: Column, gap: Column, with_time: bool) -> Column:
     return F.sqrt(F.pow(d / F.col("d_scale"), 2) + F.pow(gap / F.col("t_scale"), 2)) if with_time else d / F.col("d_scale")

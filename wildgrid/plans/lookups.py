@@ -120,7 +120,7 @@ def _(v):
 
 @query("c15_longest_distance", f"SELECT round(max({_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS d_max, (SELECT max(t_days) - min(t_days) FROM stations) AS t_max FROM stations a JOIN stations b ON a.site_id < b.site_id")
 def _(v):
-    return geo.longest_distance(v.stations).select(F.round("d_max", 6).alias("d_max")).crossJoin(geo.time_span(v.stations))
+    return geo.longest_distance(v.stations).select(F.round("d_max", 6).alias("d_max")).crossJoin(geo.time_span(v.stations))  # of one row each
 
 
 @query("c18_block_members", "SELECT site_id, cell FROM split WHERE split = 'test'", f"{CELLS}, {BLOCKS}")
