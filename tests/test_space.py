@@ -88,6 +88,32 @@ def test_nearest_fill_far_from_a_dense_set(spark):
     assert got == {**want, 9001: None, 9002: None}
 
 
+def test_numbered_is_the_stated_order(spark):
+    from wildgrid.operators.prepare import numbered
+
+    rnd = random.Random(12)
+    rows = [(rnd.choice([None, 1, 1, 1, 2, 5]), rnd.randint(0, 50), i) for i in range(500)] + [(1, 7, 7)] * 400
+    out = sorted(numbered(spark.createDataFrame(rows, "part int, before int, count int").repartition(7), "part", "before").collect(), key=lambda r: r.row_index)
+    assert [r.row_index for r in out] == list(range(900))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert [key(r) for r in out] == sorted(map(key, rows)) and sorted(map(str, [tuple(r)[:3] for r in out])) == sorted(map(str, rows))
+    assert numbered(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_cooccurrence_over_several_chunks(spark, monkeypatch):
+    from wildgrid.operators import prepare
+
+    monkeypatch.setattr(prepare, "CHUNK", 128)
+    rnd = random.Random(13)
+    rows = sorted({(rnd.randrange(900), f"s{int(rnd.random() ** 2 * 9)}") for _ in range(3000)})
+    presence = spark.createDataFrame(rows, "site_id long, species string")
+    got = {(r.species_a, r.species_b): r.n_ab for r in prepare.cooccurrence(presence, presence.select("site_id").distinct()).collect()}
+    by = {}
+    for site, species in rows:
+        by.setdefault(species, set()).add(site)
+    assert got == {(a, b): len(by[a] & by[b]) for a in by for b in by if a < b and by[a] & by[b]}
+
+
 def test_imputed_takes_nan_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (0.0,), (None,), (3.0,)], "x double")
     assert sorted(r.x for r in imputed(df, "x").collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]

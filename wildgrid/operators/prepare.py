@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import missing, uniform
+from . import tree
 
 #: What the region filters keep.
 UNSTRUCTURED = ("Incidental Observation(s)", "Historical")
@@ -193,10 +194,30 @@ def inverse_prevalence_weights(counts: DataFrame, n_sites: Column) -> DataFrame:
     return counts.withColumn("weight", n_sites / (F.col("n") + 1e-5))
 
 
+#: Sites whose presences of a species are one bitmap: 64 words of 64 bits.
+CHUNK, WORD = 4096, 64
+
+
+def bitmaps(presence: DataFrame) -> DataFrame:
+    """(species, chunk, words): the sites of each species as bits, in chunks of 4,096 sites that have any species."""
+    sites = numbered(presence.select("site_id").where("site_id is not null").distinct(), "site_id")
+    at = presence.join(sites, "site_id").select("species", "row_index")
+    words = at.groupBy("species", F.floor(F.col("row_index") / CHUNK).alias("chunk"), F.floor(F.col("row_index") % CHUNK / WORD).cast("int").alias("word"))
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("row_index") % WORD).cast("int"))).alias("bits"))
+    held = words.groupBy("species", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(CHUNK // WORD - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("long")))
+    return held.select("species", "chunk", every.alias("words"))
+
+
 def cooccurrence(presence: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pairs of species: joint presences, conditional probability, lift and phi."""
-    a, b = presence.select("site_id", F.col("species").alias("species_a")), presence.select("site_id", F.col("species").alias("species_b"))
-    joint = a.join(b, "site_id").where("species_a < species_b").groupBy("species_a", "species_b").agg(F.count("*").alias("n_ab"))
+    """Pairs of species: joint presences, conditional probability, lift and phi.
+
+    Joint presences are the common bits of bitmaps, chunk by chunk: a row for a pair of species and 4,096 sites, none for a pair and a site.
+    """
+    one = tree._written(bitmaps(presence), "bitmaps")
+    a, b = (one.select("chunk", F.col("species").alias(f"species_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
+    common = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0).cast("long"), lambda s, x: s + x)
+    joint = a.join(b, "chunk").where("species_a < species_b").groupBy("species_a", "species_b").agg(F.sum(common).alias("n_ab")).where("n_ab > 0")
     n = presence.groupBy("species").agg(F.count("*").alias("n"))
     out = joint.join(n.withColumnsRenamed({"species": "species_a", "n": "n_a"}), "species_a").join(n.withColumnsRenamed({"species": "species_b", "n": "n_b"}), "species_b")
     out = out.crossJoin(F.broadcast(sites.agg(F.count("*").cast("double").alias("total"))))
@@ -222,9 +243,18 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """An explicit 0-based row number over a stated order, for imports that know rows only by position.
 
-    A table with its own key does not need it: this sorts everything in one place.
+    Rows are dealt to partitions by ranges of the order and sorted there; a row's number is its place in its partition and the rows of the
+    partitions before, so no task sees all rows.  Of rows equal in the order, also of many, any may come first.
     """
-    return df.withColumn("row_index", F.row_number().over(Window.orderBy(*order)) - 1)
+    spark, mark = df.sparkSession, "_" + "_".join(df.columns)
+    parts, tie = int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.monotonically_increasing_id())
+    dealt = df.withColumn(mark, tie).repartitionByRange(parts, *order, mark).sortWithinPartitions(*order, mark).withColumn(mark, F.monotonically_increasing_id())
+    rows = tree._written(dealt, "ranges")
+    part, place, own, upto = F.shiftright(mark, 33), F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)), f"{mark}_part", f"{mark}_before"
+    sizes = rows.groupBy(part.alias(own)).count()  # a row for each partition
+    before = F.sum("count").over(Window.orderBy(own).rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    offsets = sizes.select(own, before.alias(upto))
+    return rows.join(F.broadcast(offsets), part == F.col(own)).select(*df.columns, (F.col(upto) + place).alias("row_index"))
 
 
 def random_species(presence: DataFrame, n: int, seed: str) -> DataFrame:

@@ -419,6 +419,11 @@ def _(v):
     return prepare.inverse_prevalence_weights(_counts(v).crossJoin(F.broadcast(total)), F.col("total")).select("species", F.round("weight", 6).alias("weight"))
 
 
+@query("w03_numbered", "SELECT site_id, country, row_number() OVER (ORDER BY country, time, site_id) - 1 AS row_index FROM sites")
+def _(v):
+    return prepare.numbered(v.sites.select("site_id", "country", "time"), "country", "time", "site_id").select("site_id", "country", "row_index")
+
+
 @query("d16_cooccurrence", "SELECT species_a, species_b, n_ab, round(n_ab / CAST(a.n AS DOUBLE), 6) AS b_given_a, round(n_ab * t / (CAST(a.n AS DOUBLE) * b.n), 6) AS lift, round((t * n_ab - CAST(a.n AS DOUBLE) * b.n) / sqrt(CAST(a.n AS DOUBLE) * b.n * (t - a.n) * (t - b.n)), 6) + 0.0 AS phi FROM (SELECT x.species AS species_a, y.species AS species_b, count(*) AS n_ab FROM pres x JOIN pres y USING (site_id) WHERE x.species < y.species GROUP BY ALL) j JOIN counts a ON species_a = a.species JOIN counts b ON species_b = b.species, (SELECT CAST(count(*) AS DOUBLE) AS t FROM sites) s", f"{PRES}, {COUNTS}")
 def _(v):
     return prepare.cooccurrence(_presence(v), v.sites).select("species_a", "species_b", "n_ab", *(number(F.col(c)).alias(c) for c in ("b_given_a", "lift", "phi")))
