@@ -72,3 +72,25 @@ def test_properties(spark, groups):
 def test_best_epoch_takes_the_first_of_equals(spark):
     log = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.7), (4, float("nan"))], "epoch int, auc double")
     assert metrics.best_epoch(log, "auc").first().epoch == 2
+
+
+def test_one_group_with_many_distinct_predictions(spark):
+    """Crowded near 0 and beyond 0 and 1; the ranges keep the order, and few of them hold much."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(5)
+    p = np.concatenate([rnd.beta(0.05, 5, 15_000), rnd.random(5_000), [0.0, 1.0, -0.5, 1.5] * 5])
+    y = (rnd.random(len(p)) < np.clip(p, 0.01, 1)).astype(int)
+    df = spark.createDataFrame([("a", int(b), float(a)) for a, b in zip(p, y)], "species string, y int, p double")
+    row = metrics.ranking(df, ["species"]).first()
+    order = np.argsort(-p, kind="stable")
+    tp, k = np.cumsum(y[order]), np.arange(1, len(p) + 1)
+    last = np.concatenate([p[order][1:] != p[order][:-1], [True]])  # ties count up to their end
+    at = np.searchsorted(np.flatnonzero(last), np.arange(len(p)))
+    ends = np.flatnonzero(last)[at]
+    assert row.auprc == pytest.approx((y[order] * tp[ends] / k[ends]).sum() / y.sum())
+    neg, pos = np.sort(p[y == 0]), p[y == 1]
+    assert row.auroc == pytest.approx((np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2 / len(neg) / len(pos))
+    sizes = df.select(metrics._range_of(F.col("p")).alias("r")).groupBy("r").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 0.3 * len(p) and sizes[1] > 500

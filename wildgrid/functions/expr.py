@@ -17,6 +17,14 @@ def missing(value: Column) -> Column:
     return value.isNull() | F.isnan(value.cast("double"))
 
 
+def fresh(name: str, taken) -> str:
+    """name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def clamped(x: Column, low, high) -> Column:
     """x, but no less than low and no more than high.  Null stays null and NaN NaN, where least and greatest would give a bound."""
     return F.when(missing(x), x).when(x < low, low).when(x > high, high).otherwise(x)

@@ -8,11 +8,13 @@ so a group's sort grows with its distinct values and not with its rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import index_of, missing
+from ..functions.expr import clamped, fresh, index_of, missing
 
 BINS = 15
 #: Boyce index: centres 0, 0.01, ..., 1; half the window; least background in a window; least windows.
@@ -32,13 +34,31 @@ def ranking(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _ranking(_collapsed(scored, keys), keys)
 
 
+def _range_of(p: Column) -> Column:
+    """One of some five thousand ranges in order of p, even where predictions crowd near 0 or 1."""
+    steep = F.floor(clamped(F.log(p / (1 - p)) * 64, F.lit(-2560.0), F.lit(2560.0)))
+    return F.when(p <= 0, -2561).when(p >= 1, 2561).otherwise(steep).cast("int")
+
+
 def _ranking(collapsed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    rows = collapsed.where("p is not null")
-    below = F.coalesce(F.sum("neg").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = rows.withColumn("below", below).withColumn("tp", F.sum("pos").over(w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("k", F.sum(F.col("pos") + F.col("neg")).over(w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.sum(F.col("pos") * F.col("tp") / F.col("k")).alias("ap"))
+    """Running sums on two levels: over the ranges of a group, of which there are some thousand, and within each range.
+
+    So a group with many distinct predictions is no single task's window.
+    """
+    part = fresh("range", collapsed.columns)
+    rows = collapsed.where("p is not null").withColumn(part, _range_of(F.col("p")))
+    own, over = Window.partitionBy(*keys, part), Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, part).agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"))
+    before = lambda c: F.coalesce(F.sum(c).over(over), F.lit(0.0))
+    every = Window.partitionBy(*keys)
+    after = lambda c: F.sum(c).over(every) - before(c) - F.col(c)
+    sums = sums.select(*keys, part, before("range_neg").alias("neg_below"), after("range_pos").alias("pos_above"), after("range_neg").alias("neg_above"))
+    up, down = own.orderBy("p").rowsBetween(Window.unboundedPreceding, -1), own.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*keys, part, "pos", "neg", F.coalesce(F.sum("neg").over(up), F.lit(0.0)).alias("below"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, part)]
+    rows = rows.alias("r").join(sums.alias("s"), reduce(and_, same)).select("r.*", "neg_below", "pos_above", "neg_above")
+    below, tp, fp = F.col("below") + F.col("neg_below"), F.col("tp") + F.col("pos_above"), F.col("fp") + F.col("neg_above")
+    out = rows.groupBy(*keys).agg(F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.sum(F.col("pos") * tp / (tp + fp)).alias("ap"))
     return out.where("np > 0 and nn > 0").select(*keys, (F.col("u") / (F.col("np") * F.col("nn"))).alias("auroc"), (F.col("ap") / F.col("np")).alias("auprc"))
 
 
