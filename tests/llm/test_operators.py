@@ -477,9 +477,11 @@ def test_similar_documents_of_one_large_group(spark):
     assert got == brute_similar(texts)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("alone", [0, 1000])
+def test_components_of_paths_and_stars(spark, alone):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), alone=alone).collect()}
+    assert connected_components(spark.createDataFrame([], "u long, v long"), alone=alone).count() == 0
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from .common import checkpoint_dir
 
 #: Tasks that the edges of one node are dealt to.
 SALTS = 8
+#: Edges up to which one task solves the whole table: some 16 MB, where rounds of joins would be all overhead.
+ALONE = 1 << 19
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +30,38 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _alone(batches):
+    """(node, component) of edges (u, v), all of them: the smaller of two roots becomes the root of both."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    for k in range(0, len(nodes), 1 << 16):
+        part = nodes[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, alone: int = ALONE) -> DataFrame:
     """edges(u, v) -> (node, component): component is the smallest node reachable.
 
-    Nodes without an edge do not appear; null ends and loops are ignored.  Each round is cut by a
+    Nodes without an edge do not appear; null ends and loops are ignored.  A table of up to `alone` edges is solved in one task, with the
+    same result.  Else each round is cut by a
     reliable checkpoint; the number of rounds grows with the logarithm of the longest path.
     """
     checkpoint_dir(edges.sparkSession)
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    if now.count() <= alone:
+        return now.select(F.col("u").cast("long"), F.col("v").cast("long")).repartition(1).mapInArrow(_alone, "node long, component long").checkpoint()
     mark = None
     for _ in range(rounds):
         now = _stars(_stars(now, True), False).checkpoint()
