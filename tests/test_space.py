@@ -127,6 +127,37 @@ def test_polygons(spark):
     assert got == {1, 3}
 
 
+@pytest.mark.parametrize("band", [1.0, 0.25])
+def test_polygons_equal_the_rule_by_brute_force(spark, band):
+    rnd = random.Random(12)
+    rings = {"stairs": [(0, 0), (6, 0), (6, 2), (4, 2), (4, 5), (9, 5), (9, 9), (0, 9)], "crossed": [(-5, -5), (5, 5), (5, -5), (-5, 5)]}
+    rings["many"] = [((8 + 2 * (i % 2)) * math.cos(i / 100 * math.pi), (8 + 2 * (i % 2)) * math.sin(i / 100 * math.pi)) for i in range(200)]
+    for k in range(4):
+        rings[f"random{k}"] = [(rnd.choice((rnd.uniform(-9, 9), float(rnd.randrange(-9, 9)))), rnd.choice((rnd.uniform(-9, 9), float(rnd.randrange(-9, 9))))) for _ in range(12)]
+    edges = [(n, *map(float, r[i]), *map(float, r[(i + 1) % len(r)])) for n, r in rings.items() for i in range(len(r))]
+    at = [(rnd.uniform(-11, 11), rnd.uniform(-11, 11)) for _ in range(600)] + [(rnd.randrange(-44, 44) / 4, rnd.randrange(-44, 44) / 4) for _ in range(600)]
+    at += [(float(y), float(x)) for r in rings.values() for x, y in r]
+    want = set()
+    for i, (y, x) in enumerate(at):
+        for n in rings:
+            if sum(min(b, d) <= y < max(b, d) and a + (y - b) / (d - b) * (c - a) > x for p, a, b, c, d in edges if p == n and b != d) % 2:
+                want.add((i, n))
+    points = spark.createDataFrame([*((i, *p) for i, p in enumerate(at)), (-1, None, 1.0), (-2, float("nan"), 1.0)], "id long, latitude double, longitude double")
+    edges = spark.createDataFrame([*edges, ("stairs", None, 0.0, 1.0, 1.0)], "poly string, x1 double, y1 double, x2 double, y2 double")
+    assert {(r.id, r.poly) for r in geo.inside(points, edges, "id", band).collect()} == want
+    assert not geo.inside(points.limit(0), edges, "id", band).count() and not geo.inside(points, edges.limit(0), "id", band).count()
+
+
+def test_inner_cells_meet_no_edge(spark):
+    ring = [(40 * math.cos(i / 500 * math.pi), 40 * math.sin(i / 500 * math.pi)) for i in range(1000)]
+    edges = spark.createDataFrame([("round", *ring[i], *ring[(i + 1) % 1000]) for i in range(1000)], "poly string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.range(4000).select("id", (F.rand(1) * 100 - 50).alias("latitude"), (F.rand(2) * 100 - 50).alias("longitude"))
+    got = geo.edges_tested(points, edges, "id").first()
+    assert got.points == 4000 and got.tested < 4000 * 2  # by rows alone a point meets some 20 edges, by the polygon 1,000
+    with pytest.raises(ValueError):
+        geo.inside(points, edges, "id", 0.3)
+
+
 def test_grid_has_both_ends(spark):
     rows = geo.grid(spark, (0.0, 1.0), (10.0, 10.3), 0.1).collect()
     assert len(rows) == 11 * 4 and max(r.latitude for r in rows) == pytest.approx(1.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +64,78 @@ def longest_distance(sites: DataFrame) -> DataFrame:
     return exact.agg(F.when(d > 0, d).otherwise(1.0).alias("d_max"), F.count("*").alias("compared"))
 
 
+#: Sizes of inner cells: each twice as wide and high as the one before.
+CELL_LEVELS = 4
+
+
+def _cover(edges: DataFrame, band: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cells of polygons: (inner, border, pieces).
+
+    In each row of cells the stretches of longitude that edges touch are merged; between two of them nothing changes along the whole
+    height of the row, so the crossings to the right are even or odd for all of a gap.  inner(level, row, col, poly): cells in an odd gap, four
+    of them as one where they fill a larger cell.  border(row, col, poly, stretch, right): cells touched by a stretch, right the crossings beyond the last
+    stretch of the cell (0 at the others).  pieces: the edges of each stretch.
+    """
+    if band <= 0 or math.frexp(band)[0] != 0.5:
+        raise ValueError("band must be a power of two, so that rows have exact ends")
+    edges = edges.select("poly", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).where(~F.exists(F.array("x1", "y1", "x2", "y2"), missing))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("row", F.explode(F.sequence(F.floor(low / band).cast("long"), F.floor(high / band).cast("long"))))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    ends = at(F.greatest(low, F.col("row") * band)), F.when(F.col("y1") == F.col("y2"), F.col("x2")).otherwise(at(F.least(high, (F.col("row") + 1) * band)))
+    rows = rows.withColumns({"left": F.least(*ends) - 1e-7, "end": F.greatest(*ends) + 1e-7, "base": ((low <= F.col("row") * band) & (F.col("row") * band < high)).cast("long")})
+    along = Window.partitionBy("poly", "row").orderBy("left", "end", "x1", "y1", "x2", "y2")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = rows.withColumn("starts", F.coalesce((F.col("left") > before).cast("long"), F.lit(1))).withColumn("stretch", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = pieces.groupBy("poly", "row", "stretch").agg(F.min("left").alias("left"), F.max("end").alias("end"), F.sum("base").alias("base"))
+    order = Window.partitionBy("poly", "row").orderBy("stretch")
+    beyond = F.coalesce(F.sum("base").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)) % 2
+    stretches = stretches.withColumns({"right": beyond, "next": F.lead("left").over(order)}).withColumns({"first": F.floor(F.col("left") / band), "last": F.floor(F.col("end") / band), "until": F.floor(F.col("next") / band) - 1})
+    border = stretches.select("poly", "row", F.explode(F.sequence("first", "last")).alias("col"), "stretch", "right")
+    final = F.col("stretch") == F.max("stretch").over(Window.partitionBy("poly", "row", "col"))
+    border = border.withColumn("right", F.when(final, F.col("right")).otherwise(0))
+    cells = stretches.where("right = 1 and last < until").select("poly", "row", F.explode(F.sequence(F.col("last") + 1, "until")).alias("col"))
+    inner = None
+    for level in range(CELL_LEVELS):
+        up = [F.floor(F.col(c) / 2).alias(f"{c}_up") for c in ("row", "col")]
+        full = cells.groupBy("poly", *up).agg(F.count("*").alias("n")).where("n = 4").drop("n")
+        rest = cells if level == CELL_LEVELS - 1 else cells.select("*", *up).join(full, ["poly", "row_up", "col_up"], "left_anti")
+        part = rest.select(F.lit(level).alias("level"), "row", "col", "poly")
+        inner = part if inner is None else inner.union(part)
+        cells = full.select("poly", F.col("row_up").alias("row"), F.col("col_up").alias("col"))
+    pieces = pieces.where("y1 <> y2 or starts = 1").select("poly", "row", "stretch", "x1", "y1", "x2", "y2", "starts")
+    return inner, border, pieces
+
+
+def _judged(points: DataFrame, edges: DataFrame, key: str, band: float) -> DataFrame:
+    """(key, poly, n, tested): crossings to the right of a point (even or odd), for polygons whose cells hold it; tested: edges looked at."""
+    inner, border, pieces = _cover(edges, band)
+    here = points.where(~missing(F.col("latitude")) & ~missing(F.col("longitude")))
+    here = here.select(F.col(key).alias("key"), F.col("latitude").cast("double").alias("y"), F.col("longitude").cast("double").alias("x"))
+    cell = lambda c, level: F.floor(F.col(c) / (band * 2**level))
+    sizes = F.array(*(F.struct(F.lit(k).alias("level"), cell("y", k).alias("row"), cell("x", k).alias("col")) for k in range(CELL_LEVELS)))
+    sure = here.select("key", F.inline(sizes)).join(inner, ["level", "row", "col"]).select("key", "poly", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("tested"))
+    met = here.withColumns({"row": cell("y", 0), "col": cell("x", 0)}).join(border, ["row", "col"]).join(pieces, ["poly", "row", "stretch"])
+    spans = (F.least("y1", "y2") <= F.col("y")) & (F.col("y") < F.greatest("y1", "y2"))
+    crossing = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    n = F.when(spans & (crossing > F.col("x")), 1).otherwise(0) + F.col("right") * F.col("starts")  # the right of a stretch counts once
+    return sure.union(met.groupBy("key", "poly").agg(F.sum(n).alias("n"), F.count("*").alias("tested"))).withColumnRenamed("key", key)
+
+
 def inside(points: DataFrame, edges: DataFrame, key: str, band: float = 1.0) -> DataFrame:
     """(key, poly) of the points that lie in a polygon, by the even-odd rule.
 
-    edges(poly, x1, y1, x2, y2).  Points meet the edges of their latitude band only.  Half-open: a point on a lower or
-    left border is inside, on an upper or right one outside.
+    edges(poly, x1, y1, x2, y2) are those of closed rings, horizontal ones too; key tells the points apart.  Polygons are covered by cells (rows of
+    the height band, a power of two): a point of an inner cell is decided without edges, one of a border cell meets the edges of the stretches that
+    touch this cell.  Half-open: a point on a lower or left border is inside, on an upper or right one outside.  A point without a
+    latitude or longitude lies in none; an edge with a null or NaN is none.
     """
-    span = F.sequence(F.floor(F.least("y1", "y2") / band).cast("long"), F.floor(F.greatest("y1", "y2") / band).cast("long"))
-    banded = edges.where("y1 <> y2").withColumn("band", F.explode(span))
-    at = points.select(key, "latitude", "longitude").withColumn("band", F.floor(F.col("latitude") / band).cast("long"))
-    met = at.join(banded, "band").where((F.least("y1", "y2") <= F.col("latitude")) & (F.col("latitude") < F.greatest("y1", "y2")))
-    crossing = F.col("x1") + (F.col("latitude") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    return met.where(crossing > F.col("longitude")).groupBy(key, "poly").agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "poly")
+    return _judged(points, edges, key, band).where("n % 2 = 1").select(key, "poly")
+
+
+def edges_tested(points: DataFrame, edges: DataFrame, key: str, band: float = 1.0) -> DataFrame:
+    """(points, tested): how many edges all points meet in `inside`."""
+    return points.agg(F.count("*").alias("points")).crossJoin(_judged(points, edges, key, band).agg(F.coalesce(F.sum("tested"), F.lit(0)).alias("tested")))
 
 
 def outside(points: DataFrame, edges: DataFrame, key: str, band: float = 1.0) -> DataFrame:
