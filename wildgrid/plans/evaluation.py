@@ -385,6 +385,37 @@ def _(v: Views):
     return fits.select("species", "converged", *(F.round(c, 5).alias(c) for c in ("b0", "b_f_lat", "b_f_lon")))
 
 
+def _systems_sql(name: str, rows: str, features: list[str], ridge: str, steps: int, keys: str = "species") -> str:
+    """Newton steps of a regression on any number of features, as common table expressions name0, name1, ...: (keys, b, s).
+
+    rows has the keys, y and the features.  Each step solves the systems of all groups by Gauss-Jordan elimination, one projection a pivot, over
+    lists of lists (a system of the squares and products, its right side in the last column).  b are the coefficients, s the largest last move.
+    """
+    d = len(features) + 1
+    x = ["1", *features]
+    known = " AND ".join(f"{f} IS NOT NULL" for f in features)
+    out = [f"{name}_rows AS MATERIALIZED (SELECT {keys}, CAST(y AS DOUBLE) AS y, {', '.join(features)} FROM {rows} WHERE {known})"]
+    out.append(f"{name}0 AS (SELECT {keys}, [{', '.join(['CAST(0 AS DOUBLE)'] * d)}] AS b, CAST(1 AS DOUBLE) AS s FROM {name}_rows GROUP BY {keys} HAVING min(y) < max(y))")
+    z = " + ".join(f"b[{i}] * {f}" for i, f in enumerate(x, 1))
+    sums = ", ".join(f"sum(w * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(d) for j in range(i + 1)) + ", " + ", ".join(f"sum((y - p) * {x[i]}) AS g{i}" for i in range(d))
+    cell = lambda i, j: f"h{max(i, j)}_{min(i, j)}" + ((" + 1e-12" + (f" + {ridge}" if i else "")) if i == j else "")
+    matrix = "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(d)) + f", g{i}" + (f" - {ridge} * b[{i + 1}]" if i else "") + "]" for i in range(d)) + "]"
+    for k in range(1, steps + 1):
+        solved = f"(SELECT {keys}, b, {matrix} AS m FROM (SELECT {keys}, b, {sums} FROM (SELECT *, p * (1 - p) AS w FROM (SELECT r.*, f.b, 1 / (1 + exp(-({z}))) AS p FROM {name}_rows r JOIN {name}{k - 1} f USING ({keys})) q) u GROUP BY {keys}, b) h)"
+        for i in range(1, d + 1):
+            solved = f"(SELECT {keys}, b, list_transform(m, lambda r, i: CASE WHEN i = {i} THEN list_transform(r, lambda v: v / r[{i}]) ELSE list_transform(r, lambda v, j: v - r[{i}] * m[{i}][j] / m[{i}][{i}]) END) AS m FROM {solved} t{i})"
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT {keys}, list_transform(b, lambda v, i: v + m[i][{d + 1}]) AS b, list_max(list_transform(m, lambda r: abs(r[{d + 1}]))) AS s FROM {solved} e)")
+    return ", ".join(out)
+
+
+STEPS = 12
+SEASON = [f"{f}_{p}" for p in (365, 182, 122, 91) for f in ("sin", "cos")]
+SETS = {"env": ["e_dem", "e_col"], "spatiotemporal": ["f_lat", "f_lon", *SEASON], "full": ["e_dem", "e_col", "f_lat", "f_lon", *SEASON]}
+SET_ROWS = "set_rows AS MATERIALIZED (SELECT species, y, (latitude - 39.5) / 18.8 AS f_lat, (longitude + 110) / 34.6 AS f_lon, (env_dem - 4500) / 3200 AS e_dem, (env_col - 11.5) / 6.9 AS e_col, " + ", ".join(f"{f.split('_')[0]}(2 * pi() * dayofyear(time) / {f.split('_')[1]}) AS {f}" for f in SEASON) + " FROM scored JOIN sites USING (site_id) JOIN env USING (site_id))"
+SET_FITS = ", ".join([ENV, SET_ROWS, *(_systems_sql(f"{n}_fit", "set_rows", f, "1e-6", STEPS) for n, f in SETS.items())])
+SET_SQL = " UNION ALL ".join(f"SELECT '{n}' AS cov_set, species, s < 1e-8 AS converged, unnest([{', '.join(repr('b_' + x if x != 'b0' else x) for x in ['b0', *f])}]) AS name, round(unnest(b), 4) + 0.0 AS value FROM {n}_fit{STEPS}" for n, f in SETS.items())
+
+
 def _sets(v: Views):
     """Rows with all covariates, and which of them belong to each set."""
     env = _env(v).select("site_id", ((F.col("env_dem") - 4500) / 3200).alias("e_dem"), ((F.col("env_col") - 11.5) / 6.9).alias("e_col"))
@@ -394,7 +425,7 @@ def _sets(v: Views):
     return rows, {"env": ["e_dem", "e_col"], "spatiotemporal": where, "full": ["e_dem", "e_col", *where]}
 
 
-@query("g01_covariate_sets")
+@query("g01_covariate_sets", SET_SQL, SET_FITS)
 def _(v):
     rows, sets = _sets(v)
     out = None
@@ -402,7 +433,7 @@ def _(v):
         fits = models.logistic_fits(rows, ["species"], features)
         part = fits.select(F.lit(name).alias("cov_set"), "species", "converged", F.map_from_arrays(F.array(*map(F.lit, fits.columns[3:])), F.array(*(F.round(c, 4) for c in fits.columns[3:]))).alias("coefficients"))
         out = part if out is None else out.union(part)
-    return out.select("cov_set", "species", "converged", F.explode("coefficients").alias("name", "value"))
+    return out.select("cov_set", "species", "converged", F.explode("coefficients").alias("name", "value")).withColumn("value", F.col("value") + 0.0)
 
 
 @query("g02_predictions", "SELECT species, site_id, pass, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 5) AS predicted FROM design JOIN fit8 USING (species)", FITS)
