@@ -452,13 +452,27 @@ def _(v):
     return fits.select("species", "converged", *(F.round(c, 3).alias(c) for c in fits.columns if c.startswith("b")))
 
 
-@query("g04_regularisation_sweep")
+QUAD = ["f_lat", "f_lon", "f_lat_2", "f_lon_2"]
+SWEEP_Z = " + ".join(["b[1]", *(f"b[{i}] * {f}" for i, f in enumerate(QUAD, 2))])
+SWEEP = f"""quads AS MATERIALIZED (SELECT species, y, split, f_lat, f_lon, pow(f_lat, 2) AS f_lat_2, pow(f_lon, 2) AS f_lon_2 FROM (SELECT species, y, split, (latitude - 39.5) / 18.8 AS f_lat, (longitude + 110) / 34.6 AS f_lon FROM scored JOIN sites USING (site_id) JOIN split USING (site_id)) q),
+few AS (SELECT species FROM (SELECT DISTINCT species FROM scored) a ORDER BY md5(concat_ws('|', 'g4', species)), species LIMIT 16), ridges AS (SELECT CAST(unnest([1, 2, 4, 8, 16, 32]) AS DOUBLE) AS reg),
+few_rows AS (SELECT quads.*, reg FROM quads JOIN few USING (species), ridges WHERE split = 'train'), {_systems_sql("few_fit", "few_rows", QUAD, "reg", STEPS, "species, reg")},
+few_val AS (SELECT species, reg, CAST(y AS DOUBLE) AS y, 1 / (1 + exp(-({SWEEP_Z}))) AS q FROM quads JOIN few_fit{STEPS} USING (species) WHERE split = 'val'),
+few_hist AS (SELECT species, reg, q, sum(y) AS pos, sum(1 - y) AS neg FROM few_val GROUP BY species, reg, q),
+few_cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY species, reg ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM few_hist),
+few_auc AS (SELECT species, reg, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM few_cum GROUP BY species, reg HAVING sum(pos) > 0 AND sum(neg) > 0),
+best AS (SELECT reg FROM few_auc GROUP BY reg ORDER BY round(avg(auroc), 12) DESC, reg LIMIT 1),
+best_rows AS (SELECT quads.*, coalesce((SELECT reg FROM best), 1) AS reg FROM quads WHERE split = 'train'), {_systems_sql("best_fit", "best_rows", QUAD, "reg", STEPS, "species, reg")}"""
+SWEEP_SQL = "SELECT reg, species, s < 1e-8 AS converged, " + ", ".join(f"round(b[{i}], 4) + 0.0 AS {n}" for i, n in enumerate(["b0", *(f"b_{f}" for f in QUAD)], 1)) + f" FROM best_fit{STEPS}"
+
+
+@query("g04_regularisation_sweep", SWEEP_SQL, f"{CELLS}, {BLOCKS}, {SWEEP}")
 def _(v):
     rows, names = models.quadratic(_rows(v), ["f_lat", "f_lon"])
     parts = rows.join(_split(v).select("site_id", "split"), "site_id")
     sample = prepare.random_species(v.scored.select("species"), 16, "g4")
     fits = models.chosen(parts.where("split = 'train'"), parts.where("split = 'val'"), sample, names)
-    return fits.select("reg", "species", "converged", *(F.round(c, 4).alias(c) for c in fits.columns if c.startswith("b")))
+    return fits.select("reg", "species", "converged", *((F.round(c, 4) + 0.0).alias(c) for c in fits.columns if c.startswith("b")))
 
 
 GRID_T = "ts AS (SELECT exp(-2.0 + 4.0 * CAST(unnest(range(0, 81)) AS DOUBLE) / 80) AS t), small AS (SELECT p, y, count(*) AS n, ln(least(greatest(p, 1e-7), 1 - CAST(1e-7 AS DOUBLE)) / (1 - least(greatest(p, 1e-7), 1 - CAST(1e-7 AS DOUBLE)))) AS lz FROM scored GROUP BY p, y), losses AS (SELECT t, sum(n * (greatest(lz / t, 0) - lz / t * y + ln(1 + exp(-abs(lz / t))))) / sum(n) AS loss FROM small, ts GROUP BY t)"
