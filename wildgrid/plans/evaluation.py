@@ -386,34 +386,38 @@ def _(v: Views):
 
 
 def _systems_sql(name: str, rows: str, features: list[str], ridge: str, steps: int, keys: str = "species") -> str:
-    """Newton steps of a regression on any number of features, as common table expressions name0, name1, ...: (keys, b, s).
+    """Newton steps of a regression on any number of features, as common table expressions name0, name1, ...: (keys, b, move, best, done).
 
     rows has the keys, y and the features.  Each step solves the systems of all groups by Gauss-Jordan elimination, one projection a pivot, over
-    lists of lists (a system of the squares and products, its right side in the last column).  b are the coefficients, s the largest last move.
+    lists of lists (a system of the squares and products, its right side in the last column).  A move that lowers the penalised likelihood is halved; b are the coefficients,
+    done tells that the last move is below 1e-8, and then they stay.
     """
     d = len(features) + 1
     x = ["1", *features]
     known = " AND ".join(f"{f} IS NOT NULL" for f in features)
     out = [f"{name}_rows AS MATERIALIZED (SELECT {keys}, CAST(y AS DOUBLE) AS y, {', '.join(features)} FROM {rows} WHERE {known})"]
-    out.append(f"{name}0 AS (SELECT {keys}, [{', '.join(['CAST(0 AS DOUBLE)'] * d)}] AS b, CAST(1 AS DOUBLE) AS s FROM {name}_rows GROUP BY {keys} HAVING min(y) < max(y))")
+    out.append(f"{name}0 AS (SELECT {keys}, [{', '.join(['CAST(0 AS DOUBLE)'] * d)}] AS b, [{', '.join(['CAST(0 AS DOUBLE)'] * d)}] AS move, CAST('-inf' AS DOUBLE) AS best, false AS done FROM {name}_rows GROUP BY {keys} HAVING min(y) < max(y))")
     z = " + ".join(f"b[{i}] * {f}" for i, f in enumerate(x, 1))
-    sums = ", ".join(f"sum(w * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(d) for j in range(i + 1)) + ", " + ", ".join(f"sum((y - p) * {x[i]}) AS g{i}" for i in range(d))
+    sums = ", ".join(f"sum(w * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(d) for j in range(i + 1)) + ", " + ", ".join(f"sum((y - p) * {x[i]}) AS g{i}" for i in range(d)) + ", sum(y * z - greatest(z, 0) - ln(1 + exp(-abs(z)))) AS fit"
     cell = lambda i, j: f"h{max(i, j)}_{min(i, j)}" + ((" + 1e-12" + (f" + {ridge}" if i else "")) if i == j else "")
     matrix = "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(d)) + f", g{i}" + (f" - {ridge} * b[{i + 1}]" if i else "") + "]" for i in range(d)) + "]"
+    state, squares = "b, move, best, done", " + ".join(f"b[{i}] * b[{i}]" for i in range(2, d + 1))
     for k in range(1, steps + 1):
-        solved = f"(SELECT {keys}, b, {matrix} AS m FROM (SELECT {keys}, b, {sums} FROM (SELECT *, p * (1 - p) AS w FROM (SELECT r.*, f.b, 1 / (1 + exp(-({z}))) AS p FROM {name}_rows r JOIN {name}{k - 1} f USING ({keys})) q) u GROUP BY {keys}, b) h)"
+        at = f"SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-z)) AS p FROM (SELECT r.*, {state}, greatest(least({z}, 30), -30) AS z FROM {name}_rows r JOIN {name}{k - 1} f USING ({keys})) a) q"
+        solved = f"(SELECT {keys}, {state}, {matrix} AS m, fit - {ridge} / 2 * ({squares}) AS fit FROM (SELECT {keys}, {state}, {sums} FROM ({at}) u GROUP BY {keys}, {state}) h)"
         for i in range(1, d + 1):
-            solved = f"(SELECT {keys}, b, list_transform(m, lambda r, i: CASE WHEN i = {i} THEN list_transform(r, lambda v: v / r[{i}]) ELSE list_transform(r, lambda v, j: v - r[{i}] * m[{i}][j] / m[{i}][{i}]) END) AS m FROM {solved} t{i})"
-        out.append(f"{name}{k} AS MATERIALIZED (SELECT {keys}, list_transform(b, lambda v, i: v + m[i][{d + 1}]) AS b, list_max(list_transform(m, lambda r: abs(r[{d + 1}]))) AS s FROM {solved} e)")
+            solved = f"(SELECT {keys}, {state}, fit, list_transform(m, lambda r, i: CASE WHEN i = {i} THEN list_transform(r, lambda v: v / r[{i}]) ELSE list_transform(r, lambda v, j: v - r[{i}] * m[{i}][j] / m[{i}][{i}]) END) AS m FROM {solved} t{i})"
+        moved = f"SELECT {keys}, b, best, done, fit, fit < best - 1e-9 AS worse, CASE WHEN fit < best - 1e-9 THEN list_transform(move, lambda v: v / 2) ELSE list_transform(m, lambda r: r[{d + 1}]) END AS move FROM {solved} e"
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT {keys}, CASE WHEN done THEN b WHEN worse THEN list_transform(b, lambda v, i: v - move[i]) ELSE list_transform(b, lambda v, i: v + move[i]) END AS b, move, CASE WHEN done OR worse THEN best ELSE fit END AS best, done OR (NOT worse AND list_max(list_transform(move, lambda v: abs(v))) < 1e-8) AS done FROM ({moved}) v)")
     return ", ".join(out)
 
 
-STEPS = 12
+STEPS = 25
 SEASON = [f"{f}_{p}" for p in (365, 182, 122, 91) for f in ("sin", "cos")]
 SETS = {"env": ["e_dem", "e_col"], "spatiotemporal": ["f_lat", "f_lon", *SEASON], "full": ["e_dem", "e_col", "f_lat", "f_lon", *SEASON]}
 SET_ROWS = "set_rows AS MATERIALIZED (SELECT species, y, (latitude - 39.5) / 18.8 AS f_lat, (longitude + 110) / 34.6 AS f_lon, (env_dem - 4500) / 3200 AS e_dem, (env_col - 11.5) / 6.9 AS e_col, " + ", ".join(f"{f.split('_')[0]}(2 * pi() * dayofyear(time) / {f.split('_')[1]}) AS {f}" for f in SEASON) + " FROM scored JOIN sites USING (site_id) JOIN env USING (site_id))"
 SET_FITS = ", ".join([ENV, SET_ROWS, *(_systems_sql(f"{n}_fit", "set_rows", f, "1e-6", STEPS) for n, f in SETS.items())])
-SET_SQL = " UNION ALL ".join(f"SELECT '{n}' AS cov_set, species, s < 1e-8 AS converged, unnest([{', '.join(repr('b_' + x if x != 'b0' else x) for x in ['b0', *f])}]) AS name, round(unnest(b), 4) + 0.0 AS value FROM {n}_fit{STEPS}" for n, f in SETS.items())
+SET_SQL = " UNION ALL ".join(f"SELECT '{n}' AS cov_set, species, done AS converged, unnest([{', '.join(repr('b_' + x if x != 'b0' else x) for x in ['b0', *f])}]) AS name, round(unnest(b), 4) + 0.0 AS value FROM {n}_fit{STEPS}" for n, f in SETS.items())
 
 
 def _sets(v: Views):
@@ -463,7 +467,7 @@ few_cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY species, reg ORDER BY
 few_auc AS (SELECT species, reg, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM few_cum GROUP BY species, reg HAVING sum(pos) > 0 AND sum(neg) > 0),
 best AS (SELECT reg FROM few_auc GROUP BY reg ORDER BY round(avg(auroc), 12) DESC, reg LIMIT 1),
 best_rows AS (SELECT quads.*, coalesce((SELECT reg FROM best), 1) AS reg FROM quads WHERE split = 'train'), {_systems_sql("best_fit", "best_rows", QUAD, "reg", STEPS, "species, reg")}"""
-SWEEP_SQL = "SELECT reg, species, s < 1e-8 AS converged, " + ", ".join(f"round(b[{i}], 4) + 0.0 AS {n}" for i, n in enumerate(["b0", *(f"b_{f}" for f in QUAD)], 1)) + f" FROM best_fit{STEPS}"
+SWEEP_SQL = "SELECT reg, species, done AS converged, " + ", ".join(f"round(b[{i}], 4) + 0.0 AS {n}" for i, n in enumerate(["b0", *(f"b_{f}" for f in QUAD)], 1)) + f" FROM best_fit{STEPS}"
 
 
 @query("g04_regularisation_sweep", SWEEP_SQL, f"{CELLS}, {BLOCKS}, {SWEEP}")
