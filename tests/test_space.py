@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wildgrid.functions.expr import composite_start
 from wildgrid.operators import geo, masking, models, neighbours, splits
 from wildgrid.operators.prepare import imputed, rate_draw, refuse_missing
+from wildgrid.plans.fixtures import scratch
 from wildgrid.sources.readers import ColumnRoles
 
 
@@ -324,6 +325,48 @@ def test_many_fits_equal_direct_ones(spark):
         assert np.allclose([f.b0, *(f[f"b_{n}"] for n in names)], newton(part[:, 2:], part[:, 1], f.reg), atol=1e-6)
 
 
+def test_smooth_designs_are_made_in_the_tasks(spark):
+    """The same features and fits as columns would give, and what is written does not grow with the number of features."""
+    import os
+
+    import numpy as np
+
+    rnd, centres = np.random.default_rng(11), [(float(a), float(b)) for a in range(10, 60, 5) for b in range(-150, -60, 10)]
+    rows = [(int(g), int(rnd.random() < 0.3 + 0.1 * g), int(d), float(y), float(x)) for g, d, y, x in zip(rnd.integers(0, 3, 3000), rnd.integers(1, 366, 3000), rnd.uniform(8, 60, 3000), rnd.uniform(-160, -60, 3000))]
+    rows += [(0, 1, None, 20.0, -100.0), (1, 0, 5, None, -100.0), (2, None, 5, 20.0, -100.0)]
+    df = spark.createDataFrame(rows, "g int, y int, doy int, latitude double, longitude double")
+    wide, seasons = models.seasonal_basis(df, "doy")
+    wide, space = models.spatial_basis(wide, centres, 9.0)
+    names, made = models.smooth_design(12, centres, 9.0)
+    assert names == [*seasons, *space]
+    want = np.array(wide.where("latitude is not null").select(*names).collect())
+    given = np.array([[np.nan if v is None else v for v in r[2:]] for r in rows if r[3] is not None], dtype=float)
+    assert np.allclose(made(given), want, atol=1e-12)
+    scratch(spark, "none")  # the folder is named
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    a = {f.g: f for f in models.logistic_fits(df, ["g"], names, ridge=0.1, design=(["doy", "latitude", "longitude"], made)).collect()}
+    new = [x for x in os.listdir(folder) if x not in before and x.startswith("pieces")]
+    assert 0 < sum(os.path.getsize(os.path.join(folder, x, f)) for x in new for f in os.listdir(os.path.join(folder, x))) < 3003 * 60
+    b = {f.g: f for f in models.logistic_fits(wide, ["g"], names, ridge=0.1).collect()}
+    assert set(a) == set(b) == {0, 1, 2} and all(np.allclose([*a[g]][3:], [*b[g]][3:], atol=1e-6) for g in a)
+
+
+def test_sets_of_features_share_the_passes(spark):
+    """Each set leaves out the rows that lack one of its own features, and gives what a fit of its own gives."""
+    import numpy as np
+
+    rnd = np.random.default_rng(13)
+    rows = [("ab"[i % 2], int(rnd.random() < 0.4), float(u), None if i % 3 == 0 else float(v)) for i, (u, v) in enumerate(rnd.normal(size=(600, 2)))]
+    df, sets = spark.createDataFrame(rows + [("c", 1, 0.1, None), ("c", 0, 0.2, 0.3)], "g string, y int, u double, v double"), {"one": ["u"], "both": ["v", "u"]}
+    for name, fits in models.logistic_sets(df, ["g"], sets, ridge=0.1).items():
+        own = {f.g: f for f in models.logistic_fits(df, ["g"], sets[name], ridge=0.1).collect()}
+        got = {f.g: f for f in fits.collect()}
+        assert set(got) == set(own) == ({"a", "b", "c"} if name == "one" else {"a", "b"})
+        assert fits.columns == ["g", "converged", "rounds", "b0", *(f"b_{f}" for f in sets[name])]
+        assert all(np.allclose([*got[g]][3:], [*own[g]][3:]) and got[g].rounds == own[g].rounds for g in own)
+
+
 def test_systems_without_a_solution_are_not_converged(spark):
     rows = [(g, i % 2, float(i % 2) * 50 if g == 0 else float(i % 5)) for g in (0, 1) for i in range(40)]
     fits = {f.g: f for f in models.logistic_fits(spark.createDataFrame(rows, "g int, y int, u double"), ["g"], ["u"], ridge=0.0, rounds=12).collect()}

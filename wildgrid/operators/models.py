@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,66 @@ from ..functions.expr import logit, missing, sigmoid
 from ..plans.fixtures import scratch
 from .metrics import ranking
 
-#: Bytes of cross products that a task holds before it passes them on.
-HELD = 1 << 26
+#: Bytes that a task holds before it passes them on, and rows of a packed piece of a group.
+HELD, PIECE = 1 << 26, 1024
 
+#: Features of a fit as a function of the inputs (rows times inputs), worked out anew in each pass.
+Design = Callable[[np.ndarray], np.ndarray]
 
-def _sums(d: int):
-    """Rows (unit, y, x, b) -> (unit, sums): of each unit of a task the cross products, the gradient and the log-likelihood."""
+
+def _matrix(rows: np.ndarray, design: Design) -> tuple[np.ndarray, np.ndarray]:
+    """y and the features with a leading one, of a piece (y, then the inputs, a row each); rows with a missing feature are left out."""
+    f = design(rows[1:].T)
+    x = np.empty((len(f), f.shape[1] + 1))
+    x[:, 0], x[:, 1:] = 1, f
+    known = ~np.isnan(f).any(axis=1)
+    return (rows[0], x) if known.all() else (rows[0][known], x[known])
+
+
+def _packed(width: int, designs: Sequence[Design]):
+    """Rows (group, y, inputs, keys) -> (group, keys, data, n, n1): pieces of the rows of a group, and of each design its rows and the sum of their y."""
+
+    def packed(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+        names: dict[int, pa.RecordBatch] = {}
+
+        def out(groups):
+            parts = [np.concatenate(held.pop(g), axis=1) for g in groups]
+            counts = [[(len(y), float(y.sum())) for y, _ in (_matrix(part, d) for d in designs)] for part in parts]
+            keys = pa.Table.from_batches([names[g] for g in groups]).combine_chunks()
+            columns = [pa.array(groups, pa.int64()), *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in keys.columns), pa.array([part.tobytes() for part in parts], pa.binary())]
+            columns += [pa.array([[c[i] for c in count] for count in counts], pa.list_(kind)) for i, kind in ((0, pa.int64()), (1, pa.float64()))]
+            for g in groups:
+                del size[g], names[g]
+            return pa.RecordBatch.from_arrays(columns, names=["group", *keys.column_names, "data", "n", "n1"])
+
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1 : width + 2]])
+            at = np.flatnonzero(~np.isnan(rows[0]))
+            at = at[np.argsort(group[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(group[at])) + 1):
+                if not len(part):
+                    continue
+                g = int(group[part[0]])
+                if g not in names:
+                    held[g], size[g], names[g] = [], 0, batch.slice(int(part[0]), 1).select(range(width + 2, batch.num_columns))
+                held[g].append(rows[:, part])
+                size[g] += len(part)
+            full = [g for g, n in size.items() if n >= PIECE]
+            if sum(size.values()) * (width + 1) * 8 > HELD:
+                full = list(size)
+            if full:
+                yield out(full)
+        if size:
+            yield out(list(size))
+
+    return packed
+
+
+def _sums(width: int, designs: Sequence[Design]):
+    """Rows (data, units of (unit, design, b)) -> (unit, sums): of each unit of a task the cross products, the gradient and the log-likelihood."""
 
     def sums(batches):
         held: dict[int, np.ndarray] = {}
@@ -30,21 +84,19 @@ def _sums(d: int):
             return made
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x, b = (batch.column(i).flatten().to_numpy().reshape(-1, d) for i in (2, 3))
-            z = np.clip((x * b).sum(axis=1), -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            like = y * z - np.maximum(z, 0) - np.log1p(np.exp(-np.abs(z)))
-            order = np.argsort(unit, kind="stable")
-            cuts = np.flatnonzero(np.diff(unit[order])) + 1
-            for at in np.split(order, cuts):
-                xi = x[at]
-                part = np.r_[((xi.T * (p[at] * (1 - p[at]))) @ xi).ravel(), xi.T @ (y[at] - p[at]), like[at].sum()]
-                u = int(unit[at[0]])
-                held[u] = held[u] + part if u in held else part
-            if len(held) * (d * d + d + 1) * 8 > HELD:
+            for data, units in zip(batch.column(0), batch.column(1)):
+                rows, made = np.frombuffer(data.as_buffer()).reshape(width + 1, -1), {}
+                for unit in units.as_py():
+                    if unit["design"] not in made:
+                        made[unit["design"]] = _matrix(rows, designs[unit["design"]])
+                    y, x = made[unit["design"]]
+                    z = np.clip(x @ np.array(unit["b"]), -30, 30)
+                    p = 1 / (1 + np.exp(-z))
+                    like = y * z - np.maximum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+                    part = np.r_[((x.T * (p * (1 - p))) @ x).ravel(), x.T @ (y - p), like.sum()]
+                    u = unit["unit"]
+                    held[u] = held[u] + part if u in held else part
+            if sum(len(v) for v in held.values()) * 8 > HELD:
                 yield out()
         if held:
             yield out()
@@ -52,7 +104,7 @@ def _sums(d: int):
     return sums
 
 
-def _newton(d: int, tolerance: float):
+def _newton(tolerance: float):
     """The next state of a unit from its state and the sums of all tasks."""
 
     def newton(state, sums):
@@ -61,7 +113,7 @@ def _newton(d: int, tolerance: float):
         if not len(state):
             return pd.DataFrame()
         s = state.iloc[0].to_dict()
-        total = np.sum(np.stack(sums.sums.to_numpy()), axis=0)
+        total, d = np.sum(np.stack(sums.sums.to_numpy()), axis=0), len(s["b"])
         h, g, like = total[: d * d].reshape(d, d), total[d * d : -1], total[-1]
         b, step, penalty = np.array(s["b"]), np.array(s["step"]), s["ridge"] * np.r_[0.0, np.ones(d - 1)]
         like -= (penalty * b * b).sum() / 2
@@ -86,37 +138,71 @@ def _newton(d: int, tolerance: float):
     return newton
 
 
-def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str], ridge: float | Sequence[float] = 1e-6, rounds: int = 25, tolerance: float = 1e-8) -> DataFrame:
+def logistic_fits(rows: DataFrame, keys: Sequence[str], features: Sequence[str], ridge: float | Sequence[float] = 1e-6, rounds: int = 25, tolerance: float = 1e-8, design: tuple[Sequence[str], Design] | None = None) -> DataFrame:
     """rows(keys, y, features) -> (keys, converged, rounds, b0, b_<feature>...): one logistic regression per group.
 
-    The rows needed are written once.  In each pass tasks add up the cross products of the groups they hold, so a large group is
-    the work of many, and the small systems are solved group by group; coefficients are a written table.  Groups of one class are
-    skipped, rows with a missing y or feature left out; a system without a solution leaves its group not converged.  ridge: a number, or
-    several, and then a column reg tells the fits apart, all of which share each pass.  A step is halved while it lowers the likelihood.
+    Groups of one class are skipped, rows with a missing y or feature left out; a system without a solution leaves its group not converged.
+    ridge: a number, or several, and then a column reg tells the fits apart, all of which share each pass.  A step is halved while it
+    lowers the likelihood.  design: the columns of rows that the features are made of, and the function that makes them; without it features are columns.
+    """
+    inputs, made = design or (features, _columns(range(len(features))))
+    fits = Fits(rows, keys, inputs, {"": (list(features), made)}, rounds, tolerance).of(ridge)[""]
+    return fits.drop("reg") if isinstance(ridge, (int, float)) else fits
+
+
+def logistic_sets(rows: DataFrame, keys: Sequence[str], sets: Mapping[str, Sequence[str]], ridge: float = 1e-6, rounds: int = 25, tolerance: float = 1e-8) -> dict[str, DataFrame]:
+    """logistic_fits() of several sets of features of the same rows, by name; all share each pass."""
+    inputs = list(dict.fromkeys(f for features in sets.values() for f in features))
+    designs = {name: (list(features), _columns([inputs.index(f) for f in features])) for name, features in sets.items()}
+    return {name: fits.drop("reg") for name, fits in Fits(rows, keys, inputs, designs, rounds, tolerance).of(ridge).items()}
+
+
+def _columns(at: Sequence[int]) -> Design:
+    at = list(at)
+    return lambda x: x[:, at]
+
+
+class Fits:
+    """Logistic regressions of every group of rows(keys, y, inputs), by named designs (features, function of the inputs).
+
+    The inputs are written once, as pieces of a group's rows that the tasks pack from what they hold, without a sort; features are worked out in each pass.  A
+    pass adds up cross products piece by piece, so a large group is the work of many tasks; the small systems are solved group by group, and coefficients are a written table.
     """
-    keys, names = list(keys), ["b0", *(f"b_{f}" for f in features)]
-    d, spark = len(names), rows.sparkSession
-    x = F.array(F.lit(1.0), *(F.col(f).cast("double") for f in features))
-    ridges = [float(r) for r in ([ridge] if isinstance(ridge, (int, float)) else ridge)]
-    data = _written(rows.select(F.xxhash64(*keys).alias("group"), *keys, F.col("y").cast("double").alias("y"), x.alias("x")).sortWithinPartitions("group"), "design")
-    data = data.where(~missing(F.col("y")) & ~F.exists("x", missing))  # once written, as a filter before would work out every feature twice
-    groups = data.groupBy("group", *keys).agg(F.sum("y").alias("_n1"), F.count("*").alias("_n")).where("_n1 > 0 and _n1 < _n").drop("_n1", "_n")
-    zeros = F.array_repeat(F.lit(0.0), d)
-    state = groups.withColumn("ridge", F.explode(F.array(*map(F.lit, ridges)))).select(
-        F.xxhash64("group", "ridge").alias("unit"), "group", *keys, "ridge", zeros.alias("b"), zeros.alias("step"), F.lit(-math.inf).alias("best"), F.lit(0).alias("rounds"), F.lit(False).alias("converged"), F.lit(False).alias("settled")
-    )
-    state, done = _written(state, "state"), None
-    for _ in range(rounds):
-        part = data.select("group", "y", "x").join(state.select("unit", "group", "b"), "group").select("unit", "y", "x", "b").mapInArrow(_sums(d), "unit long, sums array<double>")
-        state = _written(state.groupBy("unit").cogroup(part.groupBy("unit")).applyInPandas(_newton(d, tolerance), state.schema), "state")
-        over = state.where("settled")
-        done = over if done is None else done.union(over)
-        state = state.where("not settled")
-        if not state.limit(1).count():
-            break
-    out = state if done is None else done.union(state)
-    reg = [] if isinstance(ridge, (int, float)) else [F.col("ridge").alias("reg")]
-    return out.select(*reg, *keys, "converged", "rounds", *(F.get("b", i).alias(n) for i, n in enumerate(names)))
+
+    def __init__(self, rows: DataFrame, keys: Sequence[str], inputs: Sequence[str], designs: Mapping[str, tuple[Sequence[str], Design]], rounds: int = 25, tolerance: float = 1e-8):
+        self.keys, self.designs, self.rounds, self.tolerance, self.width = list(keys), dict(designs), rounds, tolerance, len(inputs)
+        self.made = [made for _, made in self.designs.values()]
+        given = rows.select(F.xxhash64(*keys).alias("group"), F.col("y").cast("double").alias("y"), *(F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(inputs)), *keys)
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keys).schema)
+        schema = f"group long, {kinds}, data binary, n array<long>, n1 array<double>"
+        self.pieces = _written(given.mapInArrow(_packed(self.width, self.made), schema), "pieces")
+
+    def of(self, ridge: float | Sequence[float], only: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Of each design the fits (reg, keys, converged, rounds, b0, b_<feature>...) with every ridge; only: of the groups with these keys."""
+        ridges = [float(r) for r in ([ridge] if isinstance(ridge, (int, float)) else ridge)]
+        pieces = self.pieces if only is None else self.pieces.join(F.broadcast(only), self.keys, "left_semi")
+        counts = pieces.select("group", *self.keys, F.posexplode(F.arrays_zip("n", "n1")).alias("design", "c"))
+        groups = counts.groupBy("group", *self.keys, "design").agg(F.sum("c.n1").alias("_n1"), F.sum("c.n").alias("_n")).where("_n1 > 0 and _n1 < _n").drop("_n1", "_n")
+        sizes = F.array(*(F.lit(len(features) + 1) for features, _ in self.designs.values()))
+        zeros = F.array_repeat(F.lit(0.0), F.get(sizes, F.col("design")))
+        state = groups.withColumn("ridge", F.explode(F.array(*map(F.lit, ridges)))).select(
+            F.xxhash64("group", "design", "ridge").alias("unit"), "group", *self.keys, "design", "ridge", zeros.alias("b"), zeros.alias("step"), F.lit(-math.inf).alias("best"), F.lit(0).alias("rounds"), F.lit(False).alias("converged"), F.lit(False).alias("settled")
+        )
+        state, done = _written(state, "state"), None
+        for _ in range(self.rounds):
+            units = state.groupBy("group").agg(F.collect_list(F.struct("unit", "design", "b")).alias("units"))
+            part = self.pieces.select("group", "data").join(units, "group").select("data", "units").mapInArrow(_sums(self.width, self.made), "unit long, sums array<double>")
+            state = _written(state.groupBy("unit").cogroup(part.groupBy("unit")).applyInPandas(_newton(self.tolerance), state.schema), "state")
+            over = state.where("settled")
+            done = over if done is None else done.union(over)
+            state = state.where("not settled")
+            if not state.limit(1).count():
+                break
+        out = state if done is None else done.union(state)
+        return {
+            name: out.where(F.col("design") == i).select(F.col("ridge").alias("reg"), *self.keys, "converged", "rounds", *(F.get("b", k).alias(n) for k, n in enumerate(["b0", *(f"b_{f}" for f in features)])))
+            for i, (name, (features, _)) in enumerate(self.designs.items())
+        }
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -146,6 +232,20 @@ def spatial_basis(df: DataFrame, centres: Sequence[tuple[float, float]], width:
     return df.withColumns({n: F.exp(-d2(c) / (2 * width * width)) for n, c in zip(names, centres, strict=True)}), names
 
 
+def smooth_design(knots: int, centres: Sequence[tuple[float, float]], width: float, period: float = 365.25) -> tuple[list[str], Design]:
+    """The names of seasonal_basis and spatial_basis, and a function that makes them of (day of the year, latitude, longitude)."""
+    names = [*(f"doy_{k}" for k in range(knots - 1)), *(f"space_{k}" for k in range(len(centres)))]
+    at, y, x = (np.array(v, dtype=float) for v in ([k * period / knots for k in range(knots - 1)], [c[0] for c in centres], [c[1] for c in centres]))
+    near = period / knots * 2
+
+    def made(inputs: np.ndarray) -> np.ndarray:
+        gap = np.abs(np.mod(inputs[:, :1] - at + period / 2, period) - period / 2)
+        season = np.where(gap < near, (1 + np.cos(math.pi * gap / near)) / 2, 0.0)
+        return np.hstack([season, np.exp(-((inputs[:, 1:2] - y) ** 2 + (inputs[:, 2:] - x) ** 2) / (2 * width * width))])
+
+    return names, made
+
+
 def quadratic(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """The features and their squares, as columns."""
     squares = {f"{f}_2": F.pow(F.col(f), 2) for f in features}
@@ -163,12 +263,14 @@ def chosen(train: DataFrame, validation: DataFrame, species: DataFrame, features
     train and validation have species, y and the features, species the sample.  The ridge is that of the largest mean auroc on
     the validation rows, of equal ones the smallest.
     """
-    few = sweep(train.join(F.broadcast(species), "species", "left_semi"), ["species"], features, grid)
-    scored = predicted(validation.select("species", "y", *features), few, ["species"], features, more=["reg"]).withColumnRenamed("predicted", "p")
+    fits = Fits(train, ["species"], features, {"": (list(features), _columns(range(len(features))))})
+    few = fits.of(list(grid), species)[""]
+    asked = validation.select("species", "y", *features).join(F.broadcast(species), "species", "left_semi")
+    scored = predicted(asked, few, ["species"], features, more=["reg"]).withColumnRenamed("predicted", "p")
     by = ranking(scored, ["reg", "species"]).groupBy("reg").agg(F.avg("auroc").alias("auroc"))
     best = by.orderBy(F.desc(F.round("auroc", 12)), "reg").first()  # a row a ridge of the grid
     reg = best.reg if best else float(min(grid))
-    return logistic_fits(train, ["species"], features, ridge=[reg])
+    return fits.of([reg])[""]
 
 
 def temperature(scored: DataFrame, low: float = -2.0, high: float = 2.0, steps: int = 80) -> DataFrame:

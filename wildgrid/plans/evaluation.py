@@ -433,8 +433,7 @@ def _sets(v: Views):
 def _(v):
     rows, sets = _sets(v)
     out = None
-    for name, features in sets.items():
-        fits = models.logistic_fits(rows, ["species"], features)
+    for name, fits in models.logistic_sets(rows, ["species"], sets).items():
         part = fits.select(F.lit(name).alias("cov_set"), "species", "converged", F.map_from_arrays(F.array(*map(F.lit, fits.columns[3:])), F.array(*(F.round(c, 4) for c in fits.columns[3:]))).alias("coefficients"))
         out = part if out is None else out.union(part)
     return out.select("cov_set", "species", "converged", F.explode("coefficients").alias("name", "value")).withColumn("value", F.col("value") + 0.0)
@@ -449,10 +448,9 @@ def _(v):
 
 @query("g03_smooth_fits")
 def _(v):
-    rows, seasons = models.seasonal_basis(_rows(v), "doy", knots=12)
     centres = [(10.25 + 6.5 * i, -158.0 + 24.0 * j) for i in range(10) for j in range(5)]
-    rows, space = models.spatial_basis(rows, centres, 12.0)
-    fits = models.logistic_fits(rows, ["species"], [*seasons, *space], ridge=0.1)
+    names, made = models.smooth_design(12, centres, 12.0)
+    fits = models.logistic_fits(_rows(v), ["species"], names, ridge=0.1, design=(["doy", "latitude", "longitude"], made))
     return fits.select("species", "converged", *(F.round(c, 3).alias(c) for c in fits.columns if c.startswith("b")))
 
 
