@@ -188,6 +188,45 @@ def test_masks_do_not_depend_on_partitions(spark, sites):
     assert all((r[4] == 2) == r[3] and (r[5] is None) != r[3] for r in a)
 
 
+def test_draws_of_many_texts_are_md5(spark):
+    """Whatever the lengths of prefix and name, over one block or several."""
+    import hashlib
+
+    from wildgrid.functions.digests import heads
+
+    prefixes = [b"", b"k1|7|", b"k1|1234567|", b"k1|7654321|", b"p" * 50 + b"|", b"q" * 119, "h\u00f6he|".encode()]
+    names = [b"", b"a", b"blue anvil", "Gr\u00fcner".encode(), b"x" * 44, b"x" * 45, b"y" * 130]
+    got = heads(prefixes, names)
+    assert [[f"{u:08x}" for u in r] for r in got.tolist()] == [[hashlib.md5(p + n).hexdigest()[:8] for n in names] for p in prefixes]
+
+
+def test_masks_follow_their_rule_in_lists_of_any_kind(spark):
+    """Sites with lists of their own, rates by site, absences and ties of nothing masked, against the rule entry by entry; a rate of 1 needs no draw."""
+    import hashlib
+
+    rnd = random.Random(4)
+    rows = [(s, sp, rnd.randint(0, 1)) for s in range(60) for sp in ("b", "a", "\u00e9", "c c", "d")[: 1 + s % 5]]
+    df, draw = spark.createDataFrame(rows, "site_id long, species string, present int"), lambda *k: int(hashlib.md5("|".join(k).encode()).hexdigest()[:8], 16) / 2**32
+
+    def want(rate, *salt, absences=False):
+        out = {}
+        for s in range(60):
+            u = {sp: (draw(*salt, str(s), sp), p) for t, sp, p in rows if t == s}
+            hit = {sp for sp, (x, p) in u.items() if x < rate(s) or (absences and p == 0)} or {min(u, key=lambda sp: (u[sp][0], sp))}
+            out |= {(s, sp): sp in hit for sp in u}
+        return out
+
+    for absences in (False, True):
+        by_site = masking.masked(df.repartition(3), F.when(F.col("site_id") % 2 == 0, 0.3).otherwise(0.0), "z", absences=absences)
+        assert {(r.site_id, r.species): r.masked for r in by_site.collect()} == want(lambda s: 0.3 if s % 2 == 0 else 0.0, "z", absences=absences)
+    many = masking.mask_set(df, (0.1, 1.0), "z").collect()
+    for rate in (0.1, 1.0):
+        assert {(r.site_id, r.species): r.masked for r in many if r.rate == rate} == want(lambda s: rate, "z", str(rate))
+    assert len(many) == 2 * len(rows)
+    plan = masking.mask_set(masking.states(df, df.where("present = 1")), (0.1, 0.2, 0.3, 1.0), "z")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "md5" not in plan  # one pass for all rates, and no draw entry by entry
+
+
 def test_sources(sites):
     out = neighbours.sources(sites, sites, 6, "s").collect()
     by = {}
