@@ -10,6 +10,7 @@ from wildgrid.functions.expr import composite_start
 from wildgrid.operators import geo, masking, models, neighbours, splits
 from wildgrid.operators.prepare import imputed, rate_draw, refuse_missing
 from wildgrid.plans.fixtures import scratch
+from wildgrid.sources import sinks
 from wildgrid.sources.readers import ColumnRoles
 
 
@@ -437,6 +438,20 @@ def test_rate_specs(sites):
     assert all(0.2 <= x.u < 0.4 and 0 <= x.b < 1 for x in r)
 
 
+def test_wide_table_holds_species_as_bits(spark):
+    """More species than a whole number has bits, records of others and sites without any; nothing is as wide as the species before the end."""
+    species = [f"s'{i:03d}" for i in range(130)]
+    rnd = random.Random(6)
+    there = {(s, sp) for s in range(40) if s % 4 for sp in rnd.sample(species, 1 + s)} | {(1, species[0]), (1, species[62]), (1, species[63]), (1, species[125]), (1, species[126]), (1, species[129])}
+    presence = spark.createDataFrame([*there, (2, "other"), (4, "other")], "site_id long, species string")
+    sites = spark.range(40).select(F.col("id").alias("site_id"), F.lit(1.0).alias("latitude"))
+    wide = sinks.wide_table(sites, sites.select("site_id", F.lit(2.0).alias("env_b"), F.lit(3.0).alias("env_a")), presence, species, ["env_b"])
+    assert wide.columns == ["site_id", "latitude", "env_b", "env_a", *species]
+    assert {(r.site_id, sp) for r in wide.collect() for sp in species if r[sp] == 1} == there
+    assert "pivot" not in wide._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sinks.wide_table(sites, sites.select("site_id"), presence, []).count() == 40
+
+
 def test_refusals_and_roles(spark):
     with pytest.raises(ValueError, match="b"):
         refuse_missing(spark.createDataFrame([(1, float("nan"))], "a int, b double"))

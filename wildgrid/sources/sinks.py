@@ -7,13 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Species that one whole number of a site tells.
+BITS = 63
+
 
 def wide_table(sites: DataFrame, env: DataFrame, presence: DataFrame, species: Sequence[str], env_order: Sequence[str] = ()) -> DataFrame:
-    """Meta columns, covariates (the known order first, others behind), then a 0/1 column per species.  For export only."""
+    """Meta columns, covariates (the known order first, others behind), then a 0/1 column per species.  For export only.
+
+    Until the columns are written, a site's species are bits of a few whole numbers, so that tasks hold and sort narrow rows.
+    """
     known = [c for c in env_order if c in env.columns] + sorted(c for c in env.columns if c not in env_order and c != "site_id")
-    wide = presence.groupBy("site_id").pivot("species", list(species)).agg(F.lit(1)) if species else presence.select("site_id").distinct()
-    out = sites.join(env, "site_id").join(wide, "site_id", "left")
-    return out.select(*sites.columns, *known, *(F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in species))
+    where = F.create_map(*(F.lit(x) for i, s in enumerate(species) for x in (s, i))) if species else F.lit(None).cast("map<string,int>")
+    at = presence.select("site_id", where[F.col("species")].alias("_at"))
+    words = range(0, len(species), BITS)
+    bits = at.groupBy("site_id").agg(*(F.bit_or(F.when((F.col("_at") >= k) & (F.col("_at") < k + BITS), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at") - k))).alias(f"_bits{k}") for k in words)) if species else at.select("site_id").distinct()
+    bit = lambda i: F.coalesce(F.call_function("bit_get", F.col(f"_bits{i - i % BITS}"), F.lit(i % BITS)).cast("int"), F.lit(0))
+    out = sites.join(env, "site_id").join(bits, "site_id", "left")
+    return out.select(*sites.columns, *known, *(bit(i).alias(s) for i, s in enumerate(species)))
 
 
 def write_site_table(wide: DataFrame, path: str, kind: str = "parquet") -> None:
