@@ -305,6 +305,37 @@ def test_a_deep_tree_gives_what_all_pairs_give(spark):
     assert some == {x for x in every if x[1] <= 5} and len(every) == 120 * 119 and len(some) == 120 * 5
 
 
+def test_draws_of_pairs_are_heads_of_md5():
+    import hashlib
+
+    import numpy as np
+
+    from wildgrid.functions.digests import pair_heads
+
+    lefts, rights = np.array([b"7", b"a longer key|3", "\u00e9".encode(), b"x" * 70]), np.array([b"", b"0a", b"f" * 20])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(3)))
+    want = [int(hashlib.md5(b"s#1#e|" + lefts[a] + b"|" + rights[b]).hexdigest()[:8], 16) for a, b in zip(i, j)]
+    assert pair_heads(b"s#1#e", lefts, rights, i, j).tolist() == want
+
+
+@pytest.mark.parametrize("with_time", [False, True])
+def test_levels_below_the_top_give_the_same_sources(spark, monkeypatch, with_time):
+    """Nodes are looked at in the tasks, without a sort of them for each level, whether every task has them or they are joined."""
+    rnd = random.Random(8)
+    pool = spark.createDataFrame([(i, rnd.uniform(24, 50), rnd.uniform(-125, -66), float(i % 365)) for i in range(2000)] + [(3000 + i, 40.0, -100.0, 5.0) for i in range(300)], SITE)
+    here = neighbours._targets(pool.where("site_id % 20 = 0 or site_id > 3290"))
+    got = {}
+    for top in (1, 200, 1 << 16):
+        monkeypatch.setattr(neighbours.tree, "TOP", top)
+        over = neighbours.tree.Tree(pool)
+        drawn = neighbours.tree.sampled(over, here, 6, "s", with_time)
+        plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 2 and plan.count("md5") <= 2 and plan.count("MapInArrow") == 1 + over.depth - over.top()[0]
+        got[top] = sorted(map(tuple, drawn.select("key", "slot", "source_id").collect()))
+        assert top > 1 or over.top()[0] == 1
+    assert got[1] == got[200] == got[1 << 16] and len(got[1]) == 6 * here.count()
+
+
 def test_sources_of_an_empty_pool(spark, sites):
     assert neighbours.sources(sites, sites.limit(0), 3, "s").count() == 0 and neighbours.sources(sites.limit(0), sites, 3, "s").count() == 0
 

@@ -49,3 +49,22 @@ def heads(prefixes: Sequence[bytes], names: Sequence[bytes]) -> np.ndarray:
                 padded[:, :, :size] = np.frombuffer(b"".join(prefixes[i] for i in at), np.uint8).reshape(len(at), 1, size)
                 out[np.ix_(at, columns)] = _first_word(padded.reshape(-1, 64 * n)).reshape(len(at), -1)
     return out
+
+
+def pair_heads(prefix: bytes, lefts: np.ndarray, rights: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each text prefix|left|right the first eight digits of its md5, as a number; lefts and rights are arrays of bytes, i and j their places."""
+    out = np.empty(len(i), np.uint32)
+    a, b = np.strings.str_len(lefts)[i], np.strings.str_len(rights)[j]
+    shape = a * (rights.itemsize + 1) + b
+    left, right = (x.view(np.uint8).reshape(len(x), -1) for x in (np.ascontiguousarray(lefts), np.ascontiguousarray(rights)))
+    front = np.frombuffer(prefix + b"|", np.uint8)
+    for one in np.unique(shape).tolist():
+        rows, (na, nb) = np.flatnonzero(shape == one), divmod(one, rights.itemsize + 1)
+        at = len(front) + na + 1
+        for part in np.split(rows, range(AT_ONCE, len(rows), AT_ONCE)):
+            padded = np.zeros((len(part), 64 * ((at + nb + 8) // 64 + 1)), np.uint8)
+            padded[:, : len(front)], padded[:, at - 1], padded[:, at + nb] = front, ord("|"), 0x80
+            padded[:, len(front) : at - 1], padded[:, at : at + nb] = left[i[part], :na], right[j[part], :nb]
+            padded[:, -8:] = np.frombuffer((8 * (at + nb)).to_bytes(8, "little"), np.uint8)
+            out[part] = _first_word(padded)
+    return out

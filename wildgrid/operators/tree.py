@@ -7,6 +7,8 @@ depend on seed, target and node alone, so each site's key is fixed, whether or n
 
 A node is a ball around its box.  No key below it is less than e over the largest weight that the ball allows, and one is no more than e over
 the smallest.  Level by level, a target drops the nodes that cannot hold one of its n smallest keys; it never looks at all pairs.
+Tasks do this for many targets at once: the upper levels, a bounded number of nodes, are with every task, and those below are joined to the
+nodes that are still open, the children of a node together.
 
 Nodes are split by place, then by time, then by a hash of the id, sixteen ways, until they hold few sites.  So a third of the pool at one
 place is a tree as well.
@@ -15,16 +17,23 @@ place is a tree as well.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import pair_heads
 from ..functions.expr import EARTH_KM, haversine_km, missing
 from ..plans.fixtures import scratch
 
 EPS = 1e-6
 #: Sites of a node that is not split further; levels by place, time and id; levels that are built at once beyond the expected ones.
 LEAF, PLACE, TIME, ID, MORE = 8, 8, 4, 8, 4
+#: Nodes of the upper levels that every task has; the levels below are joined.  Targets, nodes below, and children that are worked on at a time.
+TOP, TARGETS, NODES, AT_ONCE = 1 << 16, 256, 1 << 12, 1 << 18
+BOX = ("id", "n", "before", "y", "x", "radius", "t", "t_radius")
 
 
 def draw(*key: Column | str) -> Column:
@@ -122,6 +131,143 @@ class Tree(Levels):
         sites = _written(sites.withColumn("path", _path(float(low or 0.0), span)), "sites")
         super().__init__(sites, sites.count(), PLACE + TIME + ID, LEAF, ends("latitude", "longitude", "t_days"), balls)
         self.members = self.members.withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy("site_id")) - 1)
+        self._top, self._children = None, {}
+
+    def top(self):
+        """The upper levels, TOP nodes at most, as arrays that every task has: their number and the broadcast."""
+        if self._top is None:
+            upto, sizes, every = 0, dict.fromkeys(range(1, self.depth + 1), 0), self.spark.read.parquet(self.path)
+            sizes.update((r.level, r["count"]) for r in every.groupBy("level").count().collect())
+            while upto < self.depth and (not upto or sum(sizes[k] for k in range(1, upto + 2)) <= TOP):
+                upto += 1
+            rows = every.where(F.col("level") <= upto).select("level", "parent", *BOX).toArrow()
+            levels, above = [], np.array([b""])
+            for k in range(1, upto + 1):
+                part = rows.filter(pa.compute.equal(rows["level"], k))
+                parents = _texts(part["parent"])
+                order = np.argsort(parents, kind="stable")
+                box = {c: part[c].to_numpy()[order] for c in BOX[1:]} | {"id": _texts(part["id"])[order]}
+                box |= dict(zip(("ux", "uy", "uz"), _unit(box.pop("y"), box.pop("x"))))
+                levels.append((*(np.searchsorted(parents[order], above, side) for side in ("left", "right")), box))
+                above = box["id"]
+            self._top = upto, self.spark.sparkContext.broadcast(levels)
+        return self._top
+
+    def children(self, k: int) -> DataFrame:
+        """Nodes of a level below the top, a row for each parent."""
+        if k not in self._children:
+            self._children[k] = _written(self.level(k).groupBy("parent").agg(F.collect_list(F.struct(*BOX)).alias("children")), "children")
+        return self._children[k]
+
+
+def _texts(column) -> np.ndarray:
+    """Bytes of strings; one byte wide at least."""
+    return np.array([x.encode() for x in column.to_pylist()] or [b""], "S")[: len(column)]
+
+
+def _opened(seed: str, n: int, with_time: bool, site: dict, row: np.ndarray, at: np.ndarray, m: np.ndarray, e: np.ndarray, up: np.ndarray, box: dict, limit: np.ndarray):
+    """Of children (box, a parent each in up; parents: row of the target in site, id, size, least e) those that may hold one of the n smallest keys.
+
+    The least e of a child, and its place among the children, for those that stay; limit, that of a row of site, is lowered: no key beyond it is among the n
+    smallest.  Whatever children are seen together, n + 1 of them hold that many keys up to the largest of their upper bounds (one more
+    than n, as the target itself may be a site).
+    """
+    draws = lambda what, ids, i, j: (pair_heads(f"{seed}#{what}".encode(), site["key"], ids, i, j) + 1.0) / 4294967296.0
+    split = np.flatnonzero(np.bincount(up, at[up] != box["id"], len(at)))  # a node that is not split stands for itself
+    x = np.zeros(len(at))
+    x[split] = draws("c", at, row[split], split) * m[split]
+    x, least, owner = x[up], e[up], row[up]
+    rest = np.flatnonzero((x < box["before"]) | (x >= box["before"] + box["n"]))
+    least[rest] -= np.log(draws("e", box["id"], owner[rest], rest)) / box["n"][rest]
+    chord = sum((one[owner] - other) ** 2 for one, other in zip(_unit(site["t_lat"], site["t_lon"]), (box[c] for c in ("ux", "uy", "uz")) if "ux" in box else _unit(box["y"], box["x"])))
+    d, gap = 2 * EARTH_KM * np.arcsin(np.minimum(np.sqrt(chord) / 2, 1)), np.abs(site["t_t"][owner] - box["t"])
+    ds, ts = 1 / site["d_scale"][owner], 1 / site["t_scale"][owner]
+    scaled = lambda d, gap: np.sqrt((d * ds) ** 2 + (gap * ts) ** 2) if with_time else d * ds
+    # A little less and more for rounding.
+    low = least * (scaled(np.maximum(d - box["radius"], 0), np.maximum(gap - box["t_radius"], 0)) + EPS) * (1 - 1e-8)
+    high = least * (scaled(d + box["radius"], gap + box["t_radius"]) + EPS) * (1 + 1e-8)
+    within = np.flatnonzero(high <= limit[owner])
+    of = owner[within]
+    order = np.lexsort((high[within], of))
+    first, full = np.searchsorted(of[order], np.arange(len(limit))), np.flatnonzero(np.bincount(of, minlength=len(limit)) > n)
+    limit[full] = high[within][order[first[full] + n]]
+    keep = np.flatnonzero(~(low > limit[owner]))
+    return least[keep], keep
+
+
+def _unit(latitude: np.ndarray, longitude: np.ndarray) -> list[np.ndarray]:
+    """Places as points of a sphere of radius one: the straight line between two gives their distance along it."""
+    y, x = np.radians(latitude), np.radians(longitude)
+    return [np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)]
+
+
+def _span(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., size[0] of them, then those of the next."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def _site(batch: pa.RecordBatch) -> dict:
+    return {c: batch[c].to_numpy(zero_copy_only=False) for c in ("t_lat", "t_lon", "t_t", "d_scale", "t_scale")} | {"key": _texts(batch["key"])}
+
+
+def _front(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, m: np.ndarray, e: np.ndarray, limit: np.ndarray) -> pa.RecordBatch:
+    new = [pa.array([x.decode() for x in at.tolist()], pa.string()), pa.array(m, pa.int64()), pa.array(e, pa.float64()), pa.array(limit, pa.float64())]
+    return pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, *new], [*batch.schema.names, "at", "m", "e", "limit"])
+
+
+def _upper(seed: str, n: int, with_time: bool, size: int, top) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Targets -> their open nodes at the last of the upper levels."""
+
+    def down(site, levels, row, node, at, m, e, limit, k):
+        """Yields rows, ids, sizes, least e and limits; halves the targets while they have too many nodes."""
+        while k < len(levels):
+            left, right, box = levels[k]
+            count = right[node] - left[node]
+            if count.sum() > AT_ONCE and row[0] != row[-1]:
+                half = (row[0] + row[-1] + 1) // 2
+                for part in (row < half, row >= half):
+                    yield from down(site, levels, row[part], node[part], at[part], m[part], e[part], limit, k)
+                return
+            up, child = np.repeat(np.arange(len(row)), count), _span(left[node], count)
+            e, keep = _opened(seed, n, with_time, site, row, at, m, e, up, {c: v[child] for c, v in box.items()}, limit)
+            row, node, k = row[up[keep]], child[keep], k + 1
+            at, m = box["id"][node], box["n"][node]
+        yield row, at, m, e, limit[row]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, TARGETS):
+                part = batch.slice(start, TARGETS)
+                site, rows = _site(part), np.arange(part.num_rows)
+                none = np.array([b""])
+                e = -np.log((pair_heads(f"{seed}#e".encode(), site["key"], none, rows, 0 * rows) + 1.0) / 4294967296.0) / size
+                for found in down(site, top.value, rows, 0 * rows, none[0 * rows], np.full(len(rows), size), e, np.full(len(rows), np.inf), 0):
+                    yield _front(part, *found)
+
+    return run
+
+
+def _lower(seed: str, n: int, with_time: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Open nodes of targets with their children -> their open children, by the limits so far and what is seen together."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, NODES):
+                part = batch.slice(start, NODES)
+                if not part.num_rows:
+                    continue
+                lists, given = part["children"], part.select([c for c in part.schema.names if c not in ("at", "m", "e", "limit", "parent", "children")])
+                every, rows = _site(given), np.arange(part.num_rows)
+                new = np.any([v[rows] != v[rows - 1] for v in every.values()], axis=0) | (rows == 0)
+                one, row = np.flatnonzero(new), np.cumsum(new) - 1
+                site, limit = {c: v[one] for c, v in every.items()}, np.full(len(one), np.inf)
+                np.fmin.at(limit, row, part["limit"].to_numpy())
+                flat, up = lists.flatten(), np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                box = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in BOX[1:]} | {"id": _texts(flat.field("id"))}
+                e, keep = _opened(seed, n, with_time, site, row, _texts(part["at"]), part["m"].to_numpy(), part["e"].to_numpy(), up, box, limit)
+                yield _front(given, up[keep], box["id"][keep], box["n"][keep], e, limit[row[up[keep]]])
+
+    return run
 
 
 def _scaled(d: Column, gap: Column, with_time: bool) -> Column:
@@ -135,31 +281,22 @@ def sampled(tree: Tree, targets: DataFrame, n: int, seed: str, with_time: bool)
     source of itself; one without a place or time has none.
     """
     site = ["key", "target_id", "t_lat", "t_lon", "t_t", "d_scale", "t_scale"]
-    given = targets.where(~missing(F.col("t_lat")) & ~missing(F.col("t_lon")) & ~missing(F.col("t_t"))).select(*site)
+    given = targets.where(~missing(F.col("t_lat")) & ~missing(F.col("t_lon")) & ~missing(F.col("t_t")) & F.col("key").isNotNull() & F.col("target_id").isNotNull()).select(*site)
     if not tree.size:
         nothing = (F.lit(0.0).alias(c) for c in ("d", "gap", "weight"))
         return given.where(F.lit(False)).select("key", "target_id", F.lit(0).alias("slot"), F.col("target_id").alias("source_id"), *nothing)
     # A stated number of partitions: targets are few and small, their descent is what takes time.
     given = given.repartition(int(tree.spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    exponential = lambda what, part, rate: -F.log(draw(f"{seed}#{what}", F.col("key"), part)) / rate
-    all_ = F.lit(float(max(tree.size, 1)))
-    front = given.select(*site, F.lit("").alias("at"), F.lit(tree.size).cast("long").alias("m"), exponential("e", F.lit(""), all_).alias("e"))
-    # The same at each level: the least e of a node, its bounds, and the n-th smallest upper bound (one more than n, as the target itself may be a site).
-    x = draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m")
-    least = F.col("e") + F.when((x >= F.col("before")) & (x < F.col("before") + F.col("n")), 0.0).otherwise(exponential("e", F.col("id"), F.col("n")))
-    near = _scaled(F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)), F.greatest(F.col("gap") - F.col("t_radius"), F.lit(0.0)), with_time)
-    far = _scaled(F.col("d") + F.col("radius"), F.col("gap") + F.col("t_radius"), with_time)
-    order = Window.partitionBy("key").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    below = [*site, F.col("id").alias("at"), F.col("n").alias("m"), least.alias("e"), "radius", "t_radius", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("y"), F.col("x")).alias("d"), F.abs(F.col("t_t") - F.col("t")).alias("gap")]
-    bounds = [*site, "at", "m", "e", (F.col("e") * (near + EPS)).alias("low"), (F.col("e") * (far + EPS)).alias("high")]
-    limit, child = [*site, "at", "m", "e", "low", F.nth_value("high", n + 1).over(order).alias("limit")], F.col("at") == F.col("parent")
-    open_ = F.col("limit").isNull() | (F.col("low") <= F.col("limit"))
-    for level in range(1, tree.depth + 1):
-        front = front.join(tree.level(level), child).select(*below).select(*bounds).select(*limit).where(open_).drop("low", "limit")
-    met = front.join(tree.members, F.col("at") == F.col("home"))
-    x = F.floor(draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m"))
-    own = F.col("e") + F.when(x == F.col("rank"), 0.0).otherwise(exponential("m", F.col("site_id"), F.lit(1.0)))
-    met = met.where(F.col("site_id") != F.col("target_id")).withColumn("e", own).withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days")))
+    upto, top = tree.top()
+    schema = ", ".join((*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema), "`at` string, m bigint, e double, `limit` double"))
+    front = given.mapInArrow(_upper(seed, n, with_time, tree.size, top), schema)
+    for level in range(upto + 1, tree.depth + 1):
+        front = front.join(tree.children(level), F.col("at") == F.col("parent")).mapInArrow(_lower(seed, n, with_time), schema)
+    # Drawn before the join, once for a leaf.
+    met = front.withColumn("pick", F.floor(draw(f"{seed}#c", F.col("key"), F.col("at")) * F.col("m"))).join(tree.members, F.col("at") == F.col("home"))
+    met = met.where(F.col("site_id") != F.col("target_id")).withColumn("d", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("latitude"), F.col("longitude"))).withColumn("gap", F.abs(F.col("t_t") - F.col("t_days")))
+    met = met.where(F.col("e") * (_scaled(F.col("d"), F.col("gap"), with_time) + EPS) <= F.col("limit"))
+    met = met.withColumn("e", F.col("e") + F.when(F.col("pick") == F.col("rank"), 0.0).otherwise(-F.log(draw(f"{seed}#m", F.col("key"), F.col("site_id")))))
     met = met.select("key", "target_id", F.col("site_id").alias("source_id"), "d", "gap", (_scaled(F.col("d"), F.col("gap"), with_time) + EPS).alias("away"), "e")
     slot = F.row_number().over(Window.partitionBy("key").orderBy(F.col("e") * F.col("away"), "source_id"))
     return met.withColumn("slot", slot).where(F.col("slot") <= n).select("key", "target_id", "slot", "source_id", "d", "gap", (1 / F.col("away")).alias("weight"))
