@@ -305,6 +305,12 @@ def test_a_deep_tree_gives_what_all_pairs_give(spark):
     assert some == {x for x in every if x[1] <= 5} and len(every) == 120 * 119 and len(some) == 120 * 5
 
 
+def test_passes_share_a_tree(sites):
+    over = neighbours.tree.Tree(sites)
+    one, other = (sorted(map(tuple, neighbours.sources(sites, pool, 6, "s").select("target_id", "slot", "source_id").collect())) for pool in (sites, over))
+    assert one == other and len(one) == 6 * 120
+
+
 def test_draws_of_pairs_are_heads_of_md5():
     import hashlib
 

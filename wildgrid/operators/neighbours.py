@@ -25,13 +25,13 @@ def scales(targets: DataFrame, pool: DataFrame | tree.Tree, n: int, seed: str) -
     return first.groupBy("target_id").agg((F.percentile("d", F.lit(0.5)) + tree.EPS).alias("d_scale"), (F.percentile("gap", F.lit(0.5)) + tree.EPS).alias("t_scale"))
 
 
-def sources(targets: DataFrame, pool: DataFrame, n: int, seed: str, with_time: bool = True, replacement: bool | None = None) -> DataFrame:
+def sources(targets: DataFrame, pool: DataFrame | tree.Tree, n: int, seed: str, with_time: bool = True, replacement: bool | None = None) -> DataFrame:
     """(target_id, slot, source_id, d, gap, weight): n sources of each target, near in space and time on the target's scales.
 
     replacement: draw each slot by itself, so that a source may come again; by default only if the pool has fewer than n other sites.
     A target or site without a place or time has no sources and is none; ids are taken once.
     """
-    over = tree.Tree(pool)
+    over = pool if isinstance(pool, tree.Tree) else tree.Tree(pool)
     at = _targets(targets).drop("d_scale", "t_scale").join(scales(targets, over, n, seed), "target_id")
     if over.size - 1 < n if replacement is None else replacement:
         return with_replacement(over, at, n, seed, with_time)
@@ -59,6 +59,7 @@ def gathered(drawn: DataFrame, presence: DataFrame) -> DataFrame:
 
 def neighbour_prediction(drawn: DataFrame, presence: DataFrame, species: DataFrame) -> DataFrame:
     """(target_id, species, p): weighted share of the sources with the species.  A baseline, not a trained model."""
+    drawn = tree._written(drawn, "drawn")  # used twice
     total = drawn.groupBy("target_id").agg(F.sum("weight").alias("total"))
     there = drawn.join(presence, drawn.source_id == presence.site_id).groupBy("target_id", "species").agg(F.sum("weight").alias("w"))
     every = total.crossJoin(species.select("species").distinct())

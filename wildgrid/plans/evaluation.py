@@ -286,8 +286,8 @@ PRED = "pred AS (SELECT t.target_id, x.species, coalesce(w, 0) / total AS p FROM
 
 @query("g05_neighbour_prediction", "SELECT target_id, species, round(p, 6) AS p FROM pred", f"{_pairs_sql('e')}, {PRED}")
 def _(v):
-    drawn = neighbours.sources(v.stations, v.pool, N, "e")
-    return neighbours.neighbour_prediction(drawn, v.pool_presence, v.pool_presence).select("target_id", "species", F.round("p", 6).alias("p"))
+    drawn, there = neighbours.sources(v.stations, v.pool, N, "e"), tree._written(v.pool_presence, "presence")
+    return neighbours.neighbour_prediction(drawn, there, there).select("target_id", "species", F.round("p", 6).alias("p"))
 
 
 _SECOND = ("k1_steps", "k1_sums", "k1", "k2_steps", "k2_sums", "k2", "pairs", "first", "scales", "weighted", "second", "sources", "pred")
@@ -301,9 +301,9 @@ def _two(one: str, other: str, targets: str = "stations") -> str:
 
 @query("g06_bagged_prediction", "SELECT target_id, species, round((a.p + b.p) / 2, 6) AS p, round(a.p, 6) AS p_single FROM pred a JOIN pred_b b USING (target_id, species)", _two("b0", "b1"))
 def _(v):
-    out = None
+    over, there, out = tree.Tree(v.pool), tree._written(v.pool_presence, "presence"), None
     for k in range(2):
-        one = neighbours.neighbour_prediction(neighbours.sources(v.stations, v.pool, N, f"b{k}"), v.pool_presence, v.pool_presence).withColumn("pass", F.lit(k)).withColumn("y", F.lit(0))
+        one = neighbours.neighbour_prediction(neighbours.sources(v.stations, over, N, f"b{k}"), there, there).withColumn("pass", F.lit(k)).withColumn("y", F.lit(0))
         out = one if out is None else out.unionByName(one)
     bag = metrics.bagged(out, ["target_id", "species"])
     return bag.select("target_id", "species", F.round("p", 6).alias("p"), F.round("p_single", 6).alias("p_single"))
@@ -317,10 +317,11 @@ def _(v):
     """A row for each cell and date: the mean of two passes, nothing known of the cell, sources from observations alone."""
     dated = v.stations.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).select((F.col("site_id") * 10 + F.col("k")).alias("site_id"), "latitude", "longitude", (100.0 * F.col("k")).alias("t_days"))
     both = neighbours.with_grid(v.pool, dated)
-    one = v.pool_presence.agg(F.min("species").alias("species"))
-    there, out = v.pool_presence.join(F.broadcast(one), "species", "left_semi"), None
+    there = tree._written(v.pool_presence, "presence")
+    one = there.agg(F.min("species").alias("species"))
+    over, there, out = tree.Tree(both.where("kind = 'obs'")), there.join(F.broadcast(one), "species", "left_semi"), None
     for k in range(2):
-        drawn = neighbours.sources(both.where("kind = 'grid'"), both.where("kind = 'obs'"), N, f"m{k}")
+        drawn = neighbours.sources(both.where("kind = 'grid'"), over, N, f"m{k}")
         part = neighbours.neighbour_prediction(drawn, there, one).withColumn("pass", F.lit(k)).withColumn("y", F.lit(0))
         out = part if out is None else out.unionByName(part)
     bag = metrics.bagged(out, ["target_id", "species"])
