@@ -6,7 +6,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from wildgrid.llm import packing, secrets, substring, toxicity  # noqa: E402
+from wildgrid.llm import bloom, packing, secrets, substring, toxicity  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +148,39 @@ def test_near_duplicates_of_repeated_ids(spark):
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, one), (2, two), (3, three), (5, ""), (0, one), (0, one)])
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicates_do_not_shuffle_other_texts(spark):
+    rnd = random.Random(24)
+    texts = [" ".join(f"{rnd.getrandbits(32):08x}" for _ in range(1000)) for _ in range(200)]
+    rows = [*enumerate(texts), (200, texts[3] + " more"), (201, texts[3]), (202, texts[5])]
+    docs = corpus_pipeline.materialise(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id int, text string, lang string, source string, n_chars long"), "docs")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        before = shuffled(spark)
+        got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert got == list(range(200))
+    assert 0 < moved < sum(map(len, texts)) / 2
+
+
+def test_bloom_filter_passes_every_listed_row(spark):
+    rows = spark.range(4000).selectExpr("cast(id as int) id", "if(id % 10 = 9, null, concat('t', id)) name", "id block")
+    listed = spark.range(0, 4000, 40).selectExpr("id", "concat('t', id) name")
+    for blocks in (1, 1 << 16):  # one block has 256 bits for 100 keys
+        got = bloom.possible(rows, listed, ["id", "name"], "maybe", blocks).collect()
+        assert len(got) == 4000 and got[0].block == got[0].id
+        assert all(r.maybe for r in got if r.id % 40 == 0)
+        assert sum(r.maybe for r in got) < (110 if blocks > 1 else 4000)
+    assert not bloom.possible(rows, listed.limit(0), ["id", "name"], "maybe").where("maybe").count()

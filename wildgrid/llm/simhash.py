@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ids_and_texts, materialise, partitions, text_bytes
+from .bloom import possible
+from .common import chunks, fresh, ids_and_texts, materialise, partitions, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -376,11 +377,13 @@ def alike(sets: list[np.ndarray], right: int, similarity: float, labels: list[in
 def exact_links(docs: DataFrame, groups: DataFrame, words_per_shingle: int, similarity: float, block: int = SET_BLOCK) -> DataFrame:
     """groups(component, whole, rep, size) -> edges(u, v) over whole that connect the members of each component that are alike.
 
-    The shingles of the members' texts (of the document rep) are made again.  A component of one block is solved in one task; for
-    larger ones see _large_links.
+    The shingles of the members' texts (of the document rep) are made again; a Bloom filter of the members keeps other texts out of the
+    shuffle.  A component of one block is solved in one task; for larger ones see _large_links.
     """
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(SET_SHINGLES))).cast("long")
-    placed = groups.join(groups.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "whole", "rep")
+    placed = materialise(groups.join(groups.groupBy("component").agg(blocks.alias("n")), "component").select("component", "n", "whole", "rep"), "placed")
+    texts = ids_and_texts(docs)
+    maybe = fresh("maybe", texts)
 
     def made(batches):
         for b in chunks(batches):
@@ -389,8 +392,9 @@ def exact_links(docs: DataFrame, groups: DataFrame, words_per_shingle: int, simi
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["component", "n", "whole", "shingles"]).filter(mine)
 
     def sets(members):
-        texts = ids_and_texts(docs).join(members, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "whole")
-        return texts.mapInArrow(made, "component long, n long, whole long, shingles array<long>")
+        near = possible(texts, members.select(F.col("rep").alias("doc_id")), ["doc_id"], maybe).where(maybe)
+        found = near.join(members, F.col("doc_id") == F.col("rep")).select("text", "component", "n", "whole")
+        return found.mapInArrow(made, "component long, n long, whole long, shingles array<long>")
 
     small = sets(placed.where("n = 1")).select("component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("own"), "whole", F.col("whole").alias("label"), "shingles")
     edges = _checked(small, similarity)

@@ -9,20 +9,17 @@ go on to a hash join with the list itself, so that no false positive remains; th
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BITS, MAX_BLOCKS, bloom, blocks_for, passes
 from .common import fresh, materialise
 
 #: Fixed values: (action, host, path); a rule fits its host and all subdomains, and paths that begin with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Rules are one expression; more of them belong into a list of URLs.
 MAX_RULES = 1000
-#: Blocks of 64 bytes (as columns) up to which the filter is broadcast: 4 MB.
-MAX_BLOCKS = 1 << 16
-BITS_PER_URL = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,20 +57,7 @@ def rule_of(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]
     return name, action
 
 
-def _masks(key: Column) -> list[Column]:
-    """The bit of each of the eight words."""
-    bits = F.xxhash64(key, F.lit("bits"))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 8 * i).bitwiseAND(F.lit(31)).cast("int")) for i in range(8)]
-
-
-def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, m0..m7) of the keys in listed."""
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).alias("block")
-    masks = listed.select(block, *(m.alias(f"m{i}") for i, m in enumerate(_masks(F.col(key)))))
-    return masks.groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"m{i}") for i in range(8)))
-
-
-def listed_urls(urls: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS, bits: int = BITS_PER_URL) -> DataFrame:
+def listed_urls(urls: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS, bits: int = BITS) -> DataFrame:
     """urls (with a column canonical) plus `listed`: whether listed(canonical) has it.  Null or empty ones are not listed.
 
     Every row and column of urls stays, but for one named listed, which is replaced; repeated rows of listed do no harm.  The
@@ -81,14 +65,13 @@ def listed_urls(urls: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS
     """
     urls = urls.drop("listed")
     known = materialise(listed.select("canonical").where("canonical <> ''").distinct(), "listed")
-    blocks = 1 << (max(1, known.count() * bits // 256) - 1).bit_length()
+    blocks = blocks_for(known.count(), bits)
     block, filled, maybe = (fresh(c, urls) for c in ("block", "filled", "maybe"))
     table = bloom(known, "canonical", blocks)
     table = table.select(F.col("block").alias(block), F.struct(*(f"m{i}" for i in range(8))).alias(filled))
     key = F.coalesce(F.col("canonical"), F.lit(""))
     met = urls.withColumn(block, F.pmod(F.xxhash64(key), F.lit(blocks))).join(F.broadcast(table) if blocks <= max_blocks else table, block, "left")
-    passes = F.coalesce(reduce(Column.__and__, [F.col(f"{filled}.m{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(key))]), F.lit(False))
-    probed = materialise(met.withColumn(maybe, passes).select(*urls.columns, maybe), "probed")
+    probed = materialise(met.withColumn(maybe, passes(filled, key)).select(*urls.columns, maybe), "probed")
     exact = known.withColumn("listed", F.lit(True)).hint("shuffle_hash")
     hits = probed.where(F.col(maybe)).join(exact, "canonical", "left").select(*urls.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
     return hits.union(probed.where(~F.col(maybe)).select(*urls.columns, F.lit(False).alias("listed")))
